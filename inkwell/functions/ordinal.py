@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.session import ensure_checkpoint_dir
+
 _PID, _MID, _OFF, _FIRST = "_ord_pid", "_ord_mid", "_ord_off", "_ord_first"
 
 
@@ -36,12 +38,17 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str,
     column, e.g. ``max(existing id) + 1`` as a scalar subquery.
     """
     n = _partitions(df, partitions)
-    # A user-sized range repartition is never coalesced by AQE, so both uses
-    # of ``ranged`` below see the same partitions (and share one exchange).
+    ensure_checkpoint_dir(df.sparkSession)
+    # The range bounds come from sampling, and the partition-size count below
+    # is a second reader of the same rows: a (reliable) checkpoint fixes the
+    # partitioning once, so both readers, and any task re-run after a lost
+    # executor, see the same partitions. A user-sized range repartition is
+    # never coalesced by AQE.
     ranged = (df.repartitionByRange(n, *order_by)
               .sortWithinPartitions(*order_by)
               .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_MID, F.monotonically_increasing_id()))
+              .withColumn(_MID, F.monotonically_increasing_id())
+              .checkpoint(eager=True))
     sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_PID, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_OFF))

@@ -41,18 +41,17 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir`` (or already set on
     the context), or None."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d
-    jsc = spark.sparkContext._jsc.sc()
-    opt = jsc.getCheckpointDir()
-    return opt.get() if opt.isDefined() else None
+    d = spark.sparkContext.getCheckpointDir()
+    return d or spark.conf.get("spark.checkpoint.dir", None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only where none is set (a
     local test) create a private scratch folder."""
-    d = checkpoint_dir(spark)
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if d is None:
         d = tempfile.mkdtemp(prefix="inkwell-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
