@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from inkwell.operators import lists as L
 from inkwell.operators import quality as Q
 from inkwell.operators import views as V
@@ -255,3 +257,80 @@ def _c9(t):
         "PurchaseID", "TotalAmount", "PaidAmount",
         (F.col("TotalAmount") > 0).alias("TotalPositive"),
         ((F.col("PaidAmount") >= 0) & (F.col("PaidAmount") <= F.col("TotalAmount"))).alias("PaidInRange")))
+
+
+# --------------------------------------------------------------- posting -----
+def _posting(t):
+    from inkwell.operators import posting as P
+    return P, t.posting_tables(), t.post_headers(), t.post_lines()
+
+
+_POST_LIVE = """
+    select l.RequestID, cast(l.RequestID % 1000 as int) as StoreCode, l.ISBN, l.Quantity,
+           ps.AvailableQuantity as Available
+    from bk_PostLine l
+    left join bk_PostStock ps on ps.StoreCode = cast(l.RequestID % 1000 as int) and ps.ISBN = l.ISBN"""
+
+
+@register("w1_certain_rejects", """
+    select RequestID,
+           min(case when Available is null then 'no_stock_row'
+                    when Quantity > Available then 'insufficient_stock' end) as Reason
+    from post_live
+    group by RequestID
+    having count(case when Available is null or Quantity > Available then 1 end) > 0""",
+          extra_ctes={"post_live": _POST_LIVE})
+def _w1_rejects(t):
+    P, pt, h, ln = _posting(t)
+    return P.classify_requests(pt, h, ln)["rejected"]
+
+
+_POST_CONTESTED = """
+    select StoreCode, ISBN, sum(Quantity) as Demand, min(Available) as Available
+    from post_live
+    where RequestID not in (select RequestID from post_live
+                            where Available is null or Quantity > Available)
+    group by StoreCode, ISBN
+    having sum(Quantity) > min(Available)"""
+
+
+@register("w1_contested_pairs", "select * from post_contested",
+          extra_ctes={"post_live": _POST_LIVE, "post_contested": _POST_CONTESTED})
+def _w1_contested(t):
+    P, pt, h, ln = _posting(t)
+    return P.classify_requests(pt, h, ln)["contested_pairs"].select(
+        "StoreCode", "ISBN", F.col("Demand").cast("bigint").alias("Demand"), "Available")
+
+
+@register("w1_certain_accepts", """
+    select distinct l.RequestID from post_live l
+    where l.RequestID not in (select RequestID from post_live
+                              where Available is null or Quantity > Available)
+      and l.RequestID not in (select p.RequestID from post_live p
+                              join post_contested c on c.StoreCode = p.StoreCode and c.ISBN = p.ISBN)""",
+          extra_ctes={"post_live": _POST_LIVE, "post_contested": _POST_CONTESTED})
+def _w1_accepts(t):
+    P, pt, h, ln = _posting(t)
+    return P.classify_requests(pt, h, ln)["certain_accepts"]
+
+
+# Order-dependent: no SQL oracle; tests replay the same batch one request at
+# a time in plain Python and compare.
+@register("w1_post_sales_outcome", None)
+def _w1_outcome(t):
+    P, pt, h, ln = _posting(t)
+    res = P.post_sales(pt, h, ln)
+    return (res.accepted.select("RequestID", F.lit(None).cast("string").alias("Reason"), "InvoiceNumber")
+            .unionByName(res.rejected.select("RequestID", "Reason",
+                                             F.lit(None).cast("long").alias("InvoiceNumber"))))
+
+
+@register("w5_invoice_totals", """
+    select l.RequestID, cast(sum(l.Quantity * b.Price) as decimal(38,2)) as InvoiceTotal,
+           count(*) as Lines
+    from bk_PostLine l join bk_Book b on b.ISBN = l.ISBN
+    group by l.RequestID""")
+def _w5(t):
+    from inkwell.operators import posting as P
+    lines = t.post_lines().join(t["Book"].select("ISBN", F.col("Price").alias("UnitPrice")), "ISBN")
+    return P.invoice_totals(lines)

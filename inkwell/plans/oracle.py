@@ -90,6 +90,19 @@ FIXTURE_CTES: dict[str, str] = {
                              else 0 end) as decimal(18,2)) as PaidAmount
         from lineitem join part on l_partkey = p_partkey
         group by p_brand, l_suppkey""",
+    "bk_PostStock": f"""
+        select cast(s_suppkey as int) as StoreCode, {_ISBN.format('p')} as ISBN,
+               cast(10 + (s_suppkey * 7 + p * 13) % 40 as int) as AvailableQuantity
+        from (select s_suppkey, unnest(range(0, 19)) as p from supplier) sp""",
+    "bk_PostLine": f"""
+        select RequestID, {_ISBN.format('b')} as ISBN,
+               cast(floor(sum(l_quantity) / 10) + 1 as int) as Quantity,
+               cast(b + 1 as int) as LinePos
+        from (select cast(floor(l_orderkey / 100) as int) * 1000 + l_suppkey as RequestID,
+                     l_partkey % 20 as b, l_quantity
+              from lineitem join orders on l_orderkey = o_orderkey
+              where o_orderdate >= timestamp '2000-01-01') src
+        group by RequestID, b""",
 }
 
 _ORDER = list(FIXTURE_CTES)

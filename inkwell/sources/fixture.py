@@ -212,6 +212,48 @@ class FixtureTables(Mapping[str, DataFrame]):
             "PurchaseDate", "TotalAmount", "PaidAmount",
         )
 
+    # --- sale requests for posting (W1) ----------------------------------
+    def post_stock(self) -> DataFrame:
+        """A dense stock table for posting: every store x books 0..18, with
+        10..49 copies each. Book 19 has no stock row on purpose."""
+        s = self.raw("supplier").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(18))))
+        sk, p = F.col("s_suppkey"), F.col("p").cast("long")
+        return s.select(
+            sk.cast("int").alias("StoreCode"), _isbn(p).alias("ISBN"),
+            (F.lit(10) + (sk * 7 + p * 13) % 40).cast("int").alias("AvailableQuantity"),
+            F.lit(0).alias("MinimumQuantity"), F.lit(None).cast("string").alias("Description"))
+
+    def _post_source(self) -> DataFrame:
+        o = self.raw("orders").filter(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
+        li = self.raw("lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity")
+        return (li.join(o.select("o_orderkey", "o_custkey", "o_orderdate"), li.l_orderkey == o.o_orderkey)
+                .withColumn("RequestID", F.floor(F.col("l_orderkey") / 100).cast("int") * 1000 + F.col("l_suppkey")))
+
+    def post_lines(self) -> DataFrame:
+        """(RequestID, ISBN, Quantity, LinePos): request = 100 consecutive
+        orders of one supplier after 2000-01-01; books 0..19."""
+        src = self._post_source().withColumn("b", F.col("l_partkey") % 20)
+        return (src.groupBy("RequestID", "b")
+                .agg(F.sum("l_quantity").alias("q"))
+                .select("RequestID", _isbn(F.col("b")).alias("ISBN"),
+                        (F.floor(F.col("q") / 10) + 1).cast("int").alias("Quantity"),
+                        (F.col("b") + 1).cast("int").alias("LinePos")))
+
+    def post_headers(self) -> DataFrame:
+        """(RequestID, StoreCode, CustomerCode, EmployeeNationalCode, InvoiceDate)."""
+        return (self._post_source().groupBy("RequestID", "l_suppkey")
+                .agg(F.min("o_custkey").alias("c"), F.min("o_orderdate").alias("d"))
+                .select("RequestID", F.col("l_suppkey").cast("int").alias("StoreCode"),
+                        F.col("c").cast("int").alias("CustomerCode"),
+                        _nat(F.col("l_suppkey") * 10).alias("EmployeeNationalCode"),
+                        F.col("d").cast("date").alias("InvoiceDate")))
+
+    def posting_tables(self) -> dict[str, DataFrame]:
+        """The tables as seen by posting: ``Inventory`` is the dense stock."""
+        out = {name: self[name] for name in ("Book", "Sale")}
+        out["Inventory"] = self.post_stock()
+        return out
+
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> FixtureTables:
     return FixtureTables(spark, sf_dir)
