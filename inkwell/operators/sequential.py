@@ -27,16 +27,24 @@ from inkwell.functions.ordinal import number_within
 DEFAULT_CHUNK = 200_000
 
 
-def _walk(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("_order", kind="stable")
-    state = int(pdf["_state0"].iloc[0])
-    acc = []
-    for d in pdf["_delta"].to_numpy():
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Walk every key of one bucket: rows sorted by key then arrival; the
+    state restarts at ``_state0`` whenever the key changes."""
+    kcols = [c for c in pdf.columns if c.startswith("_k")]
+    pdf = pdf.sort_values([*kcols, "_order"], kind="stable")
+    keys = pdf[kcols].to_numpy()
+    deltas = pdf["_delta"].to_numpy()
+    state0 = pdf["_state0"].to_numpy()
+    acc = [False] * len(pdf)
+    state, prev = 0, None
+    for i in range(len(pdf)):
+        k = tuple(keys[i])
+        if k != prev:
+            state, prev = int(state0[i]), k
+        d = int(deltas[i])
         if state + d >= 0:
-            state += int(d)
-            acc.append(True)
-        else:
-            acc.append(False)
+            state += d
+            acc[i] = True
     return pd.DataFrame({"_event": pdf["_event"].to_numpy(), "_accepted": acc})
 
 
@@ -53,9 +61,11 @@ def bounded_walk(events: DataFrame, keys: Sequence[str], order: str, delta: str,
     every row of a key) and a unique long ``event_id``.
     """
     keys = list(keys)
-    ev = events.select(*keys, F.col(order).alias("_order"), F.col(delta).cast("long").alias("_delta"),
+    ev = events.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                       F.col(order).alias("_order"), F.col(delta).cast("long").alias("_delta"),
                        F.col(initial).cast("long").alias("_state0"),
                        F.col(event_id).cast("long").alias("_event"))
+    keys = [f"_k{i}" for i in range(len(keys))]
     # Fast path, by a plain (partially aggregated, skew-safe) sum: if the state
     # stays >= 0 even when every negative event is applied, no prefix can go
     # negative and every event of the key is accepted. Exact when all deltas
@@ -71,11 +81,19 @@ def bounded_walk(events: DataFrame, keys: Sequence[str], order: str, delta: str,
                                             F.col("_accepted").alias("Accepted"))
 
 
+def _by_bucket(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Walk all keys of a hash bucket in one pandas call (one call per key
+    would cost a Python round trip per key)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(n * 4)))
+            .groupBy("_bucket").applyInPandas(_walk, _WALK_SCHEMA))
+
+
 def _walk_rounds(hard: DataFrame, keys: list[str], chunk: int) -> DataFrame:
     sizes = hard.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= chunk:
-        return hard.groupBy(*keys).applyInPandas(_walk, _WALK_SCHEMA)
+        return _by_bucket(hard, keys)
     ranked = number_within(hard, keys, ["_order"], "_rank").withColumn(
         "_round", F.floor((F.col("_rank") - 1) / chunk))
     rounds = (largest + chunk - 1) // chunk
@@ -84,7 +102,7 @@ def _walk_rounds(hard: DataFrame, keys: list[str], chunk: int) -> DataFrame:
     for r in range(rounds):
         part = (ranked.filter(F.col("_round") == r).drop("_state0", "_rank", "_round")
                 .join(state, keys))
-        dec = part.groupBy(*keys).applyInPandas(_walk, _WALK_SCHEMA).checkpoint(eager=True)
+        dec = _by_bucket(part, keys).checkpoint(eager=True)
         used = (part.join(dec.filter("_accepted"), "_event")
                 .groupBy(*keys).agg(F.sum("_delta").alias("_used")))
         state = (state.join(used, keys, "left")

@@ -1,4 +1,5 @@
-"""Registered list views, dimension lists, table loads and quality checks."""
+"""Registered list views, dimension lists, table loads, quality checks and
+posting steps."""
 
 from __future__ import annotations
 
@@ -334,3 +335,6 @@ def _w5(t):
     from inkwell.operators import posting as P
     lines = t.post_lines().join(t["Book"].select("ISBN", F.col("Price").alias("UnitPrice")), "ISBN")
     return P.invoice_totals(lines)
+
+
+from inkwell.plans import catalog_writes  # noqa: E402,F401  (registers W4, W6-W14)
