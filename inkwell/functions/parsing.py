@@ -46,7 +46,7 @@ def parse_money(col: Column | str) -> Column:
 def parse_date(col: Column | str) -> Column:
     """Date from ``Y-M-D`` text; one- or two-digit month and day accepted,
     impossible dates give NULL (M11)."""
-    return F.try_to_date(F.trim(_c(col)), F.lit("y-M-d"))
+    return F.try_to_date(F.trim(_c(col)), "y-M-d")
 
 
 def blank_to_null(col: Column | str) -> Column:
