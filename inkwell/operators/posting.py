@@ -65,39 +65,48 @@ _REPLAY_SCHEMA = T.StructType([T.StructField("RequestID", T.LongType()),
                                T.StructField("Accepted", T.BooleanType())])
 
 
-def _replay_store(key: tuple, lines: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
-    """One store's contested lines, invoices in arrival order."""
-    avail = dict(zip(stock["_sisbn"], stock["Available"].astype("int64")))
-    ids, acc = [], []
-    if len(lines) == 0:
-        return pd.DataFrame({"RequestID": pd.Series(ids, dtype="int64"), "Accepted": acc})
-    lines = lines.sort_values(["RequestID", "ISBN"], kind="stable")
-    rid = lines["RequestID"].to_numpy()
-    isbn = lines["ISBN"].to_numpy()
-    qty = lines["Quantity"].to_numpy()
-    start, n = 0, len(lines)
-    while start < n:
-        end = start
-        while end < n and rid[end] == rid[start]:
-            end += 1
-        need: dict[str, int] = {}
-        for i in range(start, end):
-            need[isbn[i]] = need.get(isbn[i], 0) + int(qty[i])
-        ok = all(avail.get(b, -1) >= q for b, q in need.items())
-        if ok:
-            for b, q in need.items():
-                avail[b] -= q
-        ids.append(int(rid[start]))
-        acc.append(ok)
-        start = end
-    return pd.DataFrame({"RequestID": pd.Series(ids, dtype="int64"), "Accepted": acc})
+def _replay_stores(lines: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
+    """The contested lines of the stores of one hash bucket; each store's
+    invoices in arrival order (stores never share stock)."""
+    avail = {(int(s), b): int(q) for s, b, q in
+             zip(stock["_sstore"].to_numpy(), stock["_sisbn"].to_numpy(), stock["Available"].to_numpy())}
+    ids: list[int] = []
+    acc: list[bool] = []
+    if len(lines):
+        lines = lines.sort_values(["StoreCode", "RequestID", "ISBN"], kind="stable")
+        store = lines["StoreCode"].to_numpy()
+        rid = lines["RequestID"].to_numpy()
+        isbn = lines["ISBN"].to_numpy()
+        qty = lines["Quantity"].to_numpy()
+        start, n = 0, len(lines)
+        while start < n:
+            end = start
+            while end < n and rid[end] == rid[start]:
+                end += 1
+            need: dict[tuple[int, str], int] = {}
+            for i in range(start, end):
+                k = (int(store[i]), isbn[i])
+                need[k] = need.get(k, 0) + int(qty[i])
+            ok = all(avail.get(k, -1) >= q for k, q in need.items())
+            if ok:
+                for k, q in need.items():
+                    avail[k] -= q
+            ids.append(int(rid[start]))
+            acc.append(ok)
+            start = end
+    return pd.DataFrame({"RequestID": pd.Series(ids, dtype="int64"), "Accepted": pd.Series(acc, dtype=bool)})
 
 
 def _cogroup_replay(lines: DataFrame, stock: DataFrame) -> DataFrame:
-    # fresh column names on the stock side: both sides derive from one plan
-    st = stock.select(F.col("StoreCode").alias("_sstore"), F.col("ISBN").alias("_sisbn"), "Available")
-    return (lines.groupBy("StoreCode").cogroup(st.groupBy("_sstore"))
-            .applyInPandas(_replay_store, _REPLAY_SCHEMA))
+    # Stores are hashed into a bounded number of buckets so that one pandas
+    # call handles many stores; fresh column names on the stock side (both
+    # sides derive from one plan).
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    ln = lines.withColumn("_bucket", F.pmod(F.hash(F.col("StoreCode")), F.lit(n)))
+    st = (stock.select(F.col("StoreCode").alias("_sstore"), F.col("ISBN").alias("_sisbn"), "Available")
+          .withColumn("_sbucket", F.pmod(F.hash(F.col("_sstore")), F.lit(n))))
+    return (ln.groupBy("_bucket").cogroup(st.groupBy("_sbucket"))
+            .applyInPandas(_replay_stores, _REPLAY_SCHEMA))
 
 
 def _replay(lines: DataFrame, stock: DataFrame, chunk: int) -> DataFrame:
@@ -146,12 +155,13 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
     missing = F.lit(False)
     for c in HEADER_COLS:
         missing = missing | F.col(c).isNull()
-    head = headers.select(*HEADER_COLS).withColumn("_head_ok", ~missing)
-    inv = t["Inventory"].select("StoreCode", "ISBN", F.col("AvailableQuantity").alias("Available"))
-    # Every later step reads the batch joined to its stock rows: write it once
-    # (reliable checkpoint) instead of re-reading and re-joining the batch.
-    # A request without lines keeps one row with a NULL ISBN.
+    # The batch is read by every later step: write the headers, and the lines
+    # joined to their stock rows, once (reliable checkpoints) instead of
+    # re-reading and re-joining the input. A request without lines keeps one
+    # row with a NULL ISBN.
     ensure_checkpoint_dir(headers.sparkSession)
+    head = headers.select(*HEADER_COLS).withColumn("_head_ok", ~missing).checkpoint(eager=True)
+    inv = t["Inventory"].select("StoreCode", "ISBN", F.col("AvailableQuantity").alias("Available"))
     hl = (head.select("RequestID", "StoreCode", "_head_ok")
           .join(merge_lines(lines), "RequestID", "left")
           .join(inv, ["StoreCode", "ISBN"], "left")
@@ -166,16 +176,20 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
     live = hl.join(rejected.select("RequestID"), "RequestID", "left_anti").drop("_head_ok")
     demand = (live.groupBy("StoreCode", "ISBN")
               .agg(F.sum("Quantity").alias("Demand"), F.first("Available").alias("Available")))
-    contested = demand.filter(F.col("Demand") > F.col("Available"))
-    c_lines = live.join(contested.select("StoreCode", "ISBN"), ["StoreCode", "ISBN"], "left_semi")
+    contested = demand.filter(F.col("Demand") > F.col("Available")).checkpoint(eager=True)
+    # contested lines are read twice (round sizing, replay): written once
+    c_lines = (live.join(contested.select("StoreCode", "ISBN"), ["StoreCode", "ISBN"], "left_semi")
+               .select("StoreCode", "RequestID", "ISBN", "Quantity")
+               .checkpoint(eager=True))
     c_reqs = c_lines.select("RequestID").distinct()
     certain = live.select("RequestID").distinct().join(c_reqs, "RequestID", "left_anti")
     return {
         "rejected": rejected,
         "contested_pairs": contested,
         "certain_accepts": certain,
-        "contested_lines": c_lines.select("StoreCode", "RequestID", "ISBN", "Quantity"),
+        "contested_lines": c_lines,
         "live_lines": live,
+        "headers": head.drop("_head_ok"),
     }
 
 
@@ -200,7 +214,7 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame,
 
     # Numbers continue from the current maximum, in arrival order
     base = t["Sale"].select(F.coalesce(F.max("InvoiceNumber"), F.lit(0)).cast("long")).scalar()
-    acc_head = headers.select(*HEADER_COLS).join(accepted_ids, "RequestID", "left_semi")
+    acc_head = parts["headers"].join(accepted_ids, "RequestID", "left_semi")
     numbered = with_ordinal(acc_head, ["RequestID"], "InvoiceNumber", start=base + F.lit(1))
     numbers = numbered.select("RequestID", "InvoiceNumber")
     sales = numbered.select("InvoiceNumber", "InvoiceDate", "CustomerCode", "StoreCode", "EmployeeNationalCode")

@@ -38,6 +38,18 @@ def orphans(t: Tables, fk: ForeignKey) -> DataFrame:
     return child.join(parent.distinct(), list(fk.child_cols), "left_anti")
 
 
+def orphan_counts(t: Tables, fk: ForeignKey) -> DataFrame:
+    """C14 as counts: (reference value, child rows) for references without a
+    parent. Child rows are counted per key before the anti join, so the join
+    shuffles one row per distinct key instead of one per child row."""
+    child = t[fk.child]
+    for c in fk.child_cols:
+        child = child.filter(F.col(c).isNotNull())
+    per_key = child.groupBy(*fk.child_cols).agg(F.count(F.lit(1)).alias("_rows"))
+    parent = t[fk.parent].select(*[F.col(p).alias(c) for p, c in zip(fk.parent_cols, fk.child_cols)])
+    return per_key.join(parent.distinct(), list(fk.child_cols), "left_anti")
+
+
 def check_failures(t: Tables, check: Check) -> DataFrame:
     """Rows where the CHECK condition is FALSE (NULL passes)."""
     return t[check.table].filter(F.expr(f"NOT coalesce({check.condition}, true)"))
@@ -78,8 +90,9 @@ def sellers_outside_store(t: Tables) -> DataFrame:
     return t["Sale"].join(emp, ["EmployeeNationalCode", "StoreCode"], "left_anti")
 
 
-def _count(rule: str, table: str, df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("Violations")).select(
+def _count(rule: str, table: str, df: DataFrame, weight: str | None = None) -> DataFrame:
+    n = F.coalesce(F.sum(weight), F.lit(0)).cast("bigint") if weight else F.count(F.lit(1))
+    return df.agg(n.alias("Violations")).select(
         F.lit(rule).alias("Rule"), F.lit(table).alias("TableName"), "Violations")
 
 
@@ -92,7 +105,7 @@ def quality_summary(t: Tables, tables: tuple[str, ...] | None = None) -> DataFra
         parts.append(_count(f"not_null_{tb}", tb, null_violations(t, tb)))
     for fk in FOREIGN_KEYS:
         if fk.child in names and fk.parent in names:
-            parts.append(_count(f"fk_{fk.name}", fk.child, orphans(t, fk)))
+            parts.append(_count(f"fk_{fk.name}", fk.child, orphan_counts(t, fk), weight="_rows"))
     for ck in CHECKS:
         if ck.table in names:
             parts.append(_count(f"check_{ck.name}", ck.table, check_failures(t, ck)))
