@@ -236,5 +236,30 @@ def delete_stores(t: Tables, requests: DataFrame) -> UpsertResult:
     return delete_unreferenced(t["Store"], requests, ["StoreCode"], children)
 
 
+# --- C9-C12, C14, C19: publisher purchases -----------------------------------------
+def insert_purchases(t: Tables, requests: DataFrame, order_by: Sequence[str] = ("RequestID",)) -> UpsertResult:
+    """New purchases (PublisherID, StoreCode, PurchaseDate, TotalAmount,
+    PaidAmount). PaidAmount defaults to 0 (C12); TotalAmount > 0 and
+    0 <= PaidAmount <= TotalAmount (C9, C10); publisher and store must exist
+    (C14). Accepted rows get identity ids max + 1, ... in ``order_by`` order
+    (C19)."""
+    req = requests.withColumn("PaidAmount", F.coalesce(F.col("PaidAmount").cast(MONEY), F.lit(0).cast(MONEY)))
+    valid = ((F.col("TotalAmount") > 0) & (F.col("PaidAmount") >= 0)
+             & (F.col("PaidAmount") <= F.col("TotalAmount"))
+             & F.col("PurchaseDate").isNotNull() & F.col("PublisherID").isNotNull()
+             & F.col("StoreCode").isNotNull())
+    valid = F.coalesce(valid, F.lit(False))
+    ok = (req.filter(valid)
+          .join(t["Publisher"].select("PublisherID").distinct(), "PublisherID", "left_semi")
+          .join(t["Store"].select("StoreCode").distinct(), "StoreCode", "left_semi"))
+    bad_ref = (req.filter(valid).join(ok.select(*order_by), list(order_by), "left_anti"))
+    base = t["PublisherPurchase"].select(F.coalesce(F.max("PurchaseID"), F.lit(0)).cast("long")).scalar()
+    numbered = with_ordinal(ok, list(order_by), "PurchaseID", start=base + F.lit(1))
+    cols = [f.name for f in SCHEMAS["PublisherPurchase"].fields]
+    accepted = numbered.select(F.col("PurchaseID").cast("int"), *[c for c in cols if c != "PurchaseID"])
+    rejected = _reason(req.filter(~valid), INVALID_INPUT).unionByName(_reason(bad_ref, "unknown_reference"))
+    return UpsertResult(accepted, rejected, t["PublisherPurchase"].unionByName(accepted))
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -221,3 +221,26 @@ def _adjustments(t) -> DataFrame:
 @register("w6_adjust_stock", None)
 def _w6(t):
     return P.adjust_stock(t, _adjustments(t))["decisions"]
+
+
+# ------------------------------------------------------------ C19 ----------
+@register("c19_insert_purchases", """
+    select cast((select max(PurchaseID) from bk_PublisherPurchase)
+                + row_number() over (order by b.PublisherID, i.StoreCode) as int) as PurchaseID,
+           b.PublisherID, i.StoreCode, date '2010-01-01' as PurchaseDate,
+           cast(sum((i.MinimumQuantity - i.AvailableQuantity) * b.Price) as decimal(18,2)) as TotalAmount,
+           cast(0 as decimal(18,2)) as PaidAmount
+    from bk_Inventory i join bk_Book b on b.ISBN = i.ISBN
+    where i.AvailableQuantity < i.MinimumQuantity
+    group by b.PublisherID, i.StoreCode""")
+def _c19(t):
+    """A restocking order per (publisher, store) for every row below its
+    minimum, not yet paid: ids continue the purchase table."""
+    low = (t["Inventory"].filter(F.col("AvailableQuantity") < F.col("MinimumQuantity"))
+           .join(t["Book"].select("ISBN", "Price", "PublisherID"), "ISBN"))
+    req = (low.groupBy("PublisherID", "StoreCode")
+           .agg(F.sum((F.col("MinimumQuantity") - F.col("AvailableQuantity")) * F.col("Price"))
+                .cast(MONEY).alias("TotalAmount"))
+           .select("PublisherID", "StoreCode", F.lit("2010-01-01").cast("date").alias("PurchaseDate"),
+                   "TotalAmount", F.lit(None).cast(MONEY).alias("PaidAmount")))
+    return U.insert_purchases(t, req, order_by=("PublisherID", "StoreCode")).accepted
