@@ -261,6 +261,15 @@ def publisher_debt(t: Tables, publisher: str) -> DataFrame:
                  F.sum(F.col("TotalAmount") - F.col("PaidAmount")).cast(MONEY_SUM).alias("Debt")))
 
 
+def publisher_debt_all(t: Tables) -> DataFrame:
+    """R11 for every publisher name in one pass."""
+    return (t["PublisherPurchase"].join(t["Publisher"], "PublisherID")
+            .groupBy("PublisherName")
+            .agg(F.sum("TotalAmount").cast(MONEY_SUM).alias("TotalPurchase"),
+                 F.sum("PaidAmount").cast(MONEY_SUM).alias("TotalPaid"),
+                 F.sum(F.col("TotalAmount") - F.col("PaidAmount")).cast(MONEY_SUM).alias("Debt")))
+
+
 REPORTS = {
     "r01_stores_in_city": stores_in_city,
     "r02_stores_without_author": stores_without_author,

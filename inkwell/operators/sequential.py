@@ -31,7 +31,7 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     """Walk every key of one bucket: rows sorted by key then arrival; the
     state restarts at ``_state0`` whenever the key changes."""
     kcols = [c for c in pdf.columns if c.startswith("_k")]
-    pdf = pdf.sort_values([*kcols, "_order"], kind="stable")
+    pdf = pdf.sort_values([*kcols, "_order", "_event"], kind="stable")
     keys = pdf[kcols].to_numpy()
     deltas = pdf["_delta"].to_numpy()
     state0 = pdf["_state0"].to_numpy()

@@ -58,7 +58,7 @@ def _w8(t):
     low = t["Inventory"].filter(F.col("AvailableQuantity") < F.col("MinimumQuantity"))
     req = low.select("StoreCode", "ISBN", (F.col("MinimumQuantity") * 2).alias("AvailableQuantity"),
                      "MinimumQuantity", F.lit("  restocked ").alias("Description"),
-                     F.monotonically_increasing_id().alias("RequestID"))
+                     F.lit(1).cast("long").alias("RequestID"))     # one request per row: order is moot
     return U.edit_inventory(t, req).table
 
 
@@ -244,3 +244,46 @@ def _c19(t):
            .select("PublisherID", "StoreCode", F.lit("2010-01-01").cast("date").alias("PurchaseDate"),
                    "TotalAmount", F.lit(None).cast(MONEY).alias("PaidAmount")))
     return U.insert_purchases(t, req, order_by=("PublisherID", "StoreCode")).accepted
+
+
+# ------------------------------------------------------------ C1-C3 --------
+def _staged_sale_lines(t) -> DataFrame:
+    """Sale request lines as typed into the form: text fields, dates without
+    zero padding (``2009-1-5``), and quantities as entered (one less than the
+    posted quantity, so single copies arrive as ``0``)."""
+    h = t.post_headers()
+    ln = t.post_lines()
+    d = F.col("InvoiceDate")
+    return (ln.join(h, "RequestID").select(
+        "RequestID", "ISBN",
+        F.col("StoreCode").cast("string").alias("StoreCode"),
+        F.col("CustomerCode").cast("string").alias("CustomerCode"),
+        "EmployeeNationalCode",
+        F.concat_ws("-", F.year(d).cast("string"), F.month(d).cast("string"),
+                    F.dayofmonth(d).cast("string")).alias("InvoiceDate"),
+        (F.col("Quantity") - 1).cast("string").alias("Quantity")))
+
+
+@register("c1_c3_sale_line_checks", """
+    select Rule, count(*) as Violations from (
+        select case when try_cast(Quantity as int) > 0 then null else 'quantity_positive_int' end as Rule
+        from staged
+        union all
+        select case when try_strptime(InvoiceDate, '%Y-%m-%d') is null then 'date_format' end from staged
+    ) r where Rule is not null group by Rule""",
+          extra_ctes={"post_head": """
+        select cast(floor(l_orderkey / 100) as int) * 1000 + l_suppkey as RequestID,
+               cast(min(o_orderdate) as date) as InvoiceDate
+        from lineitem join orders on l_orderkey = o_orderkey
+        where o_orderdate >= timestamp '2000-01-01'
+        group by 1""",
+                      "staged": """
+        select l.RequestID, l.ISBN, cast(l.Quantity - 1 as varchar) as Quantity,
+               cast(year(h.InvoiceDate) as varchar) || '-' || cast(month(h.InvoiceDate) as varchar) || '-'
+               || cast(day(h.InvoiceDate) as varchar) as InvoiceDate
+        from bk_PostLine l join post_head h on h.RequestID = l.RequestID"""})
+def _c1(t):
+    from inkwell.operators import quality as Q
+    tagged = Q.validate_sale_lines(_staged_sale_lines(t))
+    return (tagged.select(F.explode("Violations").alias("Rule"))
+            .groupBy("Rule").agg(F.count(F.lit(1)).alias("Violations")))

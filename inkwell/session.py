@@ -44,18 +44,25 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir`` (or already set on
     the context), or None."""
-    d = spark.sparkContext.getCheckpointDir()
+    try:
+        d = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001  (sessions without a SparkContext, e.g. Spark Connect)
+        d = None
     return d or spark.conf.get("spark.checkpoint.dir", None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only where none is set (a
     local test) create a private scratch folder."""
-    current = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: the server's spark.checkpoint.dir applies)
+        return spark.conf.get("spark.checkpoint.dir", "")
+    current = sc.getCheckpointDir()
     if current:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d is None:
         d = tempfile.mkdtemp(prefix="inkwell-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
+    sc.setCheckpointDir(d)
     return d
