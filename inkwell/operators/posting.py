@@ -150,8 +150,9 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
     """Steps 1-2 of the plan, all declarative. Returns frames:
     ``rejected`` (RequestID, Reason) certain rejects, ``contested_pairs``
     (StoreCode, ISBN, Demand, Available), ``certain_accepts`` (RequestID),
-    ``contested_lines`` (StoreCode, RequestID, ISBN, Quantity) and
-    ``live_lines`` (lines of requests not certainly rejected)."""
+    ``contested_lines`` (StoreCode, RequestID, ISBN, Quantity),
+    ``contested_stock`` (StoreCode, ISBN, Available), ``live_lines`` (lines
+    of requests not certainly rejected) and ``headers``."""
     missing = F.lit(False)
     for c in HEADER_COLS:
         missing = missing | F.col(c).isNull()
@@ -176,10 +177,11 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
     live = hl.join(rejected.select("RequestID"), "RequestID", "left_anti").drop("_head_ok")
     demand = (live.groupBy("StoreCode", "ISBN")
               .agg(F.sum("Quantity").alias("Demand"), F.first("Available").alias("Available")))
-    contested = demand.filter(F.col("Demand") > F.col("Available")).checkpoint(eager=True)
-    # contested lines are read twice (round sizing, replay): written once
+    contested = demand.filter(F.col("Demand") > F.col("Available"))
+    # contested lines, with their starting stock, are read several times
+    # (round sizing, stock, replay, certain accepts): written once
     c_lines = (live.join(contested.select("StoreCode", "ISBN"), ["StoreCode", "ISBN"], "left_semi")
-               .select("StoreCode", "RequestID", "ISBN", "Quantity")
+               .select("StoreCode", "RequestID", "ISBN", "Quantity", "Available")
                .checkpoint(eager=True))
     c_reqs = c_lines.select("RequestID").distinct()
     certain = live.select("RequestID").distinct().join(c_reqs, "RequestID", "left_anti")
@@ -187,7 +189,8 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
         "rejected": rejected,
         "contested_pairs": contested,
         "certain_accepts": certain,
-        "contested_lines": c_lines,
+        "contested_lines": c_lines.drop("Available"),
+        "contested_stock": c_lines.select("StoreCode", "ISBN", "Available").distinct(),
         "live_lines": live,
         "headers": head.drop("_head_ok"),
     }
@@ -204,9 +207,7 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame,
     """
     parts = classify_requests(t, headers, lines)
     # decisions are small (one row per contested invoice) and read twice
-    decided = _replay(parts["contested_lines"],
-                      parts["contested_pairs"].select("StoreCode", "ISBN", "Available"),
-                      chunk).checkpoint(eager=True)
+    decided = _replay(parts["contested_lines"], parts["contested_stock"], chunk).checkpoint(eager=True)
     accepted_ids = (parts["certain_accepts"]
                     .unionByName(decided.filter("Accepted").select("RequestID")))
     rejected = parts["rejected"].unionByName(
