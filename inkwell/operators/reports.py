@@ -68,13 +68,49 @@ def stores_without_author(t: Tables, author: str) -> DataFrame:
             .orderBy("StoreCode"))
 
 
+# Sale lines -----------------------------------------------------------------
+def _has(t: Tables, name: str) -> bool:
+    try:
+        t[name]
+    except KeyError:
+        return False
+    return True
+
+
+def sale_lines(t: Tables, *, start: dt.date | None = None, end: dt.date | None = None,
+               store: int | None = None, employee: str | None = None,
+               customer: int | None = None) -> DataFrame:
+    """Sale lines with their invoice header (Sale inner-joined to SaleItem:
+    an invoice without lines has no row), filtered on the header. Read from
+    the SaleLine fact table when the tables have one (year folders, sorted
+    store/date, bloom filters on customer and employee), else by the join,
+    with the filters applied to Sale before it."""
+    conds = []
+    if start is not None:
+        conds.append(F.col("InvoiceDate").between(F.lit(start), F.lit(end)))
+    if store is not None:
+        conds.append(F.col("StoreCode") == F.lit(store))
+    if employee is not None:
+        conds.append(F.col("EmployeeNationalCode") == F.lit(employee))
+    if customer is not None:
+        conds.append(F.col("CustomerCode") == F.lit(customer))
+    if _has(t, "SaleLine"):
+        lines = t["SaleLine"]
+        if start is not None:     # prune year folders
+            lines = lines.filter(F.col("InvoiceYear").between(start.year, end.year))
+        for c in conds:
+            lines = lines.filter(c)
+        return lines.drop("InvoiceYear")
+    sale = t["Sale"]
+    for c in conds:
+        sale = sale.filter(c)
+    return sale.join(t["SaleItem"], "InvoiceNumber")
+
+
 # R3 -------------------------------------------------------------------------
 def _sales_lines(t: Tables, store: int | None, start: dt.date, end: dt.date) -> DataFrame:
-    sale = t["Sale"].filter(F.col("InvoiceDate").between(F.lit(start), F.lit(end)))
-    if store is not None:
-        sale = sale.filter(F.col("StoreCode") == F.lit(store))
-    items = t["SaleItem"].select("InvoiceNumber", "Quantity", "UnitPrice")
-    return sale.select("InvoiceNumber", "StoreCode").join(items, "InvoiceNumber")
+    return sale_lines(t, start=start, end=end, store=store).select(
+        "InvoiceNumber", "StoreCode", "Quantity", "UnitPrice")
 
 
 def _sales_measures() -> list[Column]:
@@ -125,14 +161,13 @@ def employees_of_store(t: Tables, store: int) -> DataFrame:
 # R5 -------------------------------------------------------------------------
 def employee_sales(t: Tables, employee: str) -> DataFrame:
     """Every sale line recorded by one employee, newest first."""
-    sale = t["Sale"].filter(F.col("EmployeeNationalCode") == F.lit(employee))
+    lines = sale_lines(t, employee=employee)
     emp = t["Employee"].select(F.col("NationalCode").alias("EmployeeNationalCode"),
                                F.col("FullName").alias("EmployeeName"))
     cust = t["Customer"].select("CustomerCode", F.col("FullName").alias("CustomerName"))
     book = t["Book"].select("ISBN", "Title")
-    return (sale.join(emp, "EmployeeNationalCode")
+    return (lines.join(emp, "EmployeeNationalCode")
             .join(cust, "CustomerCode")
-            .join(t["SaleItem"], "InvoiceNumber")
             .join(book, "ISBN")
             .select("InvoiceNumber", "InvoiceDate", "EmployeeName", "CustomerName", "StoreCode",
                     "Title", "Quantity", "UnitPrice", line_total().alias("LineTotal"), "LineNumber")
@@ -212,9 +247,8 @@ def customer_purchases(t: Tables, customer: int, with_code: bool = True) -> Data
     cols = (["CustomerCode"] if with_code else []) + [
         "FullName", "InvoiceNumber", "InvoiceDate", "StoreCode", "Address", "ISBN", "Title",
         "Quantity", "UnitPrice"]
-    return (cust.join(t["Sale"], "CustomerCode")
+    return (cust.join(sale_lines(t, customer=customer), "CustomerCode")
             .join(store, "StoreCode")
-            .join(t["SaleItem"], "InvoiceNumber")
             .join(book, "ISBN")
             .select(*cols, line_total().alias("LineTotal"), "LineNumber")
             .orderBy(F.col("InvoiceDate").desc(), "InvoiceNumber", "LineNumber")
@@ -225,10 +259,9 @@ def customer_purchases(t: Tables, customer: int, with_code: bool = True) -> Data
 def unsold_books(t: Tables, start: dt.date | str, end: dt.date | str) -> DataFrame:
     """Books with no sale line dated in the range, in any store."""
     s, e = _range(start, end)
-    invoices = t["Sale"].filter(F.col("InvoiceDate").between(F.lit(s), F.lit(e))).select("InvoiceNumber")
     # distinct ISBNs first: the anti join then shuffles one row per sold book,
     # not one per sale line
-    sold = t["SaleItem"].join(invoices, "InvoiceNumber").select("ISBN").distinct()
+    sold = sale_lines(t, start=s, end=e).select("ISBN").distinct()
     pub = t["Publisher"].select("PublisherID", "PublisherName")
     return (t["Book"].join(sold, "ISBN", "left_anti")
             .join(pub, "PublisherID")

@@ -15,6 +15,13 @@ filters reach the scan as ``PushedFilters``):
 
 Small dimensions are written as they are. File count follows the data:
 ``spark.sql.files.maxRecordsPerFile`` bounds every file.
+
+``SaleLine`` (SaleItem joined to its Sale header) is the fact table the sales
+reports read when it exists: folders per ``InvoiceYear`` (date ranges prune
+folders), rows sorted by (StoreCode, InvoiceDate) inside (store and date
+filters skip row groups by min/max), and Parquet bloom filters on
+CustomerCode and EmployeeNationalCode (one customer's or one employee's lines
+skip the row groups that cannot hold them).
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from inkwell.schemas import TABLES
-from inkwell.sources.tables import conform
+from inkwell.sources.tables import conform, sale_lines
 
 # table -> sort columns of its layout
 LAYOUT: dict[str, tuple[str, ...]] = {
@@ -36,11 +43,25 @@ LAYOUT: dict[str, tuple[str, ...]] = {
 }
 
 MAX_RECORDS_PER_FILE = 4_000_000
+BLOOM_COLUMNS = ("CustomerCode", "EmployeeNationalCode")
+
+
+def write_sale_lines(lines: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Write SaleLine rows with its layout (see module doc)."""
+    w = (lines.repartitionByRange("InvoiceYear", "StoreCode", "InvoiceDate")
+         .sortWithinPartitions("StoreCode", "InvoiceDate")
+         .write.mode(mode).partitionBy("InvoiceYear")
+         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE))
+    for c in BLOOM_COLUMNS:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    w.parquet(f"{root}/SaleLine")
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str, partitions: int | None = None,
-                 mode: str = "overwrite") -> None:
-    """Write the twelve tables under ``root/<Table>`` with the layout above."""
+                 mode: str = "overwrite", with_sale_lines: bool = True) -> None:
+    """Write the twelve tables under ``root/<Table>`` with the layout above,
+    and (by default) the SaleLine fact table from the written Sale and
+    SaleItem."""
     for name in TABLES:
         df = conform(tables[name], name)
         spark = df.sparkSession
@@ -51,3 +72,7 @@ def write_tables(tables: Mapping[str, DataFrame], root: str, partitions: int | N
         (df.write.mode(mode)
          .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
          .parquet(f"{root}/{name}"))
+    if with_sale_lines:
+        from inkwell.sources.tables import load_tables
+        stored = load_tables(tables["Sale"].sparkSession, root)
+        write_sale_lines(sale_lines(stored["Sale"], stored["SaleItem"]), root, mode)

@@ -63,6 +63,18 @@ SCHEMAS: dict[str, T.StructType] = {
 
 TABLES = tuple(SCHEMAS)
 
+# Derived tables kept next to the twelve for large deployments (not part of
+# the reference's schema): SaleLine = SaleItem joined to its Sale header, the
+# fact table the sales reports filter (store, date, customer, employee).
+VIEW_SCHEMAS: dict[str, T.StructType] = {
+    "SaleLine": _schema(
+        ("InvoiceNumber", L, False), ("LineNumber", I, False), ("ISBN", S, False),
+        ("Quantity", I, False), ("UnitPrice", MONEY, False), ("InvoiceDate", D, False),
+        ("CustomerCode", I, False), ("StoreCode", I, False), ("EmployeeNationalCode", S, False),
+        ("InvoiceYear", I, False),
+    ),
+}
+
 PRIMARY_KEYS: dict[str, tuple[str, ...]] = {
     "City": ("CityCode",),
     "Store": ("StoreCode",),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from inkwell.schemas import SCHEMAS
+from inkwell.schemas import SCHEMAS, VIEW_SCHEMAS
 from inkwell.sources.tables import conform
 
 
@@ -54,7 +54,8 @@ def current_snapshot(spark: SparkSession, root: str) -> tuple[int, dict[str, lis
 def load_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the newest committed snapshot, read with their schema."""
     _, paths, _ = current_snapshot(spark, root)
-    return {name: spark.read.schema(SCHEMAS[name]).parquet(*p) for name, p in paths.items()}
+    return {name: spark.read.schema(SCHEMAS.get(name) or VIEW_SCHEMAS[name]).parquet(*p)
+            for name, p in paths.items()}
 
 
 def publish_snapshot(spark: SparkSession, root: str, changed: Mapping[str, DataFrame] | None = None,

@@ -7,23 +7,34 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.schemas import SCHEMAS, TABLES
+from pyspark.sql.utils import AnalysisException
+
+from inkwell.schemas import SCHEMAS, TABLES, VIEW_SCHEMAS
 
 
 class StoredTables(Mapping[str, DataFrame]):
     """Tables stored as ``<root>/<Table>/`` parquet folders, read with the
-    declared schema (no inference, no schema-merging scan of file footers)."""
+    declared schema (no inference, no schema-merging scan of file footers).
+    Derived tables (``VIEW_SCHEMAS``, e.g. SaleLine) are found when present."""
 
     def __init__(self, spark: SparkSession, root: str, fmt: str = "parquet"):
         self.spark, self.root, self.fmt = spark, root.rstrip("/"), fmt
         self._cache: dict[str, DataFrame] = {}
+        self._missing: set[str] = set()
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in SCHEMAS:
+        schema = SCHEMAS.get(name) or VIEW_SCHEMAS.get(name)
+        if schema is None or name in self._missing:
             raise KeyError(name)
         if name not in self._cache:
-            self._cache[name] = (self.spark.read.format(self.fmt).schema(SCHEMAS[name])
-                                 .load(f"{self.root}/{name}"))
+            try:
+                self._cache[name] = (self.spark.read.format(self.fmt).schema(schema)
+                                     .load(f"{self.root}/{name}"))
+            except AnalysisException:
+                if name in VIEW_SCHEMAS:
+                    self._missing.add(name)
+                    raise KeyError(name) from None
+                raise
         return self._cache[name]
 
     def __iter__(self) -> Iterator[str]:
@@ -58,4 +69,11 @@ def table_counts(tables: Mapping[str, DataFrame], names: tuple[str, ...] = TABLE
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Cast and order columns to the declared schema of ``table``."""
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
+    schema = SCHEMAS.get(table) or VIEW_SCHEMAS[table]
+    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def sale_lines(sale: DataFrame, items: DataFrame) -> DataFrame:
+    """SaleLine rows: each sale line with its invoice header."""
+    return conform(items.join(sale, "InvoiceNumber")
+                   .withColumn("InvoiceYear", F.year("InvoiceDate")), "SaleLine")

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inkwell.operators.posting import HEADER_COLS, post_sales
 from inkwell.sources.snapshots import current_snapshot, load_snapshot, publish_snapshot
+from inkwell.sources.tables import sale_lines
 
 # One row per request line; header columns are repeated on every line.
 REQUEST_LINE_SCHEMA = T.StructType([
@@ -43,11 +44,11 @@ def post_batch(spark: SparkSession, root: str, batch: DataFrame, epoch: int) ->
     headers = batch.select(*HEADER_COLS).dropDuplicates(["RequestID"])
     lines = batch.select("RequestID", "ISBN", "Quantity", "LinePos")
     res = post_sales(tables, headers, lines)
-    return publish_snapshot(
-        spark, root,
-        changed={"Inventory": res.inventory},
-        appended={"Sale": res.sales, "SaleItem": res.items},
-        epoch=epoch)
+    appended = {"Sale": res.sales, "SaleItem": res.items}
+    if "SaleLine" in tables:          # keep the sales fact table in step
+        appended["SaleLine"] = sale_lines(res.sales, res.items)
+    return publish_snapshot(spark, root, changed={"Inventory": res.inventory},
+                            appended=appended, epoch=epoch)
 
 
 def start_sale_posting(spark: SparkSession, source_dir: str, root: str, checkpoint_location: str,

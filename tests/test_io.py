@@ -10,7 +10,7 @@ from decimal import Decimal
 
 import pytest
 
-from inkwell.schemas import SCHEMAS
+from inkwell.schemas import SCHEMAS, VIEW_SCHEMAS
 from inkwell.sources.export import EmptyResultError, export_csv
 from inkwell.sources.snapshots import current_snapshot, load_snapshot, publish_snapshot
 
@@ -66,6 +66,7 @@ def test_posting_stream(spark):
         "Book": spark.createDataFrame([("a", "A", "s", Decimal("3.00"), 1, None)], SCHEMAS["Book"]),
         "Sale": spark.createDataFrame([], SCHEMAS["Sale"]),
         "SaleItem": spark.createDataFrame([], SCHEMAS["SaleItem"]),
+        "SaleLine": spark.createDataFrame([], VIEW_SCHEMAS["SaleLine"]),
     })
     src = tempfile.mkdtemp(prefix="inkwell-src-")
     d = dt.date(2010, 1, 1)
@@ -79,6 +80,8 @@ def test_posting_stream(spark):
     t = load_snapshot(spark, root)
     assert sorted(r.InvoiceNumber for r in t["Sale"].collect()) == [1, 2]
     assert t["Inventory"].first().AvailableQuantity == 0
+    assert sorted((r.InvoiceNumber, r.Quantity, r.InvoiceYear) for r in t["SaleLine"].collect()) == \
+        [(1, 3, 2010), (2, 2, 2010)]
     # replaying an already committed batch is a no-op
     n, _, epoch = current_snapshot(spark, root)
     again = spark.createDataFrame([(3, 10, 1, "E", d, 1, "a", 2)], REQUEST_LINE_SCHEMA)
