@@ -156,15 +156,14 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
     missing = F.lit(False)
     for c in HEADER_COLS:
         missing = missing | F.col(c).isNull()
-    # The batch is read by every later step: write the headers, and the lines
-    # joined to their stock rows, once (reliable checkpoints) instead of
-    # re-reading and re-joining the input. A request without lines keeps one
-    # row with a NULL ISBN.
+    # The batch is read by every later step: write it once, headers joined to
+    # their lines and the lines to their stock rows (reliable checkpoint),
+    # instead of re-reading and re-joining the input. A request without lines
+    # keeps one row with a NULL ISBN.
     ensure_checkpoint_dir(headers.sparkSession)
-    head = headers.select(*HEADER_COLS).withColumn("_head_ok", ~missing).checkpoint(eager=True)
+    head = headers.select(*HEADER_COLS).withColumn("_head_ok", ~missing)
     inv = t["Inventory"].select("StoreCode", "ISBN", F.col("AvailableQuantity").alias("Available"))
-    hl = (head.select("RequestID", "StoreCode", "_head_ok")
-          .join(merge_lines(lines), "RequestID", "left")
+    hl = (head.join(merge_lines(lines), "RequestID", "left")
           .join(inv, ["StoreCode", "ISBN"], "left")
           .checkpoint(eager=True))
     line_reason = (F.when(~F.col("_head_ok"), F.lit(MISSING_HEADER))
@@ -174,7 +173,8 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
                    .when(F.col("Quantity") > F.col("Available"), F.lit(INSUFFICIENT_STOCK)))
     rejected = (hl.withColumn("Reason", line_reason).filter(F.col("Reason").isNotNull())
                 .groupBy("RequestID").agg(F.min("Reason").alias("Reason")))
-    live = hl.join(rejected.select("RequestID"), "RequestID", "left_anti").drop("_head_ok")
+    live = (hl.join(rejected.select("RequestID"), "RequestID", "left_anti")
+            .select("RequestID", "StoreCode", "ISBN", "Quantity", "LinePos", "Available"))
     demand = (live.groupBy("StoreCode", "ISBN")
               .agg(F.sum("Quantity").alias("Demand"), F.first("Available").alias("Available")))
     contested = demand.filter(F.col("Demand") > F.col("Available"))
@@ -192,7 +192,7 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
         "contested_lines": c_lines.drop("Available"),
         "contested_stock": c_lines.select("StoreCode", "ISBN", "Available").distinct(),
         "live_lines": live,
-        "headers": head.drop("_head_ok"),
+        "headers": hl.select(*HEADER_COLS).dropDuplicates(["RequestID"]),
     }
 
 
