@@ -84,3 +84,17 @@ def publish_snapshot(spark: SparkSession, root: str, changed: Mapping[str, DataF
     commit = spark.createDataFrame(rows, _COMMIT_SCHEMA)
     commit.coalesce(1).write.mode("overwrite").json(f"{base}/_commit")
     return new
+
+
+def compact_snapshot(spark: SparkSession, root: str, tables: tuple[str, ...] | None = None,
+                     min_folders: int = 2) -> int | None:
+    """Rewrite each table held in ``min_folders`` or more folders (appended
+    batches) into one folder of a new snapshot, so reads stay one folder per
+    table and the commit record stays short. Returns the new snapshot number,
+    or None when nothing needed compaction."""
+    _, paths, epoch = current_snapshot(spark, root)
+    names = [n for n, p in paths.items() if len(p) >= min_folders and (tables is None or n in tables)]
+    if not names:
+        return None
+    current = load_snapshot(spark, root)
+    return publish_snapshot(spark, root, changed={n: current[n] for n in names}, epoch=epoch)

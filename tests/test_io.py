@@ -82,6 +82,14 @@ def test_posting_stream(spark):
     assert t["Inventory"].first().AvailableQuantity == 0
     assert sorted((r.InvoiceNumber, r.Quantity, r.InvoiceYear) for r in t["SaleLine"].collect()) == \
         [(1, 3, 2010), (2, 2, 2010)]
+    # appended batches are compacted into one folder per table
+    _, paths, _ = current_snapshot(spark, root)
+    assert len(paths["Sale"]) == 3                # initial empty folder + 2 batches
+    from inkwell.sources.snapshots import compact_snapshot
+    assert compact_snapshot(spark, root) is not None
+    _, paths, _ = current_snapshot(spark, root)
+    assert len(paths["Sale"]) == 1 and len(paths["SaleLine"]) == 1
+    assert load_snapshot(spark, root)["SaleItem"].count() == 2
     # replaying an already committed batch is a no-op
     n, _, epoch = current_snapshot(spark, root)
     again = spark.createDataFrame([(3, 10, 1, "E", d, 1, "a", 2)], REQUEST_LINE_SCHEMA)
