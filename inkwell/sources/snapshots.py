@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from inkwell.schemas import SCHEMAS, VIEW_SCHEMAS
+from inkwell.schemas import PRIMARY_KEYS, SCHEMAS, VIEW_SCHEMAS
 from inkwell.sources.tables import conform
 
 
@@ -58,28 +58,79 @@ def load_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
             for name, p in paths.items()}
 
 
+# Tables stored in hash buckets (column, bucket count): a batch that changes
+# a few stores rewrites only their buckets (``patched``), not the table.
+BUCKETED: dict[str, tuple[str, int]] = {"Inventory": ("StoreCode", 64)}
+_BUCKET = "ib"
+
+
+def bucket_of(table: str) -> Column:
+    col, n = BUCKETED[table]
+    return F.pmod(F.hash(F.col(col)), F.lit(n))
+
+
+def _bucket_id(path: str) -> int | None:
+    tail = path.rstrip("/").rsplit("/", 1)[-1]
+    return int(tail[len(_BUCKET) + 1:]) if tail.startswith(_BUCKET + "=") else None
+
+
+def is_bucketed(paths: list[str]) -> bool:
+    return bool(paths) and all(_bucket_id(p) is not None for p in paths)
+
+
+def _write(spark: SparkSession, df: DataFrame, name: str, path: str) -> dict[str, int]:
+    """Write one table (bucketed tables as ``ib=<k>`` folders); returns the
+    written leaf folders with their row counts."""
+    out = conform(df, name)
+    # an uncommitted leftover of a failed attempt may exist: overwrite it
+    if name in BUCKETED:
+        # range on (bucket, key): a bucket holding a hot store is split over
+        # several writer tasks; each task writes its buckets one after another
+        keys = PRIMARY_KEYS[name]
+        (out.withColumn(_BUCKET, bucket_of(name))
+         .repartitionByRange(_BUCKET, *keys).sortWithinPartitions(_BUCKET, *keys)
+         .write.mode("overwrite").partitionBy(_BUCKET).parquet(path))
+        counts = spark.read.parquet(path).groupBy(_BUCKET).count().collect()   # <= bucket count rows
+        return {f"{path}/{_BUCKET}={r[0]}": r[1] for r in counts}
+    out.write.mode("overwrite").parquet(path)
+    return {path: spark.read.parquet(path).count()}
+
+
 def publish_snapshot(spark: SparkSession, root: str, changed: Mapping[str, DataFrame] | None = None,
-                     appended: Mapping[str, DataFrame] | None = None, epoch: int | None = None) -> int:
+                     appended: Mapping[str, DataFrame] | None = None,
+                     patched: Mapping[str, tuple[DataFrame, list[int]]] | None = None,
+                     epoch: int | None = None) -> int:
     """Write snapshot N+1 and commit it; returns N+1.
 
     ``changed`` tables replace their current contents; ``appended`` rows are
-    added to their table. Other tables keep their folders. Row counts of the
-    written folders are recorded in the commit (the reference reports the
-    affected row count). ``epoch`` marks the input batch that produced the
-    snapshot (used to skip a batch a stream replays after a failure).
+    added to their table; ``patched`` gives, for a bucketed table, the new
+    rows of the listed buckets only (the other buckets keep their folders).
+    Other tables keep their folders. Row counts of the written folders are
+    recorded in the commit (the reference reports the affected row count).
+    ``epoch`` marks the input batch that produced the snapshot (used to skip a
+    batch a stream replays after a failure).
     """
     n, paths, _ = current_snapshot(spark, root)
     new = n + 1
     base = f"{root}/snapshot={new}"
     records = {k: list(v) for k, v in paths.items()}
     counts: dict[str, int] = {}
-    for kind, frames in (("set", changed or {}), ("add", appended or {})):
-        for name, df in frames.items():
-            path = f"{base}/{name}"
-            # an uncommitted leftover of a failed attempt may exist: overwrite it
-            conform(df, name).write.mode("overwrite").parquet(path)
-            records[name] = ([path] if kind == "set" else [*records.get(name, []), path])
-            counts[path] = spark.read.parquet(path).count()
+    for name, df in (changed or {}).items():
+        written = _write(spark, df, name, f"{base}/{name}")
+        records[name] = sorted(written)
+        counts.update(written)
+    for name, df in (appended or {}).items():
+        written = _write(spark, df, name, f"{base}/{name}")
+        records[name] = [*records.get(name, []), *sorted(written)]
+        counts.update(written)
+    for name, (df, buckets) in (patched or {}).items():
+        if not is_bucketed(records.get(name, [])):
+            raise ValueError(f"{name} is not stored in buckets; publish it as changed first")
+        touched = set(buckets)
+        written = _write(spark, df.filter(bucket_of(name).isin(sorted(touched))), name, f"{base}/{name}")
+        kept = [p for p in records[name] if _bucket_id(p) not in touched]
+        records[name] = sorted([*kept, *written])
+        counts.update(written)
     rows = [(new, name, p, counts.get(p), epoch) for name, ps in sorted(records.items()) for p in ps]
     commit = spark.createDataFrame(rows, _COMMIT_SCHEMA)
     commit.coalesce(1).write.mode("overwrite").json(f"{base}/_commit")

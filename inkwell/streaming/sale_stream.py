@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from inkwell.operators.posting import HEADER_COLS, post_sales
-from inkwell.sources.snapshots import current_snapshot, load_snapshot, publish_snapshot
+from inkwell.sources.snapshots import (bucket_of, current_snapshot, is_bucketed, load_snapshot,
+                                       publish_snapshot)
 from inkwell.sources.tables import sale_lines
 
 # One row per request line; header columns are repeated on every line.
@@ -37,7 +38,7 @@ REQUEST_LINE_SCHEMA = T.StructType([
 def post_batch(spark: SparkSession, root: str, batch: DataFrame, epoch: int) -> int | None:
     """Post one batch of request lines; returns the new snapshot number, or
     None when this epoch was already committed."""
-    _, _, last_epoch = current_snapshot(spark, root)
+    _, paths, last_epoch = current_snapshot(spark, root)
     if last_epoch is not None and epoch <= last_epoch:
         return None
     tables = load_snapshot(spark, root)
@@ -47,8 +48,13 @@ def post_batch(spark: SparkSession, root: str, batch: DataFrame, epoch: int) ->
     appended = {"Sale": res.sales, "SaleItem": res.items}
     if "SaleLine" in tables:          # keep the sales fact table in step
         appended["SaleLine"] = sale_lines(res.sales, res.items)
-    return publish_snapshot(spark, root, changed={"Inventory": res.inventory},
-                            appended=appended, epoch=epoch)
+    if not is_bucketed(paths.get("Inventory", [])):
+        return publish_snapshot(spark, root, changed={"Inventory": res.inventory},
+                                appended=appended, epoch=epoch)
+    # only the stock buckets of stores with accepted sales change (<= bucket count ids)
+    touched = [r[0] for r in res.sales.select(bucket_of("Inventory").alias("b")).distinct().collect()]
+    return publish_snapshot(spark, root, appended=appended,
+                            patched={"Inventory": (res.inventory, touched)}, epoch=epoch)
 
 
 def start_sale_posting(spark: SparkSession, source_dir: str, root: str, checkpoint_location: str,

@@ -95,3 +95,19 @@ def test_posting_stream(spark):
     again = spark.createDataFrame([(3, 10, 1, "E", d, 1, "a", 2)], REQUEST_LINE_SCHEMA)
     assert post_batch(spark, root, again, epoch) is None
     assert current_snapshot(spark, root)[0] == n
+
+
+def test_bucketed_inventory_patch(spark):
+    from inkwell.sources.snapshots import BUCKETED, bucket_of
+    root = tempfile.mkdtemp(prefix="inkwell-bucket-")
+    stock = [(s, b, 5, 0, None) for s in range(1, 41) for b in ("a", "b")]
+    publish_snapshot(spark, root, changed={"Inventory": _inv(spark, stock)})
+    _, paths, _ = current_snapshot(spark, root)
+    assert 1 < len(paths["Inventory"]) <= BUCKETED["Inventory"][1]
+    new = _inv(spark, [(s, b, 1 if s == 7 else 5, 0, None) for s in range(1, 41) for b in ("a", "b")])
+    touched = [r[0] for r in _inv(spark, [(7, "a", 0, 0, None)]).select(bucket_of("Inventory")).collect()]
+    publish_snapshot(spark, root, patched={"Inventory": (new, touched)})
+    _, paths2, _ = current_snapshot(spark, root)
+    assert len(set(paths2["Inventory"]) - set(paths["Inventory"])) == 1     # one bucket rewritten
+    got = {(r.StoreCode, r.ISBN): r.AvailableQuantity for r in load_snapshot(spark, root)["Inventory"].collect()}
+    assert len(got) == 80 and got[(7, "a")] == 1 and got[(8, "a")] == 5
