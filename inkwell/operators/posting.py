@@ -163,7 +163,17 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
     ensure_checkpoint_dir(headers.sparkSession)
     head = headers.select(*HEADER_COLS).withColumn("_head_ok", ~missing)
     inv = t["Inventory"].select("StoreCode", "ISBN", F.col("AvailableQuantity").alias("Available"))
-    hl = (head.join(merge_lines(lines), "RequestID", "left")
+    # Lines are the big side: an inner join with the headers (AQE can split a
+    # request that holds many lines) plus the requests that have none; then a
+    # left join to stock with the lines as the preserved, splittable side.
+    merged = merge_lines(lines)
+    with_lines = merged.join(head, "RequestID")
+    without = (head.join(merged.select("RequestID").distinct(), "RequestID", "left_anti")
+               .select(*with_lines.columns[:0], "RequestID",
+                       F.lit(None).cast("string").alias("ISBN"), F.lit(None).cast("int").alias("Quantity"),
+                       F.lit(None).cast("int").alias("LinePos"),
+                       *[c for c in head.columns if c != "RequestID"]))
+    hl = (with_lines.unionByName(without)
           .join(inv, ["StoreCode", "ISBN"], "left")
           .checkpoint(eager=True))
     line_reason = (F.when(~F.col("_head_ok"), F.lit(MISSING_HEADER))
