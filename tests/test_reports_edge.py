@@ -123,3 +123,25 @@ def test_input_validation(spark):
     v = [r.Violations for r in Q.validate_sale_lines(df).collect()]
     assert v[0] == []
     assert set(v[1]) == {"date_format", "quantity_positive_int", "customer_present"}
+
+
+def test_book_store_inventory_validators(spark):
+    from inkwell.functions.parsing import parse_authors
+    books = spark.createDataFrame(
+        [("B1", "T", "S", "1,250", "Pub", "", "الف، ب"), (" ", "T", "S", "-1", "Pub", "99", ""),
+         ("B3", "T", "S", "۱۲", "Pub", "1390", "x")],
+        "ISBN string, Title string, Subject string, Price string, PublisherName string, "
+        "PublicationYear string, AuthorsText string")
+    books = books.withColumn("Authors", parse_authors("AuthorsText"))
+    v = [set(r.Violations) for r in Q.validate_book_input(books).collect()]
+    assert v[0] == set() and v[2] == set()
+    assert v[1] == {"isbn_present", "price_nonnegative_decimal", "year_range", "author_present"}
+    stores = spark.createDataFrame([("12", "1", "021", "a"), ("-3", "", "x", "b"), ("۵", "1", "p", " ")],
+                                   "StoreCode string, CityCode string, Phone string, Address string")
+    v = [set(r.Violations) for r in Q.validate_store_input(stores).collect()]
+    assert v == [set(), {"store_code_positive_int", "city_present"}, {"address_present"}]
+    inv = spark.createDataFrame([("3", "0"), ("-1", "x")], "AvailableQuantity string, MinimumQuantity string")
+    v = [set(r.Violations) for r in Q.validate_inventory_input(inv).collect()]
+    assert v == [set(), {"available_nonnegative_int", "minimum_nonnegative_int"}]
+    pp = spark.createDataFrame([(None,), (Decimal("2.00"),)], "PaidAmount decimal(18,2)")
+    assert [r.PaidAmount for r in Q.with_paid_default(pp).collect()] == [Decimal("0.00"), Decimal("2.00")]
