@@ -317,7 +317,3 @@ def adjust_stock(t: Tables, adjustments: DataFrame, chunk: int = DEFAULT_CHUNK)
                       .otherwise(F.lit(INSUFFICIENT_STOCK)).alias("Reason"))))
     change = (judged.filter("Accepted").groupBy("StoreCode", "ISBN").agg(F.sum("_delta").alias("_used")))
     return {"decisions": decisions, "inventory": _apply_usage(t["Inventory"], change, sign=1)}
-
-
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c

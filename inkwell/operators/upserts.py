@@ -259,7 +259,3 @@ def insert_purchases(t: Tables, requests: DataFrame, order_by: Sequence[str] = (
     accepted = numbered.select(F.col("PurchaseID").cast("int"), *[c for c in cols if c != "PurchaseID"])
     rejected = _reason(req.filter(~valid), INVALID_INPUT).unionByName(_reason(bad_ref, "unknown_reference"))
     return UpsertResult(accepted, rejected, t["PublisherPurchase"].unionByName(accepted))
-
-
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c

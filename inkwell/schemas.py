@@ -6,7 +6,7 @@ references, value rules) and the upsert operators.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -140,13 +140,6 @@ def not_null_columns(table: str) -> tuple[str, ...]:
     return tuple(f.name for f in SCHEMAS[table].fields if not f.nullable)
 
 
-@dataclass(frozen=True)
-class Dependents:
-    """Child references that block deleting a parent row."""
-
-    parent: str
-    keys: tuple[ForeignKey, ...] = field(default_factory=tuple)
-
-
 def dependents_of(parent: str) -> tuple[ForeignKey, ...]:
+    """References that block deleting a parent row."""
     return tuple(fk for fk in FOREIGN_KEYS if fk.parent == parent and fk.child != parent)
