@@ -26,6 +26,40 @@ LOCAL_DEFAULTS = {
 }
 
 
+# Settings for a cluster run. Applied by ``apply_cluster_defaults`` only where
+# the submitter left them unset. AQE sizes shuffle partitions from measured
+# data (advisory 256 MB) after starting from a generous count, splits skewed
+# join partitions, and turns sort-merge joins into broadcasts only when a side
+# is measured under the threshold.
+CLUSTER_DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def apply_cluster_defaults(spark: SparkSession, shuffle_partitions: int | None = None) -> SparkSession:
+    """Fill in ``CLUSTER_DEFAULTS`` (and the initial shuffle partition count,
+    e.g. a few thousand for 100 TB inputs; AQE coalesces it down) where the
+    session does not set them. The checkpoint folder must be the cluster's
+    ``spark.checkpoint.dir`` on shared storage."""
+    for k, v in CLUSTER_DEFAULTS.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    return spark
+
+
 def local_session(cpus: int | None = None, shuffle_partitions: int | None = None,
                   app: str = "inkwell") -> SparkSession:
     """A local session for tests and the benchmark."""
