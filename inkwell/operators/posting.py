@@ -141,9 +141,15 @@ def merge_lines(lines: DataFrame) -> DataFrame:
     """W4 merge: the same book twice in one request becomes one line at its
     first position."""
     pos = F.col("LinePos") if "LinePos" in lines.columns else F.lit(1)
-    return (lines.withColumn("LinePos", pos)
-            .groupBy("RequestID", "ISBN")
-            .agg(F.sum("Quantity").cast("int").alias("Quantity"), F.min("LinePos").alias("LinePos")))
+    bad = F.col("Quantity").isNull() | (F.col("Quantity") <= 0)
+    merged = (lines.withColumn("LinePos", pos)
+              .groupBy("RequestID", "ISBN")
+              .agg(F.sum("Quantity").alias("_q"), F.max(bad.cast("int")).alias("_bad"),
+                   F.min("LinePos").alias("LinePos")))
+    # a missing or non-positive quantity on any addition makes the line invalid
+    return merged.select("RequestID", "ISBN",
+                         F.when(F.col("_bad") == 1, F.lit(None)).otherwise(F.col("_q")).cast("int")
+                         .alias("Quantity"), "LinePos")
 
 
 def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:

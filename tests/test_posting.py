@@ -65,11 +65,12 @@ def test_fixture_frame(spark):
 
 def test_merge_and_missing_stock_row(spark):
     stock = {(1, "a"): 4}
-    reqs = [(1, 1, [("a", 2), ("a", 2)]), (2, 1, [("a", 1)]), (3, 1, [("q", 1)]), (4, 1, [])]
+    reqs = [(1, 1, [("a", 2), ("a", 2)]), (2, 1, [("a", 1)]), (3, 1, [("q", 1)]), (4, 1, []),
+            (5, 1, [("a", 3), ("a", -1)])]
     _, res = _post(spark, stock, reqs)
     assert sorted(r.RequestID for r in res.accepted.collect()) == [1]
     rej = {r.RequestID: r.Reason for r in res.rejected.collect()}
-    assert rej == {2: P.INSUFFICIENT_STOCK, 3: P.NO_STOCK_ROW, 4: P.NO_LINES}
+    assert rej == {2: P.INSUFFICIENT_STOCK, 3: P.NO_STOCK_ROW, 4: P.NO_LINES, 5: P.INVALID_QUANTITY}
     items = [(r.LineNumber, r.Quantity) for r in res.items.collect()]
     assert items == [(1, 4)]
 
