@@ -34,6 +34,10 @@ from pyspark.sql import types as T
 
 from inkwell.functions.ordinal import number_within, with_ordinal
 from inkwell.operators.sequential import DEFAULT_CHUNK, bounded_walk
+
+# A store with more contested invoices than this is split into independent
+# invoice groups before the ordered replay.
+DEFAULT_SPLIT = 20_000
 from inkwell.schemas import MONEY, MONEY_SUM
 from inkwell.session import ensure_checkpoint_dir
 
@@ -97,40 +101,77 @@ def _replay_stores(lines: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"RequestID": pd.Series(ids, dtype="int64"), "Accepted": pd.Series(acc, dtype=bool)})
 
 
-def _cogroup_replay(lines: DataFrame, stock: DataFrame) -> DataFrame:
-    # Stores are hashed into a bounded number of buckets so that one pandas
-    # call handles many stores; fresh column names on the stock side (both
-    # sides derive from one plan).
+def _cogroup_replay(lines: DataFrame, stock: DataFrame, group: str) -> DataFrame:
+    # Groups (stores, or independent invoice groups of a store) are hashed
+    # into a bounded number of buckets so that one pandas call handles many
+    # of them; fresh column names on the stock side (both sides derive from
+    # one plan).
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    ln = lines.withColumn("_bucket", F.pmod(F.hash(F.col("StoreCode")), F.lit(n)))
-    st = (stock.select(F.col("StoreCode").alias("_sstore"), F.col("ISBN").alias("_sisbn"), "Available")
-          .withColumn("_sbucket", F.pmod(F.hash(F.col("_sstore")), F.lit(n))))
+    ln = lines.withColumn("_bucket", F.pmod(F.hash(F.col(group)), F.lit(n)))
+    st = (stock.select(F.col("StoreCode").alias("_sstore"), F.col("ISBN").alias("_sisbn"), "Available",
+                       F.pmod(F.hash(F.col(group)), F.lit(n)).alias("_sbucket")))
     return (ln.groupBy("_bucket").cogroup(st.groupBy("_sbucket"))
             .applyInPandas(_replay_stores, _REPLAY_SCHEMA))
 
 
-def _replay(lines: DataFrame, stock: DataFrame, chunk: int) -> DataFrame:
+def independent_groups(lines: DataFrame, max_iter: int = 30) -> DataFrame | None:
+    """Split contested invoices into groups that share no stock row:
+    connected components of the graph invoice -- (store, ISBN), by min-label
+    propagation until no label changes. Returns (RequestID, _group) or None
+    when it has not converged after ``max_iter`` rounds (the caller then
+    groups by store, which is also exact)."""
+    edges = lines.select("RequestID", "StoreCode", "ISBN").distinct().checkpoint(eager=True)
+    label = edges.select("RequestID").distinct().withColumn("_group", F.col("RequestID"))
+    for _ in range(max_iter):
+        pair = (edges.join(label, "RequestID").groupBy("StoreCode", "ISBN")
+                .agg(F.min("_group").alias("_group")))
+        new = (edges.join(pair, ["StoreCode", "ISBN"]).groupBy("RequestID")
+               .agg(F.min("_group").alias("_group")).checkpoint(eager=True))
+        changed = (new.join(label.withColumnRenamed("_group", "_old"), "RequestID")
+                   .filter(F.col("_group") != F.col("_old")).count())
+        label = new
+        if changed == 0:
+            return label
+    return None
+
+
+def _replay(lines: DataFrame, stock: DataFrame, chunk: int,
+            split_above: int | None = DEFAULT_SPLIT) -> DataFrame:
     """Decide contested invoices. ``lines``: (StoreCode, RequestID, ISBN,
-    Quantity); ``stock``: (StoreCode, ISBN, Available) of contested pairs."""
-    per_store = lines.groupBy("StoreCode").agg(F.count_distinct("RequestID").alias("_n"))
-    largest = per_store.agg(F.max("_n")).first()[0] or 0
+    Quantity); ``stock``: (StoreCode, ISBN, Available) of contested pairs.
+
+    Invoices are replayed per store; when a store has more than
+    ``split_above`` contested invoices, its invoices are first split into
+    groups that share no stock row, and groups are replayed independently."""
+    group = "StoreCode"
+    sizes = lines.groupBy(group).agg(F.count_distinct("RequestID").alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if split_above is not None and largest > split_above:
+        groups = independent_groups(lines)
+        if groups is not None:
+            lines = lines.join(groups, "RequestID")
+            pair_group = lines.select("StoreCode", "ISBN", "_group").distinct()
+            stock = stock.join(pair_group, ["StoreCode", "ISBN"])
+            group = "_group"
+            largest = (lines.groupBy(group).agg(F.count_distinct("RequestID").alias("_n"))
+                       .agg(F.max("_n")).first()[0] or 0)
     if largest <= chunk:
-        return _cogroup_replay(lines, stock)
-    # Rounds: invoices of a store ranked by arrival, at most ``chunk`` per round;
-    # stock is carried from round to round.
-    reqs = lines.select("StoreCode", "RequestID").distinct()
-    ranked = number_within(reqs, ["StoreCode"], ["RequestID"], "_rank").withColumn(
+        return _cogroup_replay(lines, stock, group)
+    # Rounds: invoices of a group ranked by arrival, at most ``chunk`` per
+    # round; stock is carried from round to round.
+    reqs = lines.select(group, "RequestID").distinct()
+    ranked = number_within(reqs, [group], ["RequestID"], "_rank").withColumn(
         "_round", F.floor((F.col("_rank") - 1) / chunk))
     lines_r = lines.join(ranked.select("RequestID", "_round"), "RequestID")
+    keep = [c for c in stock.columns if c != "Available"]
     out: DataFrame | None = None
     for r in range((largest + chunk - 1) // chunk):
         part = lines_r.filter(F.col("_round") == r).drop("_round")
-        dec = _cogroup_replay(part, stock).checkpoint(eager=True)
+        dec = _cogroup_replay(part, stock, group).checkpoint(eager=True)
         used = (part.join(dec.filter("Accepted"), "RequestID")
                 .groupBy("StoreCode", "ISBN").agg(F.sum("Quantity").alias("_used")))
         stock = (stock.join(used, ["StoreCode", "ISBN"], "left")
-                 .select("StoreCode", "ISBN",
-                         (F.col("Available") - F.coalesce("_used", F.lit(0))).alias("Available"))
+                 .select(*keep, (F.col("Available") - F.coalesce("_used", F.lit(0))).alias("Available"))
                  .checkpoint(eager=True))
         out = dec if out is None else out.unionByName(dec)
     return out
@@ -213,7 +254,7 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
 
 
 def post_sales(t: Tables, headers: DataFrame, lines: DataFrame,
-               chunk: int = DEFAULT_CHUNK) -> PostingResult:
+               chunk: int = DEFAULT_CHUNK, split_above: int | None = DEFAULT_SPLIT) -> PostingResult:
     """Post a batch of sale requests.
 
     ``headers``: RequestID (arrival order), StoreCode, CustomerCode,
@@ -223,7 +264,8 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame,
     """
     parts = classify_requests(t, headers, lines)
     # decisions are small (one row per contested invoice) and read twice
-    decided = _replay(parts["contested_lines"], parts["contested_stock"], chunk).checkpoint(eager=True)
+    decided = _replay(parts["contested_lines"], parts["contested_stock"], chunk,
+                      split_above).checkpoint(eager=True)
     accepted_ids = (parts["certain_accepts"]
                     .unionByName(decided.filter("Accepted").select("RequestID")))
     rejected = parts["rejected"].unionByName(

@@ -39,12 +39,12 @@ def _replay(stock, requests):
     return accepted, stock
 
 
-def _post(spark, stock, requests, chunk=P.DEFAULT_CHUNK, existing_max=0):
+def _post(spark, stock, requests, chunk=P.DEFAULT_CHUNK, existing_max=0, split=P.DEFAULT_SPLIT):
     t = _tables(spark, stock, existing_max)
     heads = [(rid, store, 1, "E", dt.date(2010, 1, 1)) for rid, store, _ in requests]
     lines = [(rid, b, q, i) for rid, _, ls in requests for i, (b, q) in enumerate(ls)]
     res = P.post_sales(t, spark.createDataFrame(heads, H_SCHEMA), spark.createDataFrame(lines, L_SCHEMA),
-                       chunk=chunk)
+                       chunk=chunk, split_above=split)
     return t, res
 
 
@@ -63,6 +63,27 @@ def test_fixture_frame(spark):
     assert items == [(42, 1, "a", 3), (43, 1, "a", 1)]
 
 
+def test_independent_groups(spark):
+    # store 1: requests 1,2 share book a; 3 and 4 share c via 4's second line; 5 alone on d
+    lines = spark.createDataFrame(
+        [(1, 1, "a", 1), (2, 1, "a", 1), (2, 1, "b", 1), (3, 1, "c", 1), (4, 1, "c", 1), (4, 1, "e", 1),
+         (5, 1, "d", 1), (6, 2, "a", 1)],
+        "RequestID long, StoreCode int, ISBN string, Quantity int")
+    groups = {r.RequestID: r._group for r in P.independent_groups(lines).collect()}
+    assert groups[1] == groups[2] == 1 and groups[3] == groups[4] == 3
+    assert groups[5] == 5 and groups[6] == 6
+
+
+def test_hot_store_split_matches_sequential(spark):
+    stock = {(1, b): 3 for b in "abcdef"}
+    reqs = [(i, 1, [("abcdef"[i % 6], 1 + i % 2), ("abcdef"[(i * 5) % 6], 1)]) for i in range(1, 30)]
+    want, want_stock = _replay(stock, reqs)
+    for chunk in (P.DEFAULT_CHUNK, 3):
+        _, res = _post(spark, stock, reqs, chunk=chunk, split=0)
+        assert sorted(r.RequestID for r in res.accepted.collect()) == want
+        assert {(r.StoreCode, r.ISBN): r.AvailableQuantity for r in res.inventory.collect()} == want_stock
+
+
 def test_merge_and_missing_stock_row(spark):
     stock = {(1, "a"): 4}
     reqs = [(1, 1, [("a", 2), ("a", 2)]), (2, 1, [("a", 1)]), (3, 1, [("q", 1)]), (4, 1, []),
@@ -81,13 +102,13 @@ requests_strategy = st.lists(
     min_size=1, max_size=12)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(requests_strategy, st.integers(0, 1))
-def test_random_batches_match_sequential(spark, reqs, chunked):
-    stock = {(s, b): 4 + (s * 3 + ord(b)) % 5 for s in (1, 2, 3) for b in ("a", "b")}
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(requests_strategy, st.integers(0, 1), st.integers(0, 1))
+def test_random_batches_match_sequential(spark, reqs, chunked, split):
+    stock = {(s, b): 4 + (s * 3 + ord(b)) % 5 for s in (1, 2, 3) for b in ("a", "b", "c")}
     requests = [(i + 1, s, ls) for i, (s, ls) in enumerate(reqs)]
     chunk = 2 if chunked else P.DEFAULT_CHUNK
-    _, res = _post(spark, stock, requests, chunk=chunk)
+    _, res = _post(spark, stock, requests, chunk=chunk, split=0 if split else None)
     want, want_stock = _replay(stock, requests)
     acc = sorted((r.RequestID, r.InvoiceNumber) for r in res.accepted.collect())
     assert [a for a, _ in acc] == want
