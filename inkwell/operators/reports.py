@@ -18,7 +18,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.textmatch import text_match
+from inkwell.functions.textmatch import equals, text_match
 from inkwell.schemas import MONEY_SUM
 
 Tables = Mapping[str, DataFrame]
@@ -45,21 +45,22 @@ def _stores_with_city(t: Tables) -> DataFrame:
 
 
 # R1 -------------------------------------------------------------------------
-def stores_in_city(t: Tables, city: str) -> DataFrame:
-    """Stores of the cities named ``city``, by store code."""
-    city_rows = t["City"].filter(F.col("CityName") == F.lit(city))
+def stores_in_city(t: Tables, city: str, collation: str | None = None) -> DataFrame:
+    """Stores of the cities named ``city``, by store code. ``collation``
+    (e.g. ``UTF8_LCASE``, ``UTF8_BINARY_RTRIM``) sets how names compare."""
+    city_rows = t["City"].filter(equals("CityName", city, collation))
     return (t["Store"].join(city_rows, "CityCode")
             .select("StoreCode", "CityName", "ProvinceName", "Phone", "Address")
             .orderBy("StoreCode"))
 
 
 # R2 -------------------------------------------------------------------------
-def stores_without_author(t: Tables, author: str) -> DataFrame:
+def stores_without_author(t: Tables, author: str, collation: str | None = None) -> DataFrame:
     """R2: stores holding no in-stock book (AvailableQuantity > 0) by the
     authors named ``author``. A store holding such a book only with quantity
     zero is listed."""
     isbns = (t["BookAuthor"]
-             .join(t["Author"].filter(F.col("AuthorName") == F.lit(author)), "AuthorID")
+             .join(t["Author"].filter(equals("AuthorName", author, collation)), "AuthorID")
              .select("ISBN").distinct())
     holding = (t["Inventory"].filter(F.col("AvailableQuantity") > 0)
                .join(isbns, "ISBN").select("StoreCode").distinct())
@@ -283,10 +284,10 @@ def stores_short_of_book(t: Tables, isbn: str) -> DataFrame:
 
 
 # R11 ------------------------------------------------------------------------
-def publisher_debt(t: Tables, publisher: str) -> DataFrame:
+def publisher_debt(t: Tables, publisher: str, collation: str | None = None) -> DataFrame:
     """Purchases from, payments to and debt to the publishers named
     ``publisher`` (grouped by name); no row without purchases."""
-    pub = t["Publisher"].filter(F.col("PublisherName") == F.lit(publisher))
+    pub = t["Publisher"].filter(equals("PublisherName", publisher, collation))
     return (t["PublisherPurchase"].join(pub, "PublisherID")
             .groupBy("PublisherName")
             .agg(F.sum("TotalAmount").cast(MONEY_SUM).alias("TotalPurchase"),

@@ -78,3 +78,10 @@ def test_format_dates_and_defaults(spark):
     assert rows[0].d == "2009-01-05" and rows[0].s == "" and rows[1].d == ""
     out = df.select(fmt.or_default(F.col("s"), "none").alias("o")).collect()
     assert [r.o for r in out] == ["none", "x"]
+
+
+def test_trailing_blank_equality(spark):
+    df = _col(spark, ["Tehran", "Tehran  ", "tehran"])
+    assert df.filter(equals("v", "Tehran")).count() == 1
+    assert df.filter(equals("v", "Tehran", collation="UTF8_BINARY_RTRIM")).count() == 2
+    assert df.filter(equals("v", "tehran ", collation="UTF8_LCASE_RTRIM")).count() == 3

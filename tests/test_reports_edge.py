@@ -145,3 +145,9 @@ def test_book_store_inventory_validators(spark):
     assert v == [set(), {"available_nonnegative_int", "minimum_nonnegative_int"}]
     pp = spark.createDataFrame([(None,), (Decimal("2.00"),)], "PaidAmount decimal(18,2)")
     assert [r.PaidAmount for r in Q.with_paid_default(pp).collect()] == [Decimal("0.00"), Decimal("2.00")]
+
+
+def test_name_reports_with_collation(shop):
+    assert R.stores_in_city(shop, "isfahan").count() == 0
+    assert [r.StoreCode for r in R.stores_in_city(shop, "isfahan", collation="UTF8_LCASE").collect()] == [10, 20]
+    assert R.publisher_debt(shop, "pub ", collation="UTF8_LCASE_RTRIM").count() == 1
