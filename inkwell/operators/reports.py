@@ -23,13 +23,21 @@ from inkwell.schemas import MONEY_SUM
 
 Tables = Mapping[str, DataFrame]
 
+# The report form's default parameters (start date, debt
+# amount); the default end date is today.
+DEFAULT_START = dt.date(2009, 1, 1)
+DEFAULT_DEBT = Decimal(10000)
+
 
 def _date(d: dt.date | str) -> dt.date:
     return d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d))
 
 
-def _range(start: dt.date | str, end: dt.date | str) -> tuple[dt.date, dt.date]:
-    s, e = _date(start), _date(end)
+def _range(start: dt.date | str | None, end: dt.date | str | None) -> tuple[dt.date, dt.date]:
+    """Date range, closed on both ends; the form's defaults are 2009-01-01
+    and today."""
+    s = _date(start) if start is not None else DEFAULT_START
+    e = _date(end) if end is not None else dt.date.today()
     if s > e:
         raise ValueError("start date must not be after end date")
     return s, e
@@ -122,8 +130,8 @@ def _sales_measures() -> list[Column]:
     ]
 
 
-def store_sales(t: Tables, store: int, start: dt.date | str, end: dt.date | str,
-                mode: str = "ui") -> DataFrame:
+def store_sales(t: Tables, store: int, start: dt.date | str | None = None,
+                end: dt.date | str | None = None, mode: str = "ui") -> DataFrame:
     """Invoices, books sold and sales amount of one store, dates inclusive.
 
     ``mode="ui"``: always one row, zeros when nothing was sold.
@@ -144,7 +152,8 @@ def store_sales(t: Tables, store: int, start: dt.date | str, end: dt.date | str,
     )
 
 
-def store_sales_all(t: Tables, start: dt.date | str, end: dt.date | str) -> DataFrame:
+def store_sales_all(t: Tables, start: dt.date | str | None = None,
+                    end: dt.date | str | None = None) -> DataFrame:
     """R3 for every store in one pass (the script form without a store
     filter): one row per store that sold something in the range."""
     s, e = _range(start, end)
@@ -228,7 +237,7 @@ def books_by_author_or_subject(t: Tables, text: str, match: str = "contains",
 
 
 # R7 -------------------------------------------------------------------------
-def debtors_above(t: Tables, amount: Decimal | int | str = 10000) -> DataFrame:
+def debtors_above(t: Tables, amount: Decimal | int | str = DEFAULT_DEBT) -> DataFrame:
     """Customers whose debt is strictly above ``amount``, largest first."""
     amt = Decimal(str(amount).replace(",", "").strip())
     if amt < 0:
@@ -257,7 +266,8 @@ def customer_purchases(t: Tables, customer: int, with_code: bool = True) -> Data
 
 
 # R9 -------------------------------------------------------------------------
-def unsold_books(t: Tables, start: dt.date | str, end: dt.date | str) -> DataFrame:
+def unsold_books(t: Tables, start: dt.date | str | None = None,
+                 end: dt.date | str | None = None) -> DataFrame:
     """Books with no sale line dated in the range, in any store."""
     s, e = _range(start, end)
     # distinct ISBNs first: the anti join then shuffles one row per sold book,
@@ -319,7 +329,3 @@ REPORTS = {
     "r10_stores_short_of_book": stores_short_of_book,
     "r11_publisher_debt": publisher_debt,
 }
-
-# Default parameters of the report form (start date, amount); end date is today.
-DEFAULT_START = dt.date(2009, 1, 1)
-DEFAULT_DEBT = Decimal(10000)
