@@ -18,8 +18,11 @@ Plan (exact w.r.t. the sequential semantics; stock only falls in a batch):
    the stock are *uncontested*; an invoice touching only such pairs is
    accepted whatever the order.
 3. Only invoices touching a contested pair are replayed in order, per store,
-   with only their contested lines (cogrouped ``applyInPandas``), in rounds
-   of at most ``chunk`` invoices per store.
+   with only their contested lines (cogrouped ``applyInPandas`` over hash
+   buckets of stores). A store with more than ``split_above`` contested
+   invoices is first split into invoice groups that share no stock row
+   (connected components), replayed independently; a group with more than
+   ``chunk`` invoices is replayed in rounds of ``chunk``.
 """
 
 from __future__ import annotations
@@ -28,21 +31,21 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.functions.ordinal import number_within, with_ordinal
 from inkwell.operators.sequential import DEFAULT_CHUNK, bounded_walk
-
-# A store with more contested invoices than this is split into independent
-# invoice groups before the ordered replay.
-DEFAULT_SPLIT = 20_000
 from inkwell.schemas import MONEY, MONEY_SUM
 from inkwell.session import ensure_checkpoint_dir
 
 Tables = Mapping[str, DataFrame]
 
+# A store with more contested invoices than this is split into independent
+# invoice groups before the ordered replay.
+DEFAULT_SPLIT = 20_000
+
 # Reasons a request is refused.
 NO_LINES = "no_lines"
 MISSING_HEADER = "missing_header"
@@ -216,7 +219,7 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
     merged = merge_lines(lines)
     with_lines = merged.join(head, "RequestID")
     without = (head.join(merged.select("RequestID").distinct(), "RequestID", "left_anti")
-               .select(*with_lines.columns[:0], "RequestID",
+               .select("RequestID",
                        F.lit(None).cast("string").alias("ISBN"), F.lit(None).cast("int").alias("Quantity"),
                        F.lit(None).cast("int").alias("LinePos"),
                        *[c for c in head.columns if c != "RequestID"]))
