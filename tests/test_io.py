@@ -111,3 +111,21 @@ def test_bucketed_inventory_patch(spark):
     assert len(set(paths2["Inventory"]) - set(paths["Inventory"])) == 1     # one bucket rewritten
     got = {(r.StoreCode, r.ISBN): r.AvailableQuantity for r in load_snapshot(spark, root)["Inventory"].collect()}
     assert len(got) == 80 and got[(7, "a")] == 1 and got[(8, "a")] == 5
+
+
+def test_command_line_report(spark, fixture_small, tmp_path):
+    from inkwell.__main__ import main, report_params
+    from inkwell.plans.layout import write_tables
+    assert report_params("r03_store_sales", ["store=45", "start=2009-01-01"]) == \
+        {"store": 45, "start": dt.date(2009, 1, 1)}
+    assert report_params("r08_customer_purchases", ["customer=5", "with_code=false"]) == \
+        {"customer": 5, "with_code": False}
+    assert report_params("r07_debtors_above", ["amount=1,000"]) == {"amount": Decimal("1000")}
+    root = str(tmp_path / "tables")
+    write_tables(fixture_small, root)
+    out = str(tmp_path / "r01")
+    assert main(["report", "r01_stores_in_city", "--root", root, "--param", "city=NATION_3",
+                 "--headings", "--csv", out]) == 0
+    (part,) = glob.glob(f"{out}/part-*.csv")
+    header = open(part, encoding="utf-8-sig").readline().strip()
+    assert header.split(",")[0] == "کد فروشگاه"
