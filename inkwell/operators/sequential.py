@@ -94,7 +94,7 @@ def _walk_rounds(hard: DataFrame, keys: list[str], chunk: int) -> DataFrame:
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= chunk:
         return _by_bucket(hard, keys)
-    ranked = number_within(hard, keys, ["_order"], "_rank").withColumn(
+    ranked = number_within(hard, keys, ["_order", "_event"], "_rank").withColumn(
         "_round", F.floor((F.col("_rank") - 1) / chunk))
     rounds = (largest + chunk - 1) // chunk
     state = ranked.select(*keys, "_state0").distinct()
