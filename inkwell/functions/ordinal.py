@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.session import ensure_checkpoint_dir
+from inkwell.session import written_table
 
 _PID, _MID, _OFF, _FIRST = "_ord_pid", "_ord_mid", "_ord_off", "_ord_first"
 
@@ -38,24 +38,25 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column], name: str,
     column, e.g. ``max(existing id) + 1`` as a scalar subquery.
     """
     n = _partitions(df, partitions)
-    ensure_checkpoint_dir(df.sparkSession)
-    # The range bounds come from sampling, and the partition-size count below
-    # is a second reader of the same rows: a (reliable) checkpoint fixes the
-    # partitioning once, so both readers, and any task re-run after a lost
-    # executor, see the same partitions. A user-sized range repartition is
-    # never coalesced by AQE.
+    # Range-partition and sort, then record each row's partition and its
+    # position inside it. The rows are written once as a table in the shared
+    # checkpoint folder: the partition-size count reads back only the
+    # partition column, and the numbering uses the stored positions, so the
+    # result does not depend on how the table is read back or on task re-runs
+    # (only the committed attempt of each write task is kept).
     ranged = (df.repartitionByRange(n, *order_by)
               .sortWithinPartitions(*order_by)
               .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_MID, F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn(_MID, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    stored = written_table(ranged, "ordinal")
+    sizes = stored.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_PID, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_OFF))
     start_col = start if isinstance(start, Column) else F.lit(start)
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
-    return (ranged.join(F.broadcast(offsets), _PID)
-            .withColumn(name, (F.col(_OFF) + local + start_col.cast("long")))
+    # offsets: one row per range partition, so the broadcast is bounded by
+    # the partition count
+    return (stored.join(F.broadcast(offsets), _PID)
+            .withColumn(name, (F.col(_OFF) + F.col(_MID) + start_col.cast("long")))
             .drop(_PID, _MID, _OFF))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for a local run. On a cluster the submitter's settings win: this
 # module only fills in what is unset.
@@ -100,3 +101,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="inkwell-ckpt-")
     sc.setCheckpointDir(d)
     return d
+
+
+def written_table(df: DataFrame, label: str = "table") -> DataFrame:
+    """Cut lineage by writing ``df`` as a Parquet table under the checkpoint
+    folder and reading it back (columnar: later readers prune columns and
+    vectorise). Falls back to ``checkpoint()`` when no folder is known."""
+    root = ensure_checkpoint_dir(df.sparkSession)
+    if not root:
+        return df.checkpoint(eager=True)
+    path = f"{root.rstrip('/')}/inkwell-{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
