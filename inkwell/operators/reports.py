@@ -160,6 +160,26 @@ def store_sales_all(t: Tables, start: dt.date | str | None = None,
     return _sales_lines(t, None, s, e).groupBy("StoreCode").agg(*_sales_measures())
 
 
+def store_sales_for(t: Tables, params: DataFrame) -> DataFrame:
+    """R3 (form semantics) for a DataFrame of requests (StoreCode, StartDate,
+    EndDate) in one pass: one row per distinct request, zeros when nothing
+    was sold. Sale lines join the requests on the store with the date range
+    as a join condition (an inner join, so a store holding many lines can be
+    split by AQE); requests without sales are added by an anti join."""
+    req = params.select("StoreCode", "StartDate", "EndDate").distinct()
+    lines = sale_lines(t).select("InvoiceNumber", F.col("StoreCode").alias("_store"),
+                                 "InvoiceDate", "Quantity", "UnitPrice")
+    cond = ((req.StoreCode == lines._store)
+            & lines.InvoiceDate.between(req.StartDate, req.EndDate))
+    sold = (req.join(lines, cond)
+            .groupBy("StoreCode", "StartDate", "EndDate").agg(*_sales_measures()))
+    keys = ["StoreCode", "StartDate", "EndDate"]
+    none = req.join(sold.select(*keys), keys, "left_anti").select(
+        *keys, F.lit(0).cast("bigint").alias("InvoiceCount"), F.lit(0).cast("bigint").alias("SoldQuantity"),
+        F.lit(0).cast(MONEY_SUM).alias("TotalSales"))
+    return sold.unionByName(none)
+
+
 # R4 -------------------------------------------------------------------------
 def employees_of_store(t: Tables, store: int) -> DataFrame:
     """Employees of one store, by name."""
