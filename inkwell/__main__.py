@@ -6,11 +6,13 @@
         [--headings] [--csv /out/r03] [--show 20]
     python -m inkwell quality --root /data/bookstore [--csv /out/quality]
     python -m inkwell post --root /data/snapshots --requests /in/batch.parquet
+    python -m inkwell adjust --root /data/snapshots --requests /in/adjustments.parquet
 
 ``report`` runs one of the eleven reports (parameters typed from the report
 function's signature) and shows it or exports it as the reference's CSV;
 ``quality`` writes the rule summary; ``post`` posts a batch of sale request
-lines against the current snapshot and publishes the next one.
+lines, and ``adjust`` a batch of stock adjustments, against the current
+snapshot and publishes the next one.
 """
 
 from __future__ import annotations
@@ -71,6 +73,10 @@ def main(argv: list[str] | None = None) -> int:
     pp.add_argument("--root", required=True, help="snapshot root")
     pp.add_argument("--requests", required=True, help="parquet sale request lines")
     pp.add_argument("--epoch", type=int, default=None)
+    adj = sub.add_parser("adjust")
+    adj.add_argument("--root", required=True, help="snapshot root")
+    adj.add_argument("--requests", required=True, help="parquet stock adjustments")
+    adj.add_argument("--epoch", type=int, default=None)
     args = ap.parse_args(argv)
 
     from pyspark.sql import SparkSession
@@ -93,11 +99,13 @@ def main(argv: list[str] | None = None) -> int:
             df.show(100, truncate=False)
     else:
         from inkwell.sources.snapshots import current_snapshot
-        from inkwell.streaming.sale_stream import REQUEST_LINE_SCHEMA, post_batch
-        batch = spark.read.schema(REQUEST_LINE_SCHEMA).parquet(args.requests)
+        from inkwell.streaming import sale_stream as S
+        schema, apply = ((S.REQUEST_LINE_SCHEMA, S.post_batch) if args.cmd == "post"
+                         else (S.ADJUSTMENT_SCHEMA, S.adjust_batch))
+        batch = spark.read.schema(schema).parquet(args.requests)
         _, _, last = current_snapshot(spark, args.root)
         epoch = args.epoch if args.epoch is not None else (0 if last is None else last + 1)
-        new = post_batch(spark, args.root, batch, epoch)
+        new = apply(spark, args.root, batch, epoch)
         print(f"published snapshot {new}" if new is not None else f"batch {epoch} already posted")
     return 0
 

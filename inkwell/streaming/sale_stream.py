@@ -1,4 +1,4 @@
-"""Sale posting driven by Structured Streaming.
+"""Sale posting and stock adjustments driven by Structured Streaming.
 
 In the reference each sale is posted as it is entered. Here sale request
 lines arrive as a stream (e.g. files dropped into a folder); every
@@ -72,3 +72,43 @@ def start_sale_posting(spark: SparkSession, source_dir: str, root: str, checkpoi
     if trigger_seconds:
         writer = writer.trigger(processingTime=f"{trigger_seconds} seconds")
     return writer.start()
+
+
+# Stock adjustments (W6) arriving as a stream: each micro-batch is applied in
+# arrival order against the current snapshot; only the Inventory buckets of
+# the adjusted stores are rewritten.
+ADJUSTMENT_SCHEMA = T.StructType([
+    T.StructField("AdjustID", T.LongType()),
+    T.StructField("StoreCode", T.IntegerType()),
+    T.StructField("ISBN", T.StringType()),
+    T.StructField("Amount", T.IntegerType()),
+    T.StructField("Direction", T.IntegerType()),
+])
+
+
+def adjust_batch(spark: SparkSession, root: str, batch: DataFrame, epoch: int) -> int | None:
+    """Apply one batch of stock adjustments; returns the new snapshot number,
+    or None when this epoch was already committed."""
+    from inkwell.operators.posting import adjust_stock
+    _, paths, last_epoch = current_snapshot(spark, root)
+    if last_epoch is not None and epoch <= last_epoch:
+        return None
+    tables = load_snapshot(spark, root)
+    out = adjust_stock(tables, batch.select(*ADJUSTMENT_SCHEMA.fieldNames()))
+    if not is_bucketed(paths.get("Inventory", [])):
+        return publish_snapshot(spark, root, changed={"Inventory": out["inventory"]}, epoch=epoch)
+    accepted = batch.join(out["decisions"].filter("Accepted").select("AdjustID"), "AdjustID", "left_semi")
+    touched = [r[0] for r in accepted.select(bucket_of("Inventory").alias("b")).distinct().collect()]
+    return publish_snapshot(spark, root, patched={"Inventory": (out["inventory"], touched)}, epoch=epoch)
+
+
+def start_stock_adjustments(spark: SparkSession, source_dir: str, root: str, checkpoint_location: str,
+                            source_format: str = "parquet", trigger_seconds: int | None = None) -> StreamingQuery:
+    """Start the stock-adjustment stream (see ``adjust_batch``)."""
+    stream = spark.readStream.schema(ADJUSTMENT_SCHEMA).format(source_format).load(source_dir)
+    writer = (stream.writeStream
+              .foreachBatch(lambda df, epoch: adjust_batch(spark, root, df, epoch))
+              .option("checkpointLocation", checkpoint_location))
+    if trigger_seconds:
+        writer = writer.trigger(processingTime=f"{trigger_seconds} seconds")
+    return writer.start()

@@ -129,3 +129,28 @@ def test_command_line_report(spark, fixture_small, tmp_path):
     (part,) = glob.glob(f"{out}/part-*.csv")
     header = open(part, encoding="utf-8-sig").readline().strip()
     assert header.split(",")[0] == "کد فروشگاه"
+
+
+def test_adjustment_stream(spark):
+    from inkwell.streaming.sale_stream import ADJUSTMENT_SCHEMA, start_stock_adjustments
+    root = tempfile.mkdtemp(prefix="inkwell-adj-")
+    publish_snapshot(spark, root, changed={"Inventory": _inv(spark, [(1, "a", 1, 0, None), (2, "b", 4, 0, None)])})
+    src = tempfile.mkdtemp(prefix="inkwell-adj-src-")
+    spark.createDataFrame([(1, 1, "a", 2, 1), (2, 1, "a", 3, -1), (3, 1, "a", 1, -1), (4, 2, "b", 4, -1)],
+                          ADJUSTMENT_SCHEMA).write.mode("append").parquet(src)
+    q = start_stock_adjustments(spark, src, root, os.path.join(tempfile.mkdtemp(), "cp"))
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.StoreCode, r.ISBN): r.AvailableQuantity for r in load_snapshot(spark, root)["Inventory"].collect()}
+    assert got == {(1, "a"): 0, (2, "b"): 0}
+
+
+def test_command_line_adjust(spark, tmp_path):
+    from inkwell.__main__ import main
+    from inkwell.streaming.sale_stream import ADJUSTMENT_SCHEMA
+    root = str(tmp_path / "snap")
+    publish_snapshot(spark, root, changed={"Inventory": _inv(spark, [(1, "a", 5, 0, None)])})
+    req = str(tmp_path / "adj")
+    spark.createDataFrame([(1, 1, "a", 2, -1)], ADJUSTMENT_SCHEMA).write.parquet(req)
+    assert main(["adjust", "--root", root, "--requests", req]) == 0
+    assert load_snapshot(spark, root)["Inventory"].first().AvailableQuantity == 3
