@@ -37,13 +37,18 @@ def test_not_exists_reports_plan_anti_joins(stored):
         assert "LeftAnti" in _formatted(df)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("w")))
+# the order-dependent steps: the only places Python runs inside tasks
+ORDERED = {"w1_post_sales_outcome", "w4_invoice_lines", "w6_adjust_stock"}
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_no_cartesian_no_python(spark, name):
     df = entry.queries()[name](spark, SF_SMALL)
     text = _formatted(df)
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
-    assert not any(p in text for p in PYTHON_NODES)
+    if name not in ORDERED:
+        assert not any(p in text for p in PYTHON_NODES)
 
 
 def test_filters_reach_the_scan(stored):
