@@ -7,12 +7,14 @@
     python -m inkwell quality --root /data/bookstore [--csv /out/quality]
     python -m inkwell post --root /data/snapshots --requests /in/batch.parquet
     python -m inkwell adjust --root /data/snapshots --requests /in/adjustments.parquet
+    python -m inkwell apply insert_books --root /data/snapshots --requests /in/books.parquet
 
 ``report`` runs one of the eleven reports (parameters typed from the report
 function's signature) and shows it or exports it as the reference's CSV;
 ``quality`` writes the rule summary; ``post`` posts a batch of sale request
 lines, and ``adjust`` a batch of stock adjustments, against the current
-snapshot and publishes the next one.
+snapshot and publishes the next one; ``apply`` runs one of the insert / edit
+/ delete operators on a request file and publishes the tables it changes.
 """
 
 from __future__ import annotations
@@ -77,6 +79,12 @@ def main(argv: list[str] | None = None) -> int:
     adj.add_argument("--root", required=True, help="snapshot root")
     adj.add_argument("--requests", required=True, help="parquet stock adjustments")
     adj.add_argument("--epoch", type=int, default=None)
+    apl = sub.add_parser("apply")
+    from inkwell.sources.apply import OPERATIONS
+    apl.add_argument("operation", choices=sorted(OPERATIONS))
+    apl.add_argument("--root", required=True, help="snapshot root")
+    apl.add_argument("--requests", required=True, help="parquet requests")
+    apl.add_argument("--epoch", type=int, default=None)
     args = ap.parse_args(argv)
 
     from pyspark.sql import SparkSession
@@ -97,6 +105,12 @@ def main(argv: list[str] | None = None) -> int:
             export_csv(df, args.csv)
         else:
             df.show(100, truncate=False)
+    elif args.cmd == "apply":
+        from inkwell.sources.apply import apply_requests
+        new, rejected = apply_requests(spark, args.root, args.operation,
+                                       spark.read.parquet(args.requests), args.epoch)
+        print(f"published snapshot {new}" if new is not None else f"batch {args.epoch} already applied")
+        rejected.groupBy("Reason").count().show(truncate=False)
     else:
         from inkwell.sources.snapshots import current_snapshot
         from inkwell.streaming import sale_stream as S

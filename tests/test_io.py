@@ -154,3 +154,30 @@ def test_command_line_adjust(spark, tmp_path):
     spark.createDataFrame([(1, 1, "a", 2, -1)], ADJUSTMENT_SCHEMA).write.parquet(req)
     assert main(["adjust", "--root", root, "--requests", req]) == 0
     assert load_snapshot(spark, root)["Inventory"].first().AvailableQuantity == 3
+
+
+def test_apply_requests(spark, tmp_path):
+    from inkwell.__main__ import main
+    from inkwell.sources.apply import apply_requests
+    root = str(tmp_path / "snap")
+    publish_snapshot(spark, root, changed={
+        "Inventory": _inv(spark, [(1, "a", 5, 0, None)]),
+        "Book": spark.createDataFrame([("a", "A", "s", Decimal("1.00"), 1, None)], SCHEMAS["Book"]),
+        "Author": spark.createDataFrame([(1, "W")], SCHEMAS["Author"]),
+        "BookAuthor": spark.createDataFrame([("a", 1)], SCHEMAS["BookAuthor"]),
+        "Publisher": spark.createDataFrame([(1, "P")], SCHEMAS["Publisher"]),
+    })
+    inv = spark.createDataFrame([(1, 1, "a", 9, 1, "x"), (2, 1, "b", 2, 0, None)],
+                                "RequestID long, StoreCode int, ISBN string, AvailableQuantity int, "
+                                "MinimumQuantity int, Description string")
+    new, rejected = apply_requests(spark, root, "insert_inventory", inv, epoch=1)
+    assert new == 2 and [r.Reason for r in rejected.collect()] == ["duplicate_key"]
+    assert load_snapshot(spark, root)["Inventory"].count() == 2
+    assert apply_requests(spark, root, "insert_inventory", inv, epoch=1)[0] is None     # replay skipped
+    books = str(tmp_path / "books")
+    spark.createDataFrame([(1, "c", "C", "s", Decimal("2.00"), "P", None, "W، New")],
+                          "RequestID long, ISBN string, Title string, Subject string, Price decimal(18,2), "
+                          "PublisherName string, PublicationYear short, Authors string").write.parquet(books)
+    assert main(["apply", "insert_books", "--root", root, "--requests", books, "--epoch", "2"]) == 0
+    t = load_snapshot(spark, root)
+    assert t["Book"].count() == 2 and t["Author"].count() == 2 and t["BookAuthor"].count() == 3
