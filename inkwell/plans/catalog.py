@@ -287,7 +287,7 @@ def _w1_rejects(t):
 
 
 _POST_CONTESTED = """
-    select StoreCode, ISBN, sum(Quantity) as Demand, min(Available) as Available
+    select StoreCode, ISBN, cast(sum(Quantity) as bigint) as Demand, min(Available) as Available
     from post_live
     where RequestID not in (select RequestID from post_live
                             where Available is null or Quantity > Available)

@@ -165,7 +165,7 @@ def _w14(t):
 
 
 @register("w12_insert_stores", """
-    select cast(s_suppkey as int) + (select count(*) from supplier) as StoreCode,
+    select cast(s_suppkey + (select count(*) from supplier) as int) as StoreCode,
            cast(s_nationkey as int) as CityCode, cast(null as varchar) as ManagerNationalCode,
            '031-' || s_suppkey as Phone, s_name || ' annex' as Address
     from supplier""")

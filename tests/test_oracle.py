@@ -26,6 +26,11 @@ def duck():
     return con
 
 
+# Spark type -> DuckDB type name, for the schema comparison
+TYPE_NAMES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "date": "DATE",
+              "smallint": "SMALLINT", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
 def _canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
@@ -39,6 +44,10 @@ def test_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]) for d in cur.description}
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        assert dtypes[f.name] == TYPE_NAMES.get(t, t.upper()), (f.name, t, dtypes[f.name])
     assert len(srows) == len(drows)
     assert _canon(df.columns, srows) == _canon(dcols, drows)
 
