@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.formatting import or_default
@@ -59,7 +59,7 @@ def store_list(t: Tables, display: bool = False) -> DataFrame:
     return out.orderBy("StoreCode")
 
 
-def stock_status() -> F.Column:
+def stock_status() -> Column:
     a, m = F.col("AvailableQuantity"), F.col("MinimumQuantity")
     return (F.when(a < m, F.lit(STATUS_CRITICAL))
             .when(a == m, F.lit(STATUS_BORDERLINE))
@@ -72,17 +72,17 @@ def _inventory_base(t: Tables) -> DataFrame:
             .join(t["Book"].select("ISBN", "Title"), "ISBN"))
 
 
-def inventory_list(t: Tables, store_text: str | None = None,
-                   book_text: str | None = None) -> DataFrame:
+def inventory_list(t: Tables, store_text: str | None = None, book_text: str | None = None,
+                   match: str = "contains", collation: str | None = None) -> DataFrame:
     """V3: inventory rows with three-way status. ``store_text`` matches as a
     substring of the store code; ``book_text`` as a substring of the title or
-    the ISBN."""
+    the ISBN (``match="like"`` keeps T-SQL wildcards, as in the reports)."""
     inv = _inventory_base(t)
     if store_text and store_text.strip():
-        inv = inv.filter(text_match(F.col("StoreCode").cast("string"), store_text.strip()))
+        inv = inv.filter(text_match(F.col("StoreCode").cast("string"), store_text.strip(), match))
     if book_text and book_text.strip():
         b = book_text.strip()
-        inv = inv.filter(text_match("Title", b) | text_match("ISBN", b))
+        inv = inv.filter(text_match("Title", b, match, collation) | text_match("ISBN", b, match, collation))
     return (inv.select("StoreCode", "CityName", "ISBN", "Title", "AvailableQuantity", "MinimumQuantity",
                        stock_status().alias("Status"),
                        F.coalesce("Description", F.lit("")).alias("Description"))

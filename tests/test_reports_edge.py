@@ -151,3 +151,9 @@ def test_name_reports_with_collation(shop):
     assert R.stores_in_city(shop, "isfahan").count() == 0
     assert [r.StoreCode for r in R.stores_in_city(shop, "isfahan", collation="UTF8_LCASE").collect()] == [10, 20]
     assert R.publisher_debt(shop, "pub ", collation="UTF8_LCASE_RTRIM").count() == 1
+
+
+def test_inventory_list_like_mode(shop):
+    assert V.inventory_list(shop, book_text="B_").count() == 0                 # literal
+    assert V.inventory_list(shop, book_text="B_", match="like").count() == 4   # any ISBN B + one char
+    assert V.inventory_list(shop, store_text="[12]0", match="like").count() == 3
