@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from inkwell.functions.ordinal import number_within, with_ordinal
 from inkwell.operators.sequential import DEFAULT_CHUNK, bounded_walk
 from inkwell.schemas import MONEY, MONEY_SUM
-from inkwell.session import ensure_checkpoint_dir, written_table
+from inkwell.session import ensure_checkpoint_dir
 
 Tables = Mapping[str, DataFrame]
 
@@ -207,8 +207,9 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
     for c in HEADER_COLS:
         missing = missing | F.col(c).isNull()
     # The batch is read by every later step: write it once, headers joined to
-    # their lines and the lines to their stock rows (a table in the shared
-    # checkpoint folder), instead of re-reading and re-joining the input. A request without lines
+    # their lines and the lines to their stock rows (reliable checkpoint into
+    # spark.checkpoint.dir; the later steps read nearly all of its columns),
+    # instead of re-reading and re-joining the input. A request without lines
     # keeps one row with a NULL ISBN.
     ensure_checkpoint_dir(headers.sparkSession)
     head = headers.select(*HEADER_COLS).withColumn("_head_ok", ~missing)
@@ -223,8 +224,9 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
                        F.lit(None).cast("string").alias("ISBN"), F.lit(None).cast("int").alias("Quantity"),
                        F.lit(None).cast("int").alias("LinePos"),
                        *[c for c in head.columns if c != "RequestID"]))
-    hl = written_table(with_lines.unionByName(without).join(inv, ["StoreCode", "ISBN"], "left"),
-                       "posting-batch")
+    hl = (with_lines.unionByName(without)
+          .join(inv, ["StoreCode", "ISBN"], "left")
+          .checkpoint(eager=True))
     line_reason = (F.when(~F.col("_head_ok"), F.lit(MISSING_HEADER))
                    .when(F.col("ISBN").isNull(), F.lit(NO_LINES))
                    .when(F.col("Quantity").isNull() | (F.col("Quantity") <= 0), F.lit(INVALID_QUANTITY))
@@ -239,9 +241,9 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
     contested = demand.filter(F.col("Demand") > F.col("Available"))
     # contested lines, with their starting stock, are read several times
     # (round sizing, stock, replay, certain accepts): written once
-    c_lines = written_table(
-        live.join(contested.select("StoreCode", "ISBN"), ["StoreCode", "ISBN"], "left_semi")
-        .select("StoreCode", "RequestID", "ISBN", "Quantity", "Available"), "posting-contested")
+    c_lines = (live.join(contested.select("StoreCode", "ISBN"), ["StoreCode", "ISBN"], "left_semi")
+               .select("StoreCode", "RequestID", "ISBN", "Quantity", "Available")
+               .checkpoint(eager=True))
     c_reqs = c_lines.select("RequestID").distinct()
     certain = live.select("RequestID").distinct().join(c_reqs, "RequestID", "left_anti")
     return {
