@@ -117,3 +117,32 @@ def test_insert_purchases(spark, t):
 def test_localised_headings(t):
     df = localise(R.publisher_debt(t, "Pub"), "r11_publisher_debt")
     assert df.columns == ["نام ناشر", "جمع خرید", "جمع پرداخت‌شده", "مبلغ بدهی"]
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_batch = st.lists(st.tuples(st.integers(1, 6), st.integers(0, 9)), min_size=1, max_size=12)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(_batch)
+def test_insert_and_update_match_python(spark, reqs):
+    existing = {1: 0, 2: 0, 3: 0}
+    table = spark.createDataFrame(sorted(existing.items()), "k int, v int")
+    rows = [(i + 1, k, v) for i, (k, v) in enumerate(reqs)]
+    req = spark.createDataFrame(rows, "RequestID long, k int, v int")
+    # insert: first request per new key wins
+    ins = U.insert_new(table, req, ["k"], "RequestID")
+    want, seen = {}, set(existing)
+    for rid, k, v in rows:
+        if k not in seen:
+            want[k] = v
+            seen.add(k)
+    assert {r.k: r.v for r in ins.accepted.collect()} == want
+    assert ins.rejected.count() == len(rows) - len(want)
+    # update: last request per existing key wins
+    upd = U.update_by_key(table, req, ["k"], "RequestID", ["v"])
+    last = {k: v for _, k, v in rows}
+    expect = {k: last.get(k, v) for k, v in existing.items()}
+    assert {r.k: r.v for r in upd.table.collect()} == expect
