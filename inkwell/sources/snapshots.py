@@ -144,7 +144,9 @@ def compact_snapshot(spark: SparkSession, root: str, tables: tuple[str, ...] | N
     table and the commit record stays short. Returns the new snapshot number,
     or None when nothing needed compaction."""
     _, paths, epoch = current_snapshot(spark, root)
-    names = [n for n, p in paths.items() if len(p) >= min_folders and (tables is None or n in tables)]
+    # bucketed tables are many folders by design (one per bucket): not compacted
+    names = [n for n, p in paths.items()
+             if len(p) >= min_folders and not is_bucketed(p) and (tables is None or n in tables)]
     if not names:
         return None
     current = load_snapshot(spark, root)

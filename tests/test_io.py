@@ -86,9 +86,11 @@ def test_posting_stream(spark):
     _, paths, _ = current_snapshot(spark, root)
     assert len(paths["Sale"]) == 3                # initial empty folder + 2 batches
     from inkwell.sources.snapshots import compact_snapshot
+    inventory_folders = set(paths["Inventory"])
     assert compact_snapshot(spark, root) is not None
     _, paths, _ = current_snapshot(spark, root)
     assert len(paths["Sale"]) == 1 and len(paths["SaleLine"]) == 1
+    assert set(paths["Inventory"]) == inventory_folders          # buckets are left as they are
     assert load_snapshot(spark, root)["SaleItem"].count() == 2
     # replaying an already committed batch is a no-op
     n, _, epoch = current_snapshot(spark, root)
