@@ -183,3 +183,28 @@ def test_apply_requests(spark, tmp_path):
     assert main(["apply", "insert_books", "--root", root, "--requests", books, "--epoch", "2"]) == 0
     t = load_snapshot(spark, root)
     assert t["Book"].count() == 2 and t["Author"].count() == 2 and t["BookAuthor"].count() == 3
+
+
+def test_snapshot_from_stored_tables_then_post(spark, fixture_small, tmp_path):
+    """The deployment path: stored tables -> first snapshot -> a posted batch."""
+    from inkwell.plans.layout import write_tables
+    from inkwell.schemas import TABLES
+    from inkwell.sources.tables import load_tables
+    from inkwell.streaming.sale_stream import REQUEST_LINE_SCHEMA, post_batch
+    tables_root = str(tmp_path / "tables")
+    write_tables(fixture_small, tables_root)
+    t = load_tables(spark, tables_root)
+    root = str(tmp_path / "snap")
+    publish_snapshot(spark, root, changed={n: t[n] for n in TABLES})
+    before = load_snapshot(spark, root)
+    inv = before["Inventory"].filter("AvailableQuantity > 3").orderBy("StoreCode", "ISBN").first()
+    sales = before["Sale"].count()
+    top = before["Sale"].agg({"InvoiceNumber": "max"}).first()[0]
+    batch = spark.createDataFrame([(1, inv.StoreCode, 1, "0000000010", dt.date(2010, 1, 1), 1, inv.ISBN, 2)],
+                                  REQUEST_LINE_SCHEMA)
+    assert post_batch(spark, root, batch, 0) == 2
+    after = load_snapshot(spark, root)
+    assert after["Sale"].count() == sales + 1
+    assert after["Sale"].agg({"InvoiceNumber": "max"}).first()[0] == top + 1
+    row = after["Inventory"].filter(f"StoreCode = {inv.StoreCode} and ISBN = '{inv.ISBN}'").first()
+    assert row.AvailableQuantity == inv.AvailableQuantity - 2
