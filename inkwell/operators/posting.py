@@ -72,36 +72,44 @@ _REPLAY_SCHEMA = T.StructType([T.StructField("RequestID", T.LongType()),
                                T.StructField("Accepted", T.BooleanType())])
 
 
-def _replay_stores(lines: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
-    """The contested lines of the stores of one hash bucket; each store's
-    invoices in arrival order (stores never share stock)."""
-    avail = {(int(s), b): int(q) for s, b, q in
-             zip(stock["_sstore"].to_numpy(), stock["_sisbn"].to_numpy(), stock["Available"].to_numpy())}
-    ids: list[int] = []
-    acc: list[bool] = []
-    if len(lines):
-        lines = lines.sort_values(["StoreCode", "RequestID", "ISBN"], kind="stable")
-        store = lines["StoreCode"].to_numpy()
-        rid = lines["RequestID"].to_numpy()
-        isbn = lines["ISBN"].to_numpy()
-        qty = lines["Quantity"].to_numpy()
-        start, n = 0, len(lines)
-        while start < n:
-            end = start
-            while end < n and rid[end] == rid[start]:
-                end += 1
-            need: dict[tuple[int, str], int] = {}
-            for i in range(start, end):
-                k = (int(store[i]), isbn[i])
-                need[k] = need.get(k, 0) + int(qty[i])
-            ok = all(avail.get(k, -1) >= q for k, q in need.items())
-            if ok:
-                for k, q in need.items():
-                    avail[k] -= q
-            ids.append(int(rid[start]))
-            acc.append(ok)
-            start = end
-    return pd.DataFrame({"RequestID": pd.Series(ids, dtype="int64"), "Accepted": pd.Series(acc, dtype=bool)})
+def _replay_stores_fn():
+    """The ordered replay, built as a nested function: Spark pickles nested
+    functions with their code, so executors need only pandas, not this
+    package."""
+    import pandas as pd
+
+    def _replay_stores(lines: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
+        """The contested lines of the stores of one hash bucket; each store's
+        invoices in arrival order (stores never share stock)."""
+        avail = {(int(s), b): int(q) for s, b, q in
+                 zip(stock["_sstore"].to_numpy(), stock["_sisbn"].to_numpy(), stock["Available"].to_numpy())}
+        ids: list[int] = []
+        acc: list[bool] = []
+        if len(lines):
+            lines = lines.sort_values(["StoreCode", "RequestID", "ISBN"], kind="stable")
+            store = lines["StoreCode"].to_numpy()
+            rid = lines["RequestID"].to_numpy()
+            isbn = lines["ISBN"].to_numpy()
+            qty = lines["Quantity"].to_numpy()
+            start, n = 0, len(lines)
+            while start < n:
+                end = start
+                while end < n and rid[end] == rid[start]:
+                    end += 1
+                need: dict[tuple[int, str], int] = {}
+                for i in range(start, end):
+                    k = (int(store[i]), isbn[i])
+                    need[k] = need.get(k, 0) + int(qty[i])
+                ok = all(avail.get(k, -1) >= q for k, q in need.items())
+                if ok:
+                    for k, q in need.items():
+                        avail[k] -= q
+                ids.append(int(rid[start]))
+                acc.append(ok)
+                start = end
+        return pd.DataFrame({"RequestID": pd.Series(ids, dtype="int64"), "Accepted": pd.Series(acc, dtype=bool)})
+
+    return _replay_stores
 
 
 def _cogroup_replay(lines: DataFrame, stock: DataFrame, group: str) -> DataFrame:
@@ -114,7 +122,7 @@ def _cogroup_replay(lines: DataFrame, stock: DataFrame, group: str) -> DataFrame
     st = (stock.select(F.col("StoreCode").alias("_sstore"), F.col("ISBN").alias("_sisbn"), "Available",
                        F.pmod(F.hash(F.col(group)), F.lit(n)).alias("_sbucket")))
     return (ln.groupBy("_bucket").cogroup(st.groupBy("_sbucket"))
-            .applyInPandas(_replay_stores, _REPLAY_SCHEMA))
+            .applyInPandas(_replay_stores_fn(), _REPLAY_SCHEMA))
 
 
 def independent_groups(lines: DataFrame, max_iter: int = 30) -> DataFrame | None:

@@ -27,25 +27,32 @@ from inkwell.functions.ordinal import number_within
 DEFAULT_CHUNK = 200_000
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk every key of one bucket: rows sorted by key then arrival; the
-    state restarts at ``_state0`` whenever the key changes."""
-    kcols = [c for c in pdf.columns if c.startswith("_k")]
-    pdf = pdf.sort_values([*kcols, "_order", "_event"], kind="stable")
-    keys = pdf[kcols].to_numpy()
-    deltas = pdf["_delta"].to_numpy()
-    state0 = pdf["_state0"].to_numpy()
-    acc = [False] * len(pdf)
-    state, prev = 0, None
-    for i in range(len(pdf)):
-        k = tuple(keys[i])
-        if k != prev:
-            state, prev = int(state0[i]), k
-        d = int(deltas[i])
-        if state + d >= 0:
-            state += d
-            acc[i] = True
-    return pd.DataFrame({"_event": pdf["_event"].to_numpy(), "_accepted": acc})
+def _walk_fn():
+    """The walk, built as a nested function: Spark pickles nested functions
+    with their code, so executors need only pandas, not this package."""
+    import pandas as pd
+
+    def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Walk every key of one bucket: rows sorted by key then arrival; the
+        state restarts at ``_state0`` whenever the key changes."""
+        kcols = [c for c in pdf.columns if c.startswith("_k")]
+        pdf = pdf.sort_values([*kcols, "_order", "_event"], kind="stable")
+        keys = pdf[kcols].to_numpy()
+        deltas = pdf["_delta"].to_numpy()
+        state0 = pdf["_state0"].to_numpy()
+        acc = [False] * len(pdf)
+        state, prev = 0, None
+        for i in range(len(pdf)):
+            k = tuple(keys[i])
+            if k != prev:
+                state, prev = int(state0[i]), k
+            d = int(deltas[i])
+            if state + d >= 0:
+                state += d
+                acc[i] = True
+        return pd.DataFrame({"_event": pdf["_event"].to_numpy(), "_accepted": acc})
+
+    return _walk
 
 
 _WALK_SCHEMA = T.StructType([T.StructField("_event", T.LongType()),
@@ -86,7 +93,7 @@ def _by_bucket(df: DataFrame, keys: list[str]) -> DataFrame:
     would cost a Python round trip per key)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (df.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(n * 4)))
-            .groupBy("_bucket").applyInPandas(_walk, _WALK_SCHEMA))
+            .groupBy("_bucket").applyInPandas(_walk_fn(), _WALK_SCHEMA))
 
 
 def _walk_rounds(hard: DataFrame, keys: list[str], chunk: int) -> DataFrame:
