@@ -79,5 +79,8 @@ SCRIPT = textwrap.dedent(f"""
 def test_results_survive_task_retries(tmp_path):
     script = tmp_path / "retry_job.py"
     script.write_text(SCRIPT)
-    out = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=900)
+    # run from a folder outside the repository: Python workers cannot import
+    # the package, so the pandas steps must reach them by value
+    out = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=900,
+                         cwd=str(tmp_path))
     assert "RETRIES-OK" in out.stdout, (out.stdout[-2000:], out.stderr[-4000:])
