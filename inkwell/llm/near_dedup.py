@@ -5,15 +5,16 @@
 2. ``bands * rows`` universal hash functions (multiply-shift with random 64-bit
    odd multipliers) give minima. A band's minima make one bucket key; one byte
    of each minimum is kept as a signature.
-3. In each bucket every member is tested against the bucket's smallest id
-   only, which is linear in the bucket. Each member takes the hub it shares
-   most buckets with. Tests go by signature first and then by the full sets.
+3. In each bucket every member is tested against one hub only, which is linear
+   in the bucket: the member whose buckets are fullest, as a rule the text the
+   others were copied from. Each member takes the hub it shares most buckets
+   with. Tests go by signature first and then by the full sets.
 4. Components by alternating large-star and small-star.
 5. Buckets that now hold more than one component are compared again: members
    outside the bucket's largest component against all members, in blocks,
    skipping pairs of one component. So no pair of a bucket is left untested
-   unless it is already connected. New links are verified on full sets and the
-   components are computed once more.
+   unless it is already connected. Blocks carry the full sets and give back
+   links only; the components are computed once more.
 
 No cap on buckets, candidates or partners. With 40 bands of 6 rows a pair of
 similarity 0.8 shares a bucket with probability 1 - 5e-6 (more above 0.8).
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import ascii_words, batch, map_rows, mix64, stored, windows, word_hashes
 
 BANDS, ROWS, SEED = 40, 6, 20260101
-#: A signature may fall short of the threshold by this much: over 5 standard
+#: A signature may fall short of the threshold by this much: over 4 standard
 #: deviations of the estimate from 240 minima, so real links pass.
-MARGIN = 0.14
-BLOCK = 512
+MARGIN = 0.11
+#: Members of a bucket compared with as many others at a time.
+BLOCK = 128
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -106,22 +108,39 @@ def _signature_test(least: float):
     return run
 
 
-def _block_test(least: float):
+def _block_test(least: float, percent: int):
+    """Links between two blocks of one bucket's members. Signatures come first;
+    then pairs whose first common bucket is this one are compared in full."""
+
     def unpack(column, i):
-        one = column[i].as_py()
-        return (np.array([m[k] for m in one]) if k != "sig" else np.frombuffer(b"".join(m["sig"] for m in one), np.uint8).reshape(len(one), -1) for k in ("rep", "component", "sig"))
+        one = column.slice(i, 1).flatten()
+        rep, component = (one.field(n).to_numpy() for n in ("rep", "component"))
+        bands = one.field("bands").flatten().to_numpy().reshape(len(one), -1)
+        sig = np.frombuffer(b"".join(one.field("sig").to_pylist()), np.uint8).reshape(len(one), -1)
+        size = one.field("shingles").value_lengths().to_numpy()
+        return rep, component, bands, sig, one.field("shingles").flatten().to_numpy(), size, np.cumsum(size) - size
 
     def run(batches):
         for rb in batches:
             for i in range(rb.num_rows):
-                (ra, ca, sa), (rb_, cb, sb) = unpack(rb.column(0), i), unpack(rb.column(1), i)
+                bucket = rb.column(0)[i].as_py()
+                (ra, ca, ka, sa, xa, na, fa), (rb_, cb, kb, sb, xb, nb, fb) = unpack(rb.column(1), i), unpack(rb.column(2), i)
                 a, b = [], []
                 for j in range(len(ra)):
-                    hit = (cb != ca[j]) & (_agreement(sb, sa[j]) >= least)
-                    b.append(rb_[hit])
-                    a.append(np.full(len(b[-1]), ra[j]))
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+                    hit = np.flatnonzero((cb != ca[j]) & (_agreement(sb, sa[j]) >= least))
+                    if not len(hit):
+                        continue
+                    hit = hit[ka[j][np.argmax(kb[hit] == ka[j], axis=1)] == bucket]
+                    if not len(hit):
+                        continue
+                    own = np.sort(xa[fa[j] : fa[j] + na[j]])
+                    theirs = np.concatenate([xb[fb[o] : fb[o] + nb[o]] for o in hit])
+                    shared = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                    shared = np.add.reduceat(shared.astype(np.int64), np.cumsum(nb[hit]) - nb[hit])
+                    for o in hit[100 * shared >= percent * (na[j] + nb[hit] - shared)]:
+                        a.append(min(ra[j], rb_[o]))
+                        b.append(max(ra[j], rb_[o]))
+                yield batch({"a": pa.int64(), "b": pa.int64()}, {"a": a, "b": b})
 
     return run
 
@@ -165,17 +184,12 @@ def _sets(width: int):
     return run
 
 
-def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the similarity."""
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+def _full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``rep, shingles`` of the wanted representatives, from their texts."""
+    texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = map_rows(texts.select("doc_id", "text"), _sets(width), "rep long, set1 long, shingles array<long>")
-    sets = sets.join(reps.select("rep", "set1"), ["rep", "set1"]).dropDuplicates(["rep"]).select("rep", "shingles")
-    a, b = (sets.select(F.col("rep").alias(n), F.col("shingles").alias(f"s{n}")) for n in ("a", "b"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    found = pairs.join(a, "a").join(b, "b").withColumn("_both", both)
-    return stored(found.filter(100 * F.col("_both") >= percent * (F.size("sa") + F.size("sb") - F.col("_both"))).select("a", "b"), "links")
+    # rows may repeat an id; the set of the representative is the one meant
+    return sets.join(reps.select("rep", "set1"), ["rep", "set1"]).dropDuplicates(["rep"]).select("rep", "shingles")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,28 +207,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     reps = stored(sets.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
 
     entries = reps.select("rep", F.explode("bands").alias("bucket"))
-    hubs = entries.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    entries = stored(entries.join(hubs, "bucket"), "buckets")
-    near = entries.filter("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    entries = stored(entries.join(shared, "bucket"), "buckets")
+    fame = entries.groupBy("rep").agg(F.sum("n").alias("fame"))
+    hubs = entries.join(fame, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("hub"))
+    entries = entries.select("bucket", "rep")
+    near = entries.join(hubs, "bucket").filter("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
     near = near.groupBy("rep").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
     sig = reps.select("rep", "sig")
     near = near.join(sig, "rep").join(sig.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     pairs = map_rows(near.select(F.col("hub").alias("a"), F.col("rep").alias("b"), "sig", "hub_sig"), _signature_test(least), "a long, b long")
-    links = _linked(docs, reps, pairs, width, percent)
+    sets = stored(_full_sets(docs, reps, entries.select("rep").distinct(), width), "sets")
+    a, b = (sets.select(F.col("rep").alias(n), F.col("shingles").alias(f"s{n}")) for n in ("a", "b"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    links = pairs.join(a, "a").join(b, "b").withColumn("_both", shared)
+    links = stored(links.filter(100 * F.col("_both") >= percent * (F.size("sa") + F.size("sb") - F.col("_both"))).select("a", "b"), "links")
     found = stored(components(links), "components")
 
     # what is left: buckets with several components
     member = entries.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     per = member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("bucket").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("parts > 1")
-    member = member.join(mixed, "bucket").join(sig, "rep")
+    member = member.join(mixed, "bucket").join(reps.select("rep", "sig", "bands"), "rep").join(sets, "rep")
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
-    inside = F.collect_list(F.struct("rep", "component", "sig"))
+    inside = F.collect_list(F.struct("rep", "component", "bands", "sig", "shingles"))
     whole = member.groupBy("bucket", block.alias("block")).agg(inside.alias("b")).drop("block")
     rest = member.filter("component <> largest").groupBy("bucket", block.alias("block")).agg(inside.alias("a")).drop("block")
-    more = map_rows(rest.join(whole, "bucket").select("a", "b"), _block_test(least), "a long, b long").distinct()
-    links = links.union(_linked(docs, reps, more, width, percent))
-    found = components(links)
+    more = map_rows(rest.join(whole, "bucket").select("bucket", "a", "b"), _block_test(least, percent), "a long, b long").distinct()
+    found = components(links.union(more))
 
     by_set = reps.select("set1", "set2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.drop("bands", "sig").join(by_set, ["set1", "set2"], "left")
