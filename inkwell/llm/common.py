@@ -62,7 +62,7 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def running_sum(df: DataFrame, group: list[str], key: str, ties: list[str], value: str, out: str, rows: int, bucket_rows: int = 100_000) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], key: str, ties: list[str], value: str, out: str, rows: int, bucket_rows: int = 16_384) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the earlier rows of the group, in
     the order of ``key`` (a uniform 64-bit hash) and then ``ties``.
 
@@ -90,3 +90,28 @@ def running_sum(df: DataFrame, group: list[str], key: str, ties: list[str], valu
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared checkpoint folder and read it back."""
     return written_table(df, f"llm-{label}")
+
+
+#: Bound of the bitmap that ``among`` broadcasts: 2^25 bits in rows of 64.
+MOST_BITS = 1 << 25
+
+
+def among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among the distinct keys ``wanted``.
+
+    A bitmap of hashed keys goes first, so that only few other rows are
+    shuffled for the join. It is broadcast: at most MOST_BITS / 64 rows of 16
+    bytes, whatever the input; with more keys than that serves it only lets
+    more rows through.
+    """
+    bits = min(MOST_BITS, 1 << max(6, (16 * wanted.count()).bit_length()))
+
+    def at(name):
+        return F.xxhash64(F.col(name).cast("long")).bitwiseAND(F.lit(bits - 1))
+
+    (name,) = wanted.columns
+    marks = wanted.select(at(name).alias("_at")).selectExpr("shiftright(_at, 6) _word", "shiftleft(1L, cast(_at & 63 as int)) _bit")
+    marks = marks.groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits"))
+    some = df.withColumn("_at", at(key)).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(marks), "_word")
+    some = some.filter("shiftrightunsigned(_bits, cast(_at & 63 as int)) & 1 = 1").drop("_at", "_word", "_bits")
+    return some.join(wanted.withColumnRenamed(name, "_wanted"), F.col(key) == F.col("_wanted"), "left_semi")

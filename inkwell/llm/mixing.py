@@ -104,7 +104,8 @@ def mix(
     """
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     docs = docs.select("doc_id", "source", "size", *carry)
-    small = docs.select("source", "size")
+    small = stored(docs.select("doc_id", "source", "size"), "sizes")  # the words are counted once for the totals
+    docs = docs if carry else small
     targets = source_targets(small, weights, max_epochs)
     rows = small.count()
     named = targets.select(F.col("source").alias("_source"), "weight_class", "source_size", "target")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import ascii_words, batch, map_rows, mix64, stored, windows, word_hashes
+from inkwell.llm.common import among, ascii_words, batch, map_rows, mix64, stored, windows, word_hashes
 
 BANDS, ROWS, SEED = 40, 6, 20260101
 #: A signature may fall short of the threshold by this much: over 4 standard
@@ -186,7 +186,7 @@ def _sets(width: int):
 
 def _full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``rep, shingles`` of the wanted representatives, from their texts."""
-    texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    texts = among(docs, "doc_id", wanted)
     sets = map_rows(texts.select("doc_id", "text"), _sets(width), "rep long, set1 long, shingles array<long>")
     # rows may repeat an id; the set of the representative is the one meant
     return sets.join(reps.select("rep", "set1"), ["rep", "set1"]).dropDuplicates(["rep"]).select("rep", "shingles")
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sig = reps.select("rep", "sig")
     near = near.join(sig, "rep").join(sig.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     pairs = map_rows(near.select(F.col("hub").alias("a"), F.col("rep").alias("b"), "sig", "hub_sig"), _signature_test(least), "a long, b long")
-    sets = stored(_full_sets(docs, reps, entries.select("rep").distinct(), width), "sets")
+    sets = stored(_full_sets(docs, reps, stored(entries.select("rep").distinct(), "busy"), width), "sets")
     a, b = (sets.select(F.col("rep").alias(n), F.col("shingles").alias(f"s{n}")) for n in ("a", "b"))
     shared = F.size(F.array_intersect("sa", "sb"))
     links = pairs.join(a, "a").join(b, "b").withColumn("_both", shared)
