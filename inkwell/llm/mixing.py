@@ -81,64 +81,83 @@ def _schedule(points: Sequence[tuple[float, float]]) -> Column:
     return F.array(*out)
 
 
+def _plan(docs: DataFrame, weights, max_epochs, schedules, seed, carry) -> DataFrame:
+    """Every row with what the mix takes of it, ``_before`` (its source's words
+    before it in one pass), ``_source_words`` to take, and its ``_curve``."""
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+    docs = docs.select("doc_id", "source", "size", *carry)
+    small = stored(docs.select("doc_id", "source", "size"), "sizes")  # the words are counted once for the totals
+    targets = source_targets(small, weights, max_epochs)
+    named = targets.select(F.col("source").alias("_source"), "weight_class", "source_size", "target")
+    d = (docs if carry else small).withColumn("_key", key).join(named, F.col("source").eqNullSafe(F.col("_source")))
+    d = d.withColumn("_source", F.xxhash64("_source"))
+    d = running_sum(d, ["_source"], "_key", ["doc_id", "size"], "size", "_before", small.count())
+    whole = F.round("target").cast("long")
+    some = F.col("size") > 0
+    d = d.withColumn("_source_words", whole).withColumn("passes", F.when(some, F.floor(whole / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    left = F.col("_source_words") - F.col("passes") * F.col("source_size") - F.col("_before")
+    d = d.withColumn("rest_words", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
+    d = d.withColumn("taken", F.col("passes") * F.col("size") + F.col("rest_words"))
+    return d.withColumn("_curve", F.element_at(F.array(*[_schedule(s) for s in schedules]), F.col("weight_class") + 1))
+
+
+def _due(before: Column) -> Column:
+    """Position at which a source's word number ``before`` is due."""
+    return _position(F.least(F.lit(1.0), before / F.greatest(F.col("_source_words"), F.lit(1))), F.col("_curve"))
+
+
+def _in_order(d: DataFrame) -> DataFrame:
+    """Range-partitioned and sorted by position. Positions spread the budget
+    evenly over 0..1, so equal ranges of them make even partitions without a
+    sampling pass; rows without one are spread by hash."""
+    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.floor(F.coalesce("position", F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * n).cast("int")
+    return d.repartitionById(n, F.least(at, F.lit(n - 1))).sortWithinPartitions("position", "doc_id")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (1, 2, 3),
     max_epochs: int = 3,
     schedules: Sequence[Sequence[tuple[float, float]]] = (FALLING, LEVEL, RISING),
     seed: int = 20260102,
-    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size (its words, not null), the
-    columns of ``carry``, and ``source_size, target, taken, passes,
-    rest_words, position``, range-sorted by position.
+    """Per row of ``docs``: doc_id, source, size (its words, not null) and
+    ``source_size, target, passes, rest_words, taken, position``, range-sorted by position.
 
     ``taken`` = ``passes`` * size + ``rest_words``: whole passes, then the
     first ``rest_words`` words of one more. ``position`` is the progress at
-    which its first word is due (null where nothing is taken; such rows lie anywhere). ``schedules``
-    belong to the weights in order; a schedule is points (progress, weight)
-    from 0 to 1 with weights >= 0, of which one interval at least is positive.
-    Null sources form a source of their own, the last. Documents without words
-    are never taken. Rows equal in id and size are taken in any order, with the
-    same totals. Columns named like the added ones must not be present.
+    which its first word is due; it is null where nothing is taken, and such
+    rows lie anywhere. ``schedules`` belong to the weights in order; a schedule
+    is points (progress, weight) from 0 to 1 with weights >= 0, of which one
+    interval at least is positive. Null sources form a source of their own, the
+    last. Documents without words are never taken. Rows equal in id and size
+    are taken in any order, with the same totals. Other columns are not read.
     """
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    docs = docs.select("doc_id", "source", "size", *carry)
-    small = stored(docs.select("doc_id", "source", "size"), "sizes")  # the words are counted once for the totals
-    docs = docs if carry else small
-    targets = source_targets(small, weights, max_epochs)
-    rows = small.count()
-    named = targets.select(F.col("source").alias("_source"), "weight_class", "source_size", "target")
-    d = docs.withColumn("_key", key).join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_source", F.xxhash64("_source"))
-    d = running_sum(d, ["_source"], "_key", ["doc_id", "size"], "size", "_before", rows)
-    target = F.round("target").cast("long")
-    size = F.col("source_size")
-    passes = F.when(size > 0, F.floor(target / size)).otherwise(F.lit(0)).cast("long")
-    rest = target - passes * size
-    d = d.withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(F.lit(0)).cast("long"))
-    d = d.withColumn("rest_words", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("_before"))))
-    d = d.withColumn("taken", F.col("passes") * F.col("size") + F.col("rest_words"))
-    curve = F.element_at(F.array(*[_schedule(s) for s in schedules]), F.col("weight_class") + 1)
-    share = F.least(F.lit(1.0), F.col("_before") / F.greatest(target, F.lit(1)))
-    d = d.withColumn("position", F.when(F.col("taken") > 0, _position(share, curve)))
-    # positions spread the budget evenly over 0..1, so equal ranges of them are
-    # even partitions; no sampling pass over the input is needed
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.floor(F.coalesce("position", F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * n).cast("int")
-    d = d.drop("_key", "_source", "_before", "weight_class")
-    return d.repartitionById(n, F.least(at, F.lit(n - 1))).sortWithinPartitions("position", "doc_id")
+    d = _plan(docs, weights, max_epochs, schedules, seed, ())
+    d = _in_order(d.withColumn("position", F.when(F.col("taken") > 0, _due(F.col("_before")))))
+    return d.select("doc_id", "source", "size", "source_size", "target", "passes", "rest_words", "taken", "position")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents in training order: one row per pass, and one row
-    with the first ``rest_words`` words for the cut pass. Same columns as ``docs``."""
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (1, 2, 3),
+    max_epochs: int = 3,
+    schedules: Sequence[Sequence[tuple[float, float]]] = (FALLING, LEVEL, RISING),
+    seed: int = 20260102,
+) -> DataFrame:
+    """The mix as documents in training order: one row per pass, each at its own
+    position, and one row with the first ``rest_words`` words for the cut pass.
+    Same columns as ``docs``; ``n_chars`` follows the text where there is one."""
     d = docs.select("doc_id", "source", n_words().alias("size"), F.struct("*").alias("_doc"))
-    m = mix(d, carry=["_doc"], **options).filter("taken > 0")
-    text = F.col("_doc")["text"]
-    piece = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
-    cut = F.when(F.col("rest_words") == F.col("size"), text).otherwise(F.array_join(F.slice(piece, 1, F.greatest(F.lit(1), F.col("rest_words")).cast("int")), ""))
+    m = _plan(d, weights, max_epochs, schedules, seed, ("_doc",)).filter("taken > 0")
     times = F.col("passes") + (F.col("rest_words") > 0).cast("int")
     m = m.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    m = m.withColumn("_text", F.when(F.col("_pass") <= F.col("passes"), text).otherwise(cut))
+    m = m.withColumn("position", _due((F.col("_pass") - 1) * F.col("source_size") + F.col("_before")))
+    text = F.col("_doc")["text"]
+    piece = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
+    cut = F.array_join(F.slice(piece, 1, F.greatest(F.lit(1), F.col("rest_words")).cast("int")), "")
+    all_of_it = (F.col("_pass") <= F.col("passes")) | (F.col("rest_words") == F.col("size"))
+    m = _in_order(m.select("doc_id", "position", "_doc", F.when(all_of_it, text).otherwise(cut).alias("_text")))
     new = {"text": F.col("_text"), "n_chars": F.char_length("_text")}
     return m.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("_doc")[c].alias(c) for c in docs.columns])

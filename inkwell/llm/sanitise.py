@@ -188,7 +188,8 @@ def find_personal_data(docs: DataFrame, alpha: float = ALPHA, support: int = SUP
     out = out.withColumn("all", every)
     name = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform("all", lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["end"])), ",")
-    count = [F.size(F.filter("all", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
+    kinds = F.transform("all", lambda s: s["kind"])
+    count = [(F.size("all") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
     return out.select("doc_id", *count[:4], "base_sha256", text.alias("spans"), count[4], "all", "fp1", "fp2")
 
 
