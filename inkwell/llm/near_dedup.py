@@ -13,8 +13,9 @@
 5. Buckets that now hold more than one component are compared again: members
    outside the bucket's largest component against all members, in blocks,
    skipping pairs of one component. So no pair of a bucket is left untested
-   unless it is already connected. Blocks carry the full sets and give back
-   links only; the components are computed once more.
+   unless it is already connected. Blocks of signatures tell which members
+   have a likely partner; blocks of those carry the full sets and give back
+   links only. The components are computed once more.
 
 No cap on buckets, candidates or partners. With 40 bands of 6 rows a pair of
 similarity 0.8 shares a bucket with probability 1 - 5e-6 (more above 0.8).
@@ -108,23 +109,47 @@ def _signature_test(least: float):
     return run
 
 
+def _unpack(column, i: int, with_sets: bool):
+    """Arrays of the members in row ``i``: rep, component, sig, and with sets
+    also bands, shingles, their number and first place."""
+    one = column.slice(i, 1).flatten()
+    rep, component = (one.field(n).to_numpy() for n in ("rep", "component"))
+    sig = np.frombuffer(b"".join(one.field("sig").to_pylist()), np.uint8).reshape(len(one), -1)
+    if not with_sets:
+        return rep, component, sig
+    bands = one.field("bands").flatten().to_numpy().reshape(len(one), -1)
+    size = one.field("shingles").value_lengths().to_numpy()
+    return rep, component, sig, bands, one.field("shingles").flatten().to_numpy(), size, np.cumsum(size) - size
+
+
+def _near_members(least: float):
+    """``bucket, rep`` of the members with a partner of another component whose
+    signature agrees; at most one row for each member and block."""
+
+    def run(batches):
+        for rb in batches:
+            for i in range(rb.num_rows):
+                (ra, ca, sa), (rb_, cb, sb) = (_unpack(rb.column(c), i, False) for c in (1, 2))
+                near = set()
+                for j in range(len(ra)):
+                    hit = rb_[(cb != ca[j]) & (_agreement(sb, sa[j]) >= least)]
+                    if len(hit):
+                        near.add(ra[j])
+                        near.update(hit)
+                yield batch({"bucket": pa.int64(), "rep": pa.int64()}, {"bucket": [rb.column(0)[i].as_py()] * len(near), "rep": list(near)})
+
+    return run
+
+
 def _block_test(least: float, percent: int):
     """Links between two blocks of one bucket's members. Signatures come first;
     then pairs whose first common bucket is this one are compared in full."""
 
-    def unpack(column, i):
-        one = column.slice(i, 1).flatten()
-        rep, component = (one.field(n).to_numpy() for n in ("rep", "component"))
-        bands = one.field("bands").flatten().to_numpy().reshape(len(one), -1)
-        sig = np.frombuffer(b"".join(one.field("sig").to_pylist()), np.uint8).reshape(len(one), -1)
-        size = one.field("shingles").value_lengths().to_numpy()
-        return rep, component, bands, sig, one.field("shingles").flatten().to_numpy(), size, np.cumsum(size) - size
-
     def run(batches):
         for rb in batches:
             for i in range(rb.num_rows):
                 bucket = rb.column(0)[i].as_py()
-                (ra, ca, ka, sa, xa, na, fa), (rb_, cb, kb, sb, xb, nb, fb) = unpack(rb.column(1), i), unpack(rb.column(2), i)
+                (ra, ca, sa, ka, xa, na, fa), (rb_, cb, sb, kb, xb, nb, fb) = (_unpack(rb.column(c), i, True) for c in (1, 2))
                 a, b = [], []
                 for j in range(len(ra)):
                     hit = np.flatnonzero((cb != ca[j]) & (_agreement(sb, sa[j]) >= least))
@@ -145,6 +170,17 @@ def _block_test(least: float, percent: int):
     return run
 
 
+def _block_pairs(member: DataFrame, columns: list[str]) -> DataFrame:
+    """``bucket, a, b``: blocks of a bucket's members outside its largest
+    component (a) beside blocks of all its members (b). ``member`` has bucket,
+    rep, component, largest, size (of the bucket) and ``columns``."""
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
+    inside = F.collect_list(F.struct("rep", "component", *columns))
+    whole = member.groupBy("bucket", block.alias("block")).agg(inside.alias("b")).drop("block")
+    rest = member.filter("component <> largest").groupBy("bucket", block.alias("block")).agg(inside.alias("a")).drop("block")
+    return rest.join(whole, "bucket").select("bucket", "a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) of undirected edges ``a, b``.
 
@@ -228,12 +264,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     member = entries.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     per = member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("bucket").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("parts > 1")
-    member = member.join(mixed, "bucket").join(reps.select("rep", "sig", "bands"), "rep").join(sets, "rep")
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
-    inside = F.collect_list(F.struct("rep", "component", "bands", "sig", "shingles"))
-    whole = member.groupBy("bucket", block.alias("block")).agg(inside.alias("b")).drop("block")
-    rest = member.filter("component <> largest").groupBy("bucket", block.alias("block")).agg(inside.alias("a")).drop("block")
-    more = map_rows(rest.join(whole, "bucket").select("bucket", "a", "b"), _block_test(least, percent), "a long, b long").distinct()
+    member = stored(member.join(mixed, "bucket").drop("parts"), "mixed")
+    near = map_rows(_block_pairs(member.join(reps.select("rep", "sig"), "rep"), ["sig"]), _near_members(least), "bucket long, rep long")
+    near = member.drop("size").join(near.distinct(), ["bucket", "rep"])
+    near = stored(near, "near")
+    near = near.join(near.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket")
+    near = near.join(reps.select("rep", "sig", "bands"), "rep").join(sets, "rep")
+    more = map_rows(_block_pairs(near, ["sig", "bands", "shingles"]), _block_test(least, percent), "a long, b long").distinct()
     found = components(links.union(more))
 
     by_set = reps.select("set1", "set2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", F.coalesce("component", "rep").alias("component_id"))

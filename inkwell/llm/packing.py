@@ -31,15 +31,14 @@ _PIECE = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_
 
 def _pieces(sequence: int, end_id: int, paths: tuple[str, str]):
     def run(batches):
-        encoder, end = Encoder(*paths), np.array([end_id], "<u4").tobytes()
-        step = 4 * sequence
+        encoder = Encoder(*paths)
         for rb in batches:
             out = {n: [] for n in _PIECE}
             for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
-                ids = encoder.ids(text or "") + end
-                for at in range(0, len(ids), step):
-                    piece = ids[at : at + step]
-                    for n, v in zip(_PIECE, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)):
+                ids = np.append(encoder.ids(text or ""), end_id).astype("<u4")
+                for at in range(0, len(ids), sequence):
+                    piece = ids[at : at + sequence]
+                    for n, v in zip(_PIECE, (doc_id, at, len(piece), zlib.crc32(piece), len(ids))):
                         out[n].append(v)
             yield batch(_PIECE, out)
 

@@ -1,17 +1,14 @@
-"""Token ids of the byte-level BPE vocabulary, fast and exact.
+"""Token ids of the byte-level BPE vocabulary.
 
 The ids equal ``tokenizers.Tokenizer.from_file(path).encode(text,
 add_special_tokens=False).ids``; tests compare the two. The encoder used here
-reads the same vocabulary as merge ranks. The split pattern always ends a token
-before a single space that stands between two non-spaces, so a text falls apart
-at such spaces and each part's ids can be kept in a bounded table.
+reads the same vocabulary as merge ranks and is several times faster.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import re
 
 import numpy as np
 import public_tokenizers
@@ -21,42 +18,20 @@ END_OF_TEXT = "<|endoftext|>"
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
-class Encoder(dict):
-    """Maps a part of a text to its ids as little-endian unsigned 32-bit bytes."""
-
-    LIMIT = 300_000
-    LONGEST = 64
-    _mixed = re.compile(r" \s|\s ")
+class Encoder:
+    """Maps a text to its ids (unsigned 32 bit)."""
 
     def __init__(self, vocabulary: str, ranks: str):
-        super().__init__()
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         with open(vocabulary, encoding="utf-8") as f:
             added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        self.end = np.array([added[END_OF_TEXT]], "<u4").tobytes()
-        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-
-    def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.bpe.encode_ordinary(part), "<u4").tobytes()
-        if len(part) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[part] = ids
-        return ids
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0] == " " or text[-1] == " " or self._mixed.search(text):
-            return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + p] for p in rest])
-
-    def ids(self, text: str) -> bytes:
-        if END_OF_TEXT in text:
-            return self.end.join(map(self._plain, text.split(END_OF_TEXT)))
-        return self._plain(text)
+        # the vocabulary file's special token is one id wherever it stands in a text
+        self.end = added[END_OF_TEXT]
+        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={END_OF_TEXT: self.end})
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.bpe.encode_to_numpy(text, allowed_special="all")
 
 
 def default_paths() -> tuple[str, str]:

@@ -2,20 +2,22 @@
 
 1. Texts become token ids (unsigned 16 bit), an end-of-text id after each, and
    each scan partition's stream is cut into sequences of fixed length; its last
-   one is padded with the end id. A first pass only counts sequences, so ids
-   are neither stored twice nor shuffled twice.
-2. A sequence's index (partitions in order) goes through a keyed Feistel
-   permutation of the next power of four; results out of range walk the cycle
-   until they fall in range. Every sequence so gets one global slot, and any
-   slot can be computed without a table.
-3. Sequences are range-partitioned by shard, sorted by slot, and written as
-   records of a fixed stride: slot s is at byte (s mod per_shard) * stride of
-   shard s div per_shard, so a reader can resume at any slot.
+   one is padded with the end id.
+2. A text has no more ids than bytes, so the partitions' sizes in bytes bound
+   their numbers of sequences before any text is encoded. Partition by
+   partition, the bounds give every sequence its own index, and all indexes
+   together the size of the permutation.
+3. The index goes through a keyed Feistel permutation of the next power of
+   four; results out of range walk the cycle until they fall in range. That is
+   the sequence's place in the training order, known without any other
+   sequence, so texts are encoded once.
+4. Sequences are range-partitioned by place, sorted, and written as records of
+   a fixed stride, one file per range. A sequence's slot is its rank: the
+   records in earlier files plus its record number. Slots have no gaps, and a
+   reader resumes at slot s from the files' record counts alone.
 
 Files are written under temporary names and renamed when whole, so a task that
-runs again after a lost executor replaces its shard. The second pass must see
-the partitions of the first: a checksum of each partition's ids and lengths is
-compared and the job fails if the input's order has changed.
+runs again after a lost executor replaces its file with the same bytes.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import batch, map_rows, mix64, stored
 from inkwell.llm.tokens import Encoder, default_paths
 from inkwell.session import ensure_checkpoint_dir
 
-SEQUENCE, PER_SHARD, KEY, ROUNDS = 2048, 4096, 20260108, 6
+#: Places of the order per file; two to four of them hold a sequence each.
+SEQUENCE, PLACES, KEY, ROUNDS = 2048, 32768, 20260108, 6
 
 
 def permute(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
@@ -56,77 +59,63 @@ def permute(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
 
 
 def _streams(batches, sequence: int, paths: tuple[str, str]):
-    """Sequences of one partition: (ids, first doc_id, ids that are not padding, checksum so far)."""
+    """Sequences of one partition: (first doc_id that starts in it, documents
+    that start in it, ids that are not padding, ids)."""
     encoder = Encoder(*paths)
-    end = int(np.frombuffer(encoder.end, "<u4")[0])
-    rest, first, check = np.empty(0, "<u2"), [], 0
+    rest, first = np.empty(0, "<u2"), []
     for rb in batches:
         for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
-            ids = np.append(np.frombuffer(encoder.ids(text or ""), "<u4"), end).astype("<u2")
-            check = zlib.crc32(f"{doc_id}:{len(ids)};".encode(), check)
             first.append((len(rest), doc_id))
-            rest = np.concatenate([rest, ids])
-            if len(rest) >= sequence:
-                whole = len(rest) // sequence * sequence
-                for at in range(0, whole, sequence):
-                    starts = [d for a, d in first if at <= a < at + sequence]
-                    yield rest[at : at + sequence], starts[0] if starts else None, len(starts), sequence, check
+            rest = np.concatenate([rest, np.append(encoder.ids(text or ""), encoder.end).astype("<u2")])
+            whole = len(rest) // sequence * sequence
+            for at in range(0, whole, sequence):
+                starts = [d for a, d in first if at <= a < at + sequence]
+                yield starts[0] if starts else None, len(starts), sequence, rest[at : at + sequence]
+            if whole:
                 first = [(a - whole, d) for a, d in first if a >= whole]
                 rest = rest[whole:]
     if len(rest):
-        yield np.append(rest, np.full(sequence - len(rest), end, "<u2")), first[0][1] if first else None, len(first), len(rest), check
+        yield first[0][1] if first else None, len(first), len(rest), np.append(rest, np.full(sequence - len(rest), encoder.end, "<u2"))
 
 
-def _count(sequence, paths):
-    kinds = {"part": pa.int64(), "n": pa.int64(), "check": pa.int64()}
-
-    def run(batches):
-        n, check = 0, 0
-        for *_, check in _streams(batches, sequence, paths):
-            n += 1
-        yield batch(kinds, {"part": [TaskContext.get().partitionId()], "n": [n], "check": [check]})
-
-    return run
-
-
-_SEQ = {"slot": pa.int64(), "shard": pa.int64(), "first_doc": pa.int64(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary()}
+_SEQ = {"place": pa.int64(), "first_doc": pa.int64(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary()}
 
 
-def _sequences(sequence, paths, first, checks, size, per_shard, key):
+def _sequences(sequence, paths, first, bound, size, key):
     def run(batches):
         part = TaskContext.get().partitionId()
-        held, at, check = {n: [] for n in _SEQ}, first.get(part, 0), 0
+        held, at = {n: [] for n in _SEQ}, 0
 
         def out():
-            slot = permute(np.arange(at - len(held["ids"]), at), size, key)
-            return batch(_SEQ, held | {"slot": slot, "shard": slot // per_shard})
+            index = first[part] + np.arange(at - len(held["ids"]), at)
+            return batch(_SEQ, held | {"place": permute(index, size, key)})
 
-        for ids, doc, docs, used, check in _streams(batches, sequence, paths):
-            for n, v in zip(("first_doc", "n_docs", "n_tokens", "ids"), (doc, docs, used, ids.tobytes())):
+        for *about, ids in _streams(batches, sequence, paths):
+            if at >= bound.get(part, 0):
+                raise RuntimeError("the input's partitions changed; write it to a table first")
+            for n, v in zip(list(_SEQ)[1:], (*about, ids.tobytes())):
                 held[n].append(v)
             at += 1
             if len(held["ids"]) >= 512:
                 yield out()
                 held = {n: [] for n in _SEQ}
-        if check != checks.get(part, 0):
-            raise RuntimeError("the documents' order changed between the passes; write them to a table first")
         if held["ids"]:
             yield out()
 
     return run
 
 
-_INDEX = {"slot": pa.int64(), "shard": pa.int64(), "record": pa.int64(), "first_doc": pa.int64(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}
+_INDEX = {"place": pa.int64(), "shard": pa.int64(), "record": pa.int64(), "first_doc": pa.int64(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}
 
 
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def _write(folder: str, per_shard: int):
+def _write(folder: str, places: int):
     def run(batches):
         where, base = fs.FileSystem.from_uri(folder)
-        shard, sink, name = None, None, ""
+        shard, sink, name, record = None, None, "", 0
 
         def close():
             if sink is not None:
@@ -134,43 +123,49 @@ def _write(folder: str, per_shard: int):
                 where.move(name, f"{base}/{shard_name(shard)}")
 
         for rb in batches:
-            slots, ids = rb.column(0).to_numpy(), rb.column(5)
-            of = slots // per_shard
+            of, ids, records = rb.column(0).to_numpy() // places, rb.column(4), []
             for i in range(rb.num_rows):
                 if of[i] != shard:
                     close()
-                    shard, name = int(of[i]), f"{base}/.{uuid.uuid4().hex}.part"
+                    shard, name, record = int(of[i]), f"{base}/.{uuid.uuid4().hex}.part", 0
                     sink = where.open_output_stream(name)
                 sink.write(ids[i].as_buffer())
+                records.append(record)
+                record += 1
             crc = [zlib.crc32(x.as_buffer()) for x in ids]
-            yield batch(_INDEX, {"slot": slots, "shard": of, "record": slots % per_shard, "first_doc": rb.column(2), "n_docs": rb.column(3), "n_tokens": rb.column(4), "ids_crc32": crc})
+            yield batch(_INDEX, {"place": rb.column(0), "shard": of, "record": records, "first_doc": rb.column(1), "n_docs": rb.column(2), "n_tokens": rb.column(3), "ids_crc32": crc})
         close()
 
     return run
 
 
-def materialise(docs: DataFrame, folder: str | None = None, sequence: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = KEY, paths: tuple[str, str] | None = None) -> DataFrame:
+def materialise(docs: DataFrame, folder: str | None = None, sequence: int = SEQUENCE, places: int = PLACES, key: int = KEY, paths: tuple[str, str] | None = None) -> DataFrame:
     """Write the shards to ``folder`` (a shared one; by default a new one in the
-    checkpoint folder) and return their index, one row per sequence: slot, shard,
-    record, first_doc (first document that starts in it), n_docs (documents
-    that start in it), n_tokens (without padding), ids_crc32.
+    checkpoint folder) and return their index, one row per sequence: slot,
+    place, shard, record, first_doc (first document that starts in it), n_docs
+    (documents that start in it), n_tokens (without padding), ids_crc32.
 
     A null or empty text is only its end-of-text id. Rows that repeat are
     written as often. An empty input writes no shard. Only doc_id and text are
-    read; ``docs`` must come from stored files, in whose order it is read.
+    read; ``docs`` must come from stored files, whose scan partitions are the
+    same each time.
     """
-    paths = paths or default_paths()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = map_rows(d, _count(sequence, paths), "part long, n long, check long").orderBy("part").collect()  # a row per task
-    first, checks, size = {}, {}, 0
-    for part, n, check in parts:
-        first[part], checks[part] = size, check
-        size += n
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    parts = d.groupBy(F.spark_partition_id().alias("part")).agg(size.alias("n")).collect()  # a row per scan task
+    first, bound, total = {}, {}, 0
+    for part, n in sorted(parts):
+        first[part], bound[part] = total, -(-n // sequence)
+        total += bound[part]
     if folder is None:
         folder = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/training-order-{uuid.uuid4().hex}"
     where, base = fs.FileSystem.from_uri(folder)
     where.create_dir(base, recursive=True)
-    shards = max(1, -(-size // per_shard))
-    s = map_rows(d, _sequences(sequence, paths, first, checks, size, per_shard, key), "slot long, shard long, first_doc long, n_docs long, n_tokens long, ids binary")
-    s = s.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")  # ranges of slots
-    return stored(map_rows(s, _write(folder, per_shard), "slot long, shard long, record long, first_doc long, n_docs long, n_tokens long, ids_crc32 long"), "order")
+    s = map_rows(d, _sequences(sequence, paths or default_paths(), first, bound, total, key), "place long, first_doc long, n_docs long, n_tokens long, ids binary")
+    shard = F.floor(F.col("place") / places).cast("int")
+    s = s.repartitionById(max(1, -(-total // places)), shard).sortWithinPartitions("place")  # ranges of places
+    index = stored(map_rows(s, _write(folder, places), "place long, shard long, record long, first_doc long, n_docs long, n_tokens long, ids_crc32 long"), "order")
+    # one row per file: the only table that is summed in one task
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    files = index.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    return index.join(files, "shard").select((F.col("_first") + F.col("record")).alias("slot"), "place", "shard", "record", "first_doc", "n_docs", "n_tokens", "ids_crc32")
