@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,7 +16,16 @@ from inkwell.session import written_table
 #: Words of the contract's plain form: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch sent to Python; a batch of very long texts stays small.
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def _give_back_memory() -> None:
+    """Python workers serve many tasks: free memory goes back to the system
+    between them, so that one task's peak does not stay with the executor."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -24,7 +34,12 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     now = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        _give_back_memory()
+
+    return df.mapInArrow(run, schema)
 
 
 def batch(columns: dict[str, pa.DataType], values: dict[str, Iterable]) -> pa.RecordBatch:

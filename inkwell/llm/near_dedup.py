@@ -36,7 +36,7 @@ BANDS, ROWS, SEED = 40, 6, 20260101
 #: deviations of the estimate from 240 minima, so real links pass.
 MARGIN = 0.11
 #: Members of a bucket compared with as many others at a time.
-BLOCK = 128
+SIGNATURE_BLOCK, SET_BLOCK = 2048, 128
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -170,11 +170,11 @@ def _block_test(least: float, percent: int):
     return run
 
 
-def _block_pairs(member: DataFrame, columns: list[str]) -> DataFrame:
+def _block_pairs(member: DataFrame, columns: list[str], size: int) -> DataFrame:
     """``bucket, a, b``: blocks of a bucket's members outside its largest
     component (a) beside blocks of all its members (b). ``member`` has bucket,
     rep, component, largest, size (of the bucket) and ``columns``."""
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / size))
     inside = F.collect_list(F.struct("rep", "component", *columns))
     whole = member.groupBy("bucket", block.alias("block")).agg(inside.alias("b")).drop("block")
     rest = member.filter("component <> largest").groupBy("bucket", block.alias("block")).agg(inside.alias("a")).drop("block")
@@ -265,12 +265,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     per = member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("bucket").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("parts > 1")
     member = stored(member.join(mixed, "bucket").drop("parts"), "mixed")
-    near = map_rows(_block_pairs(member.join(reps.select("rep", "sig"), "rep"), ["sig"]), _near_members(least), "bucket long, rep long")
+    near = map_rows(_block_pairs(member.join(reps.select("rep", "sig"), "rep"), ["sig"], SIGNATURE_BLOCK), _near_members(least), "bucket long, rep long")
     near = member.drop("size").join(near.distinct(), ["bucket", "rep"])
     near = stored(near, "near")
     near = near.join(near.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket")
     near = near.join(reps.select("rep", "sig", "bands"), "rep").join(sets, "rep")
-    more = map_rows(_block_pairs(near, ["sig", "bands", "shingles"]), _block_test(least, percent), "a long, b long").distinct()
+    more = map_rows(_block_pairs(near, ["sig", "bands", "shingles"], SET_BLOCK), _block_test(least, percent), "a long, b long").distinct()
     found = components(links.union(more))
 
     by_set = reps.select("set1", "set2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", F.coalesce("component", "rep").alias("component_id"))

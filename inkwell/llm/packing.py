@@ -31,7 +31,7 @@ _PIECE = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_
 
 def _pieces(sequence: int, end_id: int, paths: tuple[str, str]):
     def run(batches):
-        encoder = Encoder(*paths)
+        encoder = Encoder.load(*paths)
         for rb in batches:
             out = {n: [] for n in _PIECE}
             for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,6 +22,12 @@ VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 class Encoder:
     """Maps a text to its ids (unsigned 32 bit)."""
 
+    # once per Python worker, not per task
+    @classmethod
+    @lru_cache(maxsize=1)
+    def load(cls, vocabulary: str, ranks: str) -> Encoder:
+        return cls(vocabulary, ranks)
+
     def __init__(self, vocabulary: str, ranks: str):
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

@@ -61,7 +61,7 @@ def permute(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
 def _streams(batches, sequence: int, paths: tuple[str, str]):
     """Sequences of one partition: (first doc_id that starts in it, documents
     that start in it, ids that are not padding, ids)."""
-    encoder = Encoder(*paths)
+    encoder = Encoder.load(*paths)
     rest, first = np.empty(0, "<u2"), []
     for rb in batches:
         for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
