@@ -221,11 +221,11 @@ def _sets(width: int):
 
 
 def _full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``rep, shingles`` of the wanted representatives, from their texts."""
+    """``rep, sig, bands, shingles`` of the wanted representatives, from their texts."""
     texts = among(docs, "doc_id", wanted)
     sets = map_rows(texts.select("doc_id", "text"), _sets(width), "rep long, set1 long, shingles array<long>")
     # rows may repeat an id; the set of the representative is the one meant
-    return sets.join(reps.select("rep", "set1"), ["rep", "set1"]).dropDuplicates(["rep"]).select("rep", "shingles")
+    return sets.dropDuplicates(["rep", "set1"]).join(reps.select("rep", "set1", "sig", "bands"), ["rep", "set1"]).select("rep", "sig", "bands", "shingles")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,10 +250,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     entries = entries.select("bucket", "rep")
     near = entries.join(hubs, "bucket").filter("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
     near = near.groupBy("rep").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-    sig = reps.select("rep", "sig")
+    # all that later rounds need of the documents that share a bucket at all
+    sets = stored(_full_sets(docs, reps, stored(entries.select("rep").distinct(), "busy"), width), "sets")
+    sig = sets.select("rep", "sig")
     near = near.join(sig, "rep").join(sig.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     pairs = map_rows(near.select(F.col("hub").alias("a"), F.col("rep").alias("b"), "sig", "hub_sig"), _signature_test(least), "a long, b long")
-    sets = stored(_full_sets(docs, reps, stored(entries.select("rep").distinct(), "busy"), width), "sets")
     a, b = (sets.select(F.col("rep").alias(n), F.col("shingles").alias(f"s{n}")) for n in ("a", "b"))
     shared = F.size(F.array_intersect("sa", "sb"))
     links = pairs.join(a, "a").join(b, "b").withColumn("_both", shared)
@@ -265,11 +266,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     per = member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("bucket").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("parts > 1")
     member = stored(member.join(mixed, "bucket").drop("parts"), "mixed")
-    near = map_rows(_block_pairs(member.join(reps.select("rep", "sig"), "rep"), ["sig"], SIGNATURE_BLOCK), _near_members(least), "bucket long, rep long")
+    near = map_rows(_block_pairs(member.join(sig, "rep"), ["sig"], SIGNATURE_BLOCK), _near_members(least), "bucket long, rep long")
     near = member.drop("size").join(near.distinct(), ["bucket", "rep"])
     near = stored(near, "near")
     near = near.join(near.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket")
-    near = near.join(reps.select("rep", "sig", "bands"), "rep").join(sets, "rep")
+    near = near.join(sets, "rep")
     more = map_rows(_block_pairs(near, ["sig", "bands", "shingles"], SET_BLOCK), _block_test(least, percent), "a long, b long").distinct()
     found = components(links.union(more))
 
