@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -37,7 +38,7 @@ EM_STEPS = 1
 #: Bound of the table sent to tasks (pieces x languages doubles): refuse more.
 MOST_LANGUAGES = 512
 _WORD = re.compile(r"[^\W\d_]+")
-_FLUSH, _KEEP = 100_000, 200_000
+_FLUSH, _KEEP = 100_000, 400_000
 
 
 def words_of(text: str) -> list[str]:
@@ -54,6 +55,12 @@ def words_of(text: str) -> list[str]:
 class Pieces:
     """The vocabulary's pieces of letters; one more stands for any letter it lacks."""
 
+    # once per Python worker, not per task
+    @classmethod
+    @lru_cache(maxsize=1)
+    def load(cls, path: str) -> Pieces:
+        return cls(path)
+
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         kept = sorted({p for p in map(model.id_to_piece, range(model.get_piece_size())) if not p.startswith("<") and all(c.isalpha() or c == MARK for c in p) and MARK not in p[1:]} | {MARK})
@@ -145,7 +152,7 @@ def _count_words(batches):
 
 def _em(path: str, langs: list[str], p: np.ndarray | None):
     def run(batches):
-        pieces, at = Pieces(path), {x: i for i, x in enumerate(langs)}
+        pieces, at = Pieces.load(path), {x: i for i, x in enumerate(langs)}
         flat = np.full((pieces.other + 1, 1), 1 / (pieces.other + 1))
         total = np.zeros((len(langs), pieces.other + 1))
         for rb in batches:
@@ -170,7 +177,7 @@ def train(labelled: DataFrame, path: str, steps: int = EM_STEPS) -> tuple[list[s
     langs = [r[0] for r in labelled.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    size, p = Pieces(path).other + 1, None
+    size, p = Pieces.load(path).other + 1, None
     for _ in range(steps if langs else 0):
         counts = map_rows(words, _em(path, langs, p), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         table = np.full((size, len(langs)), SMOOTHING)
@@ -181,39 +188,25 @@ def train(labelled: DataFrame, path: str, steps: int = EM_STEPS) -> tuple[list[s
 
 
 def _predict(path: str, langs: list[str], p: np.ndarray | None):
-    letter = re.compile(r"[^\W\d_]")
-
-    def scores(text, pieces, known):
-        words = words_of(text)
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > _KEEP:
-            known.clear()
-            new = list(set(words))
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            known.update(zip(some, forward(pieces, some, p)))
-        return np.sum([known[w] for w in words], axis=0)
-
     def run(batches):
-        pieces, known = Pieces(path), {}
+        pieces = Pieces.load(path)
+        known, table = {}, np.empty((0, len(langs)))  # a word's row in the table of log P
         for rb in batches:
-            texts = rb.column(2).to_pylist()
-            langs_, score = [], []
-            fresh = list({w for t in texts if t for w in words_of(t)} - known.keys()) if langs else []
-            if len(known) + len(fresh) <= _KEEP:  # one pass for the words of the whole batch
-                for lo in range(0, len(fresh), 4096):
-                    some = fresh[lo : lo + 4096]
-                    known.update(zip(some, forward(pieces, some, p)))
-            for text in texts:
-                if not langs or not text or not letter.search(text) or not any(c.isalpha() for c in text):
-                    langs_.append("und")
-                    score.append(0.0)
-                    continue
-                s = scores(text, pieces, known)
-                best = int(np.argmax(s))
-                langs_.append(langs[best])
-                score.append(float(1 / np.exp(s - s[best]).sum()))
-            yield batch({"doc_id": pa.int64(), "held_out": pa.bool_(), "lang_pred": pa.string(), "score": pa.float64()}, {"doc_id": rb.column(0), "held_out": rb.column(1), "lang_pred": langs_, "score": score})
+            words = [words_of(t) if t and langs and any(map(str.isalpha, t)) else [] for t in rb.column(2).to_pylist()]
+            fresh = set().union(*words) - known.keys()
+            if len(known) + len(fresh) > _KEEP:
+                known, table, fresh = {}, table[:0], set().union(*words)
+            fresh = list(fresh)
+            rows = [forward(pieces, fresh[lo : lo + 8192], p) for lo in range(0, len(fresh), 8192)]
+            known.update(zip(fresh, range(len(table), len(table) + len(fresh))))
+            table = np.concatenate([table, *rows])
+            pred, score = [], []
+            for text in words:
+                s = table[np.fromiter(map(known.__getitem__, text), np.int64, len(text))].sum(axis=0)
+                best = int(np.argmax(s)) if text else -1
+                pred.append(langs[best] if text else "und")
+                score.append(float(1 / np.exp(s - s[best]).sum()) if text else 0.0)
+            yield batch({"doc_id": pa.int64(), "held_out": pa.bool_(), "lang_pred": pa.string(), "score": pa.float64()}, {"doc_id": rb.column(0), "held_out": rb.column(1), "lang_pred": pred, "score": score})
 
     return run
 
