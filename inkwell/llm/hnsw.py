@@ -228,7 +228,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
     dims = merged.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     shards = F.ceil(F.col("n") / shard_rows)
     dealt = merged.withColumn("dim", F.size("embedding")).join(dims, "dim").withColumn("shard", F.hash("dim", F.pmod("h", shards)))
-    graphs = dealt.groupBy("shard", "dim").applyInArrow(lambda key, t: _build_shard(key, t), _GRAPH_SCHEMA)
+    # graphs take far longer to build than their rows suggest: a task each, not merged
+    tasks = max(1, 4 * -(-merged.count() // shard_rows))
+    graphs = dealt.repartition(tasks, "shard", "dim").groupBy("shard", "dim").applyInArrow(lambda key, t: _build_shard(key, t), _GRAPH_SCHEMA)
     graphs = stored(graphs, "graphs")
 
     names = graphs.select("shard", "dim")
