@@ -39,9 +39,7 @@ def like_to_regex(pattern: str) -> str:
                 neg = body.startswith("^")
                 if neg:
                     body = body[1:]
-                # keep ranges a-z, escape everything else inside the class
-                cls = "".join(c if c == "-" else re.escape(c) for c in body)
-                out.append(f"[{'^' if neg else ''}{cls}]")
+                out.append(_char_class(body, neg))
                 i = end
         else:
             out.append(re.escape(ch))
@@ -50,6 +48,23 @@ def like_to_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def _char_class(body: str, neg: bool) -> str:
+    """A character class with its ranges. An empty class, and a range that
+    runs backwards, match no character, rather than failing the job."""
+    parts, i = [], 0
+    while i < len(body):
+        if i + 2 < len(body) and body[i + 1] == "-":
+            if body[i] <= body[i + 2]:
+                parts.append(f"{re.escape(body[i])}-{re.escape(body[i + 2])}")
+            i += 3
+        else:
+            parts.append(re.escape(body[i]))
+            i += 1
+    if not parts:
+        return "." if neg and body else "(?!)"
+    return f"[{'^' if neg else ''}{''.join(parts)}]"
+
+
 def _collated(col: Column, collation: str | None) -> Column:
     return F.collate(col, collation) if collation else col
 
@@ -63,7 +78,7 @@ def text_match(col: Column | str, text: str, mode: str = "contains",
     if mode == "like":
         rx = like_to_regex(f"%{text}%")
         if collation and collation.upper().startswith(("UTF8_LCASE", "UNICODE_CI")):
-            rx = "(?i)" + rx
+            rx = "(?iu)" + rx  # letters beyond ASCII too, as contains folds them
         return c.rlike(rx)
     raise ValueError(f"unknown text match mode: {mode!r}")
 

@@ -85,3 +85,11 @@ def test_trailing_blank_equality(spark):
     assert df.filter(equals("v", "Tehran")).count() == 1
     assert df.filter(equals("v", "Tehran", collation="UTF8_BINARY_RTRIM")).count() == 2
     assert df.filter(equals("v", "tehran ", collation="UTF8_LCASE_RTRIM")).count() == 3
+
+
+def test_like_mode_odd_classes_and_case(spark):
+    df = spark.createDataFrame([("École",), ("abc",), ("a-z",)], "v string")
+    got = lambda text, **kw: sorted(r.v for r in df.filter(text_match("v", text, mode="like", **kw)).collect())
+    assert got("[]") == got("[^]") == got("[z-a]") == []
+    assert got("[^z-a]bc") == ["abc"] and got("a[-]z") == ["a-z"] and got("[a-c]bc") == ["abc"]
+    assert got("école", collation="UTF8_LCASE") == ["École"]
