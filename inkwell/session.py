@@ -87,8 +87,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only where none is set (a
-    local test) create a private scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``; only where none is set and
+    the session is local (a test) create a private scratch folder."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001  (Spark Connect: the server's spark.checkpoint.dir applies)
@@ -98,6 +98,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="inkwell-ckpt-")
     sc.setCheckpointDir(d)
     return d
