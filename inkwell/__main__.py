@@ -25,6 +25,8 @@ import inspect
 import sys
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from inkwell.functions.headings import REPORT_HEADINGS, localise
 from inkwell.operators import quality, reports
 from inkwell.session import apply_cluster_defaults, ensure_checkpoint_dir
@@ -112,15 +114,18 @@ def main(argv: list[str] | None = None) -> int:
         print(f"published snapshot {new}" if new is not None else f"batch {args.epoch} already applied")
         rejected.groupBy("Reason").count().show(truncate=False)
     else:
-        from inkwell.sources.snapshots import current_snapshot
+        from inkwell.sources.snapshots import last_epochs, load_refused
         from inkwell.streaming import sale_stream as S
-        schema, apply = ((S.REQUEST_LINE_SCHEMA, S.post_batch) if args.cmd == "post"
-                         else (S.ADJUSTMENT_SCHEMA, S.adjust_batch))
+        schema, apply, source = ((S.REQUEST_LINE_SCHEMA, S.post_batch, S.SALES) if args.cmd == "post"
+                                 else (S.ADJUSTMENT_SCHEMA, S.adjust_batch, S.ADJUSTMENTS))
         batch = spark.read.schema(schema).parquet(args.requests)
-        _, _, last = current_snapshot(spark, args.root)
-        epoch = args.epoch if args.epoch is not None else (0 if last is None else last + 1)
+        last = last_epochs(spark, args.root).get(source, -1)
+        epoch = args.epoch if args.epoch is not None else last + 1
         new = apply(spark, args.root, batch, epoch)
         print(f"published snapshot {new}" if new is not None else f"batch {epoch} already posted")
+        if new is not None:
+            refused = load_refused(spark, args.root).filter(F.col("snapshot") == new)
+            refused.groupBy("Reason").count().show(truncate=False)
     return 0
 
 

@@ -12,8 +12,8 @@ arrival order (``RequestID``):
 
 Plan (exact w.r.t. the sequential semantics; stock only falls in a batch):
 
-1. Lines with no stock row or more than the starting stock can never
-   succeed: their invoices are rejected at once.
+1. Lines with no header, no stock row, no book or more than the starting
+   stock can never succeed: their invoices are rejected at once.
 2. Summing the remaining demand per (store, ISBN): pairs whose demand fits
    the stock are *uncontested*; an invoice touching only such pairs is
    accepted whatever the order.
@@ -191,7 +191,7 @@ def _replay(lines: DataFrame, stock: DataFrame, chunk: int,
 # --- W1 --------------------------------------------------------------------------
 def merge_lines(lines: DataFrame) -> DataFrame:
     """W4 merge: the same book twice in one request becomes one line at its
-    first position."""
+    first position. The sum stays a long: it may exceed any stock."""
     pos = F.col("LinePos") if "LinePos" in lines.columns else F.lit(1)
     bad = F.col("Quantity").isNull() | (F.col("Quantity") <= 0)
     merged = (lines.withColumn("LinePos", pos)
@@ -200,7 +200,7 @@ def merge_lines(lines: DataFrame) -> DataFrame:
                    F.min("LinePos").alias("LinePos")))
     # a missing or non-positive quantity on any addition makes the line invalid
     return merged.select("RequestID", "ISBN",
-                         F.when(F.col("_bad") == 1, F.lit(None)).otherwise(F.col("_q")).cast("int")
+                         F.when(F.col("_bad") == 1, F.lit(None)).otherwise(F.col("_q"))
                          .alias("Quantity"), "LinePos")
 
 
@@ -222,27 +222,30 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
     ensure_checkpoint_dir(headers.sparkSession)
     head = headers.select(*HEADER_COLS).withColumn("_head_ok", ~missing)
     inv = t["Inventory"].select("StoreCode", "ISBN", F.col("AvailableQuantity").alias("Available"))
-    # Lines are the big side: an inner join with the headers (AQE can split a
-    # request that holds many lines) plus the requests that have none; then a
-    # left join to stock with the lines as the preserved, splittable side.
+    # Lines are the big side, preserved and splittable in each left join: with
+    # the headers (a line without one is refused, not dropped), then with stock
+    # and books (only a book the store stocks and the catalogue holds is sold);
+    # plus the requests that have no lines.
     merged = merge_lines(lines)
-    with_lines = merged.join(head, "RequestID")
+    book = t["Book"].select("ISBN", F.lit(True).alias("_book"))
+    with_lines = merged.join(head, "RequestID", "left")
     without = (head.join(merged.select("RequestID").distinct(), "RequestID", "left_anti")
                .select("RequestID",
-                       F.lit(None).cast("string").alias("ISBN"), F.lit(None).cast("int").alias("Quantity"),
+                       F.lit(None).cast("string").alias("ISBN"), F.lit(None).cast("long").alias("Quantity"),
                        F.lit(None).cast("int").alias("LinePos"),
                        *[c for c in head.columns if c != "RequestID"]))
     hl = (with_lines.unionByName(without)
-          .join(inv, ["StoreCode", "ISBN"], "left")
+          .join(inv, ["StoreCode", "ISBN"], "left").join(book, "ISBN", "left")
           .checkpoint(eager=True))
-    line_reason = (F.when(~F.col("_head_ok"), F.lit(MISSING_HEADER))
+    line_reason = (F.when(~F.coalesce("_head_ok", F.lit(False)), F.lit(MISSING_HEADER))
                    .when(F.col("ISBN").isNull(), F.lit(NO_LINES))
                    .when(F.col("Quantity").isNull() | (F.col("Quantity") <= 0), F.lit(INVALID_QUANTITY))
                    .when(F.col("Available").isNull(), F.lit(NO_STOCK_ROW))
+                   .when(F.col("_book").isNull(), F.lit(NOT_SELLABLE))
                    .when(F.col("Quantity") > F.col("Available"), F.lit(INSUFFICIENT_STOCK)))
     rejected = (hl.withColumn("Reason", line_reason).filter(F.col("Reason").isNotNull())
                 .groupBy("RequestID").agg(F.min("Reason").alias("Reason")))
-    live = (hl.join(rejected.select("RequestID"), "RequestID", "left_anti")
+    live = (hl.filter(F.col("RequestID").isNotNull()).join(rejected.select("RequestID"), "RequestID", "left_anti")
             .select("RequestID", "StoreCode", "ISBN", "Quantity", "LinePos", "Available"))
     demand = (live.groupBy("StoreCode", "ISBN")
               .agg(F.sum("Quantity").alias("Demand"), F.first("Available").alias("Available")))
@@ -294,7 +297,8 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame,
     acc_lines = parts["live_lines"].join(numbers, "RequestID")
     price = _unit_price(t, lines, acc_lines)
     items = (number_within(price, ["InvoiceNumber"], ["LinePos", "ISBN"], "LineNumber")
-             .select("InvoiceNumber", "LineNumber", "ISBN", "Quantity", F.col("UnitPrice").cast(MONEY)))
+             .select("InvoiceNumber", "LineNumber", "ISBN", F.col("Quantity").cast("int"),
+                     F.col("UnitPrice").cast(MONEY)))
 
     used = acc_lines.groupBy("StoreCode", "ISBN").agg(F.sum("Quantity").alias("_used"))
     inventory = _apply_usage(t["Inventory"], used, sign=-1)
@@ -303,7 +307,9 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame,
 
 def _unit_price(t: Tables, lines: DataFrame, acc_lines: DataFrame) -> DataFrame:
     if "UnitPrice" in lines.columns:
-        given = lines.groupBy("RequestID", "ISBN").agg(F.first("UnitPrice").alias("UnitPrice"))
+        pos = F.col("LinePos") if "LinePos" in lines.columns else F.lit(1)
+        given = lines.groupBy("RequestID", "ISBN").agg(
+            F.min(F.struct(pos.alias("p"), "UnitPrice"))["UnitPrice"].alias("UnitPrice"))
         return acc_lines.join(given, ["RequestID", "ISBN"])
     return acc_lines.join(t["Book"].select("ISBN", F.col("Price").alias("UnitPrice")), "ISBN")
 
@@ -327,6 +333,7 @@ def build_invoice_lines(t: Tables, additions: DataFrame, chunk: int = DEFAULT_CH
     position. Returns ``lines`` (RequestID, ISBN, Quantity, LinePos, Title,
     UnitPrice) and ``refused`` (RequestID, Seq, Reason)."""
     sellable = (t["Inventory"].filter(F.col("AvailableQuantity") > 0)
+                .join(t["Book"].select("ISBN"), "ISBN", "left_semi")
                 .select("StoreCode", "ISBN", F.col("AvailableQuantity").alias("Stock")))
     add = (additions.withColumn("_event", F.monotonically_increasing_id())
            .join(sellable, ["StoreCode", "ISBN"], "left")
@@ -362,10 +369,10 @@ def adjust_stock(t: Tables, adjustments: DataFrame, chunk: int = DEFAULT_CHUNK)
     ``decisions`` (AdjustID, Accepted, Reason) and ``inventory``."""
     inv = t["Inventory"].select("StoreCode", "ISBN", F.col("AvailableQuantity").alias("Stock"))
     adj = adjustments.join(inv, ["StoreCode", "ISBN"], "left")
-    reason = (F.when(F.col("Amount").isNull() | (F.col("Amount") < 1)
-                     | ~F.col("Direction").isin(1, -1), F.lit(INVALID_AMOUNT))
+    valid = (F.col("Amount") >= 1) & F.col("Direction").isin(1, -1)
+    reason = (F.when(~F.coalesce(valid, F.lit(False)), F.lit(INVALID_AMOUNT))
               .when(F.col("Stock").isNull(), F.lit(NO_STOCK_ROW)))
-    adj = adj.withColumn("Reason", reason).withColumn("_delta", F.col("Amount") * F.col("Direction"))
+    adj = adj.withColumn("Reason", reason).withColumn("_delta", F.col("Amount").cast("long") * F.col("Direction"))
     ok = adj.filter(F.col("Reason").isNull())
     dec = bounded_walk(ok, ["StoreCode", "ISBN"], "AdjustID", "_delta", "Stock", "AdjustID", chunk)
     judged = ok.join(dec, "AdjustID")

@@ -130,10 +130,14 @@ def insert_inventory(t: Tables, requests: DataFrame, arrival: str = "RequestID")
 
 
 def edit_inventory(t: Tables, requests: DataFrame, arrival: str = "RequestID") -> UpsertResult:
-    """Overwrite quantities and description of existing rows."""
+    """Overwrite quantities and description of existing rows; quantities
+    >= 0, as for new rows."""
     req = _inventory_rows(requests)
-    return update_by_key(t["Inventory"], req, INVENTORY_KEYS, arrival,
-                         ["AvailableQuantity", "MinimumQuantity", "Description"])
+    bad = F.coalesce((F.col("AvailableQuantity") < 0) | (F.col("MinimumQuantity") < 0), F.lit(True))
+    res = update_by_key(t["Inventory"], req.filter(~bad), INVENTORY_KEYS, arrival,
+                        ["AvailableQuantity", "MinimumQuantity", "Description"])
+    res.rejected = res.rejected.unionByName(_reason(req.filter(bad), INVALID_INPUT))
+    return res
 
 
 # --- W9-W11: books and authors ----------------------------------------------------

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators import upserts as U
-from inkwell.sources.snapshots import bucket_of, current_snapshot, is_bucketed, load_snapshot, publish_snapshot
+from inkwell.session import ensure_checkpoint_dir
+from inkwell.sources.snapshots import bucket_of, current_snapshot, is_bucketed, last_epochs, load_snapshot, publish_snapshot
 
 
 def _tables_of(result) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
@@ -40,20 +41,21 @@ def apply_requests(spark: SparkSession, root: str, operation: str, requests: Dat
     publish the result. Returns (new snapshot number or None when ``epoch``
     was already committed, refused requests with reasons)."""
     fn, table = OPERATIONS[operation]
-    _, paths, last_epoch = current_snapshot(spark, root)
-    if epoch is not None and last_epoch is not None and epoch <= last_epoch:
+    _, paths, _ = current_snapshot(spark, root)
+    if epoch is not None and epoch <= last_epochs(spark, root).get(operation, -1):
         return None, requests.limit(0).withColumn("Reason", F.lit(None).cast("string"))
     tables = load_snapshot(spark, root)
     result = fn(tables, requests)
     changed, accepted, rejected = _tables_of(result)
+    ensure_checkpoint_dir(spark)
     rejected = rejected.checkpoint(eager=True)      # reported after the new snapshot is live
     if table == "PublisherPurchase":
-        new = publish_snapshot(spark, root, appended={table: result.accepted}, epoch=epoch)
+        new = publish_snapshot(spark, root, appended={table: result.accepted}, epoch=epoch, source=operation)
     elif table == "Inventory" and is_bucketed(paths.get("Inventory", [])):
         touched = [r[0] for r in accepted.select(bucket_of("Inventory").alias("b")).distinct().collect()]
-        new = publish_snapshot(spark, root, patched={"Inventory": (result.table, touched)}, epoch=epoch)
+        new = publish_snapshot(spark, root, patched={"Inventory": (result.table, touched)}, epoch=epoch, source=operation)
     elif table is not None:
-        new = publish_snapshot(spark, root, changed={table: result.table}, epoch=epoch)
+        new = publish_snapshot(spark, root, changed={table: result.table}, epoch=epoch, source=operation)
     else:
-        new = publish_snapshot(spark, root, changed=changed, epoch=epoch)
+        new = publish_snapshot(spark, root, changed=changed, epoch=epoch, source=operation)
     return new, rejected

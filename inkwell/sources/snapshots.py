@@ -24,7 +24,10 @@ from inkwell.schemas import PRIMARY_KEYS, SCHEMAS, VIEW_SCHEMAS
 from inkwell.sources.tables import conform
 
 
-_COMMIT_SCHEMA = "Snapshot INT, TableName STRING, Path STRING, RowCount LONG, Epoch LONG"
+_COMMIT_SCHEMA = "Snapshot INT, TableName STRING, Path STRING, RowCount LONG, Epoch LONG, Epochs MAP<STRING, LONG>"
+
+
+REFUSED_SCHEMA = "Source STRING, RequestID LONG, Reason STRING"
 
 
 def _commits(spark: SparkSession, root: str) -> DataFrame | None:
@@ -51,6 +54,31 @@ def current_snapshot(spark: SparkSession, root: str) -> tuple[int, dict[str, lis
     return int(newest), paths, epoch
 
 
+def last_epochs(spark: SparkSession, root: str) -> dict[str, int]:
+    """Per source of batches, the last batch id the newest snapshot includes.
+    Every commit carries the ids of all sources forward."""
+    commits = _commits(spark, root)
+    if commits is None:
+        return {}
+    newest = commits.agg(F.max_by("Epochs", "Snapshot")).first()[0]     # one small map
+    return dict(newest or {})
+
+
+def load_refused(spark: SparkSession, root: str) -> DataFrame:
+    """Refused requests of all committed snapshots: Source, RequestID, Reason,
+    snapshot. Folders of attempts that never committed are left out."""
+    commits = _commits(spark, root)
+    empty = spark.createDataFrame([], REFUSED_SCHEMA + ", snapshot INT")
+    if commits is None:
+        return empty
+    try:
+        rows = spark.read.option("basePath", root).schema(REFUSED_SCHEMA + ", snapshot INT").parquet(f"{root}/snapshot=*/refused")
+    except AnalysisException:
+        return empty
+    done = commits.select(F.col("Snapshot").alias("_n")).distinct()
+    return rows.join(done, F.col("snapshot") == F.col("_n"), "left_semi")
+
+
 def load_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the newest committed snapshot, read with their schema."""
     _, paths, _ = current_snapshot(spark, root)
@@ -99,7 +127,8 @@ def _write(spark: SparkSession, df: DataFrame, name: str, path: str) -> dict[str
 def publish_snapshot(spark: SparkSession, root: str, changed: Mapping[str, DataFrame] | None = None,
                      appended: Mapping[str, DataFrame] | None = None,
                      patched: Mapping[str, tuple[DataFrame, list[int]]] | None = None,
-                     epoch: int | None = None) -> int:
+                     epoch: int | None = None, source: str | None = None,
+                     refused: DataFrame | None = None) -> int:
     """Write snapshot N+1 and commit it; returns N+1.
 
     ``changed`` tables replace their current contents; ``appended`` rows are
@@ -107,8 +136,10 @@ def publish_snapshot(spark: SparkSession, root: str, changed: Mapping[str, DataF
     rows of the listed buckets only (the other buckets keep their folders).
     Other tables keep their folders. Row counts of the written folders are
     recorded in the commit (the reference reports the affected row count).
-    ``epoch`` marks the input batch that produced the snapshot (used to skip a
-    batch a stream replays after a failure).
+    ``epoch`` marks the input batch of ``source`` that produced the snapshot
+    (used to skip a batch a stream replays after a failure); each source
+    counts its own batches. ``refused`` (RequestID, Reason) are the requests
+    the batch refused, kept beside the tables (see ``load_refused``).
     """
     n, paths, _ = current_snapshot(spark, root)
     new = n + 1
@@ -131,7 +162,11 @@ def publish_snapshot(spark: SparkSession, root: str, changed: Mapping[str, DataF
         kept = [p for p in records[name] if _bucket_id(p) not in touched]
         records[name] = sorted([*kept, *written])
         counts.update(written)
-    rows = [(new, name, p, counts.get(p), epoch) for name, ps in sorted(records.items()) for p in ps]
+    if refused is not None:
+        (refused.select(F.lit(source).alias("Source"), F.col("RequestID").cast("long"), "Reason")
+         .write.mode("overwrite").parquet(f"{base}/refused"))
+    epochs = last_epochs(spark, root) | ({} if epoch is None or source is None else {source: epoch})
+    rows = [(new, name, p, counts.get(p), epoch, epochs) for name, ps in sorted(records.items()) for p in ps]
     commit = spark.createDataFrame(rows, _COMMIT_SCHEMA)
     commit.coalesce(1).write.mode("overwrite").json(f"{base}/_commit")
     return new
@@ -150,4 +185,4 @@ def compact_snapshot(spark: SparkSession, root: str, tables: tuple[str, ...] | N
     if not names:
         return None
     current = load_snapshot(spark, root)
-    return publish_snapshot(spark, root, changed={n: current[n] for n in names}, epoch=epoch)
+    return publish_snapshot(spark, root, changed={n: current[n] for n in names}, epoch=epoch, source=None)

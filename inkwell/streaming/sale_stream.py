@@ -18,10 +18,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from inkwell.operators.posting import HEADER_COLS, post_sales
-from inkwell.sources.snapshots import (bucket_of, current_snapshot, is_bucketed, load_snapshot,
-                                       publish_snapshot)
+from inkwell.sources.snapshots import (bucket_of, current_snapshot, is_bucketed, last_epochs,
+                                       load_snapshot, publish_snapshot)
 from inkwell.sources.tables import sale_lines
 
+# Sources of batches: each stream counts its own.
+SALES, ADJUSTMENTS = "sales", "adjustments"
+
 # One row per request line; header columns are repeated on every line.
 REQUEST_LINE_SCHEMA = T.StructType([
     T.StructField("RequestID", T.LongType()),
@@ -38,8 +41,8 @@ REQUEST_LINE_SCHEMA = T.StructType([
 def post_batch(spark: SparkSession, root: str, batch: DataFrame, epoch: int) -> int | None:
     """Post one batch of request lines; returns the new snapshot number, or
     None when this epoch was already committed."""
-    _, paths, last_epoch = current_snapshot(spark, root)
-    if last_epoch is not None and epoch <= last_epoch:
+    _, paths, _ = current_snapshot(spark, root)
+    if epoch <= last_epochs(spark, root).get(SALES, -1):
         return None
     tables = load_snapshot(spark, root)
     headers = batch.select(*HEADER_COLS).dropDuplicates(["RequestID"])
@@ -50,11 +53,12 @@ def post_batch(spark: SparkSession, root: str, batch: DataFrame, epoch: int) ->
         appended["SaleLine"] = sale_lines(res.sales, res.items)
     if not is_bucketed(paths.get("Inventory", [])):
         return publish_snapshot(spark, root, changed={"Inventory": res.inventory},
-                                appended=appended, epoch=epoch)
+                                appended=appended, epoch=epoch, source=SALES, refused=res.rejected)
     # only the stock buckets of stores with accepted sales change (<= bucket count ids)
     touched = [r[0] for r in res.sales.select(bucket_of("Inventory").alias("b")).distinct().collect()]
     return publish_snapshot(spark, root, appended=appended,
-                            patched={"Inventory": (res.inventory, touched)}, epoch=epoch)
+                            patched={"Inventory": (res.inventory, touched)}, epoch=epoch,
+                            source=SALES, refused=res.rejected)
 
 
 def start_sale_posting(spark: SparkSession, source_dir: str, root: str, checkpoint_location: str,
@@ -90,16 +94,19 @@ def adjust_batch(spark: SparkSession, root: str, batch: DataFrame, epoch: int) -
     """Apply one batch of stock adjustments; returns the new snapshot number,
     or None when this epoch was already committed."""
     from inkwell.operators.posting import adjust_stock
-    _, paths, last_epoch = current_snapshot(spark, root)
-    if last_epoch is not None and epoch <= last_epoch:
+    _, paths, _ = current_snapshot(spark, root)
+    if epoch <= last_epochs(spark, root).get(ADJUSTMENTS, -1):
         return None
     tables = load_snapshot(spark, root)
     out = adjust_stock(tables, batch.select(*ADJUSTMENT_SCHEMA.fieldNames()))
+    refused = out["decisions"].filter("not Accepted").withColumnRenamed("AdjustID", "RequestID")
     if not is_bucketed(paths.get("Inventory", [])):
-        return publish_snapshot(spark, root, changed={"Inventory": out["inventory"]}, epoch=epoch)
+        return publish_snapshot(spark, root, changed={"Inventory": out["inventory"]}, epoch=epoch,
+                                source=ADJUSTMENTS, refused=refused)
     accepted = batch.join(out["decisions"].filter("Accepted").select("AdjustID"), "AdjustID", "left_semi")
     touched = [r[0] for r in accepted.select(bucket_of("Inventory").alias("b")).distinct().collect()]
-    return publish_snapshot(spark, root, patched={"Inventory": (out["inventory"], touched)}, epoch=epoch)
+    return publish_snapshot(spark, root, patched={"Inventory": (out["inventory"], touched)}, epoch=epoch,
+                            source=ADJUSTMENTS, refused=refused)
 
 
 def start_stock_adjustments(spark: SparkSession, source_dir: str, root: str, checkpoint_location: str,

@@ -158,6 +158,35 @@ def test_command_line_adjust(spark, tmp_path):
     assert load_snapshot(spark, root)["Inventory"].first().AvailableQuantity == 3
 
 
+def test_streams_count_their_own_batches(spark, tmp_path):
+    import datetime as dt
+
+    from inkwell.sources.apply import apply_requests
+    from inkwell.sources.snapshots import last_epochs, load_refused
+    from inkwell.streaming.sale_stream import ADJUSTMENT_SCHEMA, REQUEST_LINE_SCHEMA, adjust_batch, post_batch
+    root = str(tmp_path / "snap")
+    publish_snapshot(spark, root, changed={
+        "Inventory": _inv(spark, [(1, "a", 5, 0, None)]),
+        "Book": spark.createDataFrame([("a", "A", "s", Decimal("1.00"), 1, None)], SCHEMAS["Book"]),
+        "Sale": spark.createDataFrame([], SCHEMAS["Sale"]),
+        "SaleItem": spark.createDataFrame([], SCHEMAS["SaleItem"]),
+    })
+    day = dt.date(2010, 1, 1)
+    sale = spark.createDataFrame([(1, 1, 1, "E", day, 1, "a", 2), (2, 1, 1, "E", day, 1, "a", 9)], REQUEST_LINE_SCHEMA)
+    adjust = spark.createDataFrame([(7, 1, "a", 1, -1), (8, 1, "a", 50, -1)], ADJUSTMENT_SCHEMA)
+    assert post_batch(spark, root, sale, 0) is not None
+    assert adjust_batch(spark, root, adjust, 0) is not None       # not taken for the sales' batch 0
+    more = spark.createDataFrame([(1, 1, "b", 2, 0, None)], "RequestID int, StoreCode int, ISBN string, "
+                                 "AvailableQuantity int, MinimumQuantity int, Description string")
+    apply_requests(spark, root, "insert_inventory", more)         # without a batch id
+    assert post_batch(spark, root, sale, 0) is None               # still known as posted
+    assert last_epochs(spark, root) == {"sales": 0, "adjustments": 0}
+    stock = {r.ISBN: r.AvailableQuantity for r in load_snapshot(spark, root)["Inventory"].collect()}
+    assert stock == {"a": 2, "b": 2}
+    refused = {(r.Source, r.RequestID, r.Reason) for r in load_refused(spark, root).collect()}
+    assert refused == {("sales", 2, "insufficient_stock"), ("adjustments", 8, "insufficient_stock")}
+
+
 def test_apply_requests(spark, tmp_path):
     from inkwell.__main__ import main
     from inkwell.sources.apply import apply_requests

@@ -96,6 +96,23 @@ def test_merge_and_missing_stock_row(spark):
     assert items == [(1, 4)]
 
 
+def test_no_line_is_dropped(spark):
+    """A stock row without a book, a line without a header, missing request
+    numbers and sums beyond an int: refused, and the stock stays."""
+    t = _tables(spark, {(1, "a"): 5, (1, "b"): 5})
+    t["Book"] = t["Book"].filter("ISBN <> 'b'")
+    day, big = dt.date(2010, 1, 1), 2_000_000_000
+    heads = [(1, 1, 1, "E", day), (2, 1, 1, "E", day), (3, 1, 1, "E", day), (None, 1, 1, "E", day)]
+    lines = [(1, "a", 2, 0), (2, "a", 1, 0), (2, "b", 2, 1), (3, "a", big, 0), (3, "a", big, 1),
+             (9, "a", 1, 0), (None, "a", 1, 0)]
+    res = P.post_sales(t, spark.createDataFrame(heads, H_SCHEMA), spark.createDataFrame(lines, L_SCHEMA))
+    assert [r.RequestID for r in res.accepted.collect()] == [1]
+    assert {r.RequestID: r.Reason for r in res.rejected.collect()} == {
+        2: P.NOT_SELLABLE, 3: P.INSUFFICIENT_STOCK, 9: P.MISSING_HEADER, None: P.MISSING_HEADER}
+    assert [(r.ISBN, r.Quantity) for r in res.items.collect()] == [("a", 2)]
+    assert {r.ISBN: r.AvailableQuantity for r in res.inventory.collect()} == {"a": 3, "b": 5}
+
+
 requests_strategy = st.lists(
     st.tuples(st.integers(1, 3),
               st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(1, 6)), min_size=1, max_size=3)),
