@@ -218,7 +218,36 @@ def _adjustments(t) -> DataFrame:
     return with_ordinal(adj, order, "AdjustID").drop(*order)
 
 
-@register("w6_adjust_stock", None)
+# One event after another on each stock row; a refused one leaves the state.
+@register("w6_adjust_stock", """
+    select AdjustID, false as Accepted,
+           case when coalesce(Amount, 0) < 1 then 'invalid_amount' else 'no_stock_row' end as Reason
+    from adjustment where coalesce(Amount, 0) < 1 or Stock is null
+    union all
+    select AdjustID, Taken, case when not Taken then 'insufficient_stock' end from walked""",
+          extra_ctes={"adjustment": """
+        select a.*, i.AvailableQuantity as Stock
+        from (select row_number() over (order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                                                 l_quantity, l_returnflag) as AdjustID,
+                     cast(l_suppkey as int) as StoreCode, lpad(cast(l_partkey as varchar), 13, '0') as ISBN,
+                     cast(l_quantity as int) as Amount,
+                     case when l_returnflag = 'R' then 1 else -1 end as Direction
+              from lineitem) a
+        left join bk_Inventory i on i.StoreCode = a.StoreCode and i.ISBN = a.ISBN""",
+                      "turn": """
+        select AdjustID, StoreCode, ISBN, Stock, Amount * Direction as Delta,
+               row_number() over (partition by StoreCode, ISBN order by AdjustID) as Nth
+        from adjustment where Amount >= 1 and Stock is not null""",
+                      "walked": """
+        with recursive step as (
+            select AdjustID, StoreCode, ISBN, Nth, Stock + Delta >= 0 as Taken,
+                   case when Stock + Delta >= 0 then Stock + Delta else Stock end as Left_
+            from turn where Nth = 1
+            union all
+            select n.AdjustID, n.StoreCode, n.ISBN, n.Nth, s.Left_ + n.Delta >= 0,
+                   case when s.Left_ + n.Delta >= 0 then s.Left_ + n.Delta else s.Left_ end
+            from step s join turn n on n.StoreCode = s.StoreCode and n.ISBN = s.ISBN and n.Nth = s.Nth + 1)
+        select AdjustID, Taken from step"""})
 def _w6(t):
     return P.adjust_stock(t, _adjustments(t))["decisions"]
 
