@@ -315,9 +315,42 @@ def _w1_accepts(t):
     return P.classify_requests(pt, h, ln)["certain_accepts"]
 
 
-# Order-dependent: no SQL oracle; tests replay the same batch one request at
-# a time in plain Python and compare.
-@register("w1_post_sales_outcome", None)
+# One request after another in each store: its stock as a list by book number.
+@register("w1_post_sales_outcome", """
+    select t.RequestID,
+           case when t.Taken then null else coalesce(f.Reason, 'insufficient_stock') end as Reason,
+           case when t.Taken then (select max(InvoiceNumber) from bk_Sale)
+                + row_number() over (partition by t.Taken order by t.RequestID) end as InvoiceNumber
+    from replayed t left join hopeless f on f.RequestID = t.RequestID""",
+          extra_ctes={"post_live": _POST_LIVE, "hopeless": """
+        select RequestID,
+               min(case when Available is null then 'no_stock_row'
+                        when Quantity > Available then 'insufficient_stock' end) as Reason
+        from post_live group by RequestID
+        having count(case when Available is null or Quantity > Available then 1 end) > 0""",
+                      "wanted": """
+        select r.RequestID, r.StoreCode, list(coalesce(l.Quantity, 0) order by b.Book) as Need,
+               r.Nth, bool_or(h.RequestID is not null) as Hopeless
+        from (select RequestID, StoreCode,
+                     row_number() over (partition by StoreCode order by RequestID) as Nth
+              from (select distinct RequestID, StoreCode from post_live) d) r
+        join (select unnest(range(0, 19)) as Book) b on true
+        left join post_live l on l.RequestID = r.RequestID and cast(l.ISBN as bigint) = b.Book
+        left join hopeless h on h.RequestID = r.RequestID
+        group by r.RequestID, r.StoreCode, r.Nth""",
+                      "replayed": """
+        with recursive step as (
+            select StoreCode, cast(0 as bigint) as Nth, cast(null as bigint) as RequestID, false as Taken,
+                   list(AvailableQuantity order by ISBN) as Stock
+            from bk_PostStock group by StoreCode
+            union all
+            select StoreCode, Nth, RequestID, Taken, case when Taken then Rest else Stock end
+            from (select w.StoreCode, w.Nth, cast(w.RequestID as bigint) as RequestID, s.Stock,
+                         list_transform(s.Stock, lambda x, i: cast(x - w.Need[i] as int)) as Rest,
+                         not w.Hopeless
+                         and list_min(list_transform(s.Stock, lambda x, i: x - w.Need[i])) >= 0 as Taken
+                  from step s join wanted w on w.StoreCode = s.StoreCode and w.Nth = s.Nth + 1) n)
+        select RequestID, Taken from step where RequestID is not null"""})
 def _w1_outcome(t):
     P, pt, h, ln = _posting(t)
     res = P.post_sales(pt, h, ln)
