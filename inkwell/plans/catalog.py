@@ -267,10 +267,10 @@ def _posting(t):
 
 
 _POST_LIVE = """
-    select l.RequestID, cast(l.RequestID % 1000 as int) as StoreCode, l.ISBN, l.Quantity,
+    select l.RequestID, cast(l.RequestID % 1000000000 as int) as StoreCode, l.ISBN, l.Quantity,
            ps.AvailableQuantity as Available
     from bk_PostLine l
-    left join bk_PostStock ps on ps.StoreCode = cast(l.RequestID % 1000 as int) and ps.ISBN = l.ISBN"""
+    left join bk_PostStock ps on ps.StoreCode = cast(l.RequestID % 1000000000 as int) and ps.ISBN = l.ISBN"""
 
 
 @register("w1_certain_rejects", """

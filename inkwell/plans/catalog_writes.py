@@ -1,9 +1,8 @@
 """Registered write operators (W4, W6-W14) over request batches derived from
 the test tables, so that the work grows with the data.
 
-Order-independent outcomes have SQL; order-dependent ones (W4 refusals,
-W6) are registered without SQL and checked against plain sequential replays
-in the tests.
+Order-dependent outcomes (W4, W6) have recursive SQL that walks one event
+after another; the tests also check them against plain sequential replays.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from inkwell.plans.registry import register
 from inkwell.schemas import MONEY
 
 _ISBN = "lpad(cast({} as varchar), 13, '0')"
+LATER = 1 << 40     # request ids of a second submission: after every first one
 
 
 # ------------------------------------------------------------ W7, W8 -------
@@ -78,7 +78,7 @@ def _book_requests(t) -> DataFrame:
         F.concat(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)), F.lit(" "), F.col("p_brand"),
                  F.lit("، "), F.col("p_type"), F.lit(" Writer")).alias("Authors"))
     again = p.filter(F.col("p_size") > 40).select(
-        (F.col("p_partkey") + 1_000_000).alias("RequestID"),
+        (F.col("p_partkey") + LATER).alias("RequestID"),
         F.lpad(F.col("p_partkey").cast("string"), 13, "0").alias("ISBN"),
         F.col("p_name").alias("Title"), F.col("p_type").alias("Subject"),
         F.col("p_retailprice").cast(MONEY).alias("Price"), F.col("p_brand").alias("PublisherName"),
@@ -179,24 +179,48 @@ def _w12(t):
                      F.concat(F.col("s_name"), F.lit(" annex")).alias("Address"),
                      F.col("s_suppkey").alias("RequestID"))
     # every request is sent twice: the second copy is refused as a repeat
-    req = req.unionByName(req.withColumn("RequestID", F.col("RequestID") + 1_000_000))
+    req = req.unionByName(req.withColumn("RequestID", F.col("RequestID") + LATER))
     return U.insert_stores(t, req).accepted.select("StoreCode", "CityCode", "ManagerNationalCode",
                                                    "Phone", "Address")
 
 
 # ------------------------------------------------------------ W4, W6 -------
 def _additions(t) -> DataFrame:
-    """Form additions: each line item after 2000-01-01 is one addition of
-    one of books 0..19 to its request's form, in line-item order."""
-    src = t._post_source().select("RequestID", "l_orderkey", "l_partkey", "l_quantity", "l_suppkey")
-    return src.select("RequestID",
-                      (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")).alias("Seq"),
+    """Form additions: each line item is one addition of one of books 0..19
+    to its request's form; Seq is its rank in line-item order."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    src = with_ordinal(t._post_source().select("RequestID", *order), order, "Seq")
+    return src.select("RequestID", "Seq",
                       F.col("l_suppkey").cast("int").alias("StoreCode"),
                       F.lpad((F.col("l_partkey") % 20).cast("string"), 13, "0").alias("ISBN"),
                       (F.floor(F.col("l_quantity") / 4) + 1).cast("int").alias("Quantity"))
 
 
-@register("w4_invoice_lines", None)
+# One addition after another on each (form, book); a refused one leaves the line.
+@register("w4_invoice_lines", """
+    select w.RequestID, w.ISBN, cast(sum(w.Quantity) as int) as Quantity, min(w.Seq) as LinePos,
+           any_value(b.Title) as Title, any_value(b.Price) as UnitPrice
+    from added w join bk_Book b on b.ISBN = w.ISBN where w.Taken group by w.RequestID, w.ISBN""",
+          extra_ctes={"addition": """
+        select a.RequestID, a.Seq, a.ISBN, a.Quantity, ps.AvailableQuantity as Stock,
+               row_number() over (partition by a.RequestID, a.ISBN order by a.Seq) as Nth
+        from (select l_orderkey // 100 * 1000000000 + l_suppkey as RequestID, cast(l_suppkey as int) as StoreCode,
+                     row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) as Seq,
+                     lpad(cast(l_partkey % 20 as varchar), 13, '0') as ISBN,
+                     cast(floor(l_quantity / 4) + 1 as int) as Quantity
+              from lineitem join orders on l_orderkey = o_orderkey) a
+        join bk_PostStock ps on ps.StoreCode = a.StoreCode and ps.ISBN = a.ISBN
+        where ps.AvailableQuantity > 0 and a.ISBN in (select ISBN from bk_Book)""",
+                      "added": """
+        with recursive step as (
+            select RequestID, ISBN, Seq, Quantity, Nth, Quantity <= Stock as Taken,
+                   case when Quantity <= Stock then Stock - Quantity else Stock end as Room
+            from addition where Nth = 1
+            union all
+            select n.RequestID, n.ISBN, n.Seq, n.Quantity, n.Nth, n.Quantity <= s.Room,
+                   case when n.Quantity <= s.Room then s.Room - n.Quantity else s.Room end
+            from step s join addition n on n.RequestID = s.RequestID and n.ISBN = s.ISBN and n.Nth = s.Nth + 1)
+        select RequestID, ISBN, Seq, Quantity, Taken from step"""})
 def _w4(t):
     pt = t.posting_tables()
     return P.build_invoice_lines(pt, _additions(t))["lines"]
@@ -301,10 +325,9 @@ def _staged_sale_lines(t) -> DataFrame:
         select case when try_strptime(InvoiceDate, '%Y-%m-%d') is null then 'date_format' end from staged
     ) r where Rule is not null group by Rule""",
           extra_ctes={"post_head": """
-        select cast(floor(l_orderkey / 100) as int) * 1000 + l_suppkey as RequestID,
+        select l_orderkey // 100 * 1000000000 + l_suppkey as RequestID,
                cast(min(o_orderdate) as date) as InvoiceDate
         from lineitem join orders on l_orderkey = o_orderkey
-        where o_orderdate >= timestamp '2000-01-01'
         group by 1""",
                       "staged": """
         select l.RequestID, l.ISBN, cast(l.Quantity - 1 as varchar) as Quantity,

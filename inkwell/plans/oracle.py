@@ -98,10 +98,9 @@ FIXTURE_CTES: dict[str, str] = {
         select RequestID, {_ISBN.format('b')} as ISBN,
                cast(floor(sum(l_quantity) / 10) + 1 as int) as Quantity,
                cast(b + 1 as int) as LinePos
-        from (select cast(floor(l_orderkey / 100) as int) * 1000 + l_suppkey as RequestID,
+        from (select l_orderkey // 100 * 1000000000 + l_suppkey as RequestID,
                      l_partkey % 20 as b, l_quantity
-              from lineitem join orders on l_orderkey = o_orderkey
-              where o_orderdate >= timestamp '2000-01-01') src
+              from lineitem join orders on l_orderkey = o_orderkey) src
         group by RequestID, b""",
 }
 

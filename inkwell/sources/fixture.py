@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from inkwell.functions.ordinal import number_within, with_ordinal
 from inkwell.schemas import MONEY
 
+#: RequestID of posting = block of orders * REQUEST_BLOCK + supplier: unique for
+#: up to this many suppliers and 9.2e11 orders.
+REQUEST_BLOCK = 1_000_000_000
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
@@ -224,14 +228,15 @@ class FixtureTables(Mapping[str, DataFrame]):
             F.lit(0).alias("MinimumQuantity"), F.lit(None).cast("string").alias("Description"))
 
     def _post_source(self) -> DataFrame:
-        o = self.raw("orders").filter(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
-        li = self.raw("lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity")
-        return (li.join(o.select("o_orderkey", "o_custkey", "o_orderdate"), li.l_orderkey == o.o_orderkey)
-                .withColumn("RequestID", F.floor(F.col("l_orderkey") / 100).cast("int") * 1000 + F.col("l_suppkey")))
+        o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        li = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity")
+        return (li.join(o, li.l_orderkey == o.o_orderkey)
+                .withColumn("RequestID", F.floor(F.col("l_orderkey") / 100).cast("long") * REQUEST_BLOCK
+                            + F.col("l_suppkey")))
 
     def post_lines(self) -> DataFrame:
         """(RequestID, ISBN, Quantity, LinePos): request = 100 consecutive
-        orders of one supplier after 2000-01-01; books 0..19."""
+        orders of one supplier; books 0..19."""
         src = self._post_source().withColumn("b", F.col("l_partkey") % 20)
         return (src.groupBy("RequestID", "b")
                 .agg(F.sum("l_quantity").alias("q"))
