@@ -316,13 +316,7 @@ def _w1_accepts(t):
 
 
 # One request after another in each store: its stock as a list by book number.
-@register("w1_post_sales_outcome", """
-    select t.RequestID,
-           case when t.Taken then null else coalesce(f.Reason, 'insufficient_stock') end as Reason,
-           case when t.Taken then (select max(InvoiceNumber) from bk_Sale)
-                + row_number() over (partition by t.Taken order by t.RequestID) end as InvoiceNumber
-    from replayed t left join hopeless f on f.RequestID = t.RequestID""",
-          extra_ctes={"post_live": _POST_LIVE, "hopeless": """
+_POST_REPLAY = {"post_live": _POST_LIVE, "hopeless": """
         select RequestID,
                min(case when Available is null then 'no_stock_row'
                         when Quantity > Available then 'insufficient_stock' end) as Reason
@@ -350,7 +344,21 @@ def _w1_accepts(t):
                          not w.Hopeless
                          and list_min(list_transform(s.Stock, lambda x, i: x - w.Need[i])) >= 0 as Taken
                   from step s join wanted w on w.StoreCode = s.StoreCode and w.Nth = s.Nth + 1) n)
-        select RequestID, Taken from step where RequestID is not null"""})
+        select RequestID, Taken from step where RequestID is not null"""}
+
+_POST_TAKEN = """
+    select RequestID, (select coalesce(max(InvoiceNumber), 0) from bk_Sale)
+           + row_number() over (order by RequestID) as InvoiceNumber
+    from replayed where Taken"""
+
+
+@register("w1_post_sales_outcome", """
+    select t.RequestID,
+           case when t.Taken then null else coalesce(f.Reason, 'insufficient_stock') end as Reason,
+           case when t.Taken then (select max(InvoiceNumber) from bk_Sale)
+                + row_number() over (partition by t.Taken order by t.RequestID) end as InvoiceNumber
+    from replayed t left join hopeless f on f.RequestID = t.RequestID""",
+          extra_ctes=_POST_REPLAY)
 def _w1_outcome(t):
     P, pt, h, ln = _posting(t)
     res = P.post_sales(pt, h, ln)
@@ -359,6 +367,30 @@ def _w1_outcome(t):
                                              F.lit(None).cast("long").alias("InvoiceNumber"))))
 
 
+@register("w1_new_invoice_lines", """
+    select t.InvoiceNumber, cast(row_number() over (partition by t.InvoiceNumber order by l.LinePos) as int) as LineNumber,
+           l.ISBN, l.Quantity, b.Price as UnitPrice
+    from taken t join bk_PostLine l on l.RequestID = t.RequestID join bk_Book b on b.ISBN = l.ISBN""",
+          extra_ctes={**_POST_REPLAY, "taken": _POST_TAKEN})
+def _w1_items(t):
+    P, pt, h, ln = _posting(t)
+    return P.post_sales(pt, h, ln).items
+
+
+@register("w1_stock_after", """
+    select ps.StoreCode, ps.ISBN,
+           cast(ps.AvailableQuantity - coalesce(sum(l.Quantity), 0) as int) as AvailableQuantity,
+           0 as MinimumQuantity, cast(null as varchar) as Description
+    from bk_PostStock ps
+    left join (select p.* from post_live p join taken t on t.RequestID = p.RequestID) l
+           on l.StoreCode = ps.StoreCode and l.ISBN = ps.ISBN
+    group by ps.StoreCode, ps.ISBN, ps.AvailableQuantity""",
+          extra_ctes={**_POST_REPLAY, "taken": _POST_TAKEN})
+def _w1_stock(t):
+    P, pt, h, ln = _posting(t)
+    return P.post_sales(pt, h, ln).inventory
+
+
 @register("w5_invoice_totals", """
     select l.RequestID, cast(sum(l.Quantity * b.Price) as decimal(38,2)) as InvoiceTotal,
            count(*) as Lines
