@@ -38,7 +38,7 @@ def test_not_exists_reports_plan_anti_joins(stored):
 
 
 # the order-dependent steps: the only places Python runs inside tasks
-ORDERED = {"w1_post_sales_outcome", "w4_invoice_lines", "w6_adjust_stock"}
+ORDERED = {"w1_post_sales_outcome", "w1_new_invoice_lines", "w1_stock_after", "w4_invoice_lines", "w6_adjust_stock"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
