@@ -7,7 +7,8 @@
    their host in ``source``.
 3. A line in more documents of its host than the limit is removed from all but
    the first of them (smallest id), so that one original survives. The limit
-   is the larger of ``least_documents`` and ``share`` of the host's documents.
+   is ``least_documents`` whatever the size of the host; a caller may raise it
+   to ``share`` of the host's documents, which is 0 unless given.
 4. A document that loses more than ``most_removed`` of its words is rejected.
 
 Frequent lines meet the documents that hold them in a join salted by document,
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import batch, fingerprints, map_rows, stored, windows, word_hashes
 
 SALTS = 32
-LEAST_DOCUMENTS, SHARE, MOST_REMOVED = 10, 0.005, 0.7
+LEAST_DOCUMENTS, SHARE, MOST_REMOVED = 10, 0.0, 0.7
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 WINDOW = 8
 
@@ -101,9 +102,11 @@ def quality(docs: DataFrame, host_col: str = "source", least_documents: int = LE
     held = line.groupBy(*_KEY, "line").agg(F.min(place).alias("first"))
     seen = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "fp1", "fp2")).alias("owner"))
     seen = seen.filter(F.col("n") > least_documents)
-    total = measured.groupBy("host", "fp1", "fp2").count().groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
-    often = seen.join(total, "host").filter(F.col("n") > F.col("documents") * share).select("host", "line", "owner")
-    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    often = seen
+    if share > 0:
+        total = measured.groupBy("host", "fp1", "fp2").count().groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
+        often = seen.join(total, "host").filter(F.col("n") > F.col("documents") * share)
+    often = often.select("host", "line", "owner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     one = line.groupBy(*_KEY, "line").agg(F.max("words").alias("words"), F.max("places").alias("places"))
     one = one.withColumn("salt", F.pmod(F.col("fp1"), F.lit(SALTS)).cast("int"))
     lost = one.join(often, ["host", "line", "salt"]).filter((F.col("owner.fp1") != F.col("fp1")) | (F.col("owner.fp2") != F.col("fp2")))

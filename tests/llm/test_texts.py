@@ -117,6 +117,18 @@ def test_common_lines_go_but_the_first_stays(spark):
     assert "shared" in out[50]
 
 
+def test_a_shared_passage_goes_from_hosts_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    own = F.expr("array_join(transform(sequence(1, 30), k -> concat('w', k, 'x', id)), ' ')")
+    line = F.when(F.expr("id % 1000000 < 12"), F.lit("One passage that twelve documents of its host share")).otherwise(F.lit("none"))
+    small, large = spark.range(40), spark.range(1_000_000, 1_006_000)
+    both = small.withColumn("source", F.lit("small")).union(large.withColumn("source", F.lit("large")))
+    docs = both.select(F.col("id").alias("doc_id"), F.when(line == "none", own).otherwise(F.concat_ws("\n", own, line)).alias("text"), "source")
+    lost = {r.doc_id: r.removed_words for r in line_quality.quality(docs).filter("removed_words > 0").collect()}
+    assert lost == {i: 9 for i in (*range(1, 12), *range(1_000_001, 1_000_012))}
+
+
 def test_odd_quality(clashing, empty):
     got = {r.doc_id: r for r in line_quality.quality(clashing).collect()}
     assert len(got) == 9 and not got[1].kept and got[6].n_repeat_words == 30000
