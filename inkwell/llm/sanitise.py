@@ -6,12 +6,14 @@ t tells about it:
 
     PMI(t; e) = log2( n(t, e) N / (n(t) n(e)) ),   IC(e) = log2( N / n(e) )
 
-with counts in documents; n(t, e) are those with t within ``REACH`` characters
-of e. A term with PMI >= ``alpha`` * IC, that is with p(e | t) >= p(e)^(1 -
-alpha), discloses e and is a span too where it stands beside e. It must do so in
-``support`` distinct texts, so what a text and its exact copies share is no
-evidence. Windows bound the pairs: their number grows with the spans, not with
-a document's terms times its entities.
+with counts in whole documents. A term is a run of letters of any length. One
+with PMI >= ``alpha`` * IC, that is with p(e | t) >= p(e)^(1 - alpha), discloses
+e and is a span too at every place outside base spans, in every document, also
+in one that does not print e. It must do so in ``support`` distinct texts, so
+what a text and its exact copies share is no evidence.
+
+Pairs are counted only where they can disclose: for entities in ``support``
+texts, and, as n(t, e) <= n(e), for terms with n(t) <= N (n(e) / N)^alpha.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,7 +31,11 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import batch, fingerprints, map_rows, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, ALPHA, SUPPORT = 80, 0.9, 3
+ALPHA, SUPPORT = 0.9, 3
+#: Hot entities and terms meet their texts in a join salted by text.
+SALTS = 16
+#: Bits of the filter sent to the tasks that mark terms; with more terms it only lets more places through.
+MOST_BITS = 1 << 25
 
 #: Patterns of the contract.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -38,7 +45,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -94,19 +101,8 @@ def term_hash(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def beside(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -> set[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the terms whole within ``reach`` characters of a span and outside all spans."""
-    found = set()
-    for span in spans:
-        e = _entity(text, span)
-        for lo, hi in ((max(0, span[0] - reach), span[0]), (span[2], min(len(text), span[2] + reach))):
-            for m in _TERM.finditer(text, lo, hi):
-                a, b = m.span()
-                cut = (a == lo and a > 0 and text[a - 1].isalpha()) or (b == hi and b < len(text) and text[b].isalpha())
-                if not cut:
-                    found.add((e, term_hash(m[0].lower()), a, b))
-    ends = sorted((a, b) for a, _, b in spans)
-    return {f for f in found if not _inside(ends, f[2], f[3])}
+def terms_of(text: str) -> set[str]:
+    return {w.lower() for w in set(_TERM.findall(text))}
 
 
 def _inside(spans: list[tuple[int, int]], a: int, b: int) -> bool:
@@ -119,10 +115,9 @@ def _inside(spans: list[tuple[int, int]], a: int, b: int) -> bool:
 _OUT = {
     "doc_id": pa.int64(), "fp1": pa.int64(), "fp2": pa.int64(),
     "base": pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])),
-    "base_sha256": pa.string(), "entities": pa.list_(pa.int64()),
-    "near": pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])),
+    "base_sha256": pa.string(), "entities": pa.list_(pa.int64()), "terms": pa.list_(pa.int64()),
 }
-_SCHEMA = "doc_id long, fp1 long, fp2 long, base array<struct<start: long, kind: int, end: long>>, base_sha256 string, entities array<long>, near array<struct<entity: long, term: long, start: long, end: long>>"
+_SCHEMA = "doc_id long, fp1 long, fp2 long, base array<struct<start: long, kind: int, end: long>>, base_sha256 string, entities array<long>, terms array<long>"
 
 
 def _find(batches):
@@ -136,7 +131,7 @@ def _find(batches):
             out["base"].append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
             out["base_sha256"].append(hashlib.sha256(written(spans).encode()).hexdigest())
             out["entities"].append(sorted({_entity(text, s) for s in spans}))
-            out["near"].append([dict(zip(("entity", "term", "start", "end"), x)) for x in sorted(beside(text, spans))])
+            out["terms"].append(sorted(map(term_hash, terms_of(text))) if spans else [])
         yield batch(_OUT, out)
 
 
@@ -149,13 +144,92 @@ def _count_terms(batches):
     count: Counter[str] = Counter()
     for rb in batches:
         for text in rb.column(0).to_pylist():
-            count.update(set(_TERM.findall(text.lower())) if text else ())
+            count.update(terms_of(text) if text else ())
             if len(count) >= _FLUSH:
                 yield batch(kinds, {"term": list(map(term_hash, count)), "n": list(count.values())})
                 count.clear()
     yield batch(kinds, {"term": list(map(term_hash, count)), "n": list(count.values())})
 
 
+#: Words a task keeps with their hash or None, so that each is hashed once.
+_KEEP = 400_000
+
+
+def _bits(h: int, size: int) -> tuple[int, int]:
+    return h & (size - 1), (h >> 32) & (size - 1)
+
+
+def _filter(terms: DataFrame) -> np.ndarray:
+    """A Bloom filter of the term hashes, two bits each, in at most MOST_BITS / 64 words."""
+    size = min(MOST_BITS, 1 << max(6, (64 * terms.count()).bit_length()))
+    at = F.explode(F.array(F.col("term").bitwiseAND(F.lit(size - 1)), F.shiftright("term", 32).bitwiseAND(F.lit(size - 1))))
+    words = terms.select(at.alias("at")).selectExpr("shiftright(at, 6) word", "shiftleft(1L, cast(at & 63 as int)) bit")
+    words = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _places(words: np.ndarray):
+    """Places outside base spans of the terms that pass the filter."""
+    kinds = {"fp1": pa.int64(), "fp2": pa.int64(), "term": pa.int64(), "start": pa.int64(), "end": pa.int64()}
+    size = 64 * len(words)
+
+    def run(batches):
+        data = words.astype("<i8").tobytes()
+        known: dict[str, int | None] = {}
+        for rb in batches:
+            rows = []
+            for fp1, fp2, text in zip(*(rb.column(i).to_pylist() for i in range(3))):
+                wanted = {}
+                for w in set(_TERM.findall(text)) if text else ():
+                    if w not in known:
+                        if len(known) >= _KEEP:
+                            known.clear()
+                        h = term_hash(w.lower())
+                        known[w] = h if all(data[i >> 3] >> (i & 7) & 1 for i in _bits(h, size)) else None
+                    if known[w] is not None:
+                        wanted[w] = known[w]
+                if wanted:
+                    ends = sorted((a, b) for a, _, b in base_spans(text))
+                    rows += [(fp1, fp2, wanted[m[0]], *m.span()) for m in _TERM.finditer(text) if m[0] in wanted and not _inside(ends, *m.span())]
+            yield batch(kinds, dict(zip(kinds, zip(*rows))) if rows else {n: [] for n in kinds})
+
+    return run
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.col("fp1"), F.lit(SALTS)).cast("int"))
+
+
+def _disclosing(docs: DataFrame, found: DataFrame, total: int, alpha: float, support: int) -> DataFrame | None:
+    """The distinct terms that disclose an entity, or None."""
+    text = found.filter(F.size("entities") > 0).groupBy("fp1", "fp2").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))  # copies first
+    held = text.select("fp1", "fp2", "n", F.explode("entities").alias("entity"))
+    live = held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).filter((F.col("texts") >= support) & (F.col("n_e") < total))
+    most = F.lit(float(total)) * F.pow(F.col("n_e") / F.lit(float(total)), F.lit(float(alpha))) * F.lit(1 + 1e-9)
+    live = live.select("entity", "n_e", most.alias("most"))
+    held = stored(_salt(held).join(_salted(live), ["entity", "salt"]).drop("salt"), "held")
+    if held.isEmpty():
+        return None
+    some = held.groupBy("fp1", "fp2").agg(F.max("most").alias("most"))
+    held_term = text.select("fp1", "fp2", "terms").join(some, ["fp1", "fp2"]).select("fp1", "fp2", "most", F.explode("terms").alias("term"))
+    term = held_term.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.max("most").alias("most")).filter(F.col("texts") >= support)
+    counts = map_rows(docs.select("text"), _count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    term = stored(term.join(counts, "term").filter("n_t <= most").select("term", "n_t"), "terms")
+    pair = _salt(held_term).join(_salted(term), ["term", "salt"]).filter("n_t <= most").select("fp1", "fp2", "term", "n_t")
+    pair = pair.join(held, ["fp1", "fp2"]).filter("n_t <= most")
+    pair = pair.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).filter(F.col("texts") >= support)
+    ic = F.log2(F.lit(float(total)) / F.col("n_e"))
+    pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
+    told = stored(pair.filter(pmi >= alpha * ic).select("term").distinct(), "told")
+    return None if told.isEmpty() else told
+
+
 def find_personal_data(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, all
     (array of start, kind, end), n_term; and fp1, fp2, the keys of a text.
@@ -168,23 +242,17 @@ def find_personal_data(docs: DataFrame, alpha: float = ALPHA, support: int = SUP
     found = stored(map_rows(d, _find, _SCHEMA), "spans")
     total = found.count()
 
-    entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    near = found.filter(F.size("near") > 0).select("fp1", "fp2", F.explode("near").alias("x")).select("fp1", "fp2", "x.*")
-    pair = found.filter(F.size("near") > 0).select("fp1", "fp2", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("fp1", "fp2", "x.*")
-    pair = pair.groupBy("entity", "term", "fp1", "fp2").agg(F.count(F.lit(1)).alias("n"))  # copies first
-    pair = pair.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    pair = stored(pair, "pairs")
-    told = pair.select("entity", "term").limit(0)
-    if not pair.isEmpty():
-        terms = map_rows(docs.select("text"), _count_terms, "term long, n long")
-        terms = terms.groupBy("term").agg(F.sum("n").alias("n_t"))
-        told = pair.join(terms, "term").join(entity, "entity")
-        ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-        pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-        told = stored(told.filter((ic > 0) & (pmi >= alpha * ic)).select("entity", "term"), "told")
-    more = near.join(told, ["entity", "term"]).groupBy("fp1", "fp2").agg(F.sort_array(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("more"))
-    out = found.drop("entities", "near").join(more, ["fp1", "fp2"], "left")
-    every = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start: long, kind: int, end: long>>"))))
+    told = _disclosing(docs, found, total, alpha, support)
+    span = "struct<start: long, kind: int, end: long>"
+    if told is None:
+        out = found.withColumn("more", F.array().cast(f"array<{span}>"))
+    else:
+        place = map_rows(docs.select(*fingerprints(), "text"), _places(_filter(told)), "fp1 long, fp2 long, term long, start long, end long").distinct()  # copies first
+        place = _salt(place).join(_salted(told), ["term", "salt"])
+        more = place.groupBy("fp1", "fp2").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
+        out = found.join(more, ["fp1", "fp2"], "left")
+    out = out.drop("entities", "terms")
+    every = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(f"array<{span}>"))))
     out = out.withColumn("all", every)
     name = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform("all", lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["end"])), ",")

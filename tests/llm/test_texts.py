@@ -184,6 +184,35 @@ def test_disclosing_terms(spark):
     assert out[3] == "office note 3 by [TERM] [TERM] [EMAIL] today" and out[150].startswith("today office")
 
 
+def brute_terms(texts, alpha, support):
+    """Spans of terms by the definition: all pairs of whole documents, every place outside base spans."""
+    words = re.compile(r"[^\W\d_]+")
+    base = [brute_spans(t) for t in texts]
+    holds = [{(k, t[a:b]) for a, k, b in s} for t, s in zip(texts, base)]
+    terms = [{w.lower() for w in words.findall(t)} for t in texts]
+    n_t, n_e = Counter(t for ts in terms for t in ts), Counter(e for es in holds for e in es)
+    n_te, where = Counter(), {}
+    for text, es, ts in zip(texts, holds, terms):
+        for pair in ((e, t) for e in es for t in ts):
+            n_te[pair] += 1
+            where.setdefault(pair, set()).add(text)
+    told = {t for (e, t), n in n_te.items() if len(where[e, t]) >= support and n_e[e] < len(texts) and np.log2(n * len(texts) / (n_t[t] * n_e[e])) >= alpha * np.log2(len(texts) / n_e[e])}
+    return [[m.span() for m in words.finditer(t) if m[0].lower() in told and not any(a < m.end() and m.start() < b for a, _, b in s)] for t, s in zip(texts, base)]
+
+
+def test_terms_disclose_at_any_distance_and_length(spark):
+    far = " ".join(["common words of every text"] * 10)
+    texts = [f"Li wrote {i}. {far} mail boss@corp.example today. {far} LI and \u674e\u5c0f\u9f99, then li." for i in range(9)]
+    texts += [f"no address {i} but Li here, {far}" for i in range(2)] + [f"today {far} wrote and mail here then {i}" for i in range(200)]
+    texts += [texts[0]] * 2 + [f"call +1 415 555 010{i % 3} or Ann{'e' * (i % 2)} {far} {'xy' * (i % 5)}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [(s.start, s.end) for s in r["all"] if s.kind == 4] for r in sanitise.find_personal_data(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_terms(texts, sanitise.ALPHA, sanitise.SUPPORT)
+    for i in range(9):
+        assert {texts[i][a:b] for a, b in got[i]} == {"Li", "LI", "li", "\u674e\u5c0f\u9f99"} and len(got[i]) == 4
+    assert len(got[9]) == len(got[10]) == 1 and not any(got[i] for i in range(11, 211))
+
+
 def test_odd_personal_data(clashing, empty):
     assert all(r.spans == "" for r in sanitise.find_personal_data(clashing).collect())
     out = sanitise.sanitised_documents(clashing)
