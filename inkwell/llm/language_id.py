@@ -33,6 +33,10 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words are scored in runs of at most this many letters.
 RUN = 32
+#: Probabilities are scaled by 2^SCALE a letter (exact in doubles), so that
+#: neither the likeliest run leaves their range (30 x 33 < 1023) nor the least
+#: likely, down to 5e-19 a letter: what 10^17 pieces of a language leave unseen.
+SCALE = 30
 SMOOTHING = 0.05
 EM_STEPS = 1
 #: Bound of the table sent to tasks (pieces x languages doubles): refuse more.
@@ -95,7 +99,7 @@ def forward(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
     """log P of each word per language; ``p`` is pieces x languages."""
     word, end, piece, length, size = pieces.matches(words)
     total = _forward(word, end, piece, length, size, p)
-    return np.log(total[np.arange(len(words)), size])
+    return np.log(total[np.arange(len(words)), size]) - (SCALE * np.log(2) * size)[:, None]
 
 
 def _by(x: np.ndarray, n: int):
@@ -110,12 +114,13 @@ def _add(to: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
 
 
 def _forward(word, end, piece, length, size, p) -> np.ndarray:
+    """P of each word's first letters per language, times 2^SCALE for each letter."""
     most = int(size.max(initial=0))
     alpha = np.zeros((len(size), most + 1, p.shape[1]))
     alpha[:, 0] = 1
     for j, here in enumerate(_by(end, most + 1)):
         if len(here):
-            _add(alpha[:, j], word[here], alpha[word[here], j - length[here]] * p[piece[here]])
+            _add(alpha[:, j], word[here], alpha[word[here], j - length[here]] * (p[piece[here]] * np.exp2(SCALE * length[here])[:, None]))
     return alpha
 
 
@@ -128,9 +133,9 @@ def expected_counts(pieces: Pieces, words: list[str], weight: np.ndarray, p: np.
     start = end - length
     for j, here in reversed(list(enumerate(_by(start, alpha.shape[1])))):
         if len(here):
-            beta[:, j] += np.bincount(word[here], beta[word[here], end[here]] * p[piece[here], 0], len(size))
+            beta[:, j] += np.bincount(word[here], beta[word[here], end[here]] * (p[piece[here], 0] * np.exp2(SCALE * length[here])), len(size))
     whole = alpha[np.arange(len(size)), size]
-    share = alpha[word, start] * p[piece, 0] * beta[word, end] / whole[word]
+    share = alpha[word, start] * (p[piece, 0] * np.exp2(SCALE * length)) * beta[word, end] / whole[word]
     return np.bincount(piece, share * weight[word], pieces.other + 1)
 
 

@@ -279,6 +279,26 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(sum(n[i] * length[i] for i in np.flatnonzero(n)), sum(map(len, words)))
 
 
+def test_long_runs_of_unseen_letters_keep_their_probability():
+    path = public_tokenizers.path(language_id.VOCABULARY)
+    pieces = language_id.Pieces(path)
+    known = {word: i for word, (i, _) in pieces.find.items()}
+    p = np.full((pieces.other + 1, 2), 1e-12) * [1, 2]
+    run = "\u0bb5" * 32  # no longer piece holds this letter: one segmentation
+    words = ["▁" + run, "▁" + "\ud55c\u6f22" * 16, "▁" + "the" * 10]
+    got = language_id.forward(pieces, words, p)
+    assert np.isfinite(got).all() and np.allclose(got[0], 33 * np.log([1e-12, 2e-12]))
+    assert (got[:, 1] > got[:, 0]).all()
+    n = language_id.expected_counts(pieces, words[:1], np.ones(1), p[:, :1])
+    assert np.isclose(n.max(), 32) and np.isclose(n.sum(), 33)
+    assert np.isfinite(language_id.forward(pieces, ["▁" + "a" * 32], np.ones((pieces.other + 1, 1)))).all()
+    # an English text that quotes such a run stays English
+    p[known["▁the"]] = [1e-9, 0.05]
+    rows = language_id.batch({"doc_id": "int64", "held_out": "bool", "text": "string"}, {"doc_id": [1], "held_out": [True], "text": [f"the the {run} the"]})
+    (out,) = language_id._predict(path, ["de", "en"], p * [2, 1])(iter([rows]))
+    assert out.to_pydict()["lang_pred"] == ["en"] and 0.99 < out.to_pydict()["score"][0] <= 1
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
