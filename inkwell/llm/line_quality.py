@@ -9,7 +9,8 @@
    the first of them (smallest id), so that one original survives. The limit
    is ``least_documents`` whatever the size of the host; a caller may raise it
    to ``share`` of the host's documents, which is 0 unless given.
-4. A document that loses more than ``most_removed`` of its words is rejected.
+4. A document that loses more than ``most_removed`` of its words, or keeps
+   fewer than ``LEAST_WORDS``, is rejected.
 
 Frequent lines meet the documents that hold them in a join salted by document,
 so a line in a third of all documents is spread over ``SALTS`` tasks.
@@ -27,6 +28,7 @@ from inkwell.llm.common import batch, fingerprints, map_rows, stored, windows, w
 
 SALTS = 32
 LEAST_DOCUMENTS, SHARE, MOST_REMOVED = 10, 0.0, 0.7
+LEAST_WORDS = 20
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 WINDOW = 8
 
@@ -113,9 +115,9 @@ def quality(docs: DataFrame, host_col: str = "source", least_documents: int = LE
     lost = lost.groupBy(*_KEY).agg(F.sum("words").alias("removed_words"), F.flatten(F.collect_list("places")).alias("removed_lines"))
 
     out = measured.drop("lines").join(lost, _KEY, "left")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))).withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (F.col("removed_words") <= most_removed * F.col("n_words"))
+    kept = ~F.col("base_failed") & (F.col("removed_words") <= most_removed * F.col("n_words")) & (F.col("n_words") - F.col("removed_words") >= LEAST_WORDS)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"), kept.alias("kept"), *_KEY)
 
 

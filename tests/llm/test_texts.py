@@ -129,6 +129,15 @@ def test_a_shared_passage_goes_from_hosts_of_any_size(spark):
     assert lost == {i: 9 for i in (*range(1, 12), *range(1_000_001, 1_000_012))}
 
 
+def test_a_document_left_with_few_words_goes(spark):
+    own = [" ".join(f"w{i}x{k}" for k in range(19 + i % 2)) for i in range(16)]
+    docs = spark.createDataFrame([(i, f"{t}\nFive words that all share", "h") for i, t in enumerate(own)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in line_quality.quality(docs).collect()}
+    assert not any(r.base_failed for r in got.values()) and [got[i].removed_words for i in range(16)] == [0] + [5] * 15
+    assert [i for i in range(16) if got[i].kept] == [0, *range(1, 16, 2)]
+    assert line_quality.cleaned_documents(docs).count() == 9
+
+
 def test_odd_quality(clashing, empty):
     got = {r.doc_id: r for r in line_quality.quality(clashing).collect()}
     assert len(got) == 9 and not got[1].kept and got[6].n_repeat_words == 30000
