@@ -181,6 +181,7 @@ def _search_block(k: int):
             for row in rb.to_pylist():
                 dim, n = row["dim"], len(row["ids"])
                 v = np.frombuffer(row["vectors"], np.float32).reshape(n, dim)
+                least = np.array([ids[0] for ids in row["ids"]], np.int64)
                 level = np.frombuffer(row["levels"], np.int32)
                 tables = [np.frombuffer(t, np.int32).reshape(n, -1) for t in row["neighbours"]]
                 mine = [q for q in row["queries"] if len(q["embedding"]) == dim]
@@ -193,7 +194,7 @@ def _search_block(k: int):
                     for m, near in zip(mine, found):
                         near = near[near >= 0]
                         score = v[near].astype(np.float64) @ np.array(m["embedding"], np.float32).astype(np.float64)
-                        for i in np.lexsort((near, -score))[: k + 1]:
+                        for i in np.lexsort((least[near], -score))[: k + 1]:
                             for vec_id in row["ids"][near[i]]:
                                 if vec_id != m["vec_id"]:
                                     out["query_id"].append(m["vec_id"])

@@ -55,6 +55,15 @@ def test_lengths_differ_and_copies(spark):
     assert len(mine) == 20
 
 
+def test_ties_at_the_cut_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(90).tolist()
+    rows = [(i, [1.0, float(np.cos(x)), float(np.sin(x))]) for i, x in zip(ids, np.linspace(0, 6, 90))] + [(1000, [1.0, 0.0, 0.0])]
+    d = spark.createDataFrame([(i, e, 0) for i, e in rows], SCHEMA)
+    got = sorted(hnsw.nearest(d, d.filter("vec_id = 1000"), 20).collect(), key=lambda r: r["rank"])
+    assert [r.vec_id for r in got] == list(range(20))
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (3, None, 0), (4, [0.0, 0.0], 0), (5, [float("nan"), 1.0], 0), (6, [1.0, None], 0), (7, [float("inf"), 1.0], 0), (None, [1.0, 1.0], 0), (8, [], 0), (9, [1.0, 2.0, 3.0], 0), (10, [2.0, 0.0], None)]
     d = spark.createDataFrame(rows, SCHEMA)
