@@ -24,11 +24,12 @@ def recall(got, want):
     return np.mean([len(near.get(q, set()) & {i for i, _ in w}) / len(w) for q, w in want.items()])
 
 
-def test_recall_on_the_given_table(spark):
-    v = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+@pytest.mark.parametrize("sf, shard_rows", [("sf0.01", hnsw.SHARD_ROWS), ("sf0.1", hnsw.SHARD_ROWS), ("sf0.1", 256)])
+def test_recall_on_the_given_table(spark, sf, shard_rows):
+    v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in v.select("vec_id", "embedding").collect()]
     queries = [x for x in rows if x[0] % 20 == 0]
-    got = hnsw.nearest(v, v.filter("vec_id % 20 = 0"), 20, shard_rows=4096).collect()
+    got = hnsw.nearest(v, v.filter("vec_id % 20 = 0"), 20, shard_rows=shard_rows).collect()
     want = brute(rows, queries, 20)
     assert recall(got, want) >= 0.9
     exact = {q: dict(w) for q, w in want.items()}
