@@ -130,3 +130,26 @@ def among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     some = df.withColumn("_at", at(key)).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(marks), "_word")
     some = some.filter("shiftrightunsigned(_bits, cast(_at & 63 as int)) & 1 = 1").drop("_at", "_word", "_bits")
     return some.join(wanted.withColumnRenamed(name, "_wanted"), F.col(key) == F.col("_wanted"), "left_semi")
+
+
+#: Keys that ``join_spread`` treats as heavy: at most so many.
+HEAVY = 1024
+
+
+def join_spread(df: DataFrame, other: DataFrame, keys: list[str], spread: Column, how: str = "left") -> DataFrame:
+    """Join ``other`` (one row per key) to ``df``, where a key may hold any share
+    of the rows.
+
+    A key with more than 1 / HEAVY of the rows is cut by ``spread`` (a hash of
+    the row) into salts of about that many rows, and its row of ``other`` is
+    repeated for each. There are fewer than HEAVY such keys, so the table of
+    their salts is broadcast and repeats add fewer than 2 * HEAVY rows.
+    ``keys`` must be short and not null; ``df`` is read three times.
+    """
+    limit = max(1, -(-df.count() // HEAVY))
+    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    heavy = F.broadcast(heavy.select(*keys, F.ceil(F.col("_n") / limit).cast("long").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    left = df.join(heavy, keys, "left").withColumn("_salt", F.pmod(spread, salts)).drop("_salts")
+    right = other.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
