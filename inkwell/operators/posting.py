@@ -17,12 +17,15 @@ Plan (exact w.r.t. the sequential semantics; stock only falls in a batch):
 2. Summing the remaining demand per (store, ISBN): pairs whose demand fits
    the stock are *uncontested*; an invoice touching only such pairs is
    accepted whatever the order.
-3. Only invoices touching a contested pair are replayed in order, per store,
-   with only their contested lines (cogrouped ``applyInPandas`` over hash
-   buckets of stores). A store with more than ``split_above`` contested
-   invoices is first split into invoice groups that share no stock row
-   (connected components), replayed independently; a group with more than
-   ``chunk`` invoices is replayed in rounds of ``chunk``.
+3. Only invoices touching a contested pair are decided in order, with only
+   their contested lines. Where a store has more than ``chunk`` of them, most
+   are decided by bounds first: the demand before a line lies between that of
+   the accepted invoices and that of the accepted and undecided ones, so an
+   invoice is accepted if all its lines fit under the upper bound and refused
+   if one does not fit under the lower. A round decides all stores and all
+   invoices at once, and the bounds of the next one are tighter.
+4. What stays undecided is replayed in order, per store (cogrouped
+   ``applyInPandas`` over hash buckets of stores).
 """
 
 from __future__ import annotations
@@ -31,20 +34,22 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.functions.ordinal import number_within, with_ordinal
-from inkwell.operators.sequential import DEFAULT_CHUNK, bounded_walk
+from inkwell.operators import sequential
+from inkwell.operators.sequential import bounded_walk
 from inkwell.schemas import MONEY, MONEY_SUM
-from inkwell.session import ensure_checkpoint_dir
+from inkwell.session import ensure_checkpoint_dir, written_table
 
 Tables = Mapping[str, DataFrame]
 
-# A store with more contested invoices than this is split into independent
-# invoice groups before the ordered replay.
-DEFAULT_SPLIT = 20_000
+#: Contested invoices of one store that a task replays at most.
+DEFAULT_CHUNK = 200_000
+#: Lines of one stock row that a task sums in order.
+BLOCK_LINES = 16_384
 
 # Reasons a request is refused.
 NO_LINES = "no_lines"
@@ -79,8 +84,9 @@ def _replay_stores_fn():
     import pandas as pd
 
     def _replay_stores(lines: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
-        """The contested lines of the stores of one hash bucket; each store's
-        invoices in arrival order (stores never share stock)."""
+        """The undecided lines of the stores of one hash bucket; each store's
+        invoices in arrival order (stores never share stock). ``Used`` is the
+        demand of accepted invoices before the line that are not among them."""
         avail = {(int(s), b): int(q) for s, b, q in
                  zip(stock["_sstore"].to_numpy(), stock["_sisbn"].to_numpy(), stock["Available"].to_numpy())}
         ids: list[int] = []
@@ -91,18 +97,17 @@ def _replay_stores_fn():
             rid = lines["RequestID"].to_numpy()
             isbn = lines["ISBN"].to_numpy()
             qty = lines["Quantity"].to_numpy()
+            used = lines["Used"].to_numpy()
             start, n = 0, len(lines)
             while start < n:
                 end = start
                 while end < n and rid[end] == rid[start]:
                     end += 1
-                need: dict[tuple[int, str], int] = {}
-                for i in range(start, end):
-                    k = (int(store[i]), isbn[i])
-                    need[k] = need.get(k, 0) + int(qty[i])
-                ok = all(avail.get(k, -1) >= q for k, q in need.items())
+                # one line per book of an invoice
+                need = {(int(store[i]), isbn[i]): (int(qty[i]), int(used[i])) for i in range(start, end)}
+                ok = all(avail.get(k, -1) - u >= q for k, (q, u) in need.items())
                 if ok:
-                    for k, q in need.items():
+                    for k, (q, _) in need.items():
                         avail[k] -= q
                 ids.append(int(rid[start]))
                 acc.append(ok)
@@ -112,79 +117,108 @@ def _replay_stores_fn():
     return _replay_stores
 
 
-def _cogroup_replay(lines: DataFrame, stock: DataFrame, group: str) -> DataFrame:
-    # Groups (stores, or independent invoice groups of a store) are hashed
-    # into a bounded number of buckets so that one pandas call handles many
-    # of them; fresh column names on the stock side (both sides derive from
-    # one plan).
+def _cogroup_replay(lines: DataFrame, stock: DataFrame) -> DataFrame:
+    # Stores are hashed into a bounded number of buckets so that one pandas
+    # call handles many of them; fresh column names on the stock side (both
+    # sides derive from one plan).
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    ln = lines.withColumn("_bucket", F.pmod(F.hash(F.col(group)), F.lit(n)))
+    ln = lines.withColumn("_bucket", F.pmod(F.hash("StoreCode"), F.lit(n)))
     st = (stock.select(F.col("StoreCode").alias("_sstore"), F.col("ISBN").alias("_sisbn"), "Available",
-                       F.pmod(F.hash(F.col(group)), F.lit(n)).alias("_sbucket")))
+                       F.pmod(F.hash("StoreCode"), F.lit(n)).alias("_sbucket")))
     return (ln.groupBy("_bucket").cogroup(st.groupBy("_sbucket"))
             .applyInPandas(_replay_stores_fn(), _REPLAY_SCHEMA))
 
 
-def independent_groups(lines: DataFrame, max_iter: int = 30) -> DataFrame | None:
-    """Split contested invoices into groups that share no stock row:
-    connected components of the graph invoice -- (store, ISBN), by min-label
-    propagation until no label changes. Returns (RequestID, _group) or None
-    when it has not converged after ``max_iter`` rounds (the caller then
-    groups by store, which is also exact)."""
-    edges = lines.select("RequestID", "StoreCode", "ISBN").distinct().checkpoint(eager=True)
-    label = edges.select("RequestID").distinct().withColumn("_group", F.col("RequestID"))
-    for _ in range(max_iter):
-        pair = (edges.join(label, "RequestID").groupBy("StoreCode", "ISBN")
-                .agg(F.min("_group").alias("_group")))
-        new = (edges.join(pair, ["StoreCode", "ISBN"]).groupBy("RequestID")
-               .agg(F.min("_group").alias("_group")).checkpoint(eager=True))
-        changed = (new.join(label.withColumnRenamed("_group", "_old"), "RequestID")
-                   .filter(F.col("_group") != F.col("_old")).count())
-        label = new
-        if changed == 0:
-            return label
-    return None
-
-
-def _replay(lines: DataFrame, stock: DataFrame, chunk: int,
-            split_above: int | None = DEFAULT_SPLIT) -> DataFrame:
+_PAIR = ["StoreCode", "ISBN"]
+
+
+def _with_bounds(work: DataFrame) -> DataFrame:
+    """The undecided lines of ``work`` with ``Used`` and ``_open``: the demand
+    of the accepted and of the undecided invoices before the line on its stock
+    row. A stock row may hold any share of the lines: they lie in blocks, sums
+    are pre-aggregated per block, and only a block is ordered by one task."""
+    at = [*_PAIR, "_block"]
+    taken = F.when(F.col("_accepted"), F.col("Quantity")).otherwise(F.lit(0))
+    asked = F.when(F.col("_accepted"), F.lit(0)).otherwise(F.col("Quantity"))
+    before = Window.partitionBy(*_PAIR).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*at).orderBy("RequestID").rowsBetween(Window.unboundedPreceding, -1)
+
+    def earlier(col, window):
+        return F.coalesce(F.sum(col).over(window), F.lit(0))
+
+    sums = work.groupBy(*at).agg(F.sum(taken).alias("_t"), F.sum(asked).alias("_a"))
+    offsets = sums.select(*at, earlier("_t", before).alias("_t"), earlier("_a", before).alias("_a"))
+    return (work.join(offsets, at)
+            .withColumn("Used", F.col("Used") + F.col("_t") + earlier(taken, inside))
+            .withColumn("_open", F.col("_a") + earlier(asked, inside))
+            .filter(~F.col("_accepted")).drop("_t", "_a", "_accepted"))
+
+
+def decide_by_bounds(lines: DataFrame, stock: DataFrame, enough: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rounds of bounds on contested ``lines`` (StoreCode, RequestID, ISBN,
+    Quantity) against ``stock`` (StoreCode, ISBN, Available).
+
+    Returns the decided invoices (RequestID, Accepted), the lines of the
+    others, with ``Used`` (the demand of accepted invoices before the line),
+    and the most undecided invoices of a store. Ends when no store has more
+    than ``enough`` undecided invoices, or when two rounds (one mostly accepts,
+    the next refuses what then no longer fits) decide no more than ``enough``:
+    a replay then gets on at least as fast. The rounds follow how often one
+    stock row runs out because of another, not the number of invoices.
+    """
+    numbered = number_within(lines.join(stock, _PAIR), _PAIR, ["RequestID"], "_rank")
+    work = numbered.select(*_PAIR, "RequestID", "Quantity", "Available",
+                           F.floor((F.col("_rank") - 1) / BLOCK_LINES).alias("_block"),
+                           F.lit(0).cast("long").alias("Used"), F.lit(False).alias("_accepted"))
+    decided: DataFrame | None = None
+    open_before: list[int] = []
+    while True:
+        line = _with_bounds(work)
+        verdict = line.groupBy("RequestID").agg(
+            F.min(F.col("Used") + F.col("_open") + F.col("Quantity") <= F.col("Available")).alias("_fits"),
+            F.max(F.col("Used") + F.col("Quantity") > F.col("Available")).alias("_full"))
+        # one table per round: its decisions, and the lines the next one needs
+        done = written_table(line.join(verdict, "RequestID").drop("_open"), "bounds")
+        out = (done.filter("_fits or _full").select("RequestID", F.col("_fits").alias("Accepted")).distinct())
+        decided = out if decided is None else decided.unionByName(out)
+        work = done.filter("not _full").withColumnRenamed("_fits", "_accepted").drop("_full")
+        left, largest = (done.filter("not _fits and not _full").select("StoreCode", "RequestID").distinct()
+                         .groupBy("StoreCode").count()
+                         .agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first())
+        if largest <= enough or (len(open_before) > 1 and open_before[-2] - left <= enough):
+            rest = _with_bounds(work).select(*_PAIR, "RequestID", "Quantity", "Used")
+            return decided, rest, largest
+        open_before.append(left)
+
+
+def _replay(lines: DataFrame, stock: DataFrame, chunk: int) -> DataFrame:
     """Decide contested invoices. ``lines``: (StoreCode, RequestID, ISBN,
     Quantity); ``stock``: (StoreCode, ISBN, Available) of contested pairs.
 
-    Invoices are replayed per store; when a store has more than
-    ``split_above`` contested invoices, its invoices are first split into
-    groups that share no stock row, and groups are replayed independently."""
-    group = "StoreCode"
-    sizes = lines.groupBy(group).agg(F.count_distinct("RequestID").alias("_n"))
+    Invoices are replayed per store. Where a store has more than ``chunk``,
+    bounds decide most of them first."""
+    sizes = lines.groupBy("StoreCode").agg(F.count_distinct("RequestID").alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if split_above is not None and largest > split_above:
-        groups = independent_groups(lines)
-        if groups is not None:
-            lines = lines.join(groups, "RequestID")
-            pair_group = lines.select("StoreCode", "ISBN", "_group").distinct()
-            stock = stock.join(pair_group, ["StoreCode", "ISBN"])
-            group = "_group"
-            largest = (lines.groupBy(group).agg(F.count_distinct("RequestID").alias("_n"))
-                       .agg(F.max("_n")).first()[0] or 0)
     if largest <= chunk:
-        return _cogroup_replay(lines, stock, group)
-    # Rounds: invoices of a group ranked by arrival, at most ``chunk`` per
+        return _cogroup_replay(lines.withColumn("Used", F.lit(0).cast("long")), stock)
+    out, lines, largest = decide_by_bounds(lines, stock, chunk)
+    if largest <= chunk:
+        return out.unionByName(_cogroup_replay(lines, stock))
+    # Rounds: invoices of a store ranked by arrival, at most ``chunk`` per
     # round; stock is carried from round to round.
-    reqs = lines.select(group, "RequestID").distinct()
-    ranked = number_within(reqs, [group], ["RequestID"], "_rank").withColumn(
+    reqs = lines.select("StoreCode", "RequestID").distinct()
+    ranked = number_within(reqs, ["StoreCode"], ["RequestID"], "_rank").withColumn(
         "_round", F.floor((F.col("_rank") - 1) / chunk))
-    lines_r = lines.join(ranked.select("RequestID", "_round"), "RequestID")
-    keep = [c for c in stock.columns if c != "Available"]
-    out: DataFrame | None = None
+    lines_r = written_table(lines.join(ranked.select("RequestID", "_round"), "RequestID"), "rounds")
     for r in range((largest + chunk - 1) // chunk):
         part = lines_r.filter(F.col("_round") == r).drop("_round")
-        dec = _cogroup_replay(part, stock, group).checkpoint(eager=True)
+        dec = written_table(_cogroup_replay(part, stock), "decided")
         used = (part.join(dec.filter("Accepted"), "RequestID")
-                .groupBy("StoreCode", "ISBN").agg(F.sum("Quantity").alias("_used")))
-        stock = (stock.join(used, ["StoreCode", "ISBN"], "left")
-                 .select(*keep, (F.col("Available") - F.coalesce("_used", F.lit(0))).alias("Available"))
+                .groupBy(*_PAIR).agg(F.sum("Quantity").alias("_used")))
+        stock = (stock.join(used, _PAIR, "left")
+                 .select(*_PAIR, (F.col("Available") - F.coalesce("_used", F.lit(0))).alias("Available"))
                  .checkpoint(eager=True))
-        out = dec if out is None else out.unionByName(dec)
+        out = out.unionByName(dec)
     return out
 
 
@@ -210,53 +244,49 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
     (StoreCode, ISBN, Demand, Available), ``certain_accepts`` (RequestID),
     ``contested_lines`` (StoreCode, RequestID, ISBN, Quantity),
     ``contested_stock`` (StoreCode, ISBN, Available), ``live_lines`` (lines
-    of requests not certainly rejected) and ``headers``."""
+    of requests not certainly rejected) and ``headers`` of those requests."""
     missing = F.lit(False)
     for c in HEADER_COLS:
         missing = missing | F.col(c).isNull()
-    # The batch is read by every later step: write it once, headers joined to
-    # their lines and the lines to their stock rows (reliable checkpoint into
-    # spark.checkpoint.dir; the later steps read nearly all of its columns),
-    # instead of re-reading and re-joining the input. A request without lines
-    # keeps one row with a NULL ISBN.
-    ensure_checkpoint_dir(headers.sparkSession)
-    head = headers.select(*HEADER_COLS).withColumn("_head_ok", ~missing)
+    # The batch is read by every later step: headers and lines are written once
+    # (tables in spark.checkpoint.dir, of which each step reads the columns it
+    # needs and the planner knows the size), the lines with their header's
+    # store and their stock row. Lines are the big
+    # side, preserved and splittable in each left join: with the headers (a
+    # line without one is refused, not dropped), then with stock and books
+    # (only a book the store stocks and the catalogue holds is sold).
+    head = written_table(headers.select(*HEADER_COLS).withColumn("_head_ok", ~missing), "headers")
     inv = t["Inventory"].select("StoreCode", "ISBN", F.col("AvailableQuantity").alias("Available"))
-    # Lines are the big side, preserved and splittable in each left join: with
-    # the headers (a line without one is refused, not dropped), then with stock
-    # and books (only a book the store stocks and the catalogue holds is sold);
-    # plus the requests that have no lines.
-    merged = merge_lines(lines)
     book = t["Book"].select("ISBN", F.lit(True).alias("_book"))
-    with_lines = merged.join(head, "RequestID", "left")
-    without = (head.join(merged.select("RequestID").distinct(), "RequestID", "left_anti")
-               .select("RequestID",
-                       F.lit(None).cast("string").alias("ISBN"), F.lit(None).cast("long").alias("Quantity"),
-                       F.lit(None).cast("int").alias("LinePos"),
-                       *[c for c in head.columns if c != "RequestID"]))
-    hl = (with_lines.unionByName(without)
-          .join(inv, ["StoreCode", "ISBN"], "left").join(book, "ISBN", "left")
-          .checkpoint(eager=True))
+    hl = written_table(merge_lines(lines)
+                       .join(head.select("RequestID", "StoreCode", "_head_ok"), "RequestID", "left")
+                       .join(inv, ["StoreCode", "ISBN"], "left").join(book, "ISBN", "left"), "batch")
     line_reason = (F.when(~F.coalesce("_head_ok", F.lit(False)), F.lit(MISSING_HEADER))
                    .when(F.col("ISBN").isNull(), F.lit(NO_LINES))
                    .when(F.col("Quantity").isNull() | (F.col("Quantity") <= 0), F.lit(INVALID_QUANTITY))
                    .when(F.col("Available").isNull(), F.lit(NO_STOCK_ROW))
                    .when(F.col("_book").isNull(), F.lit(NOT_SELLABLE))
                    .when(F.col("Quantity") > F.col("Available"), F.lit(INSUFFICIENT_STOCK)))
-    rejected = (hl.withColumn("Reason", line_reason).filter(F.col("Reason").isNotNull())
-                .groupBy("RequestID").agg(F.min("Reason").alias("Reason")))
-    live = (hl.filter(F.col("RequestID").isNotNull()).join(rejected.select("RequestID"), "RequestID", "left_anti")
+    # one row per request, from headers and lines together: its header, and the
+    # reason that refuses it at once
+    told = (head.withColumn("_reason", F.when(~F.col("_head_ok"), F.lit(MISSING_HEADER))).withColumn("_line", F.lit(False))
+            .unionByName(hl.select("RequestID", line_reason.alias("_reason"), F.lit(True).alias("_line")),
+                         allowMissingColumns=True))
+    requests = written_table(told.groupBy("RequestID").agg(
+        F.coalesce(F.min("_reason"), F.when(~F.max("_line"), F.lit(NO_LINES))).alias("Reason"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in HEADER_COLS if c != "RequestID"]), "requests")
+    rejected = requests.filter(F.col("Reason").isNotNull()).select("RequestID", "Reason")
+    live = (hl.join(requests.filter(F.col("Reason").isNull()).select("RequestID"), "RequestID", "left_semi")
             .select("RequestID", "StoreCode", "ISBN", "Quantity", "LinePos", "Available"))
     demand = (live.groupBy("StoreCode", "ISBN")
               .agg(F.sum("Quantity").alias("Demand"), F.first("Available").alias("Available")))
     contested = demand.filter(F.col("Demand") > F.col("Available"))
     # contested lines, with their starting stock, are read several times
     # (round sizing, stock, replay, certain accepts): written once
-    c_lines = (live.join(contested.select("StoreCode", "ISBN"), ["StoreCode", "ISBN"], "left_semi")
-               .select("StoreCode", "RequestID", "ISBN", "Quantity", "Available")
-               .checkpoint(eager=True))
-    c_reqs = c_lines.select("RequestID").distinct()
-    certain = live.select("RequestID").distinct().join(c_reqs, "RequestID", "left_anti")
+    c_lines = written_table(live.join(contested.select("StoreCode", "ISBN"), ["StoreCode", "ISBN"], "left_semi")
+                            .select("StoreCode", "RequestID", "ISBN", "Quantity", "Available"), "contested")
+    sound = requests.filter(F.col("Reason").isNull()).drop("Reason")
+    certain = sound.select("RequestID").join(c_lines.select("RequestID").distinct(), "RequestID", "left_anti")
     return {
         "rejected": rejected,
         "contested_pairs": contested,
@@ -264,12 +294,12 @@ def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[s
         "contested_lines": c_lines.drop("Available"),
         "contested_stock": c_lines.select("StoreCode", "ISBN", "Available").distinct(),
         "live_lines": live,
-        "headers": hl.select(*HEADER_COLS).dropDuplicates(["RequestID"]),
+        "headers": sound.select(*HEADER_COLS),
     }
 
 
 def post_sales(t: Tables, headers: DataFrame, lines: DataFrame,
-               chunk: int = DEFAULT_CHUNK, split_above: int | None = DEFAULT_SPLIT) -> PostingResult:
+               chunk: int = DEFAULT_CHUNK) -> PostingResult:
     """Post a batch of sale requests.
 
     ``headers``: RequestID (arrival order), StoreCode, CustomerCode,
@@ -279,16 +309,15 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame,
     """
     parts = classify_requests(t, headers, lines)
     # decisions are small (one row per contested invoice) and read twice
-    decided = _replay(parts["contested_lines"], parts["contested_stock"], chunk,
-                      split_above).checkpoint(eager=True)
-    accepted_ids = (parts["certain_accepts"]
-                    .unionByName(decided.filter("Accepted").select("RequestID")))
+    decided = written_table(_replay(parts["contested_lines"], parts["contested_stock"], chunk), "decided")
     rejected = parts["rejected"].unionByName(
         decided.filter(~F.col("Accepted")).select("RequestID", F.lit(INSUFFICIENT_STOCK).alias("Reason")))
 
     # Numbers continue from the current maximum, in arrival order
     base = t["Sale"].select(F.coalesce(F.max("InvoiceNumber"), F.lit(0)).cast("long")).scalar()
-    acc_head = parts["headers"].join(accepted_ids, "RequestID", "left_semi")
+    # an invoice that is not contested was accepted
+    acc_head = (parts["headers"].join(decided, "RequestID", "left")
+                .filter(F.coalesce("Accepted", F.lit(True))).drop("Accepted"))
     numbered = with_ordinal(acc_head, ["RequestID"], "InvoiceNumber", start=base + F.lit(1))
     numbers = numbered.select("RequestID", "InvoiceNumber")
     sales = numbered.select("InvoiceNumber", "InvoiceDate", "CustomerCode", "StoreCode", "EmployeeNationalCode")
@@ -325,7 +354,7 @@ def _apply_usage(inventory: DataFrame, change: DataFrame, sign: int) -> DataFram
 
 
 # --- W4, W5 ---------------------------------------------------------------------
-def build_invoice_lines(t: Tables, additions: DataFrame, chunk: int = DEFAULT_CHUNK) -> dict[str, DataFrame]:
+def build_invoice_lines(t: Tables, additions: DataFrame, chunk: int = sequential.DEFAULT_CHUNK) -> dict[str, DataFrame]:
     """Turn form additions (RequestID, Seq, StoreCode, ISBN, Quantity)
     into invoice lines. A book must be sellable in the store (stock row with
     quantity > 0); an addition that would take the line above that stock is
@@ -362,7 +391,7 @@ def invoice_totals(lines: DataFrame, key: str = "RequestID") -> DataFrame:
 
 
 # --- W6 --------------------------------------------------------------------------
-def adjust_stock(t: Tables, adjustments: DataFrame, chunk: int = DEFAULT_CHUNK) -> dict[str, DataFrame]:
+def adjust_stock(t: Tables, adjustments: DataFrame, chunk: int = sequential.DEFAULT_CHUNK) -> dict[str, DataFrame]:
     """Stock adjustments (AdjustID arrival order, StoreCode, ISBN,
     Amount >= 1, Direction +1/-1). Refused when the row is missing or the
     result would be negative; a refused change changes nothing. Returns

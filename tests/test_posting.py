@@ -1,12 +1,17 @@
 """Posting (W1-W6) against plain one-at-a-time replays."""
 
 import datetime as dt
+import random
+from bisect import bisect_right
 from decimal import Decimal
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inkwell.operators import posting as P
+from inkwell.operators import sequential as W
 from inkwell.schemas import SCHEMAS
 
 H_SCHEMA = "RequestID long, StoreCode int, CustomerCode int, EmployeeNationalCode string, InvoiceDate date"
@@ -39,12 +44,12 @@ def _replay(stock, requests):
     return accepted, stock
 
 
-def _post(spark, stock, requests, chunk=P.DEFAULT_CHUNK, existing_max=0, split=P.DEFAULT_SPLIT):
+def _post(spark, stock, requests, chunk=P.DEFAULT_CHUNK, existing_max=0):
     t = _tables(spark, stock, existing_max)
     heads = [(rid, store, 1, "E", dt.date(2010, 1, 1)) for rid, store, _ in requests]
     lines = [(rid, b, q, i) for rid, _, ls in requests for i, (b, q) in enumerate(ls)]
     res = P.post_sales(t, spark.createDataFrame(heads, H_SCHEMA), spark.createDataFrame(lines, L_SCHEMA),
-                       chunk=chunk, split_above=split)
+                       chunk=chunk)
     return t, res
 
 
@@ -63,25 +68,45 @@ def test_fixture_frame(spark):
     assert items == [(42, 1, "a", 3), (43, 1, "a", 1)]
 
 
-def test_independent_groups(spark):
-    # store 1: requests 1,2 share book a; 3 and 4 share c via 4's second line; 5 alone on d
-    lines = spark.createDataFrame(
-        [(1, 1, "a", 1), (2, 1, "a", 1), (2, 1, "b", 1), (3, 1, "c", 1), (4, 1, "c", 1), (4, 1, "e", 1),
-         (5, 1, "d", 1), (6, 2, "a", 1)],
-        "RequestID long, StoreCode int, ISBN string, Quantity int")
-    groups = {r.RequestID: r._group for r in P.independent_groups(lines).collect()}
-    assert groups[1] == groups[2] == 1 and groups[3] == groups[4] == 3
-    assert groups[5] == 5 and groups[6] == 6
-
-
-def test_hot_store_split_matches_sequential(spark):
+@pytest.mark.parametrize("chunk", [P.DEFAULT_CHUNK, 3, 0])
+def test_hot_store_matches_sequential(spark, chunk):
+    """Replay alone, bounds then replay, and bounds down to the last invoice."""
     stock = {(1, b): 3 for b in "abcdef"}
     reqs = [(i, 1, [("abcdef"[i % 6], 1 + i % 2), ("abcdef"[(i * 5) % 6], 1)]) for i in range(1, 30)]
     want, want_stock = _replay(stock, reqs)
-    for chunk in (P.DEFAULT_CHUNK, 3):
-        _, res = _post(spark, stock, reqs, chunk=chunk, split=0)
-        assert sorted(r.RequestID for r in res.accepted.collect()) == want
-        assert {(r.StoreCode, r.ISBN): r.AvailableQuantity for r in res.inventory.collect()} == want_stock
+    _, res = _post(spark, stock, reqs, chunk=chunk)
+    assert sorted(r.RequestID for r in res.accepted.collect()) == want
+    assert {(r.StoreCode, r.ISBN): r.AvailableQuantity for r in res.inventory.collect()} == want_stock
+
+
+def _one_store(n, books, rng):
+    """n invoices of one store that hang together through their books."""
+    return [(i, 1, [(b, rng.randint(1, 9)) for b in rng.sample(books, rng.randint(1, 4))]) for i in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_rounds_stay_few_in_a_large_group(spark, monkeypatch, n):
+    """One store holds all requests, and their books connect them all: a few
+    rounds of bounds leave three of the replay at most, also when the group is
+    ten times as large (a replay alone would take 10 or 100)."""
+    rng, books = random.Random(5), [f"b{i:02d}" for i in range(6)]
+    stock, reqs = {(1, b): n // 6 * 5 for b in books}, _one_store(n, books, rng)
+    rounds = []
+    bounds = P._with_bounds
+    monkeypatch.setattr(P, "BLOCK_LINES", 64)
+    monkeypatch.setattr(P, "_with_bounds", lambda w: rounds.append(1) or bounds(w))
+    t = _tables(spark, stock)
+    lines = spark.createDataFrame([(1, rid, b, q) for rid, _, ls in reqs for b, q in ls],
+                                  "StoreCode int, RequestID long, ISBN string, Quantity long")
+    avail = t["Inventory"].select("StoreCode", "ISBN", F.col("AvailableQuantity").alias("Available"))
+    decided, rest, largest = P.decide_by_bounds(lines, avail, 30)
+    want = set(_replay(stock, reqs)[0])
+    got = {r.RequestID: r.Accepted for r in decided.collect()}
+    assert all(ok == (rid in want) for rid, ok in got.items())
+    assert largest <= 3 * 30 and len(got) + rest.select("RequestID").distinct().count() == n
+    assert len(rounds) <= 16
+    whole = got | {r.RequestID: r.Accepted for r in P._cogroup_replay(rest, avail).collect()}
+    assert {k for k, ok in whole.items() if ok} == want and len(whole) == n
 
 
 def test_merge_and_missing_stock_row(spark):
@@ -120,12 +145,11 @@ requests_strategy = st.lists(
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
-@given(requests_strategy, st.integers(0, 1), st.integers(0, 1))
-def test_random_batches_match_sequential(spark, reqs, chunked, split):
+@given(requests_strategy, st.sampled_from([P.DEFAULT_CHUNK, 2, 0]))
+def test_random_batches_match_sequential(spark, reqs, chunk):
     stock = {(s, b): 4 + (s * 3 + ord(b)) % 5 for s in (1, 2, 3) for b in ("a", "b", "c")}
     requests = [(i + 1, s, ls) for i, (s, ls) in enumerate(reqs)]
-    chunk = 2 if chunked else P.DEFAULT_CHUNK
-    _, res = _post(spark, stock, requests, chunk=chunk, split=0 if split else None)
+    _, res = _post(spark, stock, requests, chunk=chunk)
     want, want_stock = _replay(stock, requests)
     acc = sorted((r.RequestID, r.InvoiceNumber) for r in res.accepted.collect())
     assert [a for a, _ in acc] == want
@@ -162,7 +186,7 @@ def test_adjust_random_matches_sequential(spark, events, chunked):
     t = _adj_tables(spark, stock)
     rows = [(i + 1, 1, b, amt, d) for i, (b, amt, d) in enumerate(events)]
     adj = spark.createDataFrame(rows, "AdjustID long, StoreCode int, ISBN string, Amount int, Direction int")
-    out = P.adjust_stock(t, adj, chunk=2 if chunked else P.DEFAULT_CHUNK)
+    out = P.adjust_stock(t, adj, chunk=2 if chunked else W.DEFAULT_CHUNK)
     s = dict(stock)
     want = {}
     for aid, _, b, amt, d in rows:
@@ -175,6 +199,59 @@ def test_adjust_random_matches_sequential(spark, events, chunked):
     assert {(r.StoreCode, r.ISBN): r.AvailableQuantity for r in out["inventory"].collect()} == s
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-9, 7), max_size=25), st.integers(0, 80))
+def test_walk_map_is_the_walk(deltas, state):
+    starts, states = W.walk_map(deltas)
+    i = bisect_right(starts, state) - 1
+    after = state
+    for d in deltas:
+        after += d if after + d >= 0 else 0
+    assert states[i] + state - starts[i] == after
+    assert starts[0] == 0 and starts == sorted(set(starts))
+
+
+def _walk(state, deltas):
+    out = []
+    for d in deltas:
+        out.append(state + d >= 0)
+        state += d if out[-1] else 0
+    return out
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(-9, 9), min_size=1, max_size=60), st.integers(0, 12), st.integers(1, 7))
+def test_one_key_over_many_chunks(spark, deltas, state, chunk):
+    """One key in chunks that do not wait for each other, nulls in its columns,
+    beside a key short enough for one task."""
+    rows = [(None, "k", i, d, state, i) for i, d in enumerate(deltas)] + [(1, "k", 0, -state - 1, state, -1)]
+    ev = spark.createDataFrame(rows, "a int, b string, o int, d int, s int, e long")
+    got = {r.e: r.Accepted for r in W.bounded_walk(ev, ["a", "b"], "o", "d", "s", "e", chunk=chunk).collect()}
+    assert [got.pop(i) for i in range(len(deltas))] == _walk(state, deltas)
+    assert got == {-1: False}
+
+
+def test_hot_key_is_cut_over_tasks(spark, monkeypatch):
+    """All adjustments on one stock row: the walk and the maps see no more than
+    a chunk at a time, and the maps stay short."""
+    rng = random.Random(3)
+    deltas = [rng.choice([-1, -1, 1]) * rng.randint(1, 50) for _ in range(4000)]
+    ev = spark.createDataFrame([("k", i, d, 20, i) for i, d in enumerate(deltas)], "k string, o int, d int, s int, e long")
+    calls = []
+    by_bucket = W._by_bucket
+    monkeypatch.setattr(W, "_by_bucket", lambda df, *a: calls.append(df) or by_bucket(df, *a))
+    got = sorted((r.e, r.Accepted) for r in W.bounded_walk(ev, ["k"], "o", "d", "s", "e", chunk=100).collect())
+    assert [ok for _, ok in got] == _walk(20, deltas)
+    to_map, to_walk = calls
+    assert to_walk.groupBy("_key", "_chunk").count().agg(F.max("count"), F.count("*")).first() == (100, 40)
+    reach = to_map.select("_chunk", "_reach").distinct().orderBy("_chunk").collect()
+    state = 20
+    for r in reach:
+        assert state <= r._reach <= 50 * 40     # an upper bound, and not the sum of all increases
+        for d in deltas[r._chunk * 100:(r._chunk + 1) * 100]:
+            state += d if state + d >= 0 else 0
+
+
 def test_build_invoice_lines(spark):
     t = _tables(spark, {(1, "a"): 5, (1, "b"): 0})
     adds = spark.createDataFrame(

@@ -57,7 +57,7 @@ SCRIPT = textwrap.dedent(f"""
                                              SCHEMAS["Inventory"]),
          "Book": spark.createDataFrame([(b, b, "s", Decimal("1.00"), 1, None) for b in "abc"], SCHEMAS["Book"]),
          "Sale": spark.createDataFrame([], SCHEMAS["Sale"])}}
-    res = P.post_sales(t, heads, lines, split_above=0, chunk=30)
+    res = P.post_sales(t, heads, lines, chunk=30)
     s2 = dict(stock); ok = []
     for rid, store, ls in sorted(reqs):
         need = {{}}
