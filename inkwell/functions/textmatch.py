@@ -10,12 +10,17 @@ text, so ``%``, ``_`` and bracket classes in it act as wildcards. Two modes:
   classes and rejects a stray backslash.
 
 ``collation`` compares under a Spark collation, e.g. ``"UTF8_LCASE"`` for a
-case-insensitive search.
+case-insensitive search. In ``"like"`` mode text and pattern are folded the way
+the collation ignores differences (case, accents, trailing blanks) and then
+compared; a text without wildcards is an ordinary ``contains``. Only the
+collations of ``LIKE_COLLATIONS`` fold by rule; others are refused there.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,6 +70,58 @@ def _char_class(body: str, neg: bool) -> str:
     return f"[{'^' if neg else ''}{''.join(parts)}]"
 
 
+#: Collations that ``"like"`` mode knows, each also with ``_RTRIM``: those under
+#: which Spark searches text at all, of no language in particular.
+LIKE_COLLATIONS = ("UTF8_BINARY", "UTF8_LCASE", "UNICODE", "UNICODE_CI", "UNICODE_CI_AI")
+
+
+@lru_cache(maxsize=1)
+def _accents() -> tuple[str, str]:
+    """(characters, their replacements) for ``translate``: composed letters to
+    their base letter; the marks, listed last, have no replacement and go."""
+    def is_mark(c: str) -> bool:
+        # from 10 on: points, vowel marks and accents, not signs that are letters of a script
+        return unicodedata.combining(c) >= 10
+
+    every = [chr(n) for n in range(0x80, 0x10000) if not 0xD800 <= n < 0xE000]
+    base = {c: d[0] for c in every for d in [unicodedata.normalize("NFD", c)] if len(d) > 1 and all(map(is_mark, d[1:]))}
+    return "".join(base) + "".join(c for c in every if is_mark(c)), "".join(base.values())
+
+
+def _folding(collation: str | None) -> tuple[bool, bool, bool, bool]:
+    """(by lower case, by full case folding, without accents, without trailing
+    blanks) of a collation."""
+    name = (collation or "UTF8_BINARY").upper()
+    base = name.removesuffix("_RTRIM")
+    if base not in LIKE_COLLATIONS:
+        raise ValueError(f"no wildcard search under the collation {collation!r}; known are {', '.join(LIKE_COLLATIONS)}, also with _RTRIM")
+    return base == "UTF8_LCASE", "_CI" in base, base == "UNICODE_CI_AI", base != name
+
+
+def fold(col: Column, collation: str | None) -> Column:
+    """Text such that values which are equal under ``collation`` become equal."""
+    lower, ci, ai, rtrim = _folding(collation)
+    if ai:
+        chars, base = _accents()
+        col = F.translate(col, chars, base)
+    if lower or ci:
+        # through upper case for full folding: sharp s is ss, ligatures are
+        # letters (the optimiser would drop an upper directly inside a lower)
+        col = F.translate(F.lower(F.translate(F.upper(col), "\0", "\0") if ci else col), "ς", "σ")
+    return F.rtrim(col) if rtrim else col
+
+
+def fold_text(text: str, collation: str | None) -> str:
+    """``fold`` of a Python text, for patterns."""
+    lower, ci, ai, rtrim = _folding(collation)
+    if ai:
+        chars, base = _accents()
+        text = text.translate(str.maketrans(chars[:len(base)], base, chars[len(base):]))
+    if lower or ci:
+        text = (text.upper() if ci else text).lower().replace("ς", "σ")
+    return text.rstrip(" ") if rtrim else text
+
+
 def _collated(col: Column, collation: str | None) -> Column:
     return F.collate(col, collation) if collation else col
 
@@ -76,10 +133,10 @@ def text_match(col: Column | str, text: str, mode: str = "contains",
     if mode == "contains":
         return _collated(c, collation).contains(F.lit(text))
     if mode == "like":
-        rx = like_to_regex(f"%{text}%")
-        if collation and collation.upper().startswith(("UTF8_LCASE", "UNICODE_CI")):
-            rx = "(?iu)" + rx  # letters beyond ASCII too, as contains folds them
-        return c.rlike(rx)
+        folded = fold_text(text, collation)     # refuses other collations
+        if not set("%_[") & set(text):
+            return _collated(c, collation).contains(F.lit(text))
+        return fold(c, collation).rlike(like_to_regex(f"%{folded}%"))
     raise ValueError(f"unknown text match mode: {mode!r}")
 
 

@@ -3,11 +3,12 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import formatting as fmt
 from inkwell.functions import parsing as prs
-from inkwell.functions.textmatch import equals, like_to_regex, text_match
+from inkwell.functions.textmatch import LIKE_COLLATIONS, equals, like_to_regex, text_match
 
 
 def _col(spark, values, dtype="string"):
@@ -93,3 +94,41 @@ def test_like_mode_odd_classes_and_case(spark):
     assert got("[]") == got("[^]") == got("[z-a]") == []
     assert got("[^z-a]bc") == ["abc"] and got("a[-]z") == ["a-z"] and got("[a-c]bc") == ["abc"]
     assert got("école", collation="UTF8_LCASE") == ["École"]
+
+
+WORDS = ["École", "ecole", "E\u0301COLE normale", "straße", "STRASSE", "ﬁsh", "FISH", "ΟΔΟΣ", "οδος", "a b  ", "AB", "",
+         "Ñandú", "nandu", "каша", "КАША", "مُحَمَّد", "محمد", "[x]", "50%"]
+COLLATIONS = [f"{c}{t}" for c in LIKE_COLLATIONS for t in ("", "_RTRIM")]
+
+
+@pytest.mark.parametrize("collation", [None, *COLLATIONS])
+def test_like_without_wildcards_is_contains(spark, collation):
+    df = spark.createDataFrame([(w,) for w in WORDS], "v string")
+    for text in ["ecole", "École", "ss", "fi", "οδος", "b  ", "nandu", "каша", "محمد", "ab", "]", ""]:
+        like = df.select(text_match("v", text, "like", collation).alias("m")).collect()
+        assert like == df.select(text_match("v", text, "contains", collation).alias("m")).collect()
+
+
+def test_like_with_wildcards_under_collations(spark):
+    df = spark.createDataFrame([(w,) for w in WORDS], "v string")
+
+    def got(text, collation):
+        return sorted(r.v for r in df.filter(text_match("v", text, "like", collation)).collect())
+
+    assert got("[É]c_le", "UNICODE_CI_AI") == sorted(["École", "ecole", "E\u0301COLE normale"])
+    assert got("[e-g]c_le", "UNICODE_CI") == ["ecole"]
+    assert got("ec%e", "UNICODE_CI_AI") == sorted(["École", "ecole", "E\u0301COLE normale"])
+    assert got("[É]c_le", None) == ["École"]
+    assert got("s_ra[s]s", "UNICODE_CI") == sorted(["STRASSE", "straße"])
+    assert got("[f]i_h", "UNICODE_CI_AI") == sorted(["FISH", "ﬁsh"])
+    assert got("ο_ο[Σ]", "UTF8_LCASE") == sorted(["ΟΔΟΣ", "οδος"])
+    assert got("К[А]Ш_", "UTF8_LCASE") == sorted(["КАША", "каша"])
+    assert got("م_[م]د", "UNICODE_CI_AI") == sorted(["محمد", "مُحَمَّد"])
+    assert got("a_b%  ", "UTF8_LCASE_RTRIM") == ["a b  "]
+    assert got("[N]andú", "UNICODE_CI_AI_RTRIM") == sorted(["Ñandú", "nandu"])
+
+
+@pytest.mark.parametrize("collation", ["de_CI", "UNICODE_AI", "tr_CI_AI", "UTF8_BINARY_CI", "nonsense"])
+def test_like_refuses_other_collations(spark, collation):
+    with pytest.raises(ValueError):
+        text_match("v", "a%", "like", collation)
