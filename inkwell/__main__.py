@@ -73,6 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     qp = sub.add_parser("quality")
     qp.add_argument("--root", required=True)
     qp.add_argument("--csv")
+    qp.add_argument("--violations", help="folder for the rows that break a rule, with the rules")
     pp = sub.add_parser("post")
     pp.add_argument("--root", required=True, help="snapshot root")
     pp.add_argument("--requests", required=True, help="parquet sale request lines")
@@ -102,7 +103,12 @@ def main(argv: list[str] | None = None) -> int:
         else:
             df.show(args.show, truncate=False)
     elif args.cmd == "quality":
-        df = quality.quality_summary(load_tables(spark, args.root))
+        tables = load_tables(spark, args.root)
+        if args.violations:
+            for rule, rows in quality.write_violations(tables, args.violations).items():
+                print(f"{rule}\t{rows}")
+            return 0
+        df = quality.quality_summary(tables)
         if args.csv:
             export_csv(df, args.csv)
         else:

@@ -2,16 +2,18 @@
 
 Table rules (keys, references, CHECK constraints, NOT NULL and the business
 rules of the entity diagram) come from ``inkwell.schemas``; each returns the
-violating rows, and ``quality_summary`` counts all of them in one frame.
+violating rows, ``tagged`` gives a table's rows with the names of all rules
+they break, and ``quality_summary`` counts all rules in one frame.
 Input rules (C1-C8) tag staged text rows with an array of violated rule
 names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from inkwell.functions.parsing import parse_date, parse_int, parse_money, strip_all
@@ -90,149 +92,258 @@ def sellers_outside_store(t: Tables) -> DataFrame:
     return t["Sale"].join(emp, ["EmployeeNationalCode", "StoreCode"], "left_anti")
 
 
-def _count(rule: str, table: str, df: DataFrame, weight: str | None = None) -> DataFrame:
-    n = F.coalesce(F.sum(weight), F.lit(0)).cast("bigint") if weight else F.count(F.lit(1))
-    return df.agg(n.alias("Violations")).select(
-        F.lit(rule).alias("Rule"), F.lit(table).alias("TableName"), "Violations")
+# --- all rules in one pass -----------------------------------------------------
+#: Rules between tables that are no references: rule -> table it counts in.
+BUSINESS_RULES = {
+    "sale_has_items": "Sale", "manager_in_store": "Store", "manager_of_one_store": "Store", "seller_in_store": "Sale",
+}
+#: Keys that are no table's: the pairs (national code, store) of Employee, and managers.
+_STAFF, _MANAGER = "staff of store", "manager"
 
 
-def _per_key(t: Tables, tb: str) -> DataFrame:
-    """Rows of ``tb`` grouped by its primary key: (pk..., _n rows, _nulls rows
-    with a NULL in a NOT NULL column). Partially aggregated before the
-    shuffle; serves the key check, the null check and, as the parent's key
-    set, every reference check into ``tb``."""
-    pk = list(PRIMARY_KEYS[tb])
-    bad = F.lit(False)
-    for c in not_null_columns(tb):
-        bad = bad | F.col(c).isNull()
-    return t[tb].groupBy(*pk).agg(F.count(F.lit(1)).alias("_n"),
-                                  F.sum(F.when(bad, 1).otherwise(0)).alias("_nulls"))
+def _key(table: str, cols: Sequence[str], owner: str) -> list[Column]:
+    """A key value as two independent 64-bit hashes, of the type it has in the
+    table that owns the key; NULL is a value of its own."""
+    of = SCHEMAS["Employee" if owner in (_STAFF, _MANAGER) else owner]
+    owned = {_STAFF: ("NationalCode", "StoreCode"), _MANAGER: ("NationalCode",)}.get(owner) or PRIMARY_KEYS[owner]
+    value = [x for c, o in zip(cols, owned) for x in (F.col(c).cast(of[o].dataType), F.col(c).isNull())]
+    return [F.xxhash64(*value).alias("Key1"), F.xxhash64(F.lit("second"), *value).alias("Key2")]
 
 
-def _key_and_null_counts(per_key: DataFrame, tb: str) -> DataFrame:
-    """C13 and C11 of one table from its per-key aggregate."""
-    both = per_key.agg(F.count(F.when(F.col("_n") > 1, 1)).alias("pk"),
-                       F.coalesce(F.sum("_nulls"), F.lit(0)).cast("bigint").alias("nn"))
-    return both.select(F.explode(F.array(
-        F.struct(F.lit(f"pk_{tb}").alias("Rule"), F.lit(tb).alias("TableName"),
-                 F.col("pk").cast("bigint").alias("Violations")),
-        F.struct(F.lit(f"not_null_{tb}").alias("Rule"), F.lit(tb).alias("TableName"),
-                 F.col("nn").alias("Violations")))).alias("r")).select("r.*")
-
-
-def _child_counts(t: Tables, fk: ForeignKey) -> DataFrame:
-    """Child rows per (non-NULL) reference value."""
-    child = t[fk.child]
-    for c in fk.child_cols:
-        child = child.filter(F.col(c).isNotNull())
-    return child.groupBy(*fk.child_cols).agg(F.count(F.lit(1)).alias("_rows"))
+def _present_all(cols: Sequence[str]) -> Column:
+    there = F.lit(True)
+    for c in cols:
+        there = there & F.col(c).isNotNull()
+    return there
+
+
+def _facts_of(table: str, names: tuple[str, ...]) -> list[tuple[str, Sequence[str], str, Column]]:
+    """What a row of ``table`` says about keys: (owner of the key, its columns
+    here, fact, where it says so). Fact ``row``: the owner's row itself;
+    ``null``: with a NULL in a NOT NULL column; ``check_*``: failing the
+    check; else the rule by which the row names the key."""
+    pk = PRIMARY_KEYS[table]
+    facts = [(table, pk, "row", F.lit(True)), (table, pk, "null", ~_present_all(not_null_columns(table)))]
+    facts += [(table, pk, f"check_{c.name}", F.expr(f"NOT coalesce({c.condition}, true)")) for c in CHECKS if c.table == table]
+    facts += [(fk.parent, fk.child_cols, f"fk_{fk.name}", _present_all(fk.child_cols))
+              for fk in FOREIGN_KEYS if fk.child == table and fk.parent in names]
+    if table == "Employee":
+        facts.append((_STAFF, ("NationalCode", "StoreCode"), "row", _present_all(("NationalCode", "StoreCode"))))
+    if table == "Store":
+        managed = F.col("ManagerNationalCode").isNotNull()
+        facts.append((_STAFF, ("ManagerNationalCode", "StoreCode"), "manager_in_store", managed))
+        facts.append((_MANAGER, ("ManagerNationalCode",), "manager_of_one_store", managed))
+    if table == "Sale":
+        facts.append((_STAFF, ("EmployeeNationalCode", "StoreCode"), "seller_in_store", F.lit(True)))
+    return facts
 
 
 def quality_summary(t: Tables, tables: tuple[str, ...] | None = None) -> DataFrame:
     """All table rules with their violation counts, one row per rule.
 
-    Each table is aggregated by its key once; that aggregate answers the key
-    and null checks and is the parent key set of every reference check into
-    the table. Child tables are counted per reference value before the anti
-    joins, and the SaleItem-per-invoice counts serve both the SaleItem->Sale
-    reference and the "every sale has a line" rule, so Spark reuses those
-    shuffles inside the one query.
+    Every table is scanned once and says for each of its rows which keys it
+    holds and which it names. These facts are counted per key, before and
+    after the one shuffle (so a key that many rows name travels once per
+    task), and a key's counts tell all rules about it: rows > 1 is a repeated
+    key, names without rows are orphans, rows without names a sale without
+    items. Keys are 128-bit hashes.
     """
     names = tables or tuple(SCHEMAS)
-    per_key = {tb: _per_key(t, tb) for tb in names}
-    parts: list[DataFrame] = [_key_and_null_counts(per_key[tb], tb) for tb in names]
-
-    def parent_keys(fk: ForeignKey) -> DataFrame:
-        if tuple(fk.parent_cols) == tuple(PRIMARY_KEYS[fk.parent]) and fk.parent in per_key:
-            src = per_key[fk.parent]
-        else:
-            src = t[fk.parent].select(*fk.parent_cols).distinct()
-        return src.select(*[F.col(p).alias(c) for p, c in zip(fk.parent_cols, fk.child_cols)])
+    said = {tb: _facts_of(tb, names) for tb in names}
+    owners: dict[str, list[str]] = {}       # owner -> its facts; a fact's place is its slot
+    for owner, _, fact, _ in (f for facts in said.values() for f in facts):
+        if fact not in owners.setdefault(owner, []):
+            owners[owner].append(fact)
+    number = {owner: i for i, owner in enumerate(owners)}
+
+    def scan(tb: str) -> DataFrame:
+        told = [F.when(cond, F.struct(F.lit(number[owner]).alias("Owner"), *_key(tb, cols, owner),
+                                      F.lit(owners[owner].index(fact)).alias("Slot")))
+                for owner, cols, fact, cond in said[tb]]
+        return t[tb].select(F.explode(F.array_compact(F.array(*told))).alias("f")).select("f.*")
+
+    facts = reduce(DataFrame.unionByName, [scan(tb) for tb in names])
+    slots = range(max(map(len, owners.values())))
+    per_key = facts.groupBy("Owner", "Key1", "Key2").agg(
+        *[F.count(F.when(F.col("Slot") == i, 1)).alias(f"_{i}") for i in slots])
+
+    def about(owner: str, fact: str) -> Column:
+        """The count of a fact in the rows of its owner's keys, else NULL."""
+        if fact not in owners.get(owner, ()):
+            return F.lit(None).cast("long")
+        return F.when(F.col("Owner") == number[owner], F.col(f"_{owners[owner].index(fact)}"))
+
+    def orphans_of(owner: str, fact: str) -> Column:
+        return F.when(F.coalesce(about(owner, "row"), F.lit(0)) == 0, about(owner, fact))
+
+    rules = [(f"pk_{tb}", tb, F.when(about(tb, "row") > 1, 1)) for tb in names]
+    rules += [(f"not_null_{tb}", tb, about(tb, "null")) for tb in names]
+    rules += [(f"fk_{fk.name}", fk.child, orphans_of(fk.parent, f"fk_{fk.name}"))
+              for fk in FOREIGN_KEYS if fk.child in names and fk.parent in names]
+    rules += [(f"check_{c.name}", c.table, about(c.table, f"check_{c.name}")) for c in CHECKS if c.table in names]
+    between = {
+        "sale_has_items": ({"Sale", "SaleItem"}, F.when(about("Sale", "fk_saleitem_sale") == 0, about("Sale", "row"))),
+        "manager_in_store": ({"Store", "Employee"}, orphans_of(_STAFF, "manager_in_store")),
+        "manager_of_one_store": ({"Store"}, F.when(about(_MANAGER, "manager_of_one_store") > 1, 1)),
+        "seller_in_store": ({"Sale", "Employee"}, orphans_of(_STAFF, "seller_in_store")),
+    }
+    rules += [(r, BUSINESS_RULES[r], col) for r, (needs, col) in between.items() if needs <= set(names)]
+    total = per_key.agg(*[F.coalesce(F.sum(col), F.lit(0)).cast("bigint").alias(r) for r, _, col in rules])
+    return total.select(F.explode(F.array(*[
+        F.struct(F.lit(r).alias("Rule"), F.lit(tb).alias("TableName"), F.col(r).alias("Violations"))
+        for r, tb, _ in rules])).alias("r")).select("r.*")
+
+
+# --- rows with the rules they break --------------------------------------------
+def rules_of(table: str) -> list[str]:
+    """Names of the table's rules, in the order of ``Violations``."""
+    return ([f"pk_{table}", f"not_null_{table}"]
+            + [f"check_{c.name}" for c in CHECKS if c.table == table]
+            + [f"fk_{fk.name}" for fk in FOREIGN_KEYS if fk.child == table]
+            + [r for r, tb in BUSINESS_RULES.items() if tb == table])
+
+
+def _broken_keys(t: Tables, table: str) -> list[tuple[str, tuple[str, ...], DataFrame]]:
+    """(rule, columns of the table, the values of them that break it). Values
+    are made distinct before they are compared with the parents, so a value
+    that many rows share travels once per task."""
+    pk = PRIMARY_KEYS[table]
+    out = [(f"pk_{table}", pk, duplicate_keys(t, table).select(*pk))]
+
+    def without_parent(rule, cols, parent, parent_cols, nulls=False):
+        named = t[table].select(*cols).distinct()
+        if not nulls:
+            named = named.filter(_present_all(cols))
+        keys = t[parent].select(*[F.col(p).alias(c) for p, c in zip(parent_cols, cols)])
+        out.append((rule, cols, named.join(keys, list(cols), "left_anti")))
 
-    child_counts: dict[str, DataFrame] = {}
     for fk in FOREIGN_KEYS:
-        if fk.child in names and fk.parent in names:
-            child_counts[fk.name] = _child_counts(t, fk)
-            orphan = child_counts[fk.name].join(parent_keys(fk), list(fk.child_cols), "left_anti")
-            parts.append(_count(f"fk_{fk.name}", fk.child, orphan, weight="_rows"))
-    for ck in CHECKS:
-        if ck.table in names:
-            parts.append(_count(f"check_{ck.name}", ck.table, check_failures(t, ck)))
-    if "Sale" in names and "SaleItem" in names:
-        fk = next(f for f in FOREIGN_KEYS if f.name == "saleitem_sale")
-        lines = child_counts.get(fk.name, _child_counts(t, fk)).select("InvoiceNumber")
-        parts.append(_count("sale_has_items", "Sale",
-                            per_key["Sale"].join(lines, "InvoiceNumber", "left_anti"), weight="_n"))
-    rules = {
-        "manager_in_store": ("Store", managers_outside_store),
-        "manager_of_one_store": ("Store", managers_of_several_stores),
-        "seller_in_store": ("Sale", sellers_outside_store),
-    }
-    for rule, (tb, fn) in rules.items():
-        if tb in names:
-            parts.append(_count(rule, tb, fn(t)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        if fk.child == table:
+            without_parent(f"fk_{fk.name}", fk.child_cols, fk.parent, fk.parent_cols)
+    if table == "Sale":
+        without_parent("sale_has_items", ("InvoiceNumber",), "SaleItem", ("InvoiceNumber",), nulls=True)
+        without_parent("seller_in_store", ("EmployeeNationalCode", "StoreCode"), "Employee", ("NationalCode", "StoreCode"), nulls=True)
+    if table == "Store":
+        manager = ("ManagerNationalCode",)
+        out.append(("manager_in_store", ("ManagerNationalCode", "StoreCode"),
+                    managers_outside_store(t).select("ManagerNationalCode", "StoreCode").distinct()))
+        out.append(("manager_of_one_store", manager, managers_of_several_stores(t).select(*manager)))
     return out
 
 
+def tagged(t: Tables, table: str) -> DataFrame:
+    """C9-C18 as rows: the table with ``Violations``, the names of the rules
+    each row breaks (empty for a sound row), in the order of ``rules_of``. All
+    rows of a repeated key break ``pk_*``; all stores of a shared manager break
+    ``manager_of_one_store``."""
+    broken: dict[str, Column] = {f"not_null_{table}": ~_present_all(not_null_columns(table))}
+    broken |= {f"check_{c.name}": F.expr(f"NOT coalesce({c.condition}, true)") for c in CHECKS if c.table == table}
+    cols = t[table].columns
+    out = t[table]
+    for i, (rule, on, keys) in enumerate(_broken_keys(t, table)):
+        # the few broken keys, under names of their own; equal NULLs match
+        bad = keys.select(*[F.col(c).alias(f"_bad{i}_{j}") for j, c in enumerate(on)], F.lit(True).alias(f"_bad{i}"))
+        match = reduce(lambda a, b: a & b, [out[c].eqNullSafe(bad[f"_bad{i}_{j}"]) for j, c in enumerate(on)])
+        out = out.join(bad, match, "left")
+        broken[rule] = F.col(f"_bad{i}").isNotNull()
+    names = F.array_compact(F.array(*[F.when(broken[r], F.lit(r)) for r in rules_of(table)]))
+    return out.select(*cols, names.alias("Violations"))
+
+
+def write_violations(t: Tables, root: str, tables: tuple[str, ...] | None = None) -> dict[str, int]:
+    """Write the rows that break a rule, with their ``Violations``, to
+    ``root/<Table>``, and return the rows per rule. Counted by an observation
+    while the rows are written, so each table is read for both at once."""
+    counts: dict[str, int] = {}
+    for table in tables or tuple(SCHEMAS):
+        seen = Observation(f"violations of {table}")
+        counted = [F.count(F.when(F.array_contains("Violations", r), 1)).alias(r) for r in rules_of(table)]
+        tagged(t, table).observe(seen, *counted).filter(F.size("Violations") > 0).write.mode("overwrite").parquet(f"{root}/{table}")
+        counts |= seen.get
+    return counts
+
+
 # --- input rules ---------------------------------------------------------------
-def _tag(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Add ``Violations``: names of the rules whose condition is not TRUE."""
+def broken_rules(rules: Mapping[str, Column]) -> Column:
+    """Names of the rules whose condition is not TRUE, in order."""
     flags = [F.when(~F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()]
-    return df.withColumn("Violations", F.filter(F.array(*flags), lambda x: x.isNotNull()))
+    return F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
 
 
 def _present(c: str) -> Column:
     return F.length(strip_all(F.col(c))) > 0
 
 
-def validate_sale_lines(df: DataFrame) -> DataFrame:
-    """C1-C3 on sale request lines with text columns StoreCode, CustomerCode,
-    EmployeeNationalCode, InvoiceDate, ISBN, Quantity."""
-    return _tag(df, {
+def sale_line_rules() -> dict[str, Column]:
+    """C1-C3 on text columns StoreCode, CustomerCode, EmployeeNationalCode,
+    InvoiceDate, ISBN, Quantity."""
+    return {
         "date_format": parse_date("InvoiceDate").isNotNull(),
         "quantity_positive_int": parse_int("Quantity") > 0,
         "store_present": _present("StoreCode"),
         "customer_present": _present("CustomerCode"),
         "employee_present": _present("EmployeeNationalCode"),
         "book_present": _present("ISBN"),
-    })
+    }
 
 
-def validate_inventory_input(df: DataFrame) -> DataFrame:
+def inventory_rules() -> dict[str, Column]:
     """C4: AvailableQuantity and MinimumQuantity are integers >= 0."""
-    return _tag(df, {
+    return {
         "available_nonnegative_int": parse_int("AvailableQuantity") >= 0,
         "minimum_nonnegative_int": parse_int("MinimumQuantity") >= 0,
-    })
+    }
 
 
-def validate_book_input(df: DataFrame) -> DataFrame:
-    """C5-C7 on book form rows: ISBN, Title, Subject, Authors (array),
-    PublisherName, Price, PublicationYear as text."""
+def inventory_key_rules() -> dict[str, Column]:
+    """Store and book are chosen."""
+    return {"store_present": _present("StoreCode"), "book_present": _present("ISBN")}
+
+
+def book_rules(authors: Column) -> dict[str, Column]:
+    """C5-C7 on ISBN, Title, Subject, PublisherName, Price, PublicationYear;
+    ``authors``: the array of names."""
     year = parse_int("PublicationYear")
     blank_year = F.coalesce(strip_all(F.col("PublicationYear")), F.lit("")) == ""
-    return _tag(df, {
+    return {
         "isbn_present": _present("ISBN"),
         "title_present": _present("Title"),
         "subject_present": _present("Subject"),
-        "author_present": F.size("Authors") > 0,
+        "author_present": F.size(authors) > 0,
         "publisher_present": _present("PublisherName"),
         "price_nonnegative_decimal": parse_money("Price") >= 0,
         "year_range": blank_year | year.between(1000, 9999),
-    })
+    }
 
 
-def validate_store_input(df: DataFrame) -> DataFrame:
+def store_rules() -> dict[str, Column]:
     """Store code an integer > 0; city, phone, address present."""
-    return _tag(df, {
+    return {
         "store_code_positive_int": parse_int("StoreCode") > 0,
         "city_present": _present("CityCode"),
         "phone_present": _present("Phone"),
         "address_present": _present("Address"),
-    })
+    }
+
+
+def validate_sale_lines(df: DataFrame) -> DataFrame:
+    """Sale request lines with ``Violations``, the rules of C1-C3 they break."""
+    return df.withColumn("Violations", broken_rules(sale_line_rules()))
+
+
+def validate_inventory_input(df: DataFrame) -> DataFrame:
+    """Inventory form rows with ``Violations`` (C4)."""
+    return df.withColumn("Violations", broken_rules(inventory_rules()))
+
+
+def validate_book_input(df: DataFrame) -> DataFrame:
+    """Book form rows (Authors an array) with ``Violations``."""
+    return df.withColumn("Violations", broken_rules(book_rules(F.col("Authors"))))
+
+
+def validate_store_input(df: DataFrame) -> DataFrame:
+    """Store form rows with ``Violations``."""
+    return df.withColumn("Violations", broken_rules(store_rules()))
 
 
 def with_paid_default(df: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ DataFrame of requests with an arrival column and returns accepted rows,
 refused rows with a reason, and the table as it is after the batch; nothing
 is mutated in place (publishing the new state is ``inkwell.sources.snapshots``).
 
-Three generic operators cover W7-W14:
+Every batch first passes the write gate (``inkwell.operators.gate``), which
+refuses requests that break an input rule or name a row that does not exist;
+refused rows carry a ``Reason`` and, from the gate, all their ``Violations``.
+Then three generic operators cover W7-W14:
 
 * ``insert_new``: a key already in the table, or already taken by an earlier
   request of the batch, is refused.
@@ -28,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.ordinal import with_ordinal
-from inkwell.functions.parsing import blank_to_null, parse_authors
-from inkwell.schemas import MONEY, SCHEMAS, dependents_of
+from inkwell.functions.parsing import parse_authors
+from inkwell.operators.gate import gate, passed, refused
+from inkwell.operators.quality import book_rules, inventory_key_rules, inventory_rules, store_rules
+from inkwell.schemas import MONEY, SCHEMAS, ForeignKey, dependents_of, references_of
 
 Tables = Mapping[str, DataFrame]
 
@@ -112,32 +117,40 @@ def delete_unreferenced(table: DataFrame, requests: DataFrame, keys: Sequence[st
     return UpsertResult(deletable, rejected, table.join(deletable, keys, "left_anti"))
 
 
-# --- W7, W8: inventory ------------------------------------------------------------
-INVENTORY_KEYS = ["StoreCode", "ISBN"]
+#: The form gives a publisher by name, and a manager among the store's own staff.
+PUBLISHER_BY_NAME = ForeignKey("book_publisher", "Book", ("PublisherName",), "Publisher", ("PublisherName",))
+MANAGER_IN_STORE = ForeignKey("manager_in_store", "Store", ("ManagerNationalCode", "StoreCode"),
+                              "Employee", ("NationalCode", "StoreCode"))
+_REASONS = {PUBLISHER_BY_NAME.name: UNKNOWN_PUBLISHER, MANAGER_IN_STORE.name: MANAGER_NOT_IN_STORE}
+
 
+def _after_gate(res: UpsertResult, gated: DataFrame, rules) -> UpsertResult:
+    """``res`` with the requests that the gate refused."""
+    by_key = res.rejected.withColumn("Violations", F.array().cast("array<string>"))
+    res.rejected = by_key.unionByName(refused(gated, rules, _REASONS), allowMissingColumns=True)
+    return res
 
-def _inventory_rows(req: DataFrame) -> DataFrame:
-    return req.withColumn("Description", blank_to_null(F.col("Description")))
+
+# --- W7, W8: inventory ------------------------------------------------------------
+INVENTORY_KEYS = ["StoreCode", "ISBN"]
 
 
 def insert_inventory(t: Tables, requests: DataFrame, arrival: str = "RequestID") -> UpsertResult:
-    """New (store, ISBN) rows; quantities >= 0; blank description NULL."""
-    req = _inventory_rows(requests)
-    bad = F.coalesce((F.col("AvailableQuantity") < 0) | (F.col("MinimumQuantity") < 0), F.lit(True))
-    res = insert_new(t["Inventory"], req.filter(~bad), INVENTORY_KEYS, arrival)
-    res.rejected = res.rejected.unionByName(_reason(req.filter(bad), INVALID_INPUT))
-    return res
+    """New (store, ISBN) rows of stores and books that exist; quantities
+    integers >= 0 (C4); blank description NULL."""
+    rules = {**inventory_key_rules(), **inventory_rules()}
+    gated = gate(t, requests, "Inventory", rules, references_of("Inventory"))
+    return _after_gate(insert_new(t["Inventory"], passed(gated), INVENTORY_KEYS, arrival), gated, rules)
 
 
 def edit_inventory(t: Tables, requests: DataFrame, arrival: str = "RequestID") -> UpsertResult:
     """Overwrite quantities and description of existing rows; quantities
-    >= 0, as for new rows."""
-    req = _inventory_rows(requests)
-    bad = F.coalesce((F.col("AvailableQuantity") < 0) | (F.col("MinimumQuantity") < 0), F.lit(True))
-    res = update_by_key(t["Inventory"], req.filter(~bad), INVENTORY_KEYS, arrival,
+    as for new rows."""
+    rules = inventory_rules()
+    gated = gate(t, requests, "Inventory", rules)
+    res = update_by_key(t["Inventory"], passed(gated), INVENTORY_KEYS, arrival,
                         ["AvailableQuantity", "MinimumQuantity", "Description"])
-    res.rejected = res.rejected.unionByName(_reason(req.filter(bad), INVALID_INPUT))
-    return res
+    return _after_gate(res, gated, rules)
 
 
 # --- W9-W11: books and authors ----------------------------------------------------
@@ -158,14 +171,13 @@ def resolve_authors(t: Tables, names: DataFrame, arrival: str = "RequestID") ->
     return {"authors": author.unionByName(new_authors), "new_authors": new_authors, "links": links}
 
 
-def _book_requests(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Resolve PublisherName -> PublisherID (smallest id for a repeated name);
-    returns (resolved, unknown publisher)."""
+def _book_gate(t: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """(gated requests, those that passed with the publisher's id, rules). A
+    name held by several publishers resolves to the smallest id."""
+    rules = book_rules(parse_authors(F.col("Authors")))
+    gated = gate(t, requests, "Book", rules, [PUBLISHER_BY_NAME])
     pubs = t["Publisher"].groupBy("PublisherName").agg(F.min("PublisherID").alias("PublisherID"))
-    req = requests.withColumn("Price", F.col("Price").cast(MONEY))
-    resolved = req.join(pubs, "PublisherName", "inner")
-    unknown = _reason(req.join(pubs, "PublisherName", "left_anti"), UNKNOWN_PUBLISHER)
-    return resolved, unknown
+    return gated, passed(gated).join(pubs, "PublisherName"), rules
 
 
 def _author_names(req: DataFrame, arrival: str) -> DataFrame:
@@ -175,15 +187,16 @@ def _author_names(req: DataFrame, arrival: str) -> DataFrame:
 
 def insert_books(t: Tables, requests: DataFrame, arrival: str = "RequestID") -> dict[str, DataFrame]:
     """W9 + W11: new books (ISBN, Title, Subject, Price, PublisherName,
-    PublicationYear, Authors text); duplicate ISBN or unknown publisher is
-    refused; authors resolved by name, missing ones created."""
-    resolved, unknown = _book_requests(t, requests)
+    PublicationYear, Authors text); requests that break C5-C7, name an unknown
+    publisher or an ISBN already taken are refused; authors resolved by name,
+    missing ones created."""
+    gated, resolved, rules = _book_gate(t, requests)
     book_cols = [f.name for f in SCHEMAS["Book"].fields]
-    res = insert_new(t["Book"], resolved.select(*book_cols, arrival, "Authors"), ["ISBN"], arrival)
+    res = _after_gate(insert_new(t["Book"], resolved.select(*book_cols, arrival, "Authors"), ["ISBN"], arrival), gated, rules)
     au = resolve_authors(t, _author_names(res.accepted, arrival), arrival)
     return {
         "accepted": res.accepted.drop("Authors"),
-        "rejected": res.rejected.drop("PublisherID").unionByName(unknown, allowMissingColumns=True),
+        "rejected": res.rejected.drop("PublisherID"),
         "Book": res.table.select(*book_cols),
         "Author": au["authors"],
         "BookAuthor": t["BookAuthor"].unionByName(au["links"]).distinct(),
@@ -192,17 +205,18 @@ def insert_books(t: Tables, requests: DataFrame, arrival: str = "RequestID") ->
 
 def edit_books(t: Tables, requests: DataFrame, arrival: str = "RequestID") -> dict[str, DataFrame]:
     """W10 + W11: overwrite book fields (ISBN is the key and does not
-    change); the book's author links are deleted and rebuilt from the new
-    list. Authors that lose their last book are kept."""
-    resolved, unknown = _book_requests(t, requests)
+    change), under the rules for new books; the book's author links are
+    deleted and rebuilt from the new list. Authors that lose their last book
+    are kept."""
+    gated, resolved, rules = _book_gate(t, requests)
     book_cols = [f.name for f in SCHEMAS["Book"].fields]
     sets = [c for c in book_cols if c != "ISBN"]
-    res = update_by_key(t["Book"], resolved.select(*book_cols, arrival, "Authors"), ["ISBN"], arrival, sets)
+    res = _after_gate(update_by_key(t["Book"], resolved.select(*book_cols, arrival, "Authors"), ["ISBN"], arrival, sets), gated, rules)
     au = resolve_authors(t, _author_names(res.accepted, arrival), arrival)
     kept_links = t["BookAuthor"].join(res.accepted.select("ISBN"), "ISBN", "left_anti")
     return {
         "accepted": res.accepted.drop("Authors"),
-        "rejected": res.rejected.drop("PublisherID").unionByName(unknown, allowMissingColumns=True),
+        "rejected": res.rejected.drop("PublisherID"),
         "Book": res.table,
         "Author": au["authors"],
         "BookAuthor": kept_links.unionByName(au["links"]),
@@ -211,26 +225,22 @@ def edit_books(t: Tables, requests: DataFrame, arrival: str = "RequestID") -> di
 
 # --- W12-W14: stores --------------------------------------------------------------
 def insert_stores(t: Tables, requests: DataFrame, arrival: str = "RequestID") -> UpsertResult:
-    """New stores; code > 0; the manager is always unset on insert."""
+    """New stores under C8, in a city that exists; the manager is always
+    unset on insert."""
+    rules = store_rules()
     req = requests.withColumn("ManagerNationalCode", F.lit(None).cast("string"))
-    bad = F.coalesce(F.col("StoreCode") <= 0, F.lit(True))
-    res = insert_new(t["Store"], req.filter(~bad), ["StoreCode"], arrival)
-    res.rejected = res.rejected.unionByName(_reason(req.filter(bad), INVALID_INPUT))
-    return res
+    gated = gate(t, req, "Store", rules, [fk for fk in references_of("Store") if fk.parent == "City"])
+    return _after_gate(insert_new(t["Store"], passed(gated), ["StoreCode"], arrival), gated, rules)
 
 
 def edit_stores(t: Tables, requests: DataFrame, arrival: str = "RequestID") -> UpsertResult:
-    """Overwrite city, manager, phone and address. The manager must be
-    unset or an employee of that same store."""
-    emp = t["Employee"].select(F.col("NationalCode").alias("ManagerNationalCode"), "StoreCode")
-    no_mgr = requests.filter(F.col("ManagerNationalCode").isNull())
-    with_mgr = requests.filter(F.col("ManagerNationalCode").isNotNull())
-    ok = no_mgr.unionByName(with_mgr.join(emp, ["ManagerNationalCode", "StoreCode"], "left_semi"))
-    bad = _reason(with_mgr.join(emp, ["ManagerNationalCode", "StoreCode"], "left_anti"), MANAGER_NOT_IN_STORE)
-    res = update_by_key(t["Store"], ok, ["StoreCode"], arrival,
+    """Overwrite city, manager, phone and address, under the rules for new
+    stores. The manager must be unset or an employee of that same store."""
+    rules = store_rules()
+    gated = gate(t, requests, "Store", rules, [*(fk for fk in references_of("Store") if fk.parent == "City"), MANAGER_IN_STORE])
+    res = update_by_key(t["Store"], passed(gated), ["StoreCode"], arrival,
                         ["CityCode", "ManagerNationalCode", "Phone", "Address"])
-    res.rejected = res.rejected.unionByName(bad)
-    return res
+    return _after_gate(res, gated, rules)
 
 
 def delete_stores(t: Tables, requests: DataFrame) -> UpsertResult:

@@ -403,4 +403,5 @@ def _w5(t):
 
 
 from inkwell.plans import catalog_writes  # noqa: E402,F401  (registers W4, W6-W14)
+from inkwell.plans import catalog_rules  # noqa: E402,F401  (registers the write gate and the rules)
 from inkwell.plans import reference_samples  # noqa: E402,F401  (registers the reference's sample queries)

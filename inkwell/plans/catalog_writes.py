@@ -133,7 +133,8 @@ def _w11l(t):
 # ------------------------------------------------------------ W12-W14 ------
 def _store_edits(t) -> DataFrame:
     """Every store asks for a manager: even codes one of its own staff,
-    odd codes the first employee of the next store (refused)."""
+    odd codes the first employee of the next store (refused, as is store 0,
+    whose code is not positive)."""
     s = t["Store"]
     k = F.col("StoreCode").cast("long")
     mgr = F.when(k % 2 == 0, F.lpad((k * 10 + 1).cast("string"), 10, "0")) \
@@ -145,9 +146,9 @@ def _store_edits(t) -> DataFrame:
 
 @register("w13_edit_stores", f"""
     select StoreCode, CityCode,
-           case when StoreCode % 2 = 0 then lpad(cast(StoreCode * 10 + 1 as varchar), 10, '0')
+           case when StoreCode % 2 = 0 and StoreCode > 0 then lpad(cast(StoreCode * 10 + 1 as varchar), 10, '0')
                 else ManagerNationalCode end as ManagerNationalCode,
-           case when StoreCode % 2 = 0 then '026-' || StoreCode else Phone end as Phone,
+           case when StoreCode % 2 = 0 and StoreCode > 0 then '026-' || StoreCode else Phone end as Phone,
            Address
     from bk_Store""")
 def _w13(t):

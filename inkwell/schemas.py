@@ -140,6 +140,11 @@ def not_null_columns(table: str) -> tuple[str, ...]:
     return tuple(f.name for f in SCHEMAS[table].fields if not f.nullable)
 
 
+def references_of(child: str) -> tuple[ForeignKey, ...]:
+    """References that a row of ``child`` must satisfy."""
+    return tuple(fk for fk in FOREIGN_KEYS if fk.child == child)
+
+
 def dependents_of(parent: str) -> tuple[ForeignKey, ...]:
     """References that block deleting a parent row."""
     return tuple(fk for fk in FOREIGN_KEYS if fk.parent == parent and fk.child != parent)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from string import Formatter
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,19 @@ def load_jdbc_tables(spark: SparkSession, url: str, properties: dict[str, str],
     return {t: spark.read.jdbc(url, f"{schema}.{t}", properties=properties) for t in TABLES}
 
 
+def query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame],
+          args: Sequence[Any] | Mapping[str, Any] | None = None) -> DataFrame:
+    """A SQL statement over ``tables``, named in braces, with bound values:
+
+        query(spark, "select * from {Store} where CityCode = ? and Phone = ?", t, [3, "021-1"])
+
+    ``args``: values of the ``?`` markers in order, or a mapping for ``:name``
+    markers. They reach the plan as literals and are never pasted into the
+    text. Only the named tables are read; they leave no views behind."""
+    named = dict.fromkeys(n for _, n, _, _ in Formatter().parse(sql) if n)
+    return spark.sql(sql, args=args, **{n: tables[n] for n in named})
+
+
 def table_counts(tables: Mapping[str, DataFrame], names: tuple[str, ...] = TABLES) -> DataFrame:
     """S3: one row per table with its row count, as a single frame."""
     parts = [tables[n].select(F.lit(n).alias("TableName"), F.count(F.lit(1)).alias("RowCount"))

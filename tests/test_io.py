@@ -15,23 +15,48 @@ from inkwell.sources.export import EmptyResultError, export_csv
 from inkwell.sources.snapshots import current_snapshot, load_snapshot, publish_snapshot
 
 
+def _python_csv(columns, rows):
+    want = io.StringIO(newline="")
+    w = csv.writer(want)
+    w.writerow(columns)
+    w.writerows(rows)
+    return ("\ufeff" + want.getvalue()).encode("utf-8")
+
+
+def _exported(df, **kw):
+    out = tempfile.mkdtemp(prefix="inkwell-csv-")
+    export_csv(df, f"{out}/r", single_file=True, **kw)
+    (part,) = glob.glob(f"{out}/r/part-*")
+    with open(part, "rb") as fh:
+        return fh.read()
+
+
 def test_export_matches_python_csv(spark):
     rows = [("he said \"hi\"", "a,b", Decimal("1234.50"), dt.date(2009, 1, 5)),
-            ("line\nbreak", " lead", None, None), ("", "trail ", Decimal("2.50"), dt.date(2010, 12, 31))]
-    df = spark.createDataFrame(rows, "t string, u string, m decimal(18,2), d date")
+            ("line\nbreak", " lead", None, None), ("", "trail ", Decimal("2.50"), dt.date(2010, 12, 31)),
+            ("cr\rlf\r\n\n", "\"", Decimal("-0.5"), None), ("۱٬۲ é \U0001f600", "\ttab", Decimal("-1234567.89"), None)]
+    df = spark.createDataFrame(rows, "t string, `u,v` string, m decimal(18,2), d date")
+    cells = [[t, u, "" if m is None else f"{m:,.0f}", "" if d is None else d.strftime("%Y-%m-%d")] for t, u, m, d in rows]
+    assert _exported(df) == _python_csv(["t", "u,v", "m", "d"], cells)
+    assert _exported(df, headings={"t": "عنوان \"x\""}) == _python_csv(["عنوان \"x\"", "u,v", "m", "d"], cells)
+
+
+def test_export_of_one_column_quotes_empty_cells(spark):
+    rows = [("",), ("a\nb",), (None,), ("x",)]
+    assert _exported(spark.createDataFrame(rows, "t string")) == _python_csv(["t"], [[t or ""] for (t,) in rows])
+
+
+def test_export_in_parts_has_a_header_each(spark):
+    df = spark.range(10).repartition(3).selectExpr("id", "'a,b' as t")
     out = tempfile.mkdtemp(prefix="inkwell-csv-")
-    export_csv(df, f"{out}/r", single_file=True)
-    (part,) = glob.glob(f"{out}/r/part-*.csv")
-    with open(part, "rb") as fh:
-        got = fh.read()
-    want = io.StringIO(newline="")
-    w = csv.writer(want)
-    w.writerow(["t", "u", "m", "d"])
-    for t, u, m, d in rows:
-        w.writerow([t, u, "" if m is None else f"{m:,.0f}", "" if d is None else d.strftime("%Y-%m-%d")])
-    # the one difference: a line break inside a quoted cell is written as CRLF
-    expected = want.getvalue().replace('"line\nbreak"', '"line\r\nbreak"')
-    assert got == ("﻿" + expected).encode("utf-8")
+    export_csv(df, f"{out}/r")
+    got = []
+    for part in glob.glob(f"{out}/r/part-*"):
+        with open(part, encoding="utf-8-sig", newline="") as fh:
+            header, *rows = csv.reader(fh)
+        assert header == ["id", "t"] and rows
+        got += rows
+    assert sorted(got) == [[str(i), "a,b"] for i in range(10)]
 
 
 def test_export_refuses_empty(spark):
@@ -128,7 +153,7 @@ def test_command_line_report(spark, fixture_small, tmp_path):
     out = str(tmp_path / "r01")
     assert main(["report", "r01_stores_in_city", "--root", root, "--param", "city=NATION_3",
                  "--headings", "--csv", out]) == 0
-    (part,) = glob.glob(f"{out}/part-*.csv")
+    (part,) = glob.glob(f"{out}/part-*")
     header = open(part, encoding="utf-8-sig").readline().strip()
     assert header.split(",")[0] == "کد فروشگاه"
 
@@ -167,7 +192,8 @@ def test_streams_count_their_own_batches(spark, tmp_path):
     root = str(tmp_path / "snap")
     publish_snapshot(spark, root, changed={
         "Inventory": _inv(spark, [(1, "a", 5, 0, None)]),
-        "Book": spark.createDataFrame([("a", "A", "s", Decimal("1.00"), 1, None)], SCHEMAS["Book"]),
+        "Store": spark.createDataFrame([(1, 1, None, "1", "x")], SCHEMAS["Store"]),
+        "Book": spark.createDataFrame([(b, b, "s", Decimal("1.00"), 1, None) for b in "ab"], SCHEMAS["Book"]),
         "Sale": spark.createDataFrame([], SCHEMAS["Sale"]),
         "SaleItem": spark.createDataFrame([], SCHEMAS["SaleItem"]),
     })
@@ -193,7 +219,8 @@ def test_apply_requests(spark, tmp_path):
     root = str(tmp_path / "snap")
     publish_snapshot(spark, root, changed={
         "Inventory": _inv(spark, [(1, "a", 5, 0, None)]),
-        "Book": spark.createDataFrame([("a", "A", "s", Decimal("1.00"), 1, None)], SCHEMAS["Book"]),
+        "Store": spark.createDataFrame([(1, 1, None, "1", "x")], SCHEMAS["Store"]),
+        "Book": spark.createDataFrame([(b, b, "s", Decimal("1.00"), 1, None) for b in "ab"], SCHEMAS["Book"]),
         "Author": spark.createDataFrame([(1, "W")], SCHEMAS["Author"]),
         "BookAuthor": spark.createDataFrame([("a", 1)], SCHEMAS["BookAuthor"]),
         "Publisher": spark.createDataFrame([(1, "P")], SCHEMAS["Publisher"]),
@@ -211,7 +238,7 @@ def test_apply_requests(spark, tmp_path):
                           "PublisherName string, PublicationYear short, Authors string").write.parquet(books)
     assert main(["apply", "insert_books", "--root", root, "--requests", books, "--epoch", "2"]) == 0
     t = load_snapshot(spark, root)
-    assert t["Book"].count() == 2 and t["Author"].count() == 2 and t["BookAuthor"].count() == 3
+    assert t["Book"].count() == 3 and t["Author"].count() == 2 and t["BookAuthor"].count() == 3
 
 
 def test_snapshot_from_stored_tables_then_post(spark, fixture_small, tmp_path):
