@@ -30,13 +30,14 @@ from inkwell.llm.common import batch, fingerprints, join_spread, map_rows, store
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 
-#: Components compared in one step of the search; bounds its memory.
-_STEP = 1 << 18
+#: Parts of similar sums that are searched together, and entries added at a time.
+_BLOCK, _STEP = 512, 32
 
 
-def _fits(largest: int, m: int) -> bool:
-    """Whether the search's squares and sums stay within 64 bits."""
-    return (2 * largest * m) ** 2 < 1 << 62
+def _kind(largest: int, m: int):
+    """Doubles where they hold every product and sum of a search exactly, else
+    Python integers."""
+    return np.float64 if (2 * largest * m) ** 2 < 1 << 53 else object
 
 
 def _most(a: np.ndarray) -> int:
@@ -59,56 +60,53 @@ class Codebook:
 
     def __init__(self, entries: np.ndarray):
         sums = entries.sum(axis=1)
-        # entries of equal sum in the order of their index
         self.order = np.array(sorted(range(len(entries)), key=lambda i: (sums[i], i)), np.int64)
-        self.entries, self.sums = entries[self.order], sums[self.order]
+        self.entries, self.sums = entries, sums[self.order]
         self.m = entries.shape[1]
         self.largest = _most(entries)
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the nearest entry and squared distance to it, per row."""
-        kind = np.int64 if _fits(max(self.largest, _most(parts)), self.m) else object
+        """Index of the nearest entry and squared distance to it, per row.
+
+        Rows go in blocks of similar sums. A block's search starts with the
+        entries between its sums and expands to both sides, until the bound
+        strictly exceeds the best distance for every row of the block."""
+        kind = _kind(max(self.largest, _most(parts)), self.m)
         entries, sums, parts = self.entries.astype(kind), self.sums.astype(kind), parts.astype(kind)
+        own = parts.sum(axis=1)
+        rows = np.argsort(own, kind="stable")
         index, best = np.zeros(len(parts), np.int64), np.zeros(len(parts), kind)
-        block = max(1, _STEP // self.m)
-        for at in range(0, len(parts), block):
-            here = slice(at, at + block)
-            index[here], best[here] = self._search(entries, sums, parts[here], kind)
+        for at in range(0, len(rows), _BLOCK):
+            here = rows[at : at + _BLOCK]
+            index[here], best[here] = self._search(entries, sums, parts[here], own[here])
         return index, best
 
-    def _search(self, entries, sums, parts, kind):
-        n, k = len(parts), len(sums)
-        own = parts.sum(axis=1)
-        right = np.searchsorted(sums, own).astype(np.int64)  # the next entry upward
-        left = right - 1  # the next entry downward
-        # the first visit sets the best distance, so no stand-in for infinity is needed
-        index, best = np.full(n, k, np.int64), np.zeros(n, kind)
-        live = np.arange(n)
-        first = True
-        while len(live):
-            lo, hi = left[live], right[live]
-            down = own[live] - sums[np.maximum(lo, 0)]
-            up = sums[np.minimum(hi, k - 1)] - own[live]
-            go_up = (lo < 0) | ((hi < k) & (up < down).astype(bool))
-            gap = np.where(go_up, up, down)
-            more = (lo >= 0) | (hi < k)
-            if not first:
-                more &= (gap * gap <= best[live] * self.m).astype(bool)
-            live, go_up = live[more], go_up[more]
-            if not len(live):
-                break
-            at = np.where(go_up, hi[more], lo[more])
-            diff = entries[at] - parts[live]
-            dist = (diff * diff).sum(axis=1)
-            entry = self.order[at]
-            if first:
-                better, first = np.ones(len(live), bool), False
-            else:
-                better = (dist < best[live]).astype(bool) | ((dist == best[live]).astype(bool) & (entry < index[live]))
-            won = live[better]
-            best[won], index[won] = dist[better], entry[better]
-            right[live[go_up]] += 1
-            left[live[~go_up]] -= 1
+    def _search(self, entries, sums, parts, own):
+        k, index, best = len(sums), None, None
+        norm = (parts * parts).sum(axis=1)
+        lo, hi = np.searchsorted(sums, own[0]), np.searchsorted(sums, own[-1], "right")
+        if lo == hi:  # no entry between: begin with one beside
+            lo, hi = (lo, hi + 1) if hi < k else (lo - 1, hi)
+        new = [(lo, hi)]
+        while new:
+            for a, b in new:
+                at = np.sort(self.order[a:b])  # columns by index: the first smallest is the lowest
+                some = entries[at]
+                dist = norm[:, None] - 2 * (parts @ some.T) + (some * some).sum(axis=1)[None]
+                pick = dist.argmin(axis=1)
+                found, dist = at[pick], dist[np.arange(len(pick)), pick]
+                if best is None:
+                    index, best = found, dist
+                else:
+                    better = (dist < best).astype(bool) | ((dist == best).astype(bool) & (found < index))
+                    index, best = np.where(better, found, index), np.where(better, dist, best)
+            new, limit = [], best * self.m
+            if lo > 0 and ((own - sums[lo - 1]) ** 2 <= limit).any():
+                new.append((max(0, lo - _STEP), lo))
+                lo = new[-1][0]
+            if hi < k and ((sums[hi] - own) ** 2 <= limit).any():
+                new.append((hi, min(k, hi + _STEP)))
+                hi = new[-1][1]
         return index, best
 
 
