@@ -41,7 +41,7 @@ def op6_disclosure_sanitising(spark, sf_dir):
 
 
 def op7_license_scan(spark, sf_dir):
-    return license_scan.scan_licences(_table(spark, sf_dir, "documents")).drop("expressions", "choices")
+    return license_scan.scan_licences(_table(spark, sf_dir, "documents")).drop("expressions", "parsed", "accepted")
 
 
 def op8_training_order(spark, sf_dir):
