@@ -161,14 +161,17 @@ _GRAPH_SCHEMA = "shard int, ids array<array<bigint>>, dim int, vectors binary, l
 
 
 def _extended(v: np.ndarray) -> np.ndarray:
-    """One more coordinate, so that all vectors have the length of the longest."""
-    square = (v.astype(np.float64) ** 2).sum(1)
+    """The vectors on the scale of their largest component, with one more
+    coordinate, so that all have the length of the longest. Single precision is
+    enough to walk the graph; scores are computed on the vectors themselves."""
+    v = v / max(np.abs(v).max(initial=0), 1e-300)
+    square = (v**2).sum(1)
     return np.concatenate([v, np.sqrt(np.maximum(0, square.max(initial=0) - square))[:, None]], 1).astype(np.float32)
 
 
 def _build_shard(key, table: pa.Table) -> pa.Table:
     table = table.sort_by("h")
-    v = np.array(table["embedding"].to_pylist(), np.float32)
+    v = np.array(table["embedding"].to_pylist(), np.float64)
     level, tables = build(_extended(v))
     return pa.table({n: pa.array([x], kind) for (n, kind), x in zip(_GRAPH.items(), (key[0].as_py(), table["ids"].to_pylist(), v.shape[1], v.tobytes(), level.tobytes(), [t.astype(np.int32).tobytes() for t in tables]))})
 
@@ -180,20 +183,22 @@ def _search_block(k: int):
         for rb in batches:
             for row in rb.to_pylist():
                 dim, n = row["dim"], len(row["ids"])
-                v = np.frombuffer(row["vectors"], np.float32).reshape(n, dim)
+                v = np.frombuffer(row["vectors"], np.float64).reshape(n, dim)
                 least = np.array([ids[0] for ids in row["ids"]], np.int64)
                 level = np.frombuffer(row["levels"], np.int32)
                 tables = [np.frombuffer(t, np.int32).reshape(n, -1) for t in row["neighbours"]]
                 mine = [q for q in row["queries"] if len(q["embedding"]) == dim]
                 out = {c: [] for c in kinds}
                 if mine:
-                    q = np.array([m["embedding"] for m in mine], np.float32)
-                    unit = q / np.maximum(np.linalg.norm(q.astype(np.float64), axis=1), 1e-300)[:, None]
-                    longest = np.sqrt((v.astype(np.float64) ** 2).sum(1).max())
-                    found = search(_extended(v), level, tables, np.pad((unit * longest).astype(np.float32), ((0, 0), (0, 1))), BEAM_SEARCH)
+                    q = np.array([m["embedding"] for m in mine], np.float64)
+                    unit = q / np.abs(q).max(axis=1)[:, None]
+                    unit /= np.linalg.norm(unit, axis=1)[:, None]
+                    x = _extended(v)
+                    longest = np.linalg.norm(x[0].astype(np.float64))  # of all vectors, by their extension
+                    found = search(x, level, tables, np.pad((unit * longest).astype(np.float32), ((0, 0), (0, 1))), BEAM_SEARCH)
                     for m, near in zip(mine, found):
                         near = near[near >= 0]
-                        score = v[near].astype(np.float64) @ np.array(m["embedding"], np.float32).astype(np.float64)
+                        score = v[near] @ np.array(m["embedding"], np.float64)
                         for i in np.lexsort((least[near], -score))[: k + 1]:
                             for vec_id in row["ids"][near[i]]:
                                 if vec_id != m["vec_id"]:
@@ -211,12 +216,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
 
     Vectors that are null, zero or hold null or non-finite components, and rows
     without an id, take no part on either side. Only vectors of the query's
-    dimension are candidates. Rows that repeat id and vector count once. Ties
-    go to the smaller vec_id. A query without candidates gives no rows.
+    dimension are candidates. Rows that repeat id and vector count once; an id
+    with several vectors is as near as the nearest of them, as a query and as a
+    candidate, and is returned once. Vectors are compared in double precision.
+    Ties go to the smaller vec_id. A query without candidates gives no rows.
     """
     dim = F.size("embedding")
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (dim > 0) & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("embedding", lambda c: c != 0)
-    pick = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")]
+    pick = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
     v, q = (d.select(*pick).filter(F.coalesce(sound, F.lit(False))) for d in (vectors, queries))
 
     # distinct vectors, with the k + 1 smallest ids of each: first per salt, then together
@@ -241,5 +248,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
     sent = block.join(names, "dim").select("shard", "dim", "block", "queries")  # every block to every shard of its dimension
     sent = sent.join(graphs, ["shard", "dim"]).repartition("shard", "block")
     found = map_rows(sent.select("ids", "dim", "vectors", "levels", "neighbours", "queries"), _search_block(k), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

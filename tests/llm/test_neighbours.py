@@ -80,3 +80,19 @@ def test_small_graphs_hold_all(n):
     level, tables = hnsw.build(x)
     found = hnsw.search(x, level, tables, x, n)
     assert all(sorted(f[f >= 0].tolist()) == list(range(n)) for f in found)
+
+
+def test_doubles_beyond_single_precision_and_repeated_ids(spark):
+    kind = "vec_id long, embedding array<double>, h long, dim int, shard int, ids int, salt int, score int"
+    # distinct only beyond single precision: the nearest is the last
+    rows = [(i, [1.0 + i * 1e-12, 1.0]) for i in range(40)] + [(50, [1e200, -1e200])]
+    clash = lambda r: [(i, e, 1, 1, 1, 1, 1, 1) for i, e in r]
+    d = spark.createDataFrame(clash(rows), kind)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in hnsw.nearest(d, d.filter("vec_id = 0"), 3).collect())
+    want = sorted(((-(e[0] + e[1]), i) for i, e in rows[1:40]))[:3]
+    assert [(v, s) for _, v, s in got] == [(i, -s) for s, i in want]
+    # an id with two vectors: once as a candidate, the nearest of both as a query
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 5.0]), (2, [3.0, 0.0]), (3, [0.0, 1.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0])]
+    d = spark.createDataFrame(clash(rows), kind)
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in hnsw.nearest(d, d.filter("vec_id in (1, 2)"), 3).collect()]
+    assert sorted(got) == [(1, 1, 3, 5.0), (1, 2, 2, 3.0), (2, 1, 3, 6.0), (2, 2, 1, 3.0)]
