@@ -31,8 +31,9 @@ from inkwell.llm.common import batch, map_rows, stored
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words are scored in runs of at most this many letters.
-RUN = 32
+#: Words of up to this many letters, with their mark, are summed side by side;
+#: longer ones one by one, in logarithms. The sums are the same.
+RUN = 33
 #: Probabilities are scaled by 2^SCALE a letter (exact in doubles), so that
 #: neither the likeliest run leaves their range (30 x 33 < 1023) nor the least
 #: likely, down to 5e-19 a letter: what 10^17 pieces of a language leave unseen.
@@ -42,18 +43,12 @@ EM_STEPS = 1
 #: Bound of the table sent to tasks (pieces x languages doubles): refuse more.
 MOST_LANGUAGES = 512
 _WORD = re.compile(r"[^\W\d_]+")
-_FLUSH, _KEEP = 100_000, 400_000
+_FLUSH, _KEEP, _CHARACTERS = 100_000, 400_000, 8_000_000
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, marked at the start, cut after RUN letters."""
-    out = []
-    for w in _WORD.findall(text.lower()):
-        if len(w) <= RUN:
-            out.append(MARK + w)
-        else:
-            out += [MARK * (i == 0) + w[i : i + RUN] for i in range(0, len(w), RUN)]
-    return out
+    """Lower-cased runs of letters, of any length, marked at the start."""
+    return [MARK + w for w in _WORD.findall(text.lower())]
 
 
 class Pieces:
@@ -97,9 +92,28 @@ class Pieces:
 
 def forward(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
     """log P of each word per language; ``p`` is pieces x languages."""
-    word, end, piece, length, size = pieces.matches(words)
-    total = _forward(word, end, piece, length, size, p)
-    return np.log(total[np.arange(len(words)), size]) - (SCALE * np.log(2) * size)[:, None]
+    out = np.empty((len(words), p.shape[1]))
+    short = [i for i, w in enumerate(words) if len(w) <= RUN]
+    if short:
+        word, end, piece, length, size = pieces.matches([words[i] for i in short])
+        total = _forward(word, end, piece, length, size, p)
+        out[short] = np.log(total[np.arange(len(short)), size]) - (SCALE * np.log(2) * size)[:, None]
+    for i, w in enumerate(words):
+        if len(w) > RUN:
+            _, end, piece, length, _ = pieces.matches([w])
+            out[i] = _log_sums(end, end - length, piece, len(w), np.log(p))[-1]
+    return out
+
+
+def _log_sums(to: np.ndarray, since: np.ndarray, piece: np.ndarray, n: int, log_p: np.ndarray) -> np.ndarray:
+    """log P of the first 0 to n letters per language: all ways to reach ``to``
+    from ``since`` by one more piece, of one word."""
+    out = np.full((n + 1, log_p.shape[1]), -np.inf)
+    out[0] = 0
+    for j, here in enumerate(_by(to, n + 1)):
+        if len(here):
+            out[j] = np.logaddexp.reduce(out[since[here]] + log_p[piece[here]], axis=0)
+    return out
 
 
 def _by(x: np.ndarray, n: int):
@@ -126,6 +140,19 @@ def _forward(word, end, piece, length, size, p) -> np.ndarray:
 
 def expected_counts(pieces: Pieces, words: list[str], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Expected count of each piece in the weighted words, over all segmentations, for one column of probabilities."""
+    out = np.zeros(pieces.other + 1)
+    for i, w in enumerate(words):
+        if len(w) > RUN:
+            _, end, piece, length, _ = pieces.matches([w])
+            log_p, n = np.log(p), len(w)
+            before = _log_sums(end, end - length, piece, n, log_p)[:, 0]
+            behind = _log_sums(n - end + length, n - end, piece, n, log_p)[::-1, 0]  # read from the end
+            share = np.exp(before[end - length] + log_p[piece, 0] + behind[end] - before[n])
+            out += np.bincount(piece, share * weight[i], pieces.other + 1)
+    short = [i for i, w in enumerate(words) if len(w) <= RUN]
+    if not short:
+        return out
+    words, weight = [words[i] for i in short], weight[short]
     word, end, piece, length, size = pieces.matches(words)
     alpha = _forward(word, end, piece, length, size, p)[:, :, 0]
     beta = np.zeros_like(alpha)
@@ -136,7 +163,7 @@ def expected_counts(pieces: Pieces, words: list[str], weight: np.ndarray, p: np.
             beta[:, j] += np.bincount(word[here], beta[word[here], end[here]] * (p[piece[here], 0] * np.exp2(SCALE * length[here])), len(size))
     whole = alpha[np.arange(len(size)), size]
     share = alpha[word, start] * (p[piece, 0] * np.exp2(SCALE * length)) * beta[word, end] / whole[word]
-    return np.bincount(piece, share * weight[word], pieces.other + 1)
+    return out + np.bincount(piece, share * weight[word], pieces.other + 1)
 
 
 def _count_words(batches):
@@ -146,12 +173,15 @@ def _count_words(batches):
         return batch(kinds, {"lang": [k for k, c in count.items() for _ in c], "word": [w for c in count.values() for w in c], "n": [n for c in count.values() for n in c.values()]})
 
     count: dict[str, Counter] = {}
+    characters = 0
     for rb in batches:
         for lang, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
-            count.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, count.values())) >= _FLUSH:
+            words = words_of(text)
+            count.setdefault(lang, Counter()).update(words)
+            characters += sum(len(w) for w in words if len(w) > RUN)  # long words: few, but large
+            if sum(map(len, count.values())) >= _FLUSH or characters >= _CHARACTERS:
                 yield out(count)
-                count = {}
+                count, characters = {}, 0
     yield out(count)
 
 
@@ -195,13 +225,14 @@ def train(labelled: DataFrame, path: str, steps: int = EM_STEPS) -> tuple[list[s
 def _predict(path: str, langs: list[str], p: np.ndarray | None):
     def run(batches):
         pieces = Pieces.load(path)
-        known, table = {}, np.empty((0, len(langs)))  # a word's row in the table of log P
+        known, table, characters = {}, np.empty((0, len(langs))), 0  # a word's row in the table of log P
         for rb in batches:
             words = [words_of(t) if t and langs and any(map(str.isalpha, t)) else [] for t in rb.column(2).to_pylist()]
             fresh = set().union(*words) - known.keys()
-            if len(known) + len(fresh) > _KEEP:
-                known, table, fresh = {}, table[:0], set().union(*words)
+            if len(known) + len(fresh) > _KEEP or characters > _CHARACTERS:
+                known, table, fresh, characters = {}, table[:0], set().union(*words), 0
             fresh = list(fresh)
+            characters += sum(len(w) for w in fresh if len(w) > RUN)
             rows = [forward(pieces, fresh[lo : lo + 8192], p) for lo in range(0, len(fresh), 8192)]
             known.update(zip(fresh, range(len(table), len(table) + len(fresh))))
             table = np.concatenate([table, *rows])

@@ -299,6 +299,37 @@ def test_odd_licences(clashing, empty):
     assert license_scan.scan_licences(empty).count() == 0
 
 
+def test_runs_of_any_length_are_summed_whole(monkeypatch):
+    """On both sides of the length up to which words are summed side by side,
+    and far beyond: one segmentation sum, nothing cut."""
+    pieces = language_id.Pieces(public_tokenizers.path(language_id.VOCABULARY))
+    known = dict(pieces.find.items())
+    p = np.random.default_rng(2).random((pieces.other + 1, 2)) / 1e4
+    words = ["▁" + ("straßenbahnব" * 40)[: n - 1] for n in (5, 32, 33, 34, 35, 66, 400)]
+
+    def total(word, col):  # logarithms, by plain recursion over ends
+        sums = [0.0]
+        for j in range(1, len(word) + 1):
+            ways = [sums[i] + np.log(p[known[word[i:j]][0], col]) for i in range(j) if word[i:j] in known]
+            if word[j - 1] not in known:
+                ways.append(sums[j - 1] + np.log(p[pieces.other, col]))
+            sums.append(np.logaddexp.reduce(ways))
+        return sums[-1]
+
+    got = language_id.forward(pieces, words, p)
+    assert np.allclose(got, [[total(w, c) for c in (0, 1)] for w in words], rtol=1e-9)
+    counts = [language_id.expected_counts(pieces, [w], np.ones(1), p[:, :1]) for w in words[:4]]
+    length = {i: size for _, (i, size) in pieces.find.items()} | {pieces.other: 1}
+    for w, n in zip(words, counts):
+        assert np.isclose(sum(n[i] * length[i] for i in np.flatnonzero(n)), len(w))
+    # side by side and one by one agree
+    monkeypatch.setattr(language_id, "RUN", 0)
+    assert np.allclose(language_id.forward(pieces, words[:3], p), got[:3], rtol=1e-9)
+    for w, n in zip(words[:3], counts):
+        assert np.allclose(language_id.expected_counts(pieces, [w], np.ones(1), p[:, :1]), n)
+    assert language_id.words_of("A" * 100 + " b") == ["▁" + "a" * 100, "▁b"]
+
+
 def test_forward_sums_all_segmentations():
     pieces = language_id.Pieces(public_tokenizers.path(language_id.VOCABULARY))
     known = dict(pieces.find.items()) if hasattr(pieces.find, "items") else {}
