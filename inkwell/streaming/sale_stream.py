@@ -14,6 +14,7 @@ epoch is already committed is skipped, so each batch is posted once.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,6 +26,9 @@ from inkwell.sources.tables import sale_lines
 # Sources of batches: each stream counts its own.
 SALES, ADJUSTMENTS = "sales", "adjustments"
 
+#: Reason of a request whose lines name different headers.
+CONFLICTING_HEADER = "conflicting_header"
+
 # One row per request line; header columns are repeated on every line.
 REQUEST_LINE_SCHEMA = T.StructType([
     T.StructField("RequestID", T.LongType()),
@@ -45,20 +49,27 @@ def post_batch(spark: SparkSession, root: str, batch: DataFrame, epoch: int) ->
     if epoch <= last_epochs(spark, root).get(SALES, -1):
         return None
     tables = load_snapshot(spark, root)
-    headers = batch.select(*HEADER_COLS).dropDuplicates(["RequestID"])
+    # a request has one header: where its lines disagree there is none to post
+    header = F.struct(*[c for c in HEADER_COLS if c != "RequestID"])
+    told = batch.groupBy("RequestID").agg(F.min(header).alias("_first"), F.max(header).alias("_last"))
+    same = F.col("_first").eqNullSafe(F.col("_last"))
+    headers = told.filter(same).select("RequestID", "_first.*")
     lines = batch.select("RequestID", "ISBN", "Quantity", "LinePos")
     res = post_sales(tables, headers, lines)
+    disagree = told.filter(~same).select("RequestID", F.lit(CONFLICTING_HEADER).alias("_why"))
+    refused = (res.rejected.join(disagree, "RequestID", "left")
+               .select("RequestID", F.coalesce("_why", "Reason").alias("Reason")))
     appended = {"Sale": res.sales, "SaleItem": res.items}
     if "SaleLine" in tables:          # keep the sales fact table in step
         appended["SaleLine"] = sale_lines(res.sales, res.items)
     if not is_bucketed(paths.get("Inventory", [])):
         return publish_snapshot(spark, root, changed={"Inventory": res.inventory},
-                                appended=appended, epoch=epoch, source=SALES, refused=res.rejected)
+                                appended=appended, epoch=epoch, source=SALES, refused=refused)
     # only the stock buckets of stores with accepted sales change (<= bucket count ids)
     touched = [r[0] for r in res.sales.select(bucket_of("Inventory").alias("b")).distinct().collect()]
     return publish_snapshot(spark, root, appended=appended,
                             patched={"Inventory": (res.inventory, touched)}, epoch=epoch,
-                            source=SALES, refused=res.rejected)
+                            source=SALES, refused=refused)
 
 
 def start_sale_posting(spark: SparkSession, source_dir: str, root: str, checkpoint_location: str,

@@ -198,7 +198,10 @@ def test_streams_count_their_own_batches(spark, tmp_path):
         "SaleItem": spark.createDataFrame([], SCHEMAS["SaleItem"]),
     })
     day = dt.date(2010, 1, 1)
-    sale = spark.createDataFrame([(1, 1, 1, "E", day, 1, "a", 2), (2, 1, 1, "E", day, 1, "a", 9)], REQUEST_LINE_SCHEMA)
+    # the lines of request 3 disagree on the customer, those of 4 on a missing one
+    sale = spark.createDataFrame([(1, 1, 1, "E", day, 1, "a", 2), (2, 1, 1, "E", day, 1, "a", 9),
+                                  (3, 1, 1, "E", day, 1, "a", 1), (3, 1, 2, "E", day, 2, "b", 1),
+                                  (4, 1, None, "E", day, 1, "a", 1), (4, 1, 1, "E", day, 2, "b", 1)], REQUEST_LINE_SCHEMA)
     adjust = spark.createDataFrame([(7, 1, "a", 1, -1), (8, 1, "a", 50, -1)], ADJUSTMENT_SCHEMA)
     assert post_batch(spark, root, sale, 0) is not None
     assert adjust_batch(spark, root, adjust, 0) is not None       # not taken for the sales' batch 0
@@ -210,7 +213,8 @@ def test_streams_count_their_own_batches(spark, tmp_path):
     stock = {r.ISBN: r.AvailableQuantity for r in load_snapshot(spark, root)["Inventory"].collect()}
     assert stock == {"a": 2, "b": 2}
     refused = {(r.Source, r.RequestID, r.Reason) for r in load_refused(spark, root).collect()}
-    assert refused == {("sales", 2, "insufficient_stock"), ("adjustments", 8, "insufficient_stock")}
+    assert refused == {("sales", 2, "insufficient_stock"), ("sales", 3, "conflicting_header"),
+                       ("sales", 4, "conflicting_header"), ("adjustments", 8, "insufficient_stock")}
 
 
 def test_apply_requests(spark, tmp_path):
