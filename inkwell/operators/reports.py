@@ -93,7 +93,9 @@ def sale_lines(t: Tables, *, start: dt.date | None = None, end: dt.date | None =
     an invoice without lines has no row), filtered on the header. Read from
     the SaleLine fact table when the tables have one (year folders, sorted
     store/date, bloom filters on customer and employee), else by the join,
-    with the filters applied to Sale before it."""
+    with the filters applied to Sale before it. Where both tables lie in
+    invoice folders and buckets, the join needs no shuffle and reads only the
+    folders of the filtered invoices."""
     conds = []
     if start is not None:
         conds.append(F.col("InvoiceDate").between(F.lit(start), F.lit(end)))
@@ -110,10 +112,17 @@ def sale_lines(t: Tables, *, start: dt.date | None = None, end: dt.date | None =
         for c in conds:
             lines = lines.filter(c)
         return lines.drop("InvoiceYear")
-    sale = t["Sale"]
+    sale, items = t["Sale"], t["SaleItem"]
     for c in conds:
         sale = sale.filter(c)
-    return sale.join(t["SaleItem"], "InvoiceNumber")
+    if "InvoiceRange" in sale.columns and "InvoiceRange" in items.columns:
+        # co-located tables: bucketed alike on InvoiceNumber, in folders of
+        # consecutive invoices. The folders of the wanted invoices (at most one
+        # row per folder, so a bounded broadcast) prune those of the lines.
+        if conds:
+            items = items.join(F.broadcast(sale.select("InvoiceRange").distinct()), "InvoiceRange", "left_semi")
+        sale, items = sale.drop("InvoiceRange"), items.drop("InvoiceRange")
+    return sale.join(items, "InvoiceNumber")
 
 
 # R3 -------------------------------------------------------------------------

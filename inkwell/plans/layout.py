@@ -22,6 +22,12 @@ folders), rows sorted by (StoreCode, InvoiceDate) inside (store and date
 filters skip row groups by min/max), and Parquet bloom filters on
 CustomerCode and EmployeeNationalCode (one customer's or one employee's lines
 skip the row groups that cannot hold them).
+
+Where there is a catalog, ``write_catalog_tables`` keeps the plain twelve
+tables joinable without a shuffle: Sale and SaleItem are bucketed alike on
+InvoiceNumber, in folders of consecutive invoices (``InvoiceRange``). A report
+on one employee or customer joins bucket by bucket and reads only the folders
+of that employee's or customer's invoices.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from inkwell.schemas import TABLES
 from inkwell.sources.tables import conform, sale_lines
@@ -76,3 +83,26 @@ def write_tables(tables: Mapping[str, DataFrame], root: str, partitions: int | N
         from inkwell.sources.tables import load_tables
         stored = load_tables(tables["Sale"].sparkSession, root)
         write_sale_lines(sale_lines(stored["Sale"], stored["SaleItem"]), root, mode)
+
+
+CO_LOCATED = ("Sale", "SaleItem")
+#: Invoices of one folder, and buckets of a folder, of the co-located tables.
+INVOICE_STEP, INVOICE_BUCKETS = 10_000_000, 64
+
+
+def write_catalog_tables(tables: Mapping[str, DataFrame], database: str, buckets: int = INVOICE_BUCKETS,
+                         step: int = INVOICE_STEP, mode: str = "overwrite") -> None:
+    """Write the twelve tables into ``database`` of the session's catalog, Sale
+    and SaleItem bucketed on InvoiceNumber in folders of ``step`` invoices.
+    Both must be written with the same ``buckets`` and ``step``, also when rows
+    are appended later."""
+    for name in TABLES:
+        df = conform(tables[name], name)
+        if name in CO_LOCATED:
+            df = df.withColumn("InvoiceRange", F.floor(F.col("InvoiceNumber") / step).cast("long"))
+            # the rows of a bucket in one task: one file for each folder and bucket
+            w = (df.repartition(buckets, "InvoiceNumber").sortWithinPartitions("InvoiceRange", "InvoiceNumber")
+                 .write.partitionBy("InvoiceRange").bucketBy(buckets, "InvoiceNumber").sortBy("InvoiceNumber"))
+        else:
+            w = df.write
+        w.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).saveAsTable(f"{database}.{name}")

@@ -52,6 +52,24 @@ def load_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> StoredT
     return StoredTables(spark, root, fmt)
 
 
+class CatalogTables(Mapping[str, DataFrame]):
+    """The twelve tables of a catalog database (``plans.layout.write_catalog_tables``)."""
+
+    def __init__(self, spark: SparkSession, database: str):
+        self.spark, self.database = spark, database
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise KeyError(name)
+        return self.spark.table(f"{self.database}.{name}")
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+
 def load_jdbc_tables(spark: SparkSession, url: str, properties: dict[str, str],
                      schema: str = "dbo") -> dict[str, DataFrame]:
     """S1 for a live relational source: one JDBC read per table. Filters and
