@@ -222,6 +222,28 @@ def test_terms_disclose_at_any_distance_and_length(spark):
     assert len(got[9]) == len(got[10]) == 1 and not any(got[i] for i in range(11, 211))
 
 
+def test_terms_inside_a_long_address(spark):
+    # the pattern of cards finds many spans inside one address: the furthest end counts, not the last spans
+    long = "Zanzibar." + "4111111111111111.x" * 9 + ".Quagga@corp.example"
+    rows = [(i, f"note {i} by Zanzibar mail {long} today and Quagga too") for i in range(6)]
+    rows += [(100 + i, f"today note {i} by nobody and too common") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_terms([t for _, t in rows], sanitise.ALPHA, sanitise.SUPPORT)
+    got = {r.doc_id: r for r in sanitise.find_personal_data(docs).collect()}
+    assert [[(s.start, s.end) for s in got[i]["all"] if s.kind == 4] for i, _ in rows] == want
+    assert got[0].n_card >= 9 and {rows[0][1][a:b] for a, b in want[0]} == {"Zanzibar", "mail", "Quagga"} and len(want[0]) == 3
+
+
+def test_copies_of_one_text_keep_their_spans(spark):
+    rows = [(i, f"by Zanzibar mail boss@corp.example today {min(i, 4)}") for i in range(3000)]
+    rows += [(10000 + i, f"today note {i}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r for r in sanitise.find_personal_data(docs).collect()}
+    assert len(got) == 12000 and {(got[i].n_term, got[i].n_email) for i in range(3000)} == {(3, 1)}
+    out = {r.doc_id: r.text for r in sanitise.sanitised_documents(docs).collect()}
+    assert len(out) == 12000 and {out[i] for i in range(4, 3000)} == {"[TERM] [TERM] [TERM] [EMAIL] today 4"}
+
+
 def test_odd_personal_data(clashing, empty):
     assert all(r.spans == "" for r in sanitise.find_personal_data(clashing).collect())
     out = sanitise.sanitised_documents(clashing)
@@ -398,27 +420,52 @@ def test_permutation():
 
 def test_training_order_round_trip(docs, tokenizer, tmp_path):
     folder = f"file://{tmp_path}/order"
-    rows = sorted(training_order.materialise(docs, folder, sequence=256, places=100).collect(), key=lambda r: r.slot)
-    assert [r.slot for r in rows] == list(range(len(rows)))
-    assert [r.place for r in rows] == sorted({r.place for r in rows}) and all(r.shard == r.place // 100 for r in rows)
+    rows = sorted(training_order.materialise(docs, folder, sequence=256, records=100).collect(), key=lambda r: r.slot)
+    total = len(rows)
+    assert [(r.slot, r.shard, r.record) for r in rows] == [(s, s // 100, s % 100) for s in range(total)]
     files = {r.shard: (tmp_path / "order" / training_order.shard_name(r.shard)).read_bytes() for r in rows}
-    assert len(files) == len(list((tmp_path / "order").iterdir())) and sum(map(len, files.values())) == 512 * len(rows)
+    assert {len(b) for k, b in files.items() if k < max(files)} == {100 * 512} and sum(map(len, files.values())) == 512 * total
+    assert {p.name for p in (tmp_path / "order").iterdir()} - {training_order.ABOUT} == set(map(training_order.shard_name, files))
     for r in rows:
         assert zlib.crc32(files[r.shard][512 * r.record : 512 * (r.record + 1)]) == r.ids_crc32
-    # in index order, without padding, the streams hold every document's ids
-    size = 1 + max(r.place for r in rows)
-    total = sum(-(-sum(len((t or "").encode()) + 1 for t in part) // 256) for part in [[r.text for r in docs.collect()]])
-    by = {r.place: r for r in rows}
-    place = [p for p in training_order.permute(np.arange(total), total).tolist() if p in by]
-    assert size <= total and len(place) == len(rows)
-    ids = np.concatenate([np.frombuffer(files[by[p].shard][512 * by[p].record : 512 * (by[p].record + 1)], "<u2")[: by[p].n_tokens] for p in place])
+    # the slot is the permuted index: in index order, without padding, the streams hold every document's ids
+    slot = training_order.permute(np.arange(total), total).tolist()
+    ids = np.concatenate([np.frombuffer(files[s // 100][s % 100 * 512 : (s % 100 + 1) * 512], "<u2")[: rows[s].n_tokens] for s in slot])
     got = Counter(part.tobytes() for part in np.split(ids, np.flatnonzero(ids == 50256) + 1)[:-1])
     assert got == Counter(np.array([*tokenizer.encode(r.text, add_special_tokens=False).ids, 50256], "<u2").tobytes() for r in docs.collect())
-    again = training_order.materialise(docs, f"file://{tmp_path}/again", sequence=256, places=100).collect()
-    assert sorted(again) == rows
-
-
-def test_odd_training_order(clashing, empty, tmp_path):
+    again = training_order.materialise(docs, f"file://{tmp_path}/again", sequence=256, records=100).collect()
+    assert sorted(again, key=lambda r: r.slot) == rows
+
+
+def test_training_order_equals_a_plain_one(spark, tokenizer, tmp_path):
+    texts = [(i, f"text number {i} " + "and more of it " * (i % 40)) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).orderBy("doc_id").coalesce(1)
+    stream = np.concatenate([[*tokenizer.encode(t, add_special_tokens=False).ids, 50256] for _, t in texts])
+    stream = np.append(stream, np.full(-len(stream) % 64, 50256)).astype("<u2").reshape(-1, 64)
+    folder = f"file://{tmp_path}/plain"
+    training_order.materialise(docs, folder, sequence=64, records=16)
+    want = np.empty_like(stream)
+    want[training_order.permute(np.arange(len(stream)), len(stream))] = stream
+    assert [(s, ids.tolist()) for s, ids in training_order.read_slots(folder)] == list(enumerate(want.tolist()))
+
+
+def test_resumed_reads(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/read"
+    with pytest.raises(FileNotFoundError):
+        training_order.described(folder)
+    total = training_order.materialise(docs, folder, sequence=256, records=100).count()
+    every = {s: ids.tolist() for s, ids in training_order.read_slots(folder)}
+    assert list(every) == list(range(total)) and training_order.described(folder)["sequences"] == total > 300
+    for start, stop in ((0, 1), (99, 101), (100, 200), (137, None), (total - 1, None), (total, None), (5, 5), (0, total + 9)):
+        want = [(s, every[s]) for s in range(start, total if stop is None else min(stop, total))]
+        assert [(s, ids.tolist()) for s, ids in training_order.read_slots(folder, start, stop)] == want
+        assert sorted((r.slot, r.ids) for r in training_order.slots(spark, folder, start, stop).collect()) == want
+    with pytest.raises(ValueError):
+        next(training_order.read_slots(folder, -1))
+
+
+def test_odd_training_order(spark, clashing, empty, tmp_path):
     rows = training_order.materialise(clashing, f"file://{tmp_path}/odd").collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows))) and sum(r.n_docs for r in rows) == 10
     assert training_order.materialise(empty, f"file://{tmp_path}/none").count() == 0
+    assert not list(training_order.read_slots(f"file://{tmp_path}/none")) and training_order.slots(spark, f"file://{tmp_path}/none").count() == 0
