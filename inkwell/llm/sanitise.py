@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import batch, fingerprints, map_rows, stored
+from inkwell.llm.common import batch, fingerprints, join_spread, map_rows, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 ALPHA, SUPPORT = 0.9, 3
@@ -105,11 +107,16 @@ def terms_of(text: str) -> set[str]:
     return {w.lower() for w in set(_TERM.findall(text))}
 
 
-def _inside(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    from bisect import bisect_left
+def _outside(base: list[tuple[int, int, int]]):
+    """A test whether a place overlaps no base span: of the spans that start
+    before its end, the furthest end lies at or before its start."""
+    starts, furthest = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
 
-    i = bisect_left(spans, (b, -1))
-    return any(x < b and a < y for x, y in spans[max(0, i - 4) : i])
+    def test(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return not i or furthest[i - 1] <= a
+
+    return test
 
 
 _OUT = {
@@ -191,8 +198,8 @@ def _places(words: np.ndarray):
                     if known[w] is not None:
                         wanted[w] = known[w]
                 if wanted:
-                    ends = sorted((a, b) for a, _, b in base_spans(text))
-                    rows += [(fp1, fp2, wanted[m[0]], *m.span()) for m in _TERM.finditer(text) if m[0] in wanted and not _inside(ends, *m.span())]
+                    outside = _outside(base_spans(text))
+                    rows += [(fp1, fp2, wanted[m[0]], *m.span()) for m in _TERM.finditer(text) if m[0] in wanted and outside(*m.span())]
             yield batch(kinds, dict(zip(kinds, zip(*rows))) if rows else {n: [] for n in kinds})
 
     return run
@@ -239,7 +246,7 @@ def find_personal_data(docs: DataFrame, alpha: float = ALPHA, support: int = SUP
     read.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *fingerprints(), "text")
-    found = stored(map_rows(d, _find, _SCHEMA), "spans")
+    found = stored(map_rows(d, _find, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "spans")
     total = found.count()
 
     told = _disclosing(docs, found, total, alpha, support)
@@ -250,7 +257,7 @@ def find_personal_data(docs: DataFrame, alpha: float = ALPHA, support: int = SUP
         place = map_rows(docs.select(*fingerprints(), "text"), _places(_filter(told)), "fp1 long, fp2 long, term long, start long, end long").distinct()  # copies first
         place = _salt(place).join(_salted(told), ["term", "salt"])
         more = place.groupBy("fp1", "fp2").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
-        out = found.join(more, ["fp1", "fp2"], "left")
+        out = join_spread(found, more, ["fp1", "fp2"], F.col("row"))  # copies of one text spread
     out = out.drop("entities", "terms")
     every = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(f"array<{span}>"))))
     out = out.withColumn("all", every)
@@ -280,11 +287,16 @@ def _replace(batches):
 def sanitised_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents with every span replaced by its kind in brackets (a term
     is so generalised); overlapping spans go with the first. Same columns as
-    ``docs``; ``n_chars`` follows the text where there is one."""
+    ``docs``; ``n_chars`` follows the text where there is one.
+
+    Null and empty texts stay as they are. Rows that repeat a text are each
+    returned, with the same replacements. An empty table gives no rows.
+    """
     found = find_personal_data(docs, **options).filter(F.size("all") > 0)
     found = found.groupBy("fp1", "fp2").agg(F.first("all").alias("_spans")).select(F.col("fp1").alias("_fp1"), F.col("fp2").alias("_fp2"), "_spans")
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    d = docs.select("text", F.struct(*rest).alias("_rest") if rest else F.lit(None).alias("_rest"), *fingerprints()).join(found, ["_fp1", "_fp2"], "left")
+    d = docs.select("text", F.struct(*rest).alias("_rest") if rest else F.lit(None).alias("_rest"), *fingerprints())
+    d = join_spread(d, found, ["_fp1", "_fp2"], F.xxhash64(F.to_json("_rest")) if rest else F.lit(0))
     kind = d.schema["_rest"].dataType.simpleString()
     d = map_rows(d.select("text", "_spans", "_rest"), _replace, f"_rest {kind}, _text string")
     new = {"text": F.col("_text"), "n_chars": F.char_length("_text")}
