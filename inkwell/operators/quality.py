@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from inkwell.functions.parsing import parse_date, parse_int, parse_money, strip_all
 from inkwell.schemas import (CHECKS, FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, Check, ForeignKey,
                              not_null_columns)
+from inkwell.session import written_table
 
 Tables = Mapping[str, DataFrame]
 
@@ -203,19 +204,18 @@ def rules_of(table: str) -> list[str]:
             + [r for r, tb in BUSINESS_RULES.items() if tb == table])
 
 
-def _broken_keys(t: Tables, table: str) -> list[tuple[str, tuple[str, ...], DataFrame]]:
-    """(rule, columns of the table, the values of them that break it). Values
-    are made distinct before they are compared with the parents, so a value
-    that many rows share travels once per task."""
-    pk = PRIMARY_KEYS[table]
-    out = [(f"pk_{table}", pk, duplicate_keys(t, table).select(*pk))]
+def _broken_keys(t: Tables, table: str) -> list[tuple[tuple[str, ...], DataFrame]]:
+    """(columns of the table, the values of them that break a rule): one frame
+    per set of columns, with a boolean column per rule on these columns. The
+    rows that hold a value and the parents that have it are counted per value
+    before and after one shuffle, so a value that many rows share travels once
+    per task, and the rules on one set of columns share the shuffle."""
+    pk = tuple(PRIMARY_KEYS[table])
+    # columns -> [(rule, parent, its columns, whether NULLs break the rule)]
+    named: dict[tuple[str, ...], list[tuple[str, str, tuple[str, ...], bool]]] = {pk: []}
 
     def without_parent(rule, cols, parent, parent_cols, nulls=False):
-        named = t[table].select(*cols).distinct()
-        if not nulls:
-            named = named.filter(_present_all(cols))
-        keys = t[parent].select(*[F.col(p).alias(c) for p, c in zip(parent_cols, cols)])
-        out.append((rule, cols, named.join(keys, list(cols), "left_anti")))
+        named.setdefault(tuple(cols), []).append((rule, parent, tuple(parent_cols), nulls))
 
     for fk in FOREIGN_KEYS:
         if fk.child == table:
@@ -224,10 +224,26 @@ def _broken_keys(t: Tables, table: str) -> list[tuple[str, tuple[str, ...], Data
         without_parent("sale_has_items", ("InvoiceNumber",), "SaleItem", ("InvoiceNumber",), nulls=True)
         without_parent("seller_in_store", ("EmployeeNationalCode", "StoreCode"), "Employee", ("NationalCode", "StoreCode"), nulls=True)
     if table == "Store":
-        manager = ("ManagerNationalCode",)
-        out.append(("manager_in_store", ("ManagerNationalCode", "StoreCode"),
-                    managers_outside_store(t).select("ManagerNationalCode", "StoreCode").distinct()))
-        out.append(("manager_of_one_store", manager, managers_of_several_stores(t).select(*manager)))
+        without_parent("manager_in_store", ("ManagerNationalCode", "StoreCode"), "Employee", ("NationalCode", "StoreCode"))
+        named.setdefault(("ManagerNationalCode",), [])
+
+    out = []
+    for cols, rules in named.items():
+        said = t[table].select(*cols, F.lit(-1).alias("_by"))
+        for i, (_, parent, parent_cols, _) in enumerate(rules):
+            has = t[parent].select(*[F.col(p).cast(t[table].schema[c].dataType).alias(c) for p, c in zip(parent_cols, cols)])
+            # in SQL a NULL is no value that a row has
+            said = said.unionByName(has.filter(_present_all(cols)).withColumn("_by", F.lit(i)))
+        counted = said.groupBy(*cols).agg(F.count(F.when(F.col("_by") == -1, 1)).alias("_rows"),
+                                          *[F.max(F.col("_by") == i).alias(f"_has{i}") for i in range(len(rules))])
+        broken = {rule: ~F.col(f"_has{i}") & (F.lit(True) if nulls else _present_all(cols))
+                  for i, (rule, _, _, nulls) in enumerate(rules)}
+        if cols == pk:
+            broken[f"pk_{table}"] = F.col("_rows") > 1
+        if table == "Store" and cols == ("ManagerNationalCode",):
+            broken["manager_of_one_store"] = (F.col("_rows") > 1) & _present_all(cols)
+        keys = counted.filter(F.col("_rows") > 0).select(*cols, *[cond.alias(rule) for rule, cond in broken.items()])
+        out.append((cols, keys.filter(reduce(lambda a, b: a | b, [F.col(r) for r in broken]))))
     return out
 
 
@@ -240,12 +256,16 @@ def tagged(t: Tables, table: str) -> DataFrame:
     broken |= {f"check_{c.name}": F.expr(f"NOT coalesce({c.condition}, true)") for c in CHECKS if c.table == table}
     cols = t[table].columns
     out = t[table]
-    for i, (rule, on, keys) in enumerate(_broken_keys(t, table)):
-        # the few broken keys, under names of their own; equal NULLs match
-        bad = keys.select(*[F.col(c).alias(f"_bad{i}_{j}") for j, c in enumerate(on)], F.lit(True).alias(f"_bad{i}"))
+    for i, (on, keys) in enumerate(_broken_keys(t, table)):
+        # The few broken keys, under names of their own; equal NULLs match.
+        # Written, so that the planner knows how few they are and need not
+        # shuffle the table for each set of columns.
+        rules = [c for c in keys.columns if c not in on]
+        bad = written_table(keys.select(*[F.col(c).alias(f"_bad{i}_{j}") for j, c in enumerate(on)],
+                                        *[F.col(r).alias(f"_{r}") for r in rules]), "broken")
         match = reduce(lambda a, b: a & b, [out[c].eqNullSafe(bad[f"_bad{i}_{j}"]) for j, c in enumerate(on)])
         out = out.join(bad, match, "left")
-        broken[rule] = F.col(f"_bad{i}").isNotNull()
+        broken |= {r: F.coalesce(F.col(f"_{r}"), F.lit(False)) for r in rules}
     names = F.array_compact(F.array(*[F.when(broken[r], F.lit(r)) for r in rules_of(table)]))
     return out.select(*cols, names.alias("Violations"))
 

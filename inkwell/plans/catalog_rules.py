@@ -360,7 +360,8 @@ class _Spoilt(dict):
     def __init__(self, t, *spoilt: str):
         self.t = t
         for name in spoilt:
-            self[name] = query(t.spark, _SPOILT[name], {k: t[v] for k, v in _NAMES.items()})
+            # only the tables named: some are computed when they are built
+            self[name] = query(t.spark, _SPOILT[name], {k: t[v] for k, v in _NAMES.items() if "{" + k + "}" in _SPOILT[name]})
 
     def __missing__(self, name):
         return self.t[name]
