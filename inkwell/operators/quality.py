@@ -102,13 +102,12 @@ BUSINESS_RULES = {
 _STAFF, _MANAGER = "staff of store", "manager"
 
 
-def _key(table: str, cols: Sequence[str], owner: str) -> list[Column]:
-    """A key value as two independent 64-bit hashes, of the type it has in the
-    table that owns the key; NULL is a value of its own."""
+def _key(cols: Sequence[str], owner: str) -> list[Column]:
+    """The columns of a key value, of the types they have in the table that
+    owns the key; NULL is a value of its own."""
     of = SCHEMAS["Employee" if owner in (_STAFF, _MANAGER) else owner]
     owned = {_STAFF: ("NationalCode", "StoreCode"), _MANAGER: ("NationalCode",)}.get(owner) or PRIMARY_KEYS[owner]
-    value = [x for c, o in zip(cols, owned) for x in (F.col(c).cast(of[o].dataType), F.col(c).isNull())]
-    return [F.xxhash64(*value).alias("Key1"), F.xxhash64(F.lit("second"), *value).alias("Key2")]
+    return [F.col(c).cast(of[o].dataType).alias(f"Key{i}") for i, (c, o) in enumerate(zip(cols, owned))]
 
 
 def _present_all(cols: Sequence[str]) -> Column:
@@ -118,14 +117,11 @@ def _present_all(cols: Sequence[str]) -> Column:
     return there
 
 
-def _facts_of(table: str, names: tuple[str, ...]) -> list[tuple[str, Sequence[str], str, Column]]:
+def _facts_of(table: str, names: tuple[str, ...]) -> list[tuple[str, Sequence[str], str, Column | None]]:
     """What a row of ``table`` says about keys: (owner of the key, its columns
-    here, fact, where it says so). Fact ``row``: the owner's row itself;
-    ``null``: with a NULL in a NOT NULL column; ``check_*``: failing the
-    check; else the rule by which the row names the key."""
-    pk = PRIMARY_KEYS[table]
-    facts = [(table, pk, "row", F.lit(True)), (table, pk, "null", ~_present_all(not_null_columns(table)))]
-    facts += [(table, pk, f"check_{c.name}", F.expr(f"NOT coalesce({c.condition}, true)")) for c in CHECKS if c.table == table]
+    here, fact, where it says so; None: everywhere). Fact ``row``: the owner's
+    row itself; else the rule by which the row names the key."""
+    facts = [(table, PRIMARY_KEYS[table], "row", None)]
     facts += [(fk.parent, fk.child_cols, f"fk_{fk.name}", _present_all(fk.child_cols))
               for fk in FOREIGN_KEYS if fk.child == table and fk.parent in names]
     if table == "Employee":
@@ -135,64 +131,65 @@ def _facts_of(table: str, names: tuple[str, ...]) -> list[tuple[str, Sequence[st
         facts.append((_STAFF, ("ManagerNationalCode", "StoreCode"), "manager_in_store", managed))
         facts.append((_MANAGER, ("ManagerNationalCode",), "manager_of_one_store", managed))
     if table == "Sale":
-        facts.append((_STAFF, ("EmployeeNationalCode", "StoreCode"), "seller_in_store", F.lit(True)))
+        facts.append((_STAFF, ("EmployeeNationalCode", "StoreCode"), "seller_in_store", None))
     return facts
 
 
+def _as_rows(totals: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """(Rule, TableName, Violations) from one row with a column per rule."""
+    return totals.select(F.explode(F.array(*[
+        F.struct(F.lit(r).alias("Rule"), F.lit(tb).alias("TableName"), F.coalesce(F.col(r), F.lit(0)).cast("bigint").alias("Violations"))
+        for r, tb in rules])).alias("r")).select("r.*")
+
+
 def quality_summary(t: Tables, tables: tuple[str, ...] | None = None) -> DataFrame:
     """All table rules with their violation counts, one row per rule.
 
-    Every table is scanned once and says for each of its rows which keys it
-    holds and which it names. These facts are counted per key, before and
-    after the one shuffle (so a key that many rows name travels once per
-    task), and a key's counts tell all rules about it: rows > 1 is a repeated
-    key, names without rows are orphans, rows without names a sale without
-    items. Keys are 128-bit hashes.
+    NULLs and CHECKs are counted row by row. For every key (its owner's, or
+    pairs of staff and store, or managers) the tables that hold or name it say
+    so with its columns alone; these facts are counted per key, before and
+    after one shuffle per owner (so a key that many rows name travels once per
+    task, and a task holds the counts of one owner's keys only). A key's
+    counts tell all rules about it: rows > 1 is a repeated key, names without
+    rows are orphans, rows without names a sale without items.
     """
     names = tables or tuple(SCHEMAS)
-    said = {tb: _facts_of(tb, names) for tb in names}
-    owners: dict[str, list[str]] = {}       # owner -> its facts; a fact's place is its slot
-    for owner, _, fact, _ in (f for facts in said.values() for f in facts):
-        if fact not in owners.setdefault(owner, []):
-            owners[owner].append(fact)
-    number = {owner: i for i, owner in enumerate(owners)}
-
-    def scan(tb: str) -> DataFrame:
-        told = [F.when(cond, F.struct(F.lit(number[owner]).alias("Owner"), *_key(tb, cols, owner),
-                                      F.lit(owners[owner].index(fact)).alias("Slot")))
-                for owner, cols, fact, cond in said[tb]]
-        return t[tb].select(F.explode(F.array_compact(F.array(*told))).alias("f")).select("f.*")
-
-    facts = reduce(DataFrame.unionByName, [scan(tb) for tb in names])
-    slots = range(max(map(len, owners.values())))
-    per_key = facts.groupBy("Owner", "Key1", "Key2").agg(
-        *[F.count(F.when(F.col("Slot") == i, 1)).alias(f"_{i}") for i in slots])
-
-    def about(owner: str, fact: str) -> Column:
-        """The count of a fact in the rows of its owner's keys, else NULL."""
-        if fact not in owners.get(owner, ()):
-            return F.lit(None).cast("long")
-        return F.when(F.col("Owner") == number[owner], F.col(f"_{owners[owner].index(fact)}"))
-
-    def orphans_of(owner: str, fact: str) -> Column:
-        return F.when(F.coalesce(about(owner, "row"), F.lit(0)) == 0, about(owner, fact))
-
-    rules = [(f"pk_{tb}", tb, F.when(about(tb, "row") > 1, 1)) for tb in names]
-    rules += [(f"not_null_{tb}", tb, about(tb, "null")) for tb in names]
-    rules += [(f"fk_{fk.name}", fk.child, orphans_of(fk.parent, f"fk_{fk.name}"))
-              for fk in FOREIGN_KEYS if fk.child in names and fk.parent in names]
-    rules += [(f"check_{c.name}", c.table, about(c.table, f"check_{c.name}")) for c in CHECKS if c.table in names]
+    said: dict[str, list[tuple[str, Sequence[str], str, Column | None]]] = {}    # owner -> (table, columns, fact, where)
+    for tb in names:
+        for owner, cols, fact, where in _facts_of(tb, names):
+            said.setdefault(owner, []).append((tb, cols, fact, where))
+
+    # rule -> (table it counts in, owner of its keys, count of a key's violations)
+    orphans_of = lambda fact: F.when(F.col("row") == 0, F.col(fact))
+    rules = {f"pk_{tb}": (tb, tb, F.when(F.col("row") > 1, 1)) for tb in names}
+    rules |= {f"fk_{fk.name}": (fk.child, fk.parent, orphans_of(f"fk_{fk.name}"))
+              for fk in FOREIGN_KEYS if fk.child in names and fk.parent in names}
     between = {
-        "sale_has_items": ({"Sale", "SaleItem"}, F.when(about("Sale", "fk_saleitem_sale") == 0, about("Sale", "row"))),
-        "manager_in_store": ({"Store", "Employee"}, orphans_of(_STAFF, "manager_in_store")),
-        "manager_of_one_store": ({"Store"}, F.when(about(_MANAGER, "manager_of_one_store") > 1, 1)),
-        "seller_in_store": ({"Sale", "Employee"}, orphans_of(_STAFF, "seller_in_store")),
+        "sale_has_items": ({"Sale", "SaleItem"}, "Sale", F.when(F.col("fk_saleitem_sale") == 0, F.col("row"))),
+        "manager_in_store": ({"Store", "Employee"}, _STAFF, orphans_of("manager_in_store")),
+        "manager_of_one_store": ({"Store"}, _MANAGER, F.when(F.col("manager_of_one_store") > 1, 1)),
+        "seller_in_store": ({"Sale", "Employee"}, _STAFF, orphans_of("seller_in_store")),
     }
-    rules += [(r, BUSINESS_RULES[r], col) for r, (needs, col) in between.items() if needs <= set(names)]
-    total = per_key.agg(*[F.coalesce(F.sum(col), F.lit(0)).cast("bigint").alias(r) for r, _, col in rules])
-    return total.select(F.explode(F.array(*[
-        F.struct(F.lit(r).alias("Rule"), F.lit(tb).alias("TableName"), F.col(r).alias("Violations"))
-        for r, tb, _ in rules])).alias("r")).select("r.*")
+    rules |= {r: (BUSINESS_RULES[r], owner, col) for r, (needs, owner, col) in between.items() if needs <= set(names)}
+
+    out = []
+    for tb in names:
+        broken = {f"not_null_{tb}": ~_present_all(not_null_columns(tb))}
+        broken |= {f"check_{c.name}": F.expr(f"NOT coalesce({c.condition}, true)") for c in CHECKS if c.table == tb}
+        totals = t[tb].agg(*[F.count(F.when(cond, 1)).alias(r) for r, cond in broken.items()])
+        out.append(_as_rows(totals, [(r, tb) for r in broken]))
+    for owner, facts in said.items():
+        about = {r: (tb, col) for r, (tb, of, col) in rules.items() if of == owner}
+        if not about:
+            continue
+        slots = list(dict.fromkeys(["row", *(fact for _, _, fact, _ in facts)]))
+        told = [(t[tb] if where is None else t[tb].filter(where)).select(*_key(cols, owner), F.lit(slots.index(fact)).alias("Slot"))
+                for tb, cols, fact, where in facts]
+        per_key = (reduce(DataFrame.unionByName, told).groupBy(*[c for c in told[0].columns if c != "Slot"])
+                   .agg(*[F.count(F.when(F.col("Slot") == i, 1)).alias(fact) for i, fact in enumerate(slots)]))
+        totals = per_key.agg(*[F.sum(col).alias(r) for r, (_, col) in about.items()])
+        out.append(_as_rows(totals, [(r, tb) for r, (tb, _) in about.items()]))
+    return reduce(DataFrame.unionByName, out)
 
 
 # --- rows with the rules they break --------------------------------------------
