@@ -398,8 +398,12 @@ def _w1_stock(t):
     group by l.RequestID""")
 def _w5(t):
     from inkwell.operators import posting as P
-    lines = t.post_lines().join(t["Book"].select("ISBN", F.col("Price").alias("UnitPrice")), "ISBN")
-    return P.invoice_totals(lines)
+    lines = t.post_lines()
+    # the books asked for, which may be few with many lines each: where they
+    # are, they go to the lines, and no task gets all lines of a book
+    book = t["Book"].select("ISBN", F.col("Price").alias("UnitPrice"))
+    asked = book.join(lines.select("ISBN").distinct(), "ISBN", "left_semi")
+    return P.invoice_totals(lines.join(asked, "ISBN"))
 
 
 from inkwell.plans import catalog_writes  # noqa: E402,F401  (registers W4, W6-W14)
