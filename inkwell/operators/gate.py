@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from inkwell.functions.parsing import blank_to_null, latin_digits, parse_int, parse_money, strip_all
 from inkwell.operators.quality import broken_rules
 from inkwell.schemas import MONEY, SCHEMAS, ForeignKey
+from inkwell.session import written_table
 
 Tables = Mapping[str, DataFrame]
 
@@ -54,7 +55,8 @@ def gate(t: Tables, requests: DataFrame, table: str, rules: Mapping[str, Column]
 
     ``rules`` see the columns as they arrive; ``references`` name request
     columns as ``child_cols``. The requests are the preserved side of every
-    join, so a parent row missing or repeated never loses or repeats one."""
+    join, so a parent row missing or repeated never loses or repeats one. The
+    result is a written table: its readers parse and compare nothing again."""
     out = typed(requests.withColumn("Violations", broken_rules(rules)), table)
     named = [c for fk in references for c in fk.child_cols if isinstance(out.schema[c].dataType, T.StringType)]
     if named:       # a blank name is a missing one
@@ -73,7 +75,8 @@ def gate(t: Tables, requests: DataFrame, table: str, rules: Mapping[str, Column]
     if missing:
         out = (out.withColumn("Violations", F.concat("Violations", F.array_compact(F.array(*missing))))
                .drop(*[f"_found{i}" for i in range(len(references))]))
-    return out
+    # typed and judged once: what passed is read several times, and what did not
+    return written_table(out, "gated")
 
 
 def passed(gated: DataFrame) -> DataFrame:

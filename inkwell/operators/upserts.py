@@ -35,6 +35,7 @@ from inkwell.functions.parsing import parse_authors
 from inkwell.operators.gate import gate, passed, refused
 from inkwell.operators.quality import book_rules, inventory_key_rules, inventory_rules, store_rules
 from inkwell.schemas import MONEY, SCHEMAS, ForeignKey, dependents_of, references_of
+from inkwell.session import written_table
 
 Tables = Mapping[str, DataFrame]
 
@@ -72,11 +73,14 @@ def insert_new(table: DataFrame, requests: DataFrame, keys: Sequence[str], arriv
     """Insert requests whose key is new; ``requests`` carries the table's
     columns plus ``arrival`` (unique)."""
     keys = list(keys)
-    first, dup_batch = _first_per_key(requests, keys, arrival)
-    existing = table.select(*keys).distinct()
-    accepted = first.join(existing, keys, "left_anti")
-    dup_table = first.join(existing, keys, "left_semi")
-    rejected = _reason(dup_table, DUPLICATE_KEY).unionByName(_reason(dup_batch, DUPLICATE_IN_BATCH))
+    first = requests.groupBy(*keys).agg(F.min(arrival).alias("_first"))
+    existing = table.select(*keys).distinct().withColumn("_taken", F.lit(True))
+    # judged once for the accepted and the refused (a key that is NULL is no first one)
+    judged = written_table(requests.join(first, keys, "left").join(existing, keys, "left").withColumn(
+        "Reason", F.when(~F.coalesce(F.col(arrival) == F.col("_first"), F.lit(False)), F.lit(DUPLICATE_IN_BATCH))
+                   .when(F.col("_taken"), F.lit(DUPLICATE_KEY))).drop("_first", "_taken"), "judged")
+    accepted = judged.filter(F.col("Reason").isNull()).drop("Reason")
+    rejected = judged.filter(F.col("Reason").isNotNull())
     new_table = table.unionByName(accepted.select(*table.columns))
     return UpsertResult(accepted, rejected, new_table)
 
