@@ -30,15 +30,16 @@ Plan (exact w.r.t. the sequential semantics; stock only falls in a batch):
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.functions.ordinal import number_within, with_ordinal
+from inkwell.functions.ordinal import number_in_blocks, number_within, with_ordinal
 from inkwell.operators import sequential
 from inkwell.operators.sequential import bounded_walk
 from inkwell.schemas import MONEY, MONEY_SUM
@@ -65,11 +66,57 @@ HEADER_COLS = ("RequestID", "StoreCode", "CustomerCode", "EmployeeNationalCode",
 
 @dataclass
 class PostingResult:
-    sales: DataFrame       # new Sale rows
-    items: DataFrame       # new SaleItem rows
-    inventory: DataFrame   # Inventory after the batch
-    accepted: DataFrame    # (RequestID, InvoiceNumber)
-    rejected: DataFrame    # (RequestID, Reason)
+    """The outcome of a batch. Frames are made when they are first read: the
+    numbers of invoices are not given out for a reader of the stock alone."""
+
+    t: Tables
+    lines: DataFrame                  # as requested
+    parts: Mapping[str, DataFrame]    # of ``classify_requests``
+    decided: DataFrame                # (RequestID, Accepted) of contested requests
+
+    @cached_property
+    def _refused(self) -> DataFrame:
+        return self.decided.filter(~F.col("Accepted")).select("RequestID")
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        """(RequestID, Reason)"""
+        return self.parts["rejected"].unionByName(self._refused.withColumn("Reason", F.lit(INSUFFICIENT_STOCK)))
+
+    @cached_property
+    def _headers(self) -> DataFrame:
+        # an invoice that is not contested was accepted
+        return self.parts["headers"].join(self._refused, "RequestID", "left_anti")
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        """(RequestID, InvoiceNumber), W2: numbers continue from the current
+        maximum, in arrival order."""
+        base = self.t["Sale"].select(F.coalesce(F.max("InvoiceNumber"), F.lit(0)).cast("long")).scalar()
+        return (with_ordinal(self._headers.select("RequestID"), ["RequestID"], "InvoiceNumber", start=base + F.lit(1))
+                .select("RequestID", "InvoiceNumber"))
+
+    @cached_property
+    def sales(self) -> DataFrame:
+        """New Sale rows."""
+        return (self._headers.join(self.accepted, "RequestID")
+                .select("InvoiceNumber", "InvoiceDate", "CustomerCode", "StoreCode", "EmployeeNationalCode"))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        """New SaleItem rows, W3: lines 1..n by form position; W4 price: the
+        book price at posting time."""
+        price = (_unit_price(self.lines, self.parts["live_lines"].join(self.accepted, "RequestID"))
+                 .select("InvoiceNumber", "LinePos", "ISBN", F.col("Quantity").cast("int"), F.col("UnitPrice").cast(MONEY)))
+        return (number_in_blocks(price, ["InvoiceNumber"], "LinePos", ["ISBN"], "LineNumber")
+                .select("InvoiceNumber", "LineNumber", "ISBN", "Quantity", "UnitPrice"))
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        """Inventory after the batch."""
+        used = (self.parts["live_lines"].join(self._refused, "RequestID", "left_anti")
+                .groupBy("StoreCode", "ISBN").agg(F.sum("Quantity").alias("_used")))
+        return _apply_usage(self.t["Inventory"], used, sign=-1)
 
 
 # --- W1 replay ------------------------------------------------------------------
@@ -87,29 +134,25 @@ def _replay_stores_fn():
         """The undecided lines of the stores of one hash bucket; each store's
         invoices in arrival order (stores never share stock). ``Used`` is the
         demand of accepted invoices before the line that are not among them."""
-        avail = {(int(s), b): int(q) for s, b, q in
-                 zip(stock["_sstore"].to_numpy(), stock["_sisbn"].to_numpy(), stock["Available"].to_numpy())}
         ids: list[int] = []
         acc: list[bool] = []
         if len(lines):
-            lines = lines.sort_values(["StoreCode", "RequestID", "ISBN"], kind="stable")
-            store = lines["StoreCode"].to_numpy()
-            rid = lines["RequestID"].to_numpy()
-            isbn = lines["ISBN"].to_numpy()
-            qty = lines["Quantity"].to_numpy()
-            used = lines["Used"].to_numpy()
+            avail = [int(q) for q in stock["Available"]] + [-1]       # the last: no stock row
+            rows = stock.assign(_row=range(len(stock)))[["_sstore", "_sisbn", "_row"]]
+            lines = (lines.merge(rows, how="left", left_on=["StoreCode", "ISBN"], right_on=["_sstore", "_sisbn"])
+                     .sort_values(["StoreCode", "RequestID"], kind="stable"))
+            row = lines["_row"].fillna(len(stock)).astype("int64").tolist()
+            rid, qty, used = (lines[c].astype("int64").tolist() for c in ("RequestID", "Quantity", "Used"))
             start, n = 0, len(lines)
             while start < n:
-                end = start
+                end, ok = start, True
                 while end < n and rid[end] == rid[start]:
+                    ok = ok and avail[row[end]] - used[end] >= qty[end]
                     end += 1
-                # one line per book of an invoice
-                need = {(int(store[i]), isbn[i]): (int(qty[i]), int(used[i])) for i in range(start, end)}
-                ok = all(avail.get(k, -1) - u >= q for k, (q, u) in need.items())
-                if ok:
-                    for k, (q, _) in need.items():
-                        avail[k] -= q
-                ids.append(int(rid[start]))
+                if ok:      # one line per book of an invoice
+                    for i in range(start, end):
+                        avail[row[i]] -= qty[i]
+                ids.append(rid[start])
                 acc.append(ok)
                 start = end
         return pd.DataFrame({"RequestID": pd.Series(ids, dtype="int64"), "Accepted": pd.Series(acc, dtype=bool)})
@@ -197,9 +240,11 @@ def _replay(lines: DataFrame, stock: DataFrame, chunk: int) -> DataFrame:
 
     Invoices are replayed per store. Where a store has more than ``chunk``,
     bounds decide most of them first."""
-    sizes = lines.groupBy("StoreCode").agg(F.count_distinct("RequestID").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= chunk:
+    def most(count):
+        return lines.groupBy("StoreCode").agg(count.alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+    # an invoice has a line at least: mostly, counting lines is enough
+    if most(F.count(F.lit(1))) <= chunk or most(F.count_distinct("RequestID")) <= chunk:
         return _cogroup_replay(lines.withColumn("Used", F.lit(0).cast("long")), stock)
     out, lines, largest = decide_by_bounds(lines, stock, chunk)
     if largest <= chunk:
@@ -238,64 +283,92 @@ def merge_lines(lines: DataFrame) -> DataFrame:
                          .alias("Quantity"), "LinePos")
 
 
-def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
+class _Parts(dict):
+    """Frames by name, each made when it is first asked for (some write)."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        super().__init__()
+        self._makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._makers[name]()
+        return self[name]
+
+
+def classify_requests(t: Tables, headers: DataFrame, lines: DataFrame) -> Mapping[str, DataFrame]:
     """Steps 1-2 of the plan, all declarative. Returns frames:
     ``rejected`` (RequestID, Reason) certain rejects, ``contested_pairs``
     (StoreCode, ISBN, Demand, Available), ``certain_accepts`` (RequestID),
     ``contested_lines`` (StoreCode, RequestID, ISBN, Quantity),
     ``contested_stock`` (StoreCode, ISBN, Available), ``live_lines`` (lines
-    of requests not certainly rejected) and ``headers`` of those requests."""
+    of requests not certainly rejected, with the book's Price) and ``headers``
+    of those requests. A frame that is not read costs nothing."""
     missing = F.lit(False)
     for c in HEADER_COLS:
         missing = missing | F.col(c).isNull()
-    # The batch is read by every later step: headers and lines are written once
-    # (tables in spark.checkpoint.dir, of which each step reads the columns it
-    # needs and the planner knows the size), the lines with their header's
-    # store and their stock row. Lines are the big
-    # side, preserved and splittable in each left join: with the headers (a
-    # line without one is refused, not dropped), then with stock and books
-    # (only a book the store stocks and the catalogue holds is sold).
     head = written_table(headers.select(*HEADER_COLS).withColumn("_head_ok", ~missing), "headers")
-    inv = t["Inventory"].select("StoreCode", "ISBN", F.col("AvailableQuantity").alias("Available"))
-    book = t["Book"].select("ISBN", F.lit(True).alias("_book"))
-    hl = written_table(merge_lines(lines)
-                       .join(head.select("RequestID", "StoreCode", "_head_ok"), "RequestID", "left")
-                       .join(inv, ["StoreCode", "ISBN"], "left").join(book, "ISBN", "left"), "batch")
+    # A book counts, and has its price, only where it is stocked: the stock rows
+    # meet the catalogue, not the lines, which may name few books many times.
+    book = t["Book"].select("ISBN", F.col("Price").alias("_price"), F.lit(True).alias("_book"))
+    inv = (t["Inventory"].select("StoreCode", "ISBN", F.col("AvailableQuantity").alias("Available"))
+           .join(book, "ISBN", "left"))
+    # The batch is read by every later step and written once: the headers, and
+    # the lines with their header's store (a line without a header is refused, not dropped; a
+    # header without a line has a row of its own) and their stock row. A table
+    # in spark.checkpoint.dir, of which each step reads the columns it needs and
+    # the planner knows the size.
+    hl = written_table(merge_lines(lines).withColumn("_line", F.lit(True))
+                       .join(head.select("RequestID", "StoreCode", "_head_ok"), "RequestID", "full")
+                       .join(inv, ["StoreCode", "ISBN"], "left"), "batch")
     line_reason = (F.when(~F.coalesce("_head_ok", F.lit(False)), F.lit(MISSING_HEADER))
-                   .when(F.col("ISBN").isNull(), F.lit(NO_LINES))
+                   .when(F.col("_line").isNull() | F.col("ISBN").isNull(), F.lit(NO_LINES))
                    .when(F.col("Quantity").isNull() | (F.col("Quantity") <= 0), F.lit(INVALID_QUANTITY))
                    .when(F.col("Available").isNull(), F.lit(NO_STOCK_ROW))
                    .when(F.col("_book").isNull(), F.lit(NOT_SELLABLE))
                    .when(F.col("Quantity") > F.col("Available"), F.lit(INSUFFICIENT_STOCK)))
-    # one row per request, from headers and lines together: its header, and the
-    # reason that refuses it at once
-    told = (head.withColumn("_reason", F.when(~F.col("_head_ok"), F.lit(MISSING_HEADER))).withColumn("_line", F.lit(False))
-            .unionByName(hl.select("RequestID", line_reason.alias("_reason"), F.lit(True).alias("_line")),
-                         allowMissingColumns=True))
-    requests = written_table(told.groupBy("RequestID").agg(
-        F.coalesce(F.min("_reason"), F.when(~F.max("_line"), F.lit(NO_LINES))).alias("Reason"),
-        *[F.first(c, ignorenulls=True).alias(c) for c in HEADER_COLS if c != "RequestID"]), "requests")
-    rejected = requests.filter(F.col("Reason").isNotNull()).select("RequestID", "Reason")
-    live = (hl.join(requests.filter(F.col("Reason").isNull()).select("RequestID"), "RequestID", "left_semi")
-            .select("RequestID", "StoreCode", "ISBN", "Quantity", "LinePos", "Available"))
-    demand = (live.groupBy("StoreCode", "ISBN")
-              .agg(F.sum("Quantity").alias("Demand"), F.first("Available").alias("Available")))
-    contested = demand.filter(F.col("Demand") > F.col("Available"))
-    # contested lines, with their starting stock, are read several times
-    # (round sizing, stock, replay, certain accepts): written once
-    c_lines = written_table(live.join(contested.select("StoreCode", "ISBN"), ["StoreCode", "ISBN"], "left_semi")
-                            .select("StoreCode", "RequestID", "ISBN", "Quantity", "Available"), "contested")
-    sound = requests.filter(F.col("Reason").isNull()).drop("Reason")
-    certain = sound.select("RequestID").join(c_lines.select("RequestID").distinct(), "RequestID", "left_anti")
-    return {
+    parts: _Parts
+
+    def rejected() -> DataFrame:
+        # only refused lines are compared: the reason that refuses a request at once
+        told = hl.withColumn("_reason", line_reason).filter(F.col("_reason").isNotNull())
+        return written_table(told.groupBy("RequestID").agg(F.min("_reason").alias("Reason")), "rejected")
+
+    def live() -> DataFrame:
+        return (hl.filter(F.col("RequestID").isNotNull()).join(parts["rejected"].select("RequestID"), "RequestID", "left_anti")
+                .select("RequestID", "StoreCode", "ISBN", "Quantity", "LinePos", "Available", F.col("_price").alias("Price")))
+
+    def contested_pairs() -> DataFrame:
+        demand = (parts["live_lines"].groupBy("StoreCode", "ISBN")
+                  .agg(F.sum("Quantity").alias("Demand"), F.first("Available").alias("Available")))
+        return demand.filter(F.col("Demand") > F.col("Available"))
+
+    def contested() -> DataFrame:
+        # contested lines, with their starting stock, are read several times
+        # (round sizing, stock, replay, certain accepts): written once
+        pairs = parts["contested_pairs"].select("StoreCode", "ISBN")
+        return written_table(parts["live_lines"].join(pairs, ["StoreCode", "ISBN"], "left_semi")
+                             .select("StoreCode", "RequestID", "ISBN", "Quantity", "Available"), "contested")
+
+    def sound() -> DataFrame:
+        good = head.filter("_head_ok").join(parts["rejected"].select("RequestID"), "RequestID", "left_anti")
+        return good.groupBy("RequestID").agg(*[F.first(c, ignorenulls=True).alias(c) for c in HEADER_COLS if c != "RequestID"])
+
+    def certain() -> DataFrame:
+        # no request with a contested line, found from the lines themselves
+        refused = parts["rejected"].select("RequestID").unionByName(parts["_contested"].select("RequestID"))
+        return head.filter("_head_ok").select("RequestID").join(refused, "RequestID", "left_anti").distinct()
+
+    parts = _Parts({
         "rejected": rejected,
-        "contested_pairs": contested,
+        "contested_pairs": contested_pairs,
         "certain_accepts": certain,
-        "contested_lines": c_lines.drop("Available"),
-        "contested_stock": c_lines.select("StoreCode", "ISBN", "Available").distinct(),
+        "_contested": contested,
+        "contested_lines": lambda: parts["_contested"].drop("Available"),
+        "contested_stock": lambda: parts["_contested"].select("StoreCode", "ISBN", "Available").distinct(),
         "live_lines": live,
-        "headers": sound.select(*HEADER_COLS),
-    }
+        "headers": sound,
+    })
+    return parts
 
 
 def post_sales(t: Tables, headers: DataFrame, lines: DataFrame,
@@ -310,37 +383,16 @@ def post_sales(t: Tables, headers: DataFrame, lines: DataFrame,
     parts = classify_requests(t, headers, lines)
     # decisions are small (one row per contested invoice) and read twice
     decided = written_table(_replay(parts["contested_lines"], parts["contested_stock"], chunk), "decided")
-    rejected = parts["rejected"].unionByName(
-        decided.filter(~F.col("Accepted")).select("RequestID", F.lit(INSUFFICIENT_STOCK).alias("Reason")))
-
-    # Numbers continue from the current maximum, in arrival order
-    base = t["Sale"].select(F.coalesce(F.max("InvoiceNumber"), F.lit(0)).cast("long")).scalar()
-    # an invoice that is not contested was accepted
-    acc_head = (parts["headers"].join(decided, "RequestID", "left")
-                .filter(F.coalesce("Accepted", F.lit(True))).drop("Accepted"))
-    numbered = with_ordinal(acc_head, ["RequestID"], "InvoiceNumber", start=base + F.lit(1))
-    numbers = numbered.select("RequestID", "InvoiceNumber")
-    sales = numbered.select("InvoiceNumber", "InvoiceDate", "CustomerCode", "StoreCode", "EmployeeNationalCode")
-
-    # Lines 1..n by form position; W4 price: the book price at posting time
-    acc_lines = parts["live_lines"].join(numbers, "RequestID")
-    price = _unit_price(t, lines, acc_lines)
-    items = (number_within(price, ["InvoiceNumber"], ["LinePos", "ISBN"], "LineNumber")
-             .select("InvoiceNumber", "LineNumber", "ISBN", F.col("Quantity").cast("int"),
-                     F.col("UnitPrice").cast(MONEY)))
-
-    used = acc_lines.groupBy("StoreCode", "ISBN").agg(F.sum("Quantity").alias("_used"))
-    inventory = _apply_usage(t["Inventory"], used, sign=-1)
-    return PostingResult(sales, items, inventory, numbers, rejected)
-
-
-def _unit_price(t: Tables, lines: DataFrame, acc_lines: DataFrame) -> DataFrame:
+    return PostingResult(t, lines, parts, decided)
+
+
+def _unit_price(lines: DataFrame, acc_lines: DataFrame) -> DataFrame:
     if "UnitPrice" in lines.columns:
         pos = F.col("LinePos") if "LinePos" in lines.columns else F.lit(1)
         given = lines.groupBy("RequestID", "ISBN").agg(
             F.min(F.struct(pos.alias("p"), "UnitPrice"))["UnitPrice"].alias("UnitPrice"))
         return acc_lines.join(given, ["RequestID", "ISBN"])
-    return acc_lines.join(t["Book"].select("ISBN", F.col("Price").alias("UnitPrice")), "ISBN")
+    return acc_lines.withColumnRenamed("Price", "UnitPrice")      # the stocked book's, read with its stock row
 
 
 def _apply_usage(inventory: DataFrame, change: DataFrame, sign: int) -> DataFrame:
@@ -401,15 +453,16 @@ def adjust_stock(t: Tables, adjustments: DataFrame, chunk: int = sequential.DEFA
     valid = (F.col("Amount") >= 1) & F.col("Direction").isin(1, -1)
     reason = (F.when(~F.coalesce(valid, F.lit(False)), F.lit(INVALID_AMOUNT))
               .when(F.col("Stock").isNull(), F.lit(NO_STOCK_ROW)))
-    adj = adj.withColumn("Reason", reason).withColumn("_delta", F.col("Amount").cast("long") * F.col("Direction"))
+    # read by every step of the walk: written once, with its stock row
+    adj = written_table(adj.withColumn("Reason", reason)
+                        .withColumn("_delta", F.col("Amount").cast("long") * F.col("Direction")), "adjustments")
     ok = adj.filter(F.col("Reason").isNull())
     dec = bounded_walk(ok, ["StoreCode", "ISBN"], "AdjustID", "_delta", "Stock", "AdjustID", chunk)
-    judged = ok.join(dec, "AdjustID")
     decisions = (adj.filter(F.col("Reason").isNotNull())
                  .select("AdjustID", F.lit(False).alias("Accepted"), "Reason")
-                 .unionByName(judged.select(
+                 .unionByName(dec.select(
                      "AdjustID", "Accepted",
                      F.when(F.col("Accepted"), F.lit(None).cast("string"))
                       .otherwise(F.lit(INSUFFICIENT_STOCK)).alias("Reason"))))
-    change = (judged.filter("Accepted").groupBy("StoreCode", "ISBN").agg(F.sum("_delta").alias("_used")))
+    change = (ok.join(dec, "AdjustID").filter("Accepted").groupBy("StoreCode", "ISBN").agg(F.sum("_delta").alias("_used")))
     return {"decisions": decisions, "inventory": _apply_usage(t["Inventory"], change, sign=1)}
