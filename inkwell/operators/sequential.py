@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.ordinal import number_within
+from inkwell.session import written_table
 
 #: Events of one key that a task walks at most.
 DEFAULT_CHUNK = 16_384
@@ -170,19 +171,27 @@ def bounded_walk(events: DataFrame, keys: Sequence[str], order: str, delta: str,
                        F.col(initial).cast("long").alias("_state0"),
                        F.col(event_id).cast("long").alias("_event"))
     keys = [f"_k{i}" for i in range(len(keys))]
-    # Fast path, by a plain (partially aggregated, skew-safe) sum: if the state
+    # Fast paths, by plain (partially aggregated, skew-safe) sums: if the state
     # stays >= 0 even when every negative event is applied, no prefix can go
     # negative and every event of the key is accepted. Exact when all deltas
-    # are negative (an invoice form); conservative otherwise.
+    # are negative (an invoice form); conservative otherwise. And the only
+    # event of a key is decided by its own state.
     worst = ev.groupBy(*keys).agg(
         (F.first("_state0") + F.sum(F.when(F.col("_delta") < 0, F.col("_delta")).otherwise(F.lit(0))))
-        .alias("_worst"))
-    hard_keys = worst.filter(F.col("_worst") < 0).select(*[F.col(k).alias(f"_h{k}") for k in keys])
+        .alias("_worst"), F.count(F.lit(1)).alias("_n"))
+    hard_keys = (worst.filter((F.col("_worst") < 0) & (F.col("_n") > 1))
+                 .select(*[F.col(k).alias(f"_h{k}") for k in keys], F.lit(True).alias("_hard")))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in keys])
-    easy = ev.join(hard_keys, same, "left_anti").select("_event", F.lit(True).alias("_accepted"))
+    # the walk reads its events several times: written once, with the easy ones,
+    # which hold no key, decided
+    marked = ev.join(hard_keys, same, "left")
     # one text key: nulls and the types of the keys do not matter to pandas
-    hard = (ev.join(hard_keys, same, "left_semi")
-            .select(F.to_json(F.struct(*keys)).alias("_key"), "_order", "_delta", "_state0", "_event"))
+    key = F.when(F.col("_hard"), F.to_json(F.struct(*keys)))
+    # an event with others on an easy key fits in any order, and alone on its key it fits if the state allows
+    events = written_table(marked.select(key.alias("_key"), "_order", "_delta", "_state0", "_event",
+                                         F.coalesce(F.col("_state0") + F.col("_delta") >= 0, F.lit(False)).alias("_accepted")), "walk")
+    easy = events.filter(F.col("_key").isNull()).select("_event", "_accepted")
+    hard = events.filter(F.col("_key").isNotNull()).drop("_accepted")
     decided = _walk_chunks(hard, chunk)
     return easy.unionByName(decided).select(F.col("_event").alias(event_id),
                                             F.col("_accepted").alias("Accepted"))
